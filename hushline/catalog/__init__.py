@@ -1,0 +1,10 @@
+"""Query catalogue: one module per part of the inventory."""
+
+from importlib import import_module
+
+MODULES = ("tables", "scores", "policy", "spectra", "safe_reference", "models", "stream")
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")

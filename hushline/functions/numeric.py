@@ -18,9 +18,9 @@ def d(value: float) -> Column:
     return F.lit(float(value))
 
 
-def r6(value: Column) -> Column:
+def r6(value: Column, places: int = 6) -> Column:
     """Round for cross-engine comparison; adding 0.0 removes negative zero."""
-    return F.round(value, 6) + d(0.0)
+    return F.round(value, places) + d(0.0)
 
 
 def clip(value: Column, low: float, high: float) -> Column:

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """StructType from "name type, ..." (works before any session exists)."""
+    fields = [part.split() for part in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 MANIFEST = _struct(
