@@ -1,12 +1,179 @@
-"""placeholder"""
+"""Acoustic-path residual: transfer estimate, reliability gate, bounded removal, multi-view maps."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
 from hushline.functions import complexes as c
-from hushline.functions.numeric import clip, d
+from hushline.functions.complexes import Cx, cx
+from hushline.functions.numeric import EPS, clip, d, sigmoid
+from hushline.operators.frontends import coherence_of, ema, far_bin, near_bin
+from hushline.operators.selection import frequency_band
+from hushline.operators.spectra import BLOCK, PACKED, attach_bins, explode_bins
+
 
+@dataclass(frozen=True)
+class PathSettings:
+    """Fixed values of the acoustic-path front-end."""
 
-def snr_proxy(near, far, eps):
+    mode: str = "causal_ema"
+    alpha: float = 0.95
+    reg_floor: float = 1.0e-5
+    smoothing_bins: int = 1
+    gate_min: float = 0.0
+    gate_max: float = 0.9
+    coherence_weight: float = 4.0
+    snr_weight: float = -0.5
+    bias: float = 0.0
+    bypass: bool = False
+    max_removed_ratio: float = 0.8
+    eps: float = EPS
+    block: int = BLOCK
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("causal_ema", "static_per_clip"):
+            raise ValueError(f"Unknown transfer mode: {self.mode}")
+        if self.gate_min > self.gate_max:
+            raise ValueError("gate_min must not exceed gate_max")
+
+
+def snr_proxy(near: Cx, far: Cx, eps: float) -> Column:
     return clip(F.log((c.power(near) + d(eps)) / (c.power(far) + d(eps))), -12.0, 12.0)
 
 
-def log_ratio(near, far, eps):
+def log_ratio(near: Cx, far: Cx, eps: float) -> Column:
     return F.log((c.magnitude(near) + d(eps)) / (c.magnitude(far) + d(eps)))
+
+
+def gate_value(coherence: Column, snr: Column, s: PathSettings) -> Column:
+    logit = d(s.coherence_weight) * (d(2.0) * coherence - d(1.0)) + d(s.snr_weight) * snr + d(s.bias)
+    open_ = d(s.gate_min) + d(s.gate_max - s.gate_min) * sigmoid(logit)
+    return clip(open_, s.gate_min, s.gate_max)
+
+
+def smooth_bins(df: DataFrame, values: Sequence[str], width: int, keys: Sequence[str]) -> DataFrame:
+    """Centred moving mean over bins with zero-padded edges (a group is one frame or one clip of bins)."""
+    if width == 1:
+        return df
+    along = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-(width // 2), width - width // 2 - 1)
+    smoothed = {v: F.sum(v).over(along) / d(width) for v in values}
+    return df.select(*[smoothed[n].alias(n) if n in smoothed else F.col(n) for n in df.columns])
+
+
+_STATS = ("ema_re", "ema_im", "ema_near", "ema_far")
+
+
+def _transfer_columns(df: DataFrame, s: PathSettings) -> DataFrame:
+    near, far = F.col("ema_near"), F.col("ema_far")
+    inverse = d(1.0) / (far + d(s.reg_floor))
+    return df.select(
+        *[n for n in df.columns if n not in _STATS],
+        (F.col("ema_re") * inverse).alias("transfer_re"),
+        (F.col("ema_im") * inverse).alias("transfer_im"),
+        coherence_of(cx("ema"), near, far, s.eps).alias("coherence"),
+    )
+
+
+def static_transfer(packed: DataFrame, s: PathSettings) -> DataFrame:
+    """One transfer row per (clip_no, bin) from the clip's mean cross and auto power."""
+    cross = c.cross(near_bin(), far_bin())
+    means = explode_bins(packed.select("clip_no", *PACKED)).groupBy("clip_no", "bin").agg(
+        F.avg(cross.re).alias("ema_re"), F.avg(cross.im).alias("ema_im"),
+        F.avg(c.power(near_bin())).alias("ema_near"), F.avg(c.power(far_bin())).alias("ema_far"),
+    )
+    return _transfer_columns(smooth_bins(means, _STATS, s.smoothing_bins, ["clip_no"]), s)
+
+
+def with_transfer(packed: DataFrame, s: PathSettings) -> DataFrame:
+    """Long spectra with transfer and coherence, causal or static per clip."""
+    if s.mode == "static_per_clip":
+        added = ["transfer_re", "transfer_im", "coherence"]
+        wide = attach_bins(packed, static_transfer(packed, s), added)
+        return explode_bins(wide, [*PACKED, *added])
+    averaged = ema(explode_bins(packed), s.alpha, s.block)
+    smoothed = smooth_bins(averaged, _STATS, s.smoothing_bins, ["clip_no", "block", "frame"])
+    return _transfer_columns(smoothed, s)
+
+
+def acoustic_path(packed: DataFrame, s: PathSettings = PathSettings()) -> DataFrame:
+    """Long spectra with residual, transfer, gate, snr_proxy, coherence, path_confidence and removed ratio.
+
+    The energy bound is a sum over the bins of one frame: a window inside the (clip_no, block) placement.
+    """
+    rows = with_transfer(packed, s).withColumn("snr_proxy", snr_proxy(near_bin(), far_bin(), s.eps))
+    gate = d(0.0) if s.bypass else gate_value(F.col("coherence"), F.col("snr_proxy"), s)
+    rows = rows.withColumn("gate", gate)
+    removed = c.scaled(c.product(cx("transfer"), far_bin()), F.col("gate"))
+    rows = rows.withColumn("cancelled_re", removed.re).withColumn("cancelled_im", removed.im)
+    frame = Window.partitionBy("clip_no", "block", "frame")
+    rows = rows.withColumn("_removed", F.sum(c.power(cx("cancelled"))).over(frame))
+    rows = rows.withColumn("_energy", F.greatest(F.sum(c.power(near_bin())).over(frame), d(s.eps)))
+    ratio = F.col("_removed") / F.col("_energy")
+    scale = F.least(d(1.0), F.sqrt(d(s.max_removed_ratio) / F.greatest(ratio, d(s.eps))))
+    rows = rows.withColumn("_scale", scale)
+    rows = rows.withColumn("removed_energy_ratio", ratio * F.col("_scale") * F.col("_scale"))
+    used = clip(F.col("removed_energy_ratio") / d(s.max_removed_ratio), 0.0, 1.0)
+    residual = c.minus(near_bin(), c.scaled(cx("cancelled"), F.col("_scale")))
+    return rows.select(
+        *[n for n in rows.columns if not n.startswith(("_", "cancelled"))],
+        residual.re.alias("residual_re"),
+        residual.im.alias("residual_im"),
+        clip(F.col("coherence") * (d(1.0) - used), 0.0, 1.0).alias("path_confidence"),
+    )
+
+
+def multi_view(packed: DataFrame, s: PathSettings = PathSettings()) -> DataFrame:
+    """Three views and the ten diagnostics per (clip_no, block, frame, bin)."""
+    rows = acoustic_path(packed, s)
+    near, far, residual = near_bin(), far_bin(), cx("residual")
+    phase = c.angle(c.cross(near, far))
+    return rows.select(
+        *rows.columns,
+        log_ratio(near, far, s.eps).alias("log_ratio"),
+        F.sin(phase).alias("phase_sin"),
+        F.cos(phase).alias("phase_cos"),
+        c.magnitude(cx("transfer")).alias("transfer_magnitude"),
+        (c.power(residual) / F.greatest(c.power(near), d(s.eps))).alias("view_to_near_energy_ratio"),
+    )
+
+
+def mel_maps(views: DataFrame, weights: DataFrame) -> DataFrame:
+    """The eight base maps per (clip_no, frame, mel): log power for the views, weighted means for the rest.
+
+    ``weights`` is a parameter table (mels x a few bins each), so broadcasting it is always safe; the sums per
+    frame stay inside the (clip_no, block) placement.
+    """
+    w = F.col("weight")
+    joined = views.join(F.broadcast(weights), "bin")
+    logs = {"near": near_bin(), "far": far_bin(), "residual": cx("residual")}
+    means = ("coherence", "log_ratio", "phase_sin", "phase_cos", "path_confidence")
+    total = F.greatest(F.sum(w), d(1.0e-12))
+    return joined.groupBy("clip_no", "block", "frame", "mel").agg(
+        *[F.log1p(F.sum(w * c.power(z))).alias(n) for n, z in logs.items()],
+        *[(F.sum(w * F.col(n)) / total).alias(n) for n in means],
+    )
+
+
+def band_statistics(views: DataFrame, sample_rate: int, n_fft: int) -> DataFrame:
+    """Mean coherence, gate and path confidence per clip and frequency band."""
+    hz = F.col("bin") * d(sample_rate / n_fft)
+    banded = views.withColumn("band", frequency_band(hz)).where(F.col("band").isNotNull())
+    return banded.groupBy("clip_no", "band").agg(
+        *[F.avg(n).alias(f"mean_{n}") for n in ("coherence", "gate", "path_confidence")]
+    )
+
+
+def band_summary(statistics: DataFrame) -> DataFrame:
+    return statistics.groupBy("band").agg(
+        *[F.avg(n).alias(n) for n in ("mean_coherence", "mean_gate", "mean_path_confidence")]
+    )
+
+
+def reliability_index(maps: DataFrame) -> DataFrame:
+    """Mean path confidence per clip, clipped to [0, 1]."""
+    return maps.groupBy("clip_no").agg(clip(F.avg("path_confidence"), 0.0, 1.0).alias("reliability"))
