@@ -208,7 +208,7 @@ def a03(v: Views) -> DataFrame:
     + " FROM r",
 )
 def m01(v: Views) -> DataFrame:
-    return rounded(benchmark.benchmark(small_packed(v), v.manifest).summary)
+    return rounded(benchmark.benchmark(small_packed(v), v.manifest, materialise=True).summary)
 
 
 @query(
@@ -224,7 +224,7 @@ def m01(v: Views) -> DataFrame:
     FROM ra GROUP BY clip_no, frontend""",
 )
 def a04(v: Views) -> DataFrame:
-    return rounded(frontends.energy_audit(small_packed(v), list(VIEW_SQL)))
+    return rounded(frontends.energy_audit(small_packed(v), list(VIEW_SQL), SMALL.bins))
 
 
 @query(
@@ -459,9 +459,9 @@ def a29(v: Views) -> DataFrame:
     "t04_overlap_add",
     "clips",
     f"""{path_sql()},
-    ir AS (SELECT clip_no, frame, k, sum(CASE WHEN bin = 0 OR bin = 32 THEN 1e0 ELSE 2e0 END * (rr * c - ri * s)) / 64e0 * (0.5e0 - 0.5e0 * cos(2e0 * pi() * k / 63e0)) AS x,
-        pow(0.5e0 - 0.5e0 * cos(2e0 * pi() * k / 63e0), 2) AS w FROM ap JOIN (SELECT bin, k, c, -s AS s FROM twiddle) USING (bin) GROUP BY clip_no, frame, k),
-    oa AS (SELECT i.clip_no, st0.start + k AS t, sum(x) AS x, sum(w) AS w FROM ir i JOIN starts st0 USING (clip_no, frame) GROUP BY ALL)
+    ir AS (SELECT clip_no, frame, tw.k AS k, sum(CASE WHEN bin = 0 OR bin = 32 THEN 1e0 ELSE 2e0 END * (rr * tw.c + ri * tw.s)) / 64e0 * (0.5e0 - 0.5e0 * cos(2e0 * pi() * tw.k / 63e0)) AS x,
+        pow(0.5e0 - 0.5e0 * cos(2e0 * pi() * tw.k / 63e0), 2) AS w FROM ap JOIN twiddle tw USING (bin) GROUP BY clip_no, frame, tw.k),
+    oa AS (SELECT i.clip_no, st0.start + i.k AS t, sum(x) AS x, sum(w) AS w FROM ir i JOIN starts st0 USING (clip_no, frame) GROUP BY ALL)
     SELECT c.clip_no, c.t, round(CASE WHEN w > 2.220446049250313e-16 THEN x / w ELSE c.near END, 6) + 0e0 AS value FROM clips c LEFT JOIN oa USING (clip_no, t)""",
 )
 def t04(v: Views) -> DataFrame:

@@ -213,16 +213,18 @@ def spectral_summaries(packed: DataFrame, names, s: Settings = Settings()) -> Da
     return wide.select("clip_no", "bin", F.inline(F.array(*rows)))
 
 
-def energy_audit(packed: DataFrame, names, s: Settings = Settings()) -> DataFrame:
+def energy_audit(packed: DataFrame, names, bins: int, s: Settings = Settings()) -> DataFrame:
     """Per (clip_no, frontend): median primary-view energy ratio and the fraction of cells below 0.2."""
-    from hushline.operators.ordered import quantiles
+    from hushline.operators.ordered import sized_quantiles
 
     long = prepared(packed, names, s)
     near = F.greatest(c.power(near_bin()), d(s.eps))
     ratios = F.array(
         *[F.struct(F.lit(n).alias("frontend"), (c.power(frontend(n).primary(s)) / near).alias("ratio")) for n in names]
     )
-    rows = long.select("clip_no", F.inline(ratios))
+    cells = F.col("frames") * F.col("bins")
+    rows = long.withColumn("bins", F.lit(bins)).select("clip_no", cells.alias("cells"), F.inline(ratios))
     keys = ["clip_no", "frontend"]
     below = rows.groupBy(*keys).agg(F.avg((F.col("ratio") < d(0.2)).cast("double")).alias("fraction_below_0_2"))
-    return below.join(quantiles(rows, keys, "ratio", {"median_energy_ratio": 0.5}), keys)
+    median = sized_quantiles(rows, keys, "ratio", {"median_energy_ratio": 0.5}, F.col("cells"), 1_000_000)
+    return below.join(median, keys)

@@ -215,3 +215,24 @@ def quantiles(
         ]
     )
     return result.select(*keys, *names)
+
+
+def sized_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    size: Column,
+    limit: int = ACCURACY,
+) -> DataFrame:
+    """Exact quantiles where each row knows (a bound of) its group's size.
+
+    Groups up to ``limit`` rows use the built-in aggregate, whose buffer is then bounded by ``limit``; larger
+    groups take the bracketed path of :func:`quantiles`.
+    """
+    rows = df.select(*keys, value, size.alias("_size"))
+    small = rows.where(F.col("_size") <= limit).groupBy(*keys).agg(
+        *[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probabilities.items()]
+    )
+    large = quantiles(rows.where(F.col("_size") > limit), keys, value, probabilities)
+    return small.unionByName(large)

@@ -196,15 +196,24 @@ def explode_bins(packed: DataFrame, arrays: Sequence[str] = PACKED) -> DataFrame
     return zipped.select(*rest, "bin", *[F.col(f"_z.{a}").alias(a) for a in arrays])
 
 
-def attach_bins(packed: DataFrame, per_bin: DataFrame, values: Sequence[str], keys: Sequence[str] = ("clip_no",)):
+def attach_bins(
+    packed: DataFrame,
+    per_bin: DataFrame,
+    values: Sequence[str],
+    keys: Sequence[str] = ("clip_no",),
+    clip_keys: DataFrame | None = None,
+) -> DataFrame:
     """Join values known per (keys, bin) onto the packed spectra as arrays, without moving the spectra.
 
     The values are packed per key (at most one array of bins) and repeated per block of the clip, so the
-    join runs on (clip_no, block), the placement the spectra already have.
+    join runs on (clip_no, block), the placement the spectra already have.  ``clip_keys`` maps clip_no to keys
+    that are not clip_no itself (such as the machine and section).
     """
     keys = list(keys)
     arrays = per_bin.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", *values))).alias("_a"))
-    blocks = packed.select("block", *{"clip_no": 0, **dict.fromkeys(keys)}).distinct()
+    blocks = packed.select("clip_no", "block").distinct()
+    if clip_keys is not None:
+        blocks = blocks.join(clip_keys.select("clip_no", *keys), "clip_no")
     side = blocks.join(arrays, keys).select(
         "clip_no", "block", *[F.col(f"_a.{c}").alias(c) for c in values]
     )
