@@ -129,7 +129,7 @@ def t22(v: Views) -> DataFrame:
     f"WITH {SPECTRA_SQL}, {FLOORS_SQL}, {ENHANCED_SQL}, {WAVE_SQL} SELECT clip_no, t, round(value, 6) + 0e0 AS value FROM wv",
 )
 def t22_wave(v: Views) -> DataFrame:
-    return rounded(built(v).waveform.select("clip_no", "t", "value"))
+    return rounded(safe_reference.build(v.clips, v.manifest, SMALL, S).waveform.select("clip_no", "t", "value"))
 
 
 CHAIN = f"WITH {SPECTRA_SQL}, {FLOORS_SQL}, {ENHANCED_SQL}, {WAVE_SQL}, {DIAGNOSTICS_SQL}"
