@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushline.catalog.registry import query
 from hushline.catalog.scores import roc_sql, round_all, rounded, spearman_sql
-from hushline.catalog.spectra import SMALL, small_maps
+from hushline.catalog.spectra import MELS, SMALL, small_maps
 from hushline.catalog.views import Views
 from hushline.functions.numeric import d
-from hushline.operators import acoustic_path, calibration, guards, log_mel, roc, selection, spectra, summaries
+from hushline.operators import acoustic_path, calibration, guards, log_mel, roc, spectra, summaries
 from hushline.operators import linear_model as lm
-from hushline.operators.reference_model import fit_normaliser, normalise
-from hushline.plans import failure_analysis, systems
+from hushline.plans import failure_analysis, multi_view, systems
 from hushline.schemas import GROUP, IDENTITY
+from hushline.session import checkpoint
 
 
 def clip_vectors(v: Views) -> DataFrame:
@@ -65,29 +63,10 @@ def m03(v: Views) -> DataFrame:
     return rounded(scored_by_machine(v, rows.withColumn("both", F.concat("near", gated)), "both", target=64))
 
 
-def ablation_vectors(v: Views, channels: tuple[str, ...], mels: int) -> DataFrame:
-    """One vector per frame: the channels' mel bands side by side, normalised on normal training maps."""
-    maps = small_maps(v).join(v.manifest.select("clip_no", *IDENTITY, "dataset_split"), "clip_no")
-    fit = fit_normaliser(guards.normal_train(maps, ["dev_train"]), ["machine_type"], channels)
-    scaled = normalise(maps, fit, ["machine_type"], channels)
-    rows = F.array_sort(F.collect_list(F.struct("mel", *channels)))
-    packed = scaled.groupBy("clip_no", *IDENTITY, "dataset_split", F.col("frame").alias("vec_idx")).agg(rows.alias("_m"))
-    flat = F.concat(*[F.col(f"_m.{n}") for n in channels])
-    return packed.select(*IDENTITY, "dataset_split", "vec_idx", flat.alias("x"))
-
-
 @query("m04_multi_view_scores")
 def m04(v: Views) -> DataFrame:
-    mels = 8
-    frames = {}
-    for name, channels in selection.ABLATIONS.items():
-        rows = ablation_vectors(v, channels, mels)
-        for seed in (42, 2026):
-            frames[f"{name}|{seed}"] = scored_by_machine(v, rows, "x", target=mels, seed=seed)
-    tagged = selection.tag_union(frames, "run")
-    return rounded(
-        tagged.select(F.split("run", "\\|")[0].alias("ablation"), F.split("run", "\\|")[1].cast("int").alias("seed"), *IDENTITY, "anomaly_score")
-    )
+    maps = small_maps(v).join(v.manifest.select("clip_no", *IDENTITY, "dataset_split"), "clip_no")
+    return rounded(multi_view.multi_view_scores(checkpoint(maps), MELS, (42, 2026)))
 
 
 def decided(v: Views) -> DataFrame:

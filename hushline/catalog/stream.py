@@ -19,9 +19,12 @@ WINDOWS_SQL = """w AS (SELECT stream_id, score, ts, CAST(floor(epoch(ts) / 900e0
 def event_stream(v: Views) -> DataFrame:
     """The event table as a bounded stream in the event_scores shape."""
     schema = v.table("events").schema
-    raw = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    # One file per micro-batch bounds what a stateful operator sees at once.
+    source = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1)
+    raw = source.parquet(v.sf_dir)
     return raw.select(
-        "event_id", F.col("user_id").alias("stream_id"), "ts", F.col("value").alias("score"),
+        "event_id", F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("value").alias("score"),
         (F.col("event_type") == "error").alias("is_anomaly"),
         (F.col("value") - d(100.0)).alias("near"), (d(0.5) * F.col("value") + F.col("event_id") % 7).alias("far"),
     )

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushline.catalog.registry import query
-from hushline.catalog.scores import round_all, rounded
+from hushline.catalog.scores import METRICS_CTE, round_all, rounded, scored
 from hushline.catalog.views import Views
 from hushline.functions import numeric as num
 from hushline.functions import paths
 from hushline.functions.numeric import d
 from hushline.operators import guards, joins, selection
 from hushline.schemas import GROUP, SCORE_COLUMNS, require_columns
+from hushline.session import checkpoint, new_folder
+from hushline.sources import score_files, sinks
 from hushline.sources import tables as scans
 
 REL = "SELECT *, file_id AS relative_path FROM manifest"
@@ -670,3 +672,107 @@ def fn17(v: Views) -> DataFrame:
     wide = v.vectors.select("vec_id", *[F.col(c).cast("array<double>").alias(c) for c in ("near", "neighbour")])
     gap = F.zip_with("neighbour", "near", lambda x, y: x - y)
     return rounded(wide.select("vec_id", F.aggregate(gap, d(0.0), lambda a, x: a + x).alias("total")))
+
+
+# ---- sinks, read back --------------------------------------------------------------------------
+
+
+def fresh(v: Views) -> str:
+    """A new folder in the shared place the session names (a scratch folder only where it names none)."""
+    return new_folder(v.spark, "tables")
+
+
+@query("snk1_parquet", "manifest", "SELECT file_id, clip_no, machine_type, condition FROM manifest")
+def snk1(v: Views) -> DataFrame:
+    path = fresh(v)
+    sinks.write_table(v.manifest, f"{path}/manifest")
+    return v.spark.read.schema(v.manifest.schema).parquet(f"{path}/manifest").select(
+        "file_id", "clip_no", "machine_type", "condition"
+    )
+
+
+@query(
+    "snk2_score_csv",
+    "scores_pair",
+    "SELECT file_id, condition, round(score_candidate, 6) + 0e0 AS anomaly_score, 'fixture_candidate' AS model_id FROM scores_pair WHERE dataset_split = 'dev_test'",
+)
+def snk2(v: Views) -> DataFrame:
+    path = fresh(v)
+    sinks.write_scores(v.score_table("candidate"), f"{path}/scores")
+    return rounded(scans.read_scores(v.spark, f"{path}/scores").select("file_id", "condition", "anomaly_score", "model_id"))
+
+
+@query(
+    "snk3_metrics_json",
+    "scores_pair",
+    f"""WITH {scored()}, {METRICS_CTE} SELECT concat(machine_type, '/', section) AS "group", round(auc_all, 6) + 0e0 AS auc_all, round(pauc_target, 6) + 0e0 AS pauc_target FROM metrics""",
+)
+def snk3(v: Views) -> DataFrame:
+    from hushline.operators.roc import metric_table
+
+    path = fresh(v)
+    sinks.write_metrics_json(metric_table(v.score_table()), f"{path}/metrics", "scores.csv")
+    schema = "struct<groups: map<string, struct<auc_all: double, pauc_target: double>>, score_file: string>"
+    document = v.spark.read.text(f"{path}/metrics", wholetext=True).select(F.from_json("value", schema).alias("j"))
+    return rounded(document.select(F.explode("j.groups").alias("group", "m")).select("group", "m.auc_all", "m.pauc_target"))
+
+
+@query(
+    "snk4_official_export",
+    "scores_pair",
+    """SELECT machine_type, section, concat('clip_', file_id, '.wav') AS basename, round(score_candidate, 6) + 0e0 AS value, CAST(score_candidate > 150 AS INTEGER) AS decision
+    FROM scores_pair WHERE dataset_split = 'dev_test'""",
+)
+def snk4(v: Views) -> DataFrame:
+    path = fresh(v)
+    clip = F.concat(F.lit("audio/clip_"), "file_id", F.lit(".wav"))
+    scores = v.score_table("candidate").withColumn("decision", (F.col("anomaly_score") > 150).cast("int"))
+    rows = sinks.official_rows(scores, v.scores_pair.withColumn("relative_path", clip))
+    sinks.write_official_scores(rows, path)
+    keys = [*GROUP, "basename"]
+    decisions = sinks.read_official_scores(v.spark, path, "decision_result").withColumnRenamed("value", "decision")
+    return rounded(sinks.read_official_scores(v.spark, path).join(decisions, keys))
+
+
+@query(
+    "snk5_feature_table",
+    "vectors",
+    """SELECT CAST(vec_id AS VARCHAR) AS file_id, machine_type, CAST(1 AS BIGINT) AS vector_count, sha256(CAST(vec_id AS VARCHAR)) AS storage_key FROM vectors""",
+)
+def snk5(v: Views) -> DataFrame:
+    path = fresh(v)
+    rows = v.vectors.select(F.col("vec_id").cast("string").alias("file_id"), "machine_type", F.col("near").alias("values"))
+    sinks.write_features(rows, ["file_id", "machine_type"], path)
+    return v.spark.read.parquet(f"{path}/index")
+
+
+@query(
+    "src4_score_directory",
+    "scores_pair",
+    """SELECT concat('M', substr(machine_type, 2, 1)) AS machine_type, section, file_id AS basename, round(score_reference, 6) + 0e0 AS anomaly_score
+    FROM scores_pair WHERE dataset_split = 'dev_test' AND machine_type NOT LIKE '%Emu'""",
+)
+def src4(v: Views) -> DataFrame:
+    path = fresh(v)
+    real = v.score_table().where(~F.col("machine_type").endswith("Emu"))
+    # One text file per group cannot be named by Spark, so each group's folder carries the file name.
+    for machine, section in [tuple(r) for r in real.select(*GROUP).distinct().collect()]:
+        part = real.where((F.col("machine_type") == machine) & (F.col("section") == section))
+        lines = part.select(F.concat_ws(",", "file_id", F.col("anomaly_score").cast("string")).alias("value"))
+        lines.write.text(f"{path}/anomaly_score_DCASE2026T2{machine}_{section}_test_seed1.csv")
+    return rounded(score_files.read_score_directories(v.spark, path))
+
+
+@query(
+    "q06_checksum_audit",
+    "scores_pair",
+    """SELECT 'ok' AS status, CAST(count(DISTINCT machine_type) AS BIGINT) AS machines FROM scores_pair""",
+)
+def q06(v: Views) -> DataFrame:
+    path = fresh(v)
+    v.score_table().select("machine_type", "file_id", "anomaly_score").write.partitionBy("machine_type").csv(f"{path}/scores")
+    digests = score_files.file_digests(v.spark, f"{path}/scores", "*.csv", with_path=True)
+    expected = checkpoint(digests)
+    audit = score_files.checksum_audit(score_files.file_digests(v.spark, f"{path}/scores", "*.csv", with_path=True), expected)
+    machine = F.regexp_extract("file_name", "machine_type=([^/]+)/", 1)
+    return audit.withColumn("machine", machine).groupBy("status").agg(F.countDistinct("machine").alias("machines"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,13 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "hushline
     return spark
 
 
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the shared place the session names; scratch space only where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = shared or tempfile.mkdtemp(prefix="hushline-")
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df):
     """Cut lineage with a reliable checkpoint in the folder the session names.
 

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-AVERAGE_OUTPUT = "stream_id long, event_id long, ts timestamp_ntz, coherence double, restarted boolean"
+AVERAGE_OUTPUT = "stream_id long, event_id long, ts timestamp, coherence double, restarted boolean"
 AVERAGE_STATE = "last_us long, cross double, near double, far double"
-ALARM_OUTPUT = "stream_id long, event_id long, ts timestamp_ntz, alarm int"
+ALARM_OUTPUT = "stream_id long, event_id long, ts timestamp, alarm int"
 ALARM_STATE = "alarm int"
 
 

@@ -6,15 +6,13 @@ Event times are TIMESTAMP_NTZ or TIMESTAMP columns; per-stream order is (ts, eve
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hushline.functions.numeric import d
 from hushline.operators.ordered import ordered_positions
+from hushline.session import new_folder
 
 ORDER = ["ts", "event_id"]
 
@@ -31,20 +29,13 @@ def window_scores(events: DataFrame, size: str = "1 second", hop: str = "250 mil
                       "window_score", "events")
 
 
-def _run_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a scratch folder only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="hushline-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a bounded stream to completion into a Parquet folder and read the folder back.
 
     Append mode: a window is written once, after the watermark has passed its end.
     """
     spark = stream.sparkSession
-    target = folder or _run_folder(spark)
+    target = folder or new_folder(spark, "stream")
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{target}/data")
