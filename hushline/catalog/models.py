@@ -14,7 +14,7 @@ from hushline.operators import acoustic_path, calibration, guards, log_mel, roc,
 from hushline.operators import linear_model as lm
 from hushline.plans import failure_analysis, multi_view, systems
 from hushline.schemas import GROUP, IDENTITY
-from hushline.session import checkpoint
+from hushline.session import stored
 
 
 def clip_vectors(v: Views) -> DataFrame:
@@ -66,7 +66,7 @@ def m03(v: Views) -> DataFrame:
 @query("m04_multi_view_scores")
 def m04(v: Views) -> DataFrame:
     maps = small_maps(v).join(v.manifest.select("clip_no", *IDENTITY, "dataset_split"), "clip_no")
-    return rounded(multi_view.multi_view_scores(checkpoint(maps), MELS, (42, 2026)))
+    return rounded(multi_view.multi_view_scores(stored(maps), MELS, (42, 2026)))
 
 
 def decided(v: Views) -> DataFrame:

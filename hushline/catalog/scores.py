@@ -11,6 +11,7 @@ from hushline.functions.numeric import d, r6
 from hushline.operators import bootstrap, correlation, joins, roc, summaries
 from hushline.operators.ordered import running_sums
 from hushline.schemas import GROUP, IDENTITY
+from hushline.session import stored
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -279,12 +280,12 @@ CORRELATION_SQL = f"""WITH {PER_CLIP},
 
 @query("a24_spearman", "scores_pair", CORRELATION_SQL)
 def a24(v: Views) -> DataFrame:
-    return rounded(correlation.correlation_table(per_clip(v)).drop("two_sided_p_value"))
+    return rounded(correlation.correlation_table(stored(per_clip(v))).drop("two_sided_p_value"))
 
 
 @query("a24_spearman_p_values")
 def a24_p(v: Views) -> DataFrame:
-    return rounded(correlation.correlation_table(per_clip(v)))
+    return rounded(correlation.correlation_table(stored(per_clip(v))))
 
 
 STRATA_SQL = """st AS (SELECT machine_type, section, domain, condition, count(*) AS clips, avg(score_delta) AS score_delta_mean,

@@ -15,7 +15,7 @@ from hushline.functions import paths
 from hushline.functions.numeric import d
 from hushline.operators import guards, joins, selection
 from hushline.schemas import GROUP, SCORE_COLUMNS, require_columns
-from hushline.session import checkpoint, new_folder
+from hushline.session import new_folder, stored
 from hushline.sources import score_files, sinks
 from hushline.sources import tables as scans
 
@@ -772,7 +772,7 @@ def q06(v: Views) -> DataFrame:
     path = fresh(v)
     v.score_table().select("machine_type", "file_id", "anomaly_score").write.partitionBy("machine_type").csv(f"{path}/scores")
     digests = score_files.file_digests(v.spark, f"{path}/scores", "*.csv", with_path=True)
-    expected = checkpoint(digests)
+    expected = stored(digests)
     audit = score_files.checksum_audit(score_files.file_digests(v.spark, f"{path}/scores", "*.csv", with_path=True), expected)
     machine = F.regexp_extract("file_name", "machine_type=([^/]+)/", 1)
     return audit.withColumn("machine", machine).groupBy("status").agg(F.countDistinct("machine").alias("machines"))

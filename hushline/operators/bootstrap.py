@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushline.operators.ordered import hashed_positions
-from hushline.operators.roc import roc_areas
+from hushline.operators.ordered import hashed_positions, with_range_bucket
+from hushline.operators.roc import area_table, bucketed_points
 from hushline.schemas import GROUP
 
 STRATUM = [*GROUP, "condition"]
@@ -37,16 +37,24 @@ def resampled_areas(paired: DataFrame, iterations: int, seed: int) -> DataFrame:
     weights = draw_counts(placed, iterations, seed)
     sides = F.array(
         *[
-            F.struct(F.lit(s).alias("side"), F.col(f"anomaly_score_{s}").alias("anomaly_score"))
+            F.struct(F.lit(s).alias("side"), F.col(f"anomaly_score_{s}").alias("score"))
             for s in ("reference", "candidate")
         ]
     )
-    base = placed.select(*STRATUM, "pos", "anomaly_score_reference", "anomaly_score_candidate")
-    sampled = weights.join(base, [*STRATUM, "pos"]).select(
-        "iteration", *STRATUM, "weight", F.inline(sides)
+    # The order of the scores is the same in every iteration, so the value ranges are found once per row and
+    # travel with it; only counts change per iteration.
+    rows = placed.select(*STRATUM, "pos", F.inline(sides))
+    rows = with_range_bucket(rows, "score").groupBy(*STRATUM, "pos").agg(
+        F.collect_list(F.struct("side", "score", "bucket")).alias("sides")
     )
-    balance = paired.select(F.explode(F.array("anomaly_score_reference", "anomaly_score_candidate")).alias("score"))
-    return roc_areas(sampled, ["iteration", "side", *GROUP], weight=F.col("weight"), balance_on=balance)
+    sampled = weights.join(rows, [*STRATUM, "pos"]).select("iteration", *STRATUM, "weight", F.inline("sides"))
+    keys = ["iteration", "side", *GROUP]
+    anomaly = F.col("condition") == "anomaly"
+    cells = sampled.groupBy(*keys, "bucket", "score").agg(
+        F.sum(F.when(anomaly, F.col("weight")).otherwise(0)).alias("pos"),
+        F.sum(F.when(anomaly, 0).otherwise(F.col("weight"))).alias("neg"),
+    )
+    return area_table(bucketed_points(cells, keys), keys)
 
 
 def iteration_deltas(areas: DataFrame) -> DataFrame:

@@ -43,6 +43,12 @@ def range_bucket(value: str, bounds: str, buckets: int = BUCKETS) -> Column:
     )
 
 
+def with_range_bucket(df: DataFrame, value: str, balance_on: DataFrame | None = None, name: str = "bucket") -> DataFrame:
+    """Add the value-range index of ``value``, with cut points from ``balance_on`` (default: the rows themselves)."""
+    cut = df.withColumn("_cuts", range_bounds(df if balance_on is None else balance_on, value))
+    return cut.withColumn(name, range_bucket(value, "_cuts")).drop("_cuts")
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -101,9 +107,7 @@ def running_sums(
 
     ``balance_on`` may name a cheaper table with the same value column for the cut points.
     """
-    source = cells if balance_on is None else balance_on
-    cut = cells.withColumn("_cuts", range_bounds(source, value))
-    cut = cut.withColumn("_bucket", range_bucket(value, "_cuts")).drop("_cuts")
+    cut = with_range_bucket(cells, value, balance_on, "_bucket")
     first = F.col(value).desc() if descending else F.col(value).asc()
     order = [first, *[F.col(c).asc() for c in tie_breakers]]
     return prefix_sums(cut, keys, "_bucket", order, sums, descending).drop("_bucket")

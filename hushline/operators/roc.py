@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushline.functions.numeric import d
-from hushline.operators.ordered import running_sums
+from hushline.operators.ordered import prefix_sums, with_range_bucket
 from hushline.schemas import GROUP
 
 MAX_FPR = 0.1
@@ -27,17 +27,10 @@ def score_cells(
     )
 
 
-def roc_points(
-    cells: DataFrame, keys: Sequence[str], balance_on: DataFrame | None = None
-) -> DataFrame:
-    """Cumulative counts at each distinct score, highest first, with the counts of the step before."""
-    run = running_sums(
-        cells,
-        keys,
-        "score",
-        {"pos": F.col("pos"), "neg": F.col("neg")},
-        descending=True,
-        balance_on=balance_on,
+def bucketed_points(cells: DataFrame, keys: Sequence[str], bucket: str = "bucket") -> DataFrame:
+    """Rates at each distinct score and at the step before, highest score first, from bucketed cells."""
+    run = prefix_sums(
+        cells, keys, bucket, [F.col("score").desc()], {"pos": F.col("pos"), "neg": F.col("neg")}, descending=True
     )
     rate = lambda count, total: F.when(F.col(total) > 0, count / F.col(total))
     return run.select(
@@ -52,6 +45,11 @@ def roc_points(
     )
 
 
+def roc_points(cells: DataFrame, keys: Sequence[str], balance_on: DataFrame | None = None) -> DataFrame:
+    """The curve's points of plain (keys, score) cells; ``balance_on`` may be a cheaper table for the cut points."""
+    return bucketed_points(with_range_bucket(cells, "score", balance_on), keys)
+
+
 def roc_curve(scores: DataFrame, keys: Sequence[str], score: str = "anomaly_score") -> DataFrame:
     """Points of the curve with (0, 0) first; ``score`` is NULL on that first point."""
     points = roc_points(score_cells(scores, keys, score), keys).select(*keys, "score", "fpr", "tpr")
@@ -113,7 +111,8 @@ def metric_table(
     keys = [*extra_keys, *GROUP]
     scoped = scores.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("domain"))))
     scoped = scoped.where(F.col("scope").isin(*SCOPES))
-    areas = roc_areas(scoped, [*keys, "scope"], score, weight)
+    # Cut points only balance the work, so they come from the score column alone, before any grouping.
+    areas = roc_areas(scoped, [*keys, "scope"], score, weight, scores.select(F.col(score).alias("score")))
     pick = lambda value, scope: F.max(F.when(F.col("scope") == scope, F.col(value)))
     return areas.groupBy(*keys).agg(
         *[pick("auc", s).alias(f"auc_{s}") for s in SCOPES],

@@ -13,7 +13,7 @@ from hushline.functions.complexes import cx
 from hushline.functions.numeric import EPS, clip, d, decibels, risk_score
 from hushline.operators import spectra
 from hushline.operators.frontends import far_bin, near_bin
-from hushline.operators.ordered import quantiles, sized_quantiles
+from hushline.operators.ordered import ACCURACY, quantiles, sized_quantiles
 from hushline.operators.spectra import BLOCK, PACKED, Stft
 from hushline.schemas import GROUP
 
@@ -97,16 +97,26 @@ def clip_diagnostics(
     both = packed.select(*spectra.FRAME_KEYS, "frames", *PACKED).join(
         enhanced.drop("frames"), spectra.FRAME_KEYS
     )
-    floors = power_floors(both, ("near", "far", "enh"), s)
     long = spectra.explode_bins(both, [*PACKED, *ENHANCED])
     cross = c.cross(near_bin(), far_bin())
-    near_size, enhanced_size = c.magnitude(near_bin()), c.magnitude(cx("enh"))
-    per_bin = long.groupBy("clip_no", "bin").agg(
+    powers = {"near": c.power(near_bin()), "far": c.power(far_bin()), "enh": c.power(cx("enh"))}
+    near_size, enhanced_size = F.sqrt(powers["near"]), F.sqrt(powers["enh"])
+    means = [
         F.avg(cross.re).alias("x_re"), F.avg(cross.im).alias("x_im"),
-        F.avg(c.power(near_bin())).alias("nn"), F.avg(c.power(far_bin())).alias("ff"),
+        F.avg(powers["near"]).alias("nn"), F.avg(powers["far"]).alias("ff"),
         F.sum(F.abs(enhanced_size - near_size)).alias("moved"), F.sum(near_size).alias("size"),
+    ]
+    # Usual clips: floors and means in one aggregation (its buffers hold at most ACCURACY frames per bin).
+    q = F.lit(s.noise_quantile)
+    short = long.where(F.col("frames") <= ACCURACY).groupBy("clip_no", "bin").agg(
+        *means, *[F.percentile(p, q).alias(f"{ch}_floor") for ch, p in powers.items()]
     )
-    rows = per_bin.join(floors, ["clip_no", "bin"]).join(manifest.select("clip_no", *GROUP), "clip_no")
+    # Very long clips: the same numbers with bracketed floors.
+    lengthy = both.where(F.col("frames") > ACCURACY)
+    floors = power_floors(lengthy, ("near", "far", "enh"), s)
+    long_means = spectra.explode_bins(lengthy, [*PACKED, *ENHANCED]).groupBy("clip_no", "bin").agg(*means)
+    per_bin = short.unionByName(long_means.join(floors, ["clip_no", "bin"]))
+    rows = per_bin.join(manifest.select("clip_no", *GROUP), "clip_no")
     rows = rows.join(transfer, [*GROUP, "bin"])
     floor = lambda value: F.greatest(value, d(s.eps))
     coherence = clip(c.power(cx("x")) / floor(F.col("nn") * F.col("ff")), 0.0, 1.0)

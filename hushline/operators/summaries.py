@@ -71,14 +71,21 @@ def group_official_scores(metrics: DataFrame, keys: Sequence[str] = ("system",))
     return stacked_components(metrics, keys).groupBy(*keys).agg(harmonic(F.col("value")).alias("group_score"))
 
 
+def inverse_components() -> tuple[Column, Column]:
+    """Sum of the inverse floored components of a metric row, and how many of them are defined."""
+    value = lambda c: F.when(F.col(c).isNotNull(), d(1.0) / F.greatest(F.col(c), d(FLOAT_EPS))).otherwise(d(0.0))
+    inverse = sum((value(c) for c in OFFICIAL_COMPONENTS), d(0.0))
+    counted = sum((F.col(c).isNotNull().cast("int") for c in OFFICIAL_COMPONENTS), F.lit(0))
+    return inverse, counted
+
+
 def development_summary(metrics: DataFrame, keys: Sequence[str] = ("system",)) -> DataFrame:
     """Official score over all groups plus macro AUC and pAUC per system.
 
     The components are floored and inverted per group first, so one pass over the metric table serves
     both the harmonic and the arithmetic means.
     """
-    inverse = sum((d(1.0) / F.greatest(F.col(c), d(FLOAT_EPS)) for c in OFFICIAL_COMPONENTS), d(0.0))
-    counted = sum((F.col(c).isNotNull().cast("int") for c in OFFICIAL_COMPONENTS), F.lit(0))
+    inverse, counted = inverse_components()
     return metrics.groupBy(*keys).agg(
         (F.sum(counted) / F.sum(inverse)).alias("official_score"),
         F.avg("auc_all").alias("mean_auc_all"),
@@ -95,24 +102,25 @@ def development_gate(
     minimum_harm_reduction: float = 0.5,
 ) -> DataFrame:
     """One row: harm counts against near, harm reduction, worst group, accepted groups, verdict."""
-    score = lambda system: F.max(F.when(F.col("system") == system, F.col("group_score")))
-    per_group = group_official_scores(metrics).groupBy(*GROUP).agg(
-        score("near").alias("near"),
-        score("unconditional_refsub").alias("unconditional"),
-        score("safe_ref").alias("safe"),
+    # One row per group with each system's component count and inverse sum; the group scores, the harm counts and
+    # the official scores all come from this one table.
+    inverse, counted = inverse_components()
+    pick = lambda s, value: F.max(F.when(F.col("system") == s, value))
+    short = {"near": "near", "unconditional": "unconditional_refsub", "safe": "safe_ref"}
+    per_group = metrics.groupBy(*GROUP).agg(
+        *[pick(system, inverse).alias(f"{n}_inverse") for n, system in short.items()],
+        *[pick(system, counted).alias(f"{n}_count") for n, system in short.items()],
     )
-    harmed = lambda c: F.count_if(F.col(c) - F.col("near") < d(-harm_margin))
-    harms = per_group.agg(
+    group = {n: F.col(f"{n}_count") / F.col(f"{n}_inverse") for n in short}
+    harmed = lambda n: F.count_if(group[n] - group["near"] < d(-harm_margin))
+    overall = lambda n: F.sum(f"{n}_count") / F.sum(f"{n}_inverse")
+    measured = per_group.agg(
+        overall("near").alias("near_official_score"),
+        overall("unconditional").alias("unconditional_official_score"),
+        overall("safe").alias("safe_ref_official_score"),
         harmed("unconditional").alias("unconditional_harm_events"),
         harmed("safe").alias("safe_ref_harm_events"),
-        F.min(F.col("safe") - F.col("near")).alias("minimum_machine_delta"),
-        F.lit(1).alias("_one"),
-    )
-    official = lambda s: F.max(F.when(F.col("system") == s, F.col("official_score")))
-    overall = development_summary(metrics).agg(
-        official("near").alias("near_official_score"),
-        official("unconditional_refsub").alias("unconditional_official_score"),
-        official("safe_ref").alias("safe_ref_official_score"),
+        F.min(group["safe"] - group["near"]).alias("minimum_machine_delta"),
         F.lit(1).alias("_one"),
     )
     verdicts = decisions.agg(
@@ -120,7 +128,7 @@ def development_gate(
         F.count_if(F.col("decision") == "near").alias("rejected_groups"),
         F.lit(1).alias("_one"),
     )
-    row = overall.join(harms, "_one").join(verdicts, "_one").drop("_one")
+    row = measured.join(verdicts, "_one").drop("_one")
     before, after = F.col("unconditional_harm_events"), F.col("safe_ref_harm_events")
     row = row.withColumn("safe_ref_delta", F.col("safe_ref_official_score") - F.col("near_official_score"))
     row = row.withColumn("harm_reduction", F.when(before > 0, (before - after) / before).otherwise(d(0.0)))

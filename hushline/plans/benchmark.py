@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hushline.operators import acoustic_path, frontends, guards, roc, summaries
 from hushline.operators.reference_model import fit_reference, reference_scores
 from hushline.schemas import IDENTITY
-from hushline.session import checkpoint
+from hushline.session import stored
 
 MODEL_KEYS = ["machine_type", "frontend", "view", "bin"]
 VALUES = ["mean", "std"]
@@ -40,15 +40,17 @@ def benchmark(
 ) -> Benchmark:
     """Scores, metric table and category summary.
 
-    The clip summaries are the only thing kept of the spectra.  With ``materialise`` they are checkpointed, so
+    The clip summaries are the only thing kept of the spectra.  With ``materialise`` they are stored, so
     that the fit, the scores and the metrics read them instead of repeating the transforms.
     """
     for name in names:
         frontends.frontend(name)
     clip_summaries = frontends.spectral_summaries(packed, names, settings)
     if materialise:
-        clip_summaries = checkpoint(clip_summaries)
+        clip_summaries = stored(clip_summaries)
     scores = scored_summaries(clip_summaries, manifest)
+    if materialise:
+        scores = stored(scores)
     metrics = roc.metric_table(scores, ["frontend"])
     return Benchmark(scores, metrics, summaries.category_summary(metrics, ["frontend"]))
 

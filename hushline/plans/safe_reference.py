@@ -11,7 +11,7 @@ from hushline.operators import subtraction as sub
 from hushline.operators.spectra import Stft
 from hushline.operators.subtraction import SubtractionSettings
 from hushline.schemas import GROUP, ContractError
-from hushline.session import checkpoint
+from hushline.session import stored
 
 
 class SafeReference(NamedTuple):
@@ -33,8 +33,8 @@ def build(
     """Two dependent passes over the clips.
 
     Pass one reduces training clips to floors and one transfer row per (machine, section, bin); pass two
-    subtracts, inverts and diagnoses every clip.  With ``materialise`` the two small hand-over tables (transfer
-    and diagnostics) are checkpointed, so later steps never repeat the transforms.
+    subtracts, inverts and diagnoses every clip.  With ``materialise`` the hand-over tables (transfer, the enhanced
+    waveform, diagnostics) are stored, so later steps never repeat the transforms; spectra are never stored.
     """
     train = guards.normal_train(manifest)
     if check_groups and guards.untrained_groups(guards.test_rows(manifest), train).limit(1).count():
@@ -43,13 +43,15 @@ def build(
     training = packed.join(train.select("clip_no"), "clip_no", "left_semi")
     transfer = sub.noise_transfer(sub.power_floors(training, ("near", "far"), settings), train, settings)
     if materialise:
-        transfer = checkpoint(transfer)
+        transfer = stored(transfer)
     shaped = sub.with_group_transfer(packed, transfer, manifest)
     waveform = sub.enhanced_waveform(shaped, convention, settings)
+    if materialise:
+        waveform = stored(waveform)
     enhanced = sub.enhanced_spectra(waveform, convention, settings.block)
     diagnostics = sub.clip_diagnostics(packed, enhanced, transfer, manifest, settings)
     diagnostics = diagnostics.join(manifest.select("clip_no", "file_id", *GROUP, "dataset_split", "condition"), "clip_no")
     if materialise:
-        diagnostics = checkpoint(diagnostics)
+        diagnostics = stored(diagnostics)
     profiles = sub.group_profiles(guards.normal_train(diagnostics), settings)
     return SafeReference(packed, transfer, waveform, diagnostics, profiles)

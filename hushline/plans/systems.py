@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hushline.operators import bootstrap, guards, joins, roc, summaries
 from hushline.operators import linear_model as lm
 from hushline.schemas import GROUP, IDENTITY, SCORE_COLUMNS
-from hushline.session import checkpoint
+from hushline.session import stored
 
 FIT = ["seed", "view", *GROUP]
 VIEWS = ("near", "refsub")
@@ -66,7 +66,7 @@ def run_systems(
     """Test scores per seed and system, and the 0.99 training quantile per seed, group and system."""
     by_view = view_scores(vectors, seeds, train_splits, test_splits)
     if materialise:
-        by_view = checkpoint(by_view)
+        by_view = stored(by_view)
     pick = lambda v: F.max(F.when(F.col("view") == v, F.col("anomaly_score"))).alias(f"{v}_score")
     wide = by_view.groupBy("seed", *IDENTITY, "dataset_split").agg(*[pick(v) for v in VIEWS])
     fan = joins.system_scores(wide, decisions)
@@ -100,10 +100,10 @@ def development_run(
     run = run_systems(vectors, decisions, seeds, ["dev_train"], ["dev_test"], materialise)
     scores = ensemble(run.scores, len(seeds), experiment_id)
     if materialise:
-        scores = checkpoint(scores)
+        scores = stored(scores)
     metrics = roc.metric_table(scores, ["system"])
     if materialise:
-        metrics = checkpoint(metrics)
+        metrics = stored(metrics)
     side = lambda s: scores.where(F.col("system") == s).select(*SCORE_COLUMNS)
     compared = [
         bootstrap.paired_bootstrap(joins.paired_scores(side("near"), side(s)), iterations, bootstrap_seed).withColumn(
