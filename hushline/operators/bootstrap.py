@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushline.operators.ordered import hashed_positions, with_range_bucket
 from hushline.operators.roc import area_table, bucketed_points
 from hushline.schemas import GROUP
+from hushline.session import stored
 
 STRATUM = [*GROUP, "condition"]
 
@@ -34,7 +35,6 @@ def draw_counts(rows: DataFrame, iterations: int, seed: int) -> DataFrame:
 def resampled_areas(paired: DataFrame, iterations: int, seed: int) -> DataFrame:
     """AUC and pAUC per iteration, side and group of the resampled rows."""
     placed = hashed_positions(paired, STRATUM, F.col("file_id"))
-    weights = draw_counts(placed, iterations, seed)
     sides = F.array(
         *[
             F.struct(F.lit(s).alias("side"), F.col(f"anomaly_score_{s}").alias("score"))
@@ -43,11 +43,18 @@ def resampled_areas(paired: DataFrame, iterations: int, seed: int) -> DataFrame:
     )
     # The order of the scores is the same in every iteration, so the value ranges are found once per row and
     # travel with it; only counts change per iteration.
-    rows = placed.select(*STRATUM, "pos", F.inline(sides))
-    rows = with_range_bucket(rows, "score").groupBy(*STRATUM, "pos").agg(
+    rows = with_range_bucket(placed.select(*STRATUM, "pos", "pos_count", F.inline(sides)), "score")
+    rows = rows.groupBy(*STRATUM, "pos", "pos_count").agg(
         F.collect_list(F.struct("side", "score", "bucket")).alias("sides")
     )
-    sampled = weights.join(rows, [*STRATUM, "pos"]).select("iteration", *STRATUM, "weight", F.inline("sides"))
+    # One row per input row; the draws (iterations x rows) and the lookups both read this table.
+    rows = stored(rows, "bootstrap")
+    # Each row grows into one draw per iteration, so even a small table is spread over all cores first.
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *STRATUM, "pos")
+    weights = draw_counts(rows, iterations, seed)
+    sampled = weights.join(rows.drop("pos_count"), [*STRATUM, "pos"]).select(
+        "iteration", *STRATUM, "weight", F.inline("sides")
+    )
     keys = ["iteration", "side", *GROUP]
     anomaly = F.col("condition") == "anomaly"
     cells = sampled.groupBy(*keys, "bucket", "score").agg(

@@ -70,7 +70,11 @@ def prefix_sums(
     across = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
 
+    # The join below drops NULL keys anyway; filtering them here, before the two uses of the rows part, keeps both
+    # uses identical so that Spark runs the shuffle underneath once and reuses it.
     rows = df
+    for key in [*keys, bucket]:
+        rows = rows.where(F.col(key).isNotNull())
     for name, value in sums.items():
         rows = rows.withColumn(f"_v_{name}", value)
     totals = rows.groupBy(*keys, bucket).agg(
