@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushline.catalog.registry import query
 from hushline.catalog.scores import roc_sql, round_all, rounded, spearman_sql
-from hushline.catalog.spectra import MELS, SMALL, small_maps
+from hushline.catalog.spectra import MELS, OVERLAP_SQL, SMALL, log_mel_sql, path_sql, small_maps
 from hushline.catalog.views import Views
 from hushline.functions.numeric import d
 from hushline.operators import acoustic_path, calibration, guards, log_mel, roc, spectra, summaries
@@ -165,16 +165,16 @@ def w03(v: Views) -> DataFrame:
     return rounded(long.withColumn("dim", F.col("dim").cast("bigint")).withColumn("value", F.col("value").cast("double")), places=3)
 
 
-@query("t21_log_mel_vectors")
+@query("t21_log_mel_vectors", "clips", f"WITH {log_mel_sql('clips', 'near')} SELECT clip_no, vec_idx, 40 AS width, round(total, 4) + 0e0 AS total FROM vt WHERE vec_idx + 4 <= last")
 def t21(v: Views) -> DataFrame:
     vectors = log_mel.log_mel_vectors(v.clips, "near", 16000, 8, spectra.Stft.log_mel(64, 32))
     return rounded(
         vectors.select("clip_no", "vec_idx", F.size("values").alias("width"), F.aggregate(F.col("values").cast("array<double>"), d(0.0), lambda a, x: a + x).alias("total")),
-        places=3,
+        places=4,
     )
 
 
-@query("t23_residual_vectors")
+@query("t23_residual_vectors", "clips", f"{path_sql()}, {OVERLAP_SQL}, {log_mel_sql('rw', 'value')} SELECT clip_no, vec_idx, 40 AS width, round(total, 4) + 0e0 AS total FROM vt WHERE vec_idx + 4 <= last")
 def t23(v: Views) -> DataFrame:
     rows = acoustic_path.acoustic_path(spectra.stft(v.clips, SMALL))
     packed = spectra.pack_bins(rows, ["residual_re", "residual_im"], ["samples"])
@@ -182,7 +182,7 @@ def t23(v: Views) -> DataFrame:
     vectors = log_mel.log_mel_vectors(wave, "value", 16000, 8, spectra.Stft.log_mel(64, 32))
     return rounded(
         vectors.select("clip_no", "vec_idx", F.size("values").alias("width"), F.aggregate(F.col("values").cast("array<double>"), d(0.0), lambda a, x: a + x).alias("total")),
-        places=3,
+        places=4,
     )
 
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hushline.catalog.registry import query
 from hushline.catalog.scores import round_all, rounded
 from hushline.catalog.views import Views
-from hushline.operators import guards, spectra
+from hushline.functions.numeric import d
+from hushline.operators import guards, policy, spectra
 from hushline.operators import subtraction as sub
 from hushline.operators.spectra import Stft
 from hushline.operators.subtraction import SubtractionSettings
 from hushline.plans import safe_reference
+from hushline.schemas import GROUP
+from hushline.session import stored
 
 SMALL = Stft.reference(64, 32)
 S = SubtractionSettings()
@@ -55,7 +59,8 @@ def packed(v: Views) -> DataFrame:
 
 
 def built(v: Views) -> safe_reference.SafeReference:
-    return safe_reference.build(v.clips, v.manifest, SMALL, S, materialise=True)
+    # The bridge view derives sample positions with windows; the build reads the samples several times.
+    return safe_reference.build(stored(v.clips, "samples"), v.manifest, SMALL, S, materialise=True)
 
 
 def transfers(v: Views, rows: DataFrame) -> DataFrame:
@@ -162,12 +167,6 @@ def a16(v: Views) -> DataFrame:
       CASE WHEN pr.risk_score <= 0.5e0 AND noise_reduction_l05_db >= 1e0 THEN 'refsub' ELSE 'near' END AS decision FROM dg JOIN manifest USING (clip_no) JOIN pr USING (machine_type, section)""",
 )
 def m08(v: Views) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from hushline.functions.numeric import d
-    from hushline.operators import policy
-    from hushline.schemas import GROUP
-
     out = built(v)
     rule = v.spark.range(1).select(d(0.5).alias("risk_max"), d(1.0).alias("benefit_min_db"))
     groups = policy.decisions(out.profiles, rule).withColumnRenamed("risk_score", "group_risk")
