@@ -287,7 +287,7 @@ def w08(v: Views) -> DataFrame:
     w AS ({smooth_sql(3, 'clip_no', 'mn', 'xr xi nn ff')}) SELECT clip_no, bin, {TRANSFER_OUT} FROM w""",
 )
 def t16(v: Views) -> DataFrame:
-    return rounded(acoustic_path.static_transfer(small_packed(v), WIDE))
+    return rounded(acoustic_path.static_transfer(small_packed(v), WIDE).drop("last_block"))
 
 
 @query(
@@ -501,6 +501,6 @@ def t04(v: Views) -> DataFrame:
     vs AS (SELECT "view", file_id, condition, avg((pow((mean - mc) / ms, 2) + pow((std - sc) / ss, 2)) / 2e0) AS x FROM js JOIN fit USING (machine_type, "view", bin) WHERE dataset_split = 'dev_test' GROUP BY ALL)
     SELECT file_id, condition, round(avg(x), 4) + 0e0 AS anomaly_score FROM vs GROUP BY file_id, condition""",
 )
-def m01_care(v: Views) -> DataFrame:
-    scores = benchmark.scored_summaries(benchmark.care_summaries(small_packed(v)), v.manifest)
+def m01_path(v: Views) -> DataFrame:
+    scores = benchmark.scored_summaries(benchmark.path_summaries(small_packed(v)), v.manifest)
     return rounded(scores.select("file_id", "condition", "anomaly_score"), places=4)

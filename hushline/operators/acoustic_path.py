@@ -82,7 +82,8 @@ def _transfer_columns(df: DataFrame, s: PathSettings) -> DataFrame:
 def static_transfer(packed: DataFrame, s: PathSettings) -> DataFrame:
     """One transfer row per (clip_no, bin) from the clip's mean cross and auto power."""
     cross = c.cross(near_bin(), far_bin())
-    means = explode_bins(packed.select("clip_no", *PACKED)).groupBy("clip_no", "bin").agg(
+    means = explode_bins(packed.select("clip_no", "block", *PACKED)).groupBy("clip_no", "bin").agg(
+        F.max("block").alias("last_block"),
         F.avg(cross.re).alias("ema_re"), F.avg(cross.im).alias("ema_im"),
         F.avg(c.power(near_bin())).alias("ema_near"), F.avg(c.power(far_bin())).alias("ema_far"),
     )

@@ -109,12 +109,13 @@ def coherence_of(cross: Cx, near: Column, far: Column, eps: float) -> Column:
 def static_coherence(packed: DataFrame, s: Settings) -> DataFrame:
     """Clip-level magnitude-squared coherence per (clip_no, bin)."""
     cross = c.cross(near_bin(), far_bin())
-    means = explode_bins(packed.select("clip_no", *PACKED)).groupBy("clip_no", "bin").agg(
+    means = explode_bins(packed.select("clip_no", "block", *PACKED)).groupBy("clip_no", "bin").agg(
+        F.max("block").alias("last_block"),
         F.avg(cross.re).alias("x_re"), F.avg(cross.im).alias("x_im"),
         F.avg(c.power(near_bin())).alias("nn"), F.avg(c.power(far_bin())).alias("ff"),
     )
     value = coherence_of(cx("x"), F.col("nn"), F.col("ff"), s.eps)
-    return means.select("clip_no", "bin", value.alias("static_coherence"))
+    return means.select("clip_no", "bin", "last_block", value.alias("static_coherence"))
 
 
 def ema(spectra: DataFrame, alpha: float, block: int) -> DataFrame:

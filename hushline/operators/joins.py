@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hushline.functions import paths
 from hushline.schemas import GROUP, IDENTITY, SCORE_COLUMNS
 
+# The three system labels.
 VIEW_SYSTEMS = ("near", "unconditional_refsub", "safe_ref")
 
 

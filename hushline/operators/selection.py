@@ -19,7 +19,7 @@ BASE_CHANNELS = (
 ABLATIONS = {
     "a00_near": ("near",),
     "a01_near_far": ("near", "far"),
-    "a02_care_multiview": BASE_CHANNELS,
+    "a02_multiview": BASE_CHANNELS,
 }
 BANDS = (("0-1000Hz", 0.0, 1000.0), ("1000-4000Hz", 1000.0, 4000.0), ("4000-8000Hz", 4000.0, 8000.0))
 

@@ -207,16 +207,21 @@ def attach_bins(
 
     The values are packed per key (at most one array of bins) and repeated per block of the clip, so the
     join runs on (clip_no, block), the placement the spectra already have.  ``clip_keys`` maps clip_no to keys
-    that are not clip_no itself (such as the machine and section).
+    that are not clip_no itself (such as the machine and section); ``last_block`` in ``per_bin`` saves looking the
+    blocks up.
     """
     keys = list(keys)
-    arrays = per_bin.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", *values))).alias("_a"))
-    blocks = packed.select("clip_no", "block").distinct()
-    if clip_keys is not None:
-        blocks = blocks.join(clip_keys.select("clip_no", *keys), "clip_no")
-    side = blocks.join(arrays, keys).select(
-        "clip_no", "block", *[F.col(f"_a.{c}").alias(c) for c in values]
-    )
+    packing = [F.array_sort(F.collect_list(F.struct("bin", *values))).alias("_a")]
+    if "last_block" in per_bin.columns:
+        # The values came from these clips, so their own aggregation already knows how many blocks each has.
+        arrays = per_bin.groupBy(*keys).agg(*packing, F.max("last_block").alias("_last"))
+        side = arrays.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))))
+    else:
+        blocks = packed.select("clip_no", "block").distinct()
+        if clip_keys is not None:
+            blocks = blocks.join(clip_keys.select("clip_no", *keys), "clip_no")
+        side = blocks.join(per_bin.groupBy(*keys).agg(*packing), keys)
+    side = side.select("clip_no", "block", *[F.col(f"_a.{c}").alias(c) for c in values])
     return packed.join(side, ["clip_no", "block"])
 
 

@@ -55,8 +55,8 @@ def benchmark(
     return Benchmark(scores, metrics, summaries.category_summary(metrics, ["frontend"]))
 
 
-def care_summaries(packed: DataFrame, settings: acoustic_path.PathSettings = acoustic_path.PathSettings()) -> DataFrame:
-    """Clip summaries of the acoustic-path front-end's three views, under the front-end name 'care'."""
+def path_summaries(packed: DataFrame, settings: acoustic_path.PathSettings = acoustic_path.PathSettings()) -> DataFrame:
+    """Clip summaries of the acoustic-path front-end's three views, under the front-end name 'acoustic_path'."""
     from hushline.functions import complexes as c
 
     rows = acoustic_path.acoustic_path(packed, settings)
@@ -67,7 +67,7 @@ def care_summaries(packed: DataFrame, settings: acoustic_path.PathSettings = aco
         aggs += [F.avg(value).alias(f"{view}_m"), F.stddev_pop(value).alias(f"{view}_s")]
     wide = rows.groupBy("clip_no", "bin").agg(*aggs)
     fan = [
-        F.struct(F.lit("care").alias("frontend"), F.lit(v).alias("view"), F.col(f"{v}_m").alias("mean"), F.col(f"{v}_s").alias("std"))
+        F.struct(F.lit("acoustic_path").alias("frontend"), F.lit(v).alias("view"), F.col(f"{v}_m").alias("mean"), F.col(f"{v}_s").alias("std"))
         for v in views
     ]
     return wide.select("clip_no", "bin", F.inline(F.array(*fan)))
