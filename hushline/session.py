@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +30,16 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "hushline
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the shared place the session names; scratch space only where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = shared or tempfile.mkdtemp(prefix="hushline-")
+    """A new folder under the shared place the session names in ``spark.checkpoint.dir``.
+
+    A local session has one machine, so it may fall back on scratch space.  On a cluster the executors would write to
+    disks that nobody else reads: there a missing setting is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="hushline-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -44,3 +52,23 @@ def stored(df: DataFrame, purpose: str = "stage") -> DataFrame:
     path = f"{new_folder(df.sparkSession, purpose)}/data"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, whatever folder the job was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="hushline-code-"), "hushline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(home):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("hushline", os.path.relpath(path, home)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
