@@ -178,7 +178,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: Column, risk: Risk)
         for cut in cuts
     ]
     counts = holdout.groupBy("_stratum").agg(F.count("*").alias("_n"), *lost)
-    counts = counts.crossJoin(counts.agg(F.count("*").alias("_strata")))  # one row: the number of strata
+    counts = counts.withColumn("_strata", counts.agg(F.count("*").alias("_strata")).scalar())
     schema = T.StructType(
         [T.StructField("_stratum", T.StringType()), *[T.StructField(f"_cut_{r}", T.LongType()) for r in CUTOFFS]]
     )
