@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash
+from hushline.llm import decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, token_codec
 from hushline.llm.common import table
-
+from hushline.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_token_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    path = new_folder(spark, "huffman")
+    token_codec.write(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    return token_codec.read(spark, path, with_ids=False)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -55,6 +63,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_token_codec": op2_token_codec,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
