@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, token_codec
+from hushline.llm import decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec
 from hushline.llm.common import table
 from hushline.session import new_folder
 
@@ -23,6 +23,11 @@ def op2_token_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return token_codec.read(spark, path, with_ids=False)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -64,6 +69,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_codec": op2_token_codec,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
