@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec
+from hushline.llm import chat_tools, decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec
 from hushline.llm.common import table
 from hushline.session import new_folder
 
@@ -67,6 +67,38 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """A tool log derived from the conversations.
+
+    A user's turn is a call that comes after the call two turns before; the assistant's turn after it is the result.
+    Every fifth result is logged two turns early, every seventh limit is a text, every eleventh turn names no known tool.
+    """
+    size = F.coalesce(F.length("text"), F.lit(0))
+    call = F.to_json(F.struct(F.struct(
+        F.concat(F.lit("c"), F.col("turn")).alias("id"),
+        F.when(F.col("turn") % 11 == 10, "other").otherwise("search").alias("name"),
+        F.struct(F.col("text").alias("query"), F.when(size % 7 != 0, size).alias("limit"), F.when(size % 7 == 0, size.cast("string")).alias("depth")).alias("arguments"),
+        F.concat(F.lit("c"), F.col("turn") - 2).alias("after"),
+    ).alias("tool_call")))
+    result = F.to_json(F.struct(F.struct(F.concat(F.lit("c"), F.col("turn") - 1).alias("id"), F.col("text").alias("content")).alias("tool_result")))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    early = assistant & ((F.col("conv_id") + F.col("turn")) % 5 == 0)
+    return conversations.select(
+        "conv_id", F.when(early, F.col("turn") - 2).otherwise(F.col("turn")).alias("turn"),
+        F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(user, call).when(assistant, result).otherwise(F.col("text")).alias("text"),
+    )
+
+
+SCHEMAS = [("search", "limit", "integer", True), ("search", "query", "string", True)]
+
+
+def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.createDataFrame(SCHEMAS, "name string, arg string, type string, required boolean")
+    linked = chat_tools.link(tool_messages(table(spark, sf_dir, "conversations")), schemas)
+    return linked.withColumn("errors", F.array_join("errors", ";"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_codec": op2_token_codec,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -76,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_chat_tools": op10_chat_tools,
 }
 
 ORACLE_SQL: dict[str, str] = {}
