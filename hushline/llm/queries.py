@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import chat_tools, decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec
+from hushline.llm import chat_tools, decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
 from hushline.llm.common import table
 from hushline.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The chain's categories, in order, as conditions on the label table.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), CATEGORIES)
+
+
 def op2_token_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
@@ -100,6 +108,7 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_codec": op2_token_codec,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
