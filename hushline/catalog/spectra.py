@@ -32,8 +32,8 @@ sp AS MATERIALIZED (SELECT clip_no, frame, bin, sum(near * c) AS nr, sum(near *
   FROM smp JOIN twiddle USING (k) GROUP BY clip_no, frame, bin)"""
 
 
-def small_packed(v: Views) -> DataFrame:
-    return spectra.stft(v.clips, SMALL)
+def small_packed(v: Views, block: int = spectra.BLOCK) -> DataFrame:
+    return spectra.stft(v.clips, SMALL, block)
 
 
 @query(
@@ -152,6 +152,28 @@ def w06(v: Views) -> DataFrame:
     return rounded(rows.select("clip_no", "frame", "bin", F.col("re").alias("error_re"), F.col("im").alias("error_im"), "adaptive_gain"))
 
 
+# The same recurrences with a nearly memoryless average and a step beyond one, over clips cut into blocks of four frames.
+@query(
+    "w05_small_alpha",
+    "clips",
+    f"WITH RECURSIVE {FRAMES_SQL}, {EMA_SQL.replace('0.95e0', '0.04e0').replace('0.05e0', '0.96e0')} SELECT clip_no, frame, bin, round(greatest(0e0, least(1e0, (xr*xr + xi*xi) / (nn*ff + 1e-8))), 6) + 0e0 AS coherence FROM em",
+)
+def w05_small(v: Views) -> DataFrame:
+    settings = frontends.Settings(coherence_alpha=0.04, block=4)
+    long = frontends.causal_coherence(spectra.explode_bins(small_packed(v, 4)), settings)
+    return rounded(long.select("clip_no", "frame", "bin", "coherence"))
+
+
+@query(
+    "w06_large_step",
+    "clips",
+    f"WITH RECURSIVE {FRAMES_SQL}, {ADAPTIVE_SQL.replace('0.05e0', '1.2e0')} SELECT clip_no, frame, bin, round(er, 6) + 0e0 AS error_re, round(ei, 6) + 0e0 AS error_im, round(wr*wr + wi*wi, 6) + 0e0 AS adaptive_gain FROM ad",
+)
+def w06_large(v: Views) -> DataFrame:
+    rows = frontends.apply(small_packed(v, 4), "adaptive_filter", frontends.Settings(adaptive_step=1.2, block=4))
+    return rounded(rows.select("clip_no", "frame", "bin", F.col("re").alias("error_re"), F.col("im").alias("error_im"), "adaptive_gain"))
+
+
 # Mean and deviation of log1p magnitude for all ten front-ends.
 ALL_VIEWS = " UNION ALL ".join(
     f"SELECT clip_no, bin, '{n}' AS frontend, \"view\", ln(1e0 + sqrt(re*re + im*im)) AS x FROM ({frontend_sql(n)})" for n in VIEW_SQL

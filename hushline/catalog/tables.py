@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hushline.catalog.registry import query
 from hushline.catalog.scores import METRICS_CTE, round_all, rounded, scored
@@ -150,19 +151,24 @@ def p05(v: Views) -> DataFrame:
 @query(
     "p06_ablation_channels",
     "dims",
-    """WITH c AS (SELECT vec_id, dim, near, residual AS far, residual - near AS residual FROM dims)
+    """WITH c AS (SELECT vec_id, dim, near, residual AS far, residual - near AS residual FROM dims),
+    m AS (SELECT vec_id, dim, near, far, residual, near + far AS coherence, near - far AS log_ratio, near * 2e0 AS phase_sin, far * 2e0 AS phase_cos, near * far AS path_confidence FROM c)
     SELECT ablation, channel, count(*) AS cells, round(sum(value), 6) + 0e0 AS total FROM (
-      SELECT 'a00_near' AS ablation, 'near' AS channel, near AS value FROM c
-      UNION ALL SELECT 'a01_near_far', 'near', near FROM c UNION ALL SELECT 'a01_near_far', 'far', far FROM c) GROUP BY ALL""",
+      SELECT 'a00_near' AS ablation, 'near' AS channel, near AS value FROM m
+      UNION ALL SELECT 'a01_near_far', channel, value FROM (UNPIVOT m ON near, far INTO NAME channel VALUE value)
+      UNION ALL SELECT 'a02_multiview', channel, value FROM (UNPIVOT m ON near, far, residual, coherence, log_ratio, phase_sin, phase_cos, path_confidence INTO NAME channel VALUE value)) GROUP BY ALL""",
 )
 def p06(v: Views) -> DataFrame:
-    maps = v.dims.select("vec_id", "dim", "near", F.col("residual").alias("far"))
-    chosen = [n for n in selection.ABLATIONS if set(selection.ABLATIONS[n]) <= set(maps.columns)]
+    near, far = F.col("near"), F.col("residual")
+    maps = v.dims.select(
+        "vec_id", "dim", "near", far.alias("far"), (far - near).alias("residual"), (near + far).alias("coherence"), (near - far).alias("log_ratio"),
+        (near * 2.0).alias("phase_sin"), (far * 2.0).alias("phase_cos"), (near * far).alias("path_confidence"),
+    )
     frames = [
         selection.ablation_channels(maps, name, ["vec_id", "dim"])
-        .unpivot(["vec_id", "dim"], list(selection.ABLATIONS[name]), "channel", "value")
+        .unpivot(["vec_id", "dim"], list(channels), "channel", "value")
         .withColumn("ablation", F.lit(name))
-        for name in chosen
+        for name, channels in selection.ABLATIONS.items()
     ]
     stacked = reduce(DataFrame.unionByName, frames)
     return rounded(
@@ -749,30 +755,35 @@ def snk5(v: Views) -> DataFrame:
 @query(
     "src4_score_directory",
     "scores_pair",
-    """SELECT concat('M', substr(machine_type, 2, 1)) AS machine_type, section, file_id AS basename, round(score_reference, 6) + 0e0 AS anomaly_score
-    FROM scores_pair WHERE dataset_split = 'dev_test' AND machine_type NOT LIKE '%Emu'""",
+    """SELECT machine_type, section, file_id AS basename, round(score_reference, 6) + 0e0 AS anomaly_score
+    FROM scores_pair WHERE dataset_split = 'dev_test'""",
 )
 def src4(v: Views) -> DataFrame:
     path = fresh(v)
-    real = v.score_table().where(~F.col("machine_type").endswith("Emu"))
-    # One text file per group cannot be named by Spark, so each group's folder carries the file name.
-    for machine, section in [tuple(r) for r in real.select(*GROUP).distinct().collect()]:
-        part = real.where((F.col("machine_type") == machine) & (F.col("section") == section))
-        lines = part.select(F.concat_ws(",", "file_id", F.col("anomaly_score").cast("string")).alias("value"))
-        lines.write.text(f"{path}/anomaly_score_DCASE2026T2{machine}_{section}_test_seed1.csv")
+    # One write for all groups: Spark cannot name single files, so each group's folder carries the file name.
+    name = F.concat(F.lit("anomaly_score_DCASE2026T2"), "machine_type", F.lit("_"), "section", F.lit("_test_seed1.csv"))
+    lines = v.score_table().select(name.alias("file"), F.concat_ws(",", "file_id", F.col("anomaly_score").cast("string")).alias("value"))
+    lines.write.partitionBy("file").text(path)
     return rounded(score_files.read_score_directories(v.spark, path))
 
 
 @query(
     "q06_checksum_audit",
     "scores_pair",
-    """SELECT 'ok' AS status, CAST(count(DISTINCT machine_type) AS BIGINT) AS machines FROM scores_pair""",
+    """WITH m AS (SELECT DISTINCT machine_type, dense_rank() OVER (ORDER BY machine_type) AS i FROM scores_pair WHERE dataset_split = 'dev_test')
+    SELECT status, CAST(count(*) AS BIGINT) AS machines FROM (
+      SELECT CASE WHEN i = 1 THEN 'mismatch' WHEN i = 2 THEN 'unexpected' ELSE 'ok' END AS status FROM m
+      UNION ALL SELECT 'missing') GROUP BY status""",
 )
 def q06(v: Views) -> DataFrame:
+    """One machine's files were altered, one machine's files were never listed, one listed machine has no files."""
     path = fresh(v)
     v.score_table().select("machine_type", "file_id", "anomaly_score").write.partitionBy("machine_type").csv(f"{path}/scores")
-    digests = score_files.file_digests(v.spark, f"{path}/scores", "*.csv", with_path=True)
-    expected = stored(digests)
-    audit = score_files.checksum_audit(score_files.file_digests(v.spark, f"{path}/scores", "*.csv", with_path=True), expected)
+    digests = stored(score_files.file_digests(v.spark, f"{path}/scores", "*.csv", with_path=True))
     machine = F.regexp_extract("file_name", "machine_type=([^/]+)/", 1)
+    ranked = digests.select(machine.alias("machine")).distinct().withColumn("i", F.dense_rank().over(Window.orderBy("machine")))
+    listed = digests.withColumn("machine", machine).join(ranked, "machine").where("i <> 2")
+    listed = listed.select("file_name", F.when(F.col("i") == 1, F.reverse("digest")).otherwise(F.col("digest")).alias("digest"))
+    absent = v.spark.range(1).select(F.lit("machine_type=absent/part.csv").alias("file_name"), F.lit("0").alias("digest"))
+    audit = score_files.checksum_audit(digests, listed.unionByName(absent))
     return audit.withColumn("machine", machine).groupBy("status").agg(F.countDistinct("machine").alias("machines"))

@@ -123,8 +123,8 @@ def ema(spectra: DataFrame, alpha: float, block: int) -> DataFrame:
     cross = c.cross(near_bin(), far_bin())
     fresh = F.when(F.col("frame") == 0, d(1.0)).otherwise(d(1.0 - alpha))
     values = {"ema_re": cross.re, "ema_im": cross.im, "ema_near": c.power(near_bin()), "ema_far": c.power(far_bin())}
-    if alpha == 0.0:
-        return spectra.select("*", *[v.alias(n) for n, v in values.items()])
+    if not 0.0 <= alpha < 1.0:
+        raise ValueError("alpha must lie in [0, 1)")
     return recurrence(spectra, d(alpha), {n: fresh * v for n, v in values.items()}, block)
 
 
@@ -140,18 +140,13 @@ def adaptive(spectra: DataFrame, s: Settings) -> DataFrame:
 
     The update is linear in the coefficient: w' = w (1 - step |far|^2 / norm) + step conj(far) near / norm.
     """
-    if not 0.0 < s.adaptive_step < 1.0:
-        raise ValueError("adaptive_step must lie in (0, 1)")
+    if s.adaptive_step <= 0.0:
+        raise ValueError("adaptive_step must be positive")
     norm = c.power(far_bin()) + d(s.eps)
     factor = d(1.0) - d(s.adaptive_step) * c.power(far_bin()) / norm
     push = c.scaled(c.cross(near_bin(), far_bin()), d(s.adaptive_step) / norm)
-    moved = recurrence(spectra, factor, {"after_re": push.re, "after_im": push.im}, s.block)
-    # Undo this frame's update instead of looking one frame back, so no second window is needed.
-    return moved.select(
-        "*",
-        ((F.col("after_re") - push.re) / factor).alias("before_re"),
-        ((F.col("after_im") - push.im) / factor).alias("before_im"),
-    )
+    before = {"after_re": "before_re", "after_im": "before_im"}
+    return recurrence(spectra, factor, {"after_re": push.re, "after_im": push.im}, s.block, before=before)
 
 
 def prepared(packed: DataFrame, names, s: Settings = Settings(), coherence: bool = False) -> DataFrame:

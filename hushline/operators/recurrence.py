@@ -1,13 +1,13 @@
 """First-order recurrences s_n = a_n * s_(n-1) + b_n along frames, block by block.
 
-Inside a block the recurrence is a running sum: with P_n the running product of a, the state with a zero
-start is P_n * sum(b_k / P_k).  The end of each block is the only thing the next one needs, so a long clip is
-computed in parallel and only one row per block is carried forward.
+A step is an affine map of the state, and maps compose: (a2, b2) after (a1, b1) is (a2 * a1, a2 * b1 + b2).  Inside a block the
+composition of each frame with all frames before it takes log2(block) doubling rounds.  Nothing is divided, so every
+factor (zero, small, negative, above one) works at every length.  The composed map of a whole block is the only thing
+the next blocks need: one row per block is carried forward, and a long clip is computed in parallel.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -19,29 +19,24 @@ from pyspark.sql.window import Window
 from hushline.functions.numeric import d
 
 
-def block_length(smallest_factor: float, limit: int = 512) -> int:
-    """Largest block that keeps 1 / P_n inside double range for factors >= ``smallest_factor``."""
-    if not 0.0 < smallest_factor <= 1.0:
-        raise ValueError("Recurrence factors must lie in (0, 1]")
-    if smallest_factor == 1.0:
-        return limit
-    return max(1, min(limit, int(600.0 / -math.log(smallest_factor))))
-
-
 def zero_start(
-    spectra: DataFrame, factor: Column, inputs: Mapping[str, Column], keys: Sequence[str]
+    spectra: DataFrame, factor: Column, inputs: Mapping[str, Column], keys: Sequence[str], block: int
 ) -> DataFrame:
-    """Running product ``_p`` and zero-start states ``_l_<name>`` inside each block."""
+    """The composed map of each frame with its block's frames before it: ``_p`` and ``_l_<name>``."""
     inside = Window.partitionBy(*keys, "block").orderBy("frame")
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = list(inputs)
-    local = spectra.withColumn("_a", factor)
-    for n in names:
-        local = local.withColumn(f"_b_{n}", inputs[n])
-    local = local.withColumn("_p", F.exp(F.sum(F.log("_a")).over(running)))
-    return local.select(
-        *spectra.columns, "_p", *[(F.col("_p") * F.sum(F.col(f"_b_{n}") / F.col("_p")).over(running)).alias(f"_l_{n}") for n in names]
-    )
+    kept = spectra.columns
+    rows = spectra.select("*", factor.alias("_p"), *[inputs[n].alias(f"_l_{n}") for n in names])
+    step = 1
+    while step < block:
+        product = F.lag("_p", step, 1.0).over(inside)
+        earlier = {n: F.lag(f"_l_{n}", step, 0.0).over(inside) for n in names}
+        rows = rows.select(
+            *kept, (F.col("_p") * product).alias("_p"),
+            *[(F.col(f"_l_{n}") + F.col("_p") * earlier[n]).alias(f"_l_{n}") for n in names],
+        )
+        step *= 2
+    return rows
 
 
 def recurrence(
@@ -50,28 +45,37 @@ def recurrence(
     inputs: Mapping[str, Column],
     block: int,
     keys: Sequence[str] = ("clip_no", "bin"),
+    before: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add one state column per input.  ``spectra`` has clip_no, block, frame, bin and frames (clip total).
 
-    The windows partition by (keys, block), which the (clip_no, block) placement already satisfies.
+    ``before`` names columns for the state before the frame's own step.  The windows partition by (keys, block), which
+    the (clip_no, block) placement already satisfies.
     """
     keys = list(keys)
     names = list(inputs)
-    local = zero_start(spectra, factor, inputs, keys)
-    # Clips that fit one block (the usual case) drop out before any work for the carry.
-    several = zero_start(spectra.where(F.col("frames") > block), factor, inputs, keys)
-    carried = carry(several, names, keys)
-    packed = carried.groupBy("clip_no", "block").agg(
+    local = zero_start(spectra, factor, inputs, keys, block)
+    packed = carry(local, names, keys).groupBy("clip_no", "block").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*[f"_c_{n}" for n in names])))).alias("_carry")
     )
+    inside = Window.partitionBy(*keys, "block").orderBy("frame")
+    wanted = before or {}
+    if wanted:
+        local = local.select(
+            "*", F.lag("_p", 1, 1.0).over(inside).alias("_q"), *[F.lag(f"_l_{n}", 1, 0.0).over(inside).alias(f"_m_{n}") for n in wanted]
+        )
     joined = local.join(packed, ["clip_no", "block"], "left")
     start = F.try_element_at("_carry", F.col("bin"))
-    state = lambda n: F.col(f"_l_{n}") + F.col("_p") * F.coalesce(start[f"_c_{n}"], d(0.0))
-    return joined.select(*spectra.columns, *[state(n).alias(n) for n in names])
+    carried = lambda n: F.coalesce(start[f"_c_{n}"], d(0.0))
+    return joined.select(
+        *spectra.columns,
+        *[(F.col(f"_l_{n}") + F.col("_p") * carried(n)).alias(n) for n in names],
+        *[(F.col(f"_m_{n}") + F.col("_q") * carried(n)).alias(alias) for n, alias in wanted.items()],
+    )
 
 
 def carry(local: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """State each block starts from, for clips of more than one block: one row per (keys, block)."""
+    """State each block starts from: one row per (keys, block) for every block that follows another."""
     ends = local.groupBy(*keys, "block").agg(
         F.max_by(F.struct("_p", *[f"_l_{n}" for n in names]), F.col("frame")).alias("_e"),
         F.max("frame").alias("_last"),

@@ -16,9 +16,12 @@ def read_score_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_score_directories(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for score sets Spark wrote, where each named set is a folder of part files."""
+    """The same for score sets Spark wrote, where each named set is a folder of part files.
+
+    The folder is named like the file, also as the partition folder ``column=name`` of one partitioned write.
+    """
     lines = spark.read.option("recursiveFileLookup", True).text(folder)
-    parent = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    parent = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -2), r"^\w+=", "")
     return _parsed(lines.select(parent.alias("name"), "value"))
 
 

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushline.operators import acoustic_path, frontends, log_mel, spectra
-from hushline.operators.recurrence import block_length
 from hushline.operators.spectra import Stft
 
 CONV = Stft(16, 16, 8)
@@ -102,10 +101,19 @@ def test_recurrences_do_not_depend_on_the_block(spark, block):
         np.testing.assert_allclose(part["gain"].to_numpy().reshape(gain.shape), gain, atol=1e-9)
 
 
-def test_block_length_keeps_products_in_range():
-    assert block_length(0.95) == 512 and block_length(0.1) < 300 and 0.1 ** block_length(0.1) > 0.0
-    with pytest.raises(ValueError):
-        block_length(0.0)
+@pytest.mark.parametrize("alpha,step", [(0.0, 1.0), (0.05, 0.9), (0.2, 1.5)])
+def test_recurrences_take_every_factor_at_every_length(spark, alpha, step):
+    data = signals((4500,))
+    settings = frontends.Settings(coherence_alpha=alpha, adaptive_step=step, block=512)
+    packed = spectra.stft(clips(spark, data), CONV, 512)
+    long = frontends.prepared(packed, ["adaptive_filter"], settings, coherence=True)
+    z = frontends.adaptive_residual(settings)
+    rows = long.select("clip_no", "frame", "bin", "coherence", z.re.alias("re"), z.im.alias("im")).toPandas()
+    (i, (near, far)), = data.items()
+    coherence, error, _ = loop(plain(near), plain(far), alpha, step)
+    part = rows.sort_values(["frame", "bin"])
+    np.testing.assert_allclose(part["coherence"].to_numpy().reshape(coherence.shape), coherence, atol=1e-7)
+    np.testing.assert_allclose(matrices(rows, "re", "im", i), error, atol=1e-7)
 
 
 @pytest.mark.parametrize("name", ["spectral_subtraction", "wiener", "coherence_mask", "adaptive_filter", "difference"])
