@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import chat_tools, decontamination, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
+from hushline.llm import chat_tools, decontamination, line_dedup, oracles, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
 from hushline.llm.common import table
 from hushline.session import new_folder
 
@@ -122,4 +122,11 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op4_decontamination": oracles.CONTAMINATION,
+    "op7_quality_rules": oracles.quality_sql(),
+    "op8_sharding": oracles.SHARDING,
+    "op9_line_dedup": oracles.LINE_DEDUP,
+    "op10_chat_tools": oracles.CHAT_TOOLS,
+}
