@@ -54,13 +54,34 @@ PROFILE_SQL = """pf AS (SELECT machine_type, section, quantile_cont(leakage_inde
 pr AS (SELECT *, greatest(greatest(0e0, least(1e0, leakage_u95)), transfer_instability_u95 / (1e0 + transfer_instability_u95), spectral_drift_u95 / (1e0 + spectral_drift_u95)) AS risk_score FROM pf)"""
 
 
+def trained_manifest(v: Views) -> DataFrame:
+    """Clips of groups with normal training clips; the job refuses the others, which m08_refused reports."""
+    return guards.trained_only(v.manifest, guards.normal_train(v.manifest))
+
+
+def trained_clips(v: Views) -> DataFrame:
+    return v.clips.join(trained_manifest(v).select("clip_no"), "clip_no", "left_semi").select(*v.clips.columns)
+
+
+@query(
+    "m08_refused",
+    "manifest",
+    """SELECT machine_type, section, count(*) AS clips FROM manifest WHERE (machine_type, section) NOT IN
+      (SELECT (machine_type, section) FROM manifest WHERE dataset_split IN ('dev_train', 'add_train') AND condition = 'normal') GROUP BY ALL""",
+)
+def m08_refused(v: Views) -> DataFrame:
+    """Clips of groups without a noise profile, by group."""
+    missing = guards.untrained_groups(v.manifest, guards.normal_train(v.manifest))
+    return v.manifest.join(missing, GROUP).groupBy(*GROUP).agg(F.count("*").alias("clips"))
+
+
 def packed(v: Views) -> DataFrame:
     return spectra.stft(v.clips, SMALL)
 
 
 def built(v: Views) -> safe_reference.SafeReference:
     # The bridge view derives sample positions with windows; the build reads the samples several times.
-    return safe_reference.build(stored(v.clips, "samples"), v.manifest, SMALL, S, materialise=True)
+    return safe_reference.build(stored(trained_clips(v), "samples"), trained_manifest(v), SMALL, S, materialise=True)
 
 
 def transfers(v: Views, rows: DataFrame) -> DataFrame:
@@ -112,7 +133,7 @@ def a14(v: Views) -> DataFrame:
     f"WITH {SPECTRA_SQL}, {FLOORS_SQL} SELECT clip_no, frame, bin, round(h, 6) + 0e0 AS transfer_power FROM sp JOIN manifest USING (clip_no) JOIN tf USING (machine_type, section, bin)",
 )
 def j06(v: Views) -> DataFrame:
-    rows = packed(v)
+    rows = spectra.stft(trained_clips(v), SMALL)
     shaped = sub.with_group_transfer(rows, transfers(v, rows), v.manifest)
     return rounded(spectra.explode_bins(shaped, ["transfer_power"]).select("clip_no", "frame", "bin", "transfer_power"))
 
@@ -123,7 +144,7 @@ def j06(v: Views) -> DataFrame:
     f"WITH {SPECTRA_SQL}, {FLOORS_SQL}, {ENHANCED_SQL} SELECT clip_no, frame, bin, round(nr*g, 6) + 0e0 AS enh_re, round(ni*g, 6) + 0e0 AS enh_im FROM eh",
 )
 def t22(v: Views) -> DataFrame:
-    rows = packed(v)
+    rows = spectra.stft(trained_clips(v), SMALL)
     shaped = sub.with_group_transfer(rows, transfers(v, rows), v.manifest)
     return rounded(sub.subtract(shaped, S).select("clip_no", "frame", "bin", "enh_re", "enh_im"))
 
@@ -134,7 +155,7 @@ def t22(v: Views) -> DataFrame:
     f"WITH {SPECTRA_SQL}, {FLOORS_SQL}, {ENHANCED_SQL}, {WAVE_SQL} SELECT clip_no, t, round(value, 6) + 0e0 AS value FROM wv",
 )
 def t22_wave(v: Views) -> DataFrame:
-    return rounded(safe_reference.build(v.clips, v.manifest, SMALL, S).waveform.select("clip_no", "t", "value"))
+    return rounded(safe_reference.build(trained_clips(v), trained_manifest(v), SMALL, S).waveform.select("clip_no", "t", "value"))
 
 
 CHAIN = f"WITH {SPECTRA_SQL}, {FLOORS_SQL}, {ENHANCED_SQL}, {WAVE_SQL}, {DIAGNOSTICS_SQL}"

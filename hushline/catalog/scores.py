@@ -142,7 +142,7 @@ def a11(v: Views) -> DataFrame:
 def a12(v: Views) -> DataFrame:
     test = v.scores_pair.where(F.col("dataset_split") == "dev_test")
     a, b = F.col("score_reference"), F.col("score_candidate")
-    seeds = test.select(*IDENTITY, F.explode(F.array(a, b, a + d(2.0) * b)).alias("anomaly_score"))
+    seeds = test.select(*IDENTITY, F.posexplode(F.array(a, b, a + d(2.0) * b)).alias("model_id", "anomaly_score"))
     return rounded(summaries.seed_ensemble(seeds, 3, "three_seed_ensemble", "run_a"))
 
 

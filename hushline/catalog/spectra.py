@@ -36,6 +36,11 @@ def small_packed(v: Views, block: int = spectra.BLOCK) -> DataFrame:
     return spectra.stft(v.clips, SMALL, block)
 
 
+def trained_manifest(v: Views) -> DataFrame:
+    """Clips of machines with normal training clips; the jobs refuse the others, which j08 and m01_refused report."""
+    return guards.trained_only(v.manifest, guards.normal_train(v.manifest), ["machine_type"])
+
+
 @query(
     "w04_framing",
     "clips",
@@ -216,7 +221,7 @@ def a02(v: Views) -> DataFrame:
 )
 def a03(v: Views) -> DataFrame:
     # Scores reach millions where a training deviation sits at its floor: four decimals are eleven digits there.
-    return rounded(benchmark.scored_summaries(frontends.spectral_summaries(small_packed(v), list(VIEW_SQL)), v.manifest), places=4)
+    return rounded(benchmark.scored_summaries(frontends.spectral_summaries(small_packed(v), list(VIEW_SQL)), trained_manifest(v)), places=4)
 
 
 @query(
@@ -233,7 +238,19 @@ def a03(v: Views) -> DataFrame:
 )
 def m01(v: Views) -> DataFrame:
     packed = spectra.stft(stored(v.clips, "samples"), SMALL)
-    return rounded(benchmark.benchmark(packed, v.manifest, materialise=True).summary)
+    return rounded(benchmark.benchmark(packed, trained_manifest(v), materialise=True).summary)
+
+
+@query(
+    "m01_refused",
+    "manifest",
+    """SELECT machine_type, count(*) AS clips FROM manifest WHERE dataset_split IN ('dev_test', 'eval_test') AND machine_type NOT IN
+      (SELECT machine_type FROM manifest WHERE dataset_split IN ('dev_train', 'add_train') AND condition = 'normal') GROUP BY machine_type""",
+)
+def m01_refused(v: Views) -> DataFrame:
+    """Test clips that the benchmark refuses, by machine."""
+    missing = guards.untrained_groups(guards.test_rows(v.manifest), guards.normal_train(v.manifest), ["machine_type"])
+    return guards.test_rows(v.manifest).join(missing, "machine_type").groupBy("machine_type").agg(F.count("*").alias("clips"))
 
 
 @query(
@@ -524,5 +541,5 @@ def t04(v: Views) -> DataFrame:
     SELECT file_id, condition, round(avg(x), 4) + 0e0 AS anomaly_score FROM vs GROUP BY file_id, condition""",
 )
 def m01_path(v: Views) -> DataFrame:
-    scores = benchmark.scored_summaries(benchmark.path_summaries(small_packed(v)), v.manifest)
+    scores = benchmark.scored_summaries(benchmark.path_summaries(small_packed(v)), trained_manifest(v))
     return rounded(scores.select("file_id", "condition", "anomaly_score"), places=4)

@@ -138,7 +138,7 @@ def knn_scores(
     queries: DataFrame, bank: DataFrame, keys: Sequence[str], id_column: str, value: str, k: int = 5,
     bank_block: int = 4096, query_block: int = 4096,
 ) -> DataFrame:
-    """Mean distance to the k nearest bank vectors of the same group; exact.
+    """Mean distance to the k nearest bank vectors of the same group; exact; NULL for a group without bank.
 
     Both sides are cut into bounded blocks by hash.  Each task compares one query block with one bank block as a
     matrix product and emits only k distances per query, never the pairs; a last step keeps the k smallest.
@@ -178,4 +178,6 @@ def knn_scores(
     one = partial.select(*keys, id_column, F.explode("near").alias("distance"))
     # k candidates per bank block; the rank filter keeps k per query and task before the shuffle.
     rank = F.row_number().over(Window.partitionBy(*keys, id_column).orderBy("distance"))
-    return one.withColumn("_r", rank).where(F.col("_r") <= k).groupBy(*keys, id_column).agg(F.avg("distance").alias("knn_score"))
+    nearest_k = one.withColumn("_r", rank).where(F.col("_r") <= k).groupBy(*keys, id_column).agg(F.avg("distance").alias("knn_score"))
+    # A query whose group has no bank keeps its row, with no score.
+    return queries.select(*keys, id_column).distinct().join(nearest_k, [*keys, id_column], "left")

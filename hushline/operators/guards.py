@@ -44,13 +44,13 @@ def leakage_report(df: DataFrame) -> DataFrame:
 def require_label_blind(test: DataFrame) -> DataFrame:
     """Raise when evaluation rows carry labels (one counting job)."""
     if test.where(F.col("condition") != "unknown").limit(1).count():
-        raise ContractError("Evaluation rows must not carry normal/anomaly labels")
+        raise ContractError("Evaluation rows have labels, but must be unlabelled")
     return test
 
 
 def require_labelled(test: DataFrame) -> DataFrame:
     if test.where(~F.col("condition").isin("normal", "anomaly")).limit(1).count():
-        raise ContractError("Development metrics require known normal/anomaly labels")
+        raise ContractError("Metrics of development rows need a normal or anomaly label on each")
     return test
 
 
@@ -60,6 +60,17 @@ def all_finite(values: Column) -> Column:
     return (F.size(values) > 0) & ~bad
 
 
+def required(value: Column, kind: str, message: str, *named: str | Column) -> Column:
+    """``value`` where it is there; a missing one fails the job that reads it, naming what it belongs to.
+
+    Put on a column of the right side of an outer join, it turns rows that an inner join would lose into an error.  Use it
+    where the value is read first: a division skips its left side when the divisor is NULL.
+    """
+    about = [F.coalesce(F.col(n).cast("string") if isinstance(n, str) else n.cast("string"), F.lit("null")) for n in named]
+    error = F.raise_error(F.concat_ws(" ", F.lit(message), *about)).cast(kind)
+    return F.when(value.isNull(), error).otherwise(value)
+
+
 def within_unit(value: Column) -> Column:
     return value.between(0.0, 1.0)
 
@@ -100,12 +111,12 @@ def audit_manifest(manifest: DataFrame) -> DataFrame:
     summary = manifest_summary(manifest)
     row = summary.first()
     if not row["clips"]:
-        raise ContractError("Manifest contains no clips")
+        raise ContractError("The manifest is empty")
     if row["invalid_channel_clips"]:
         raise ContractError(f"Stereo audio is required; invalid clips={row['invalid_channel_clips']}")
     require_unique(manifest, ["file_id"], "Manifest")
     if row["unsafe_paths"]:
-        raise ContractError("Manifest contains an unsafe relative_path")
+        raise ContractError("A relative_path of the manifest leaves its folder")
     return summary
 
 
@@ -146,6 +157,11 @@ def untrained_groups(test: DataFrame, train: DataFrame, keys: Sequence[str] = GR
     return test.select(*keys).distinct().join(train.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def trained_only(rows: DataFrame, train: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
+    """The rows whose group has training rows, for jobs that refuse others; :func:`untrained_groups` reports those."""
+    return rows.join(train.select(*keys).distinct(), list(keys), "left_semi").select(*rows.columns)
+
+
 def label_balance(df: DataFrame) -> DataFrame:
     """Counts per split, domain and condition with roll-up totals (NULL marks a total)."""
     return df.rollup("dataset_split", "domain", "condition").agg(F.count("*").alias("clips"))

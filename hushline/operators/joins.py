@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushline.functions import paths
+from hushline.operators.guards import required
 from hushline.schemas import GROUP, IDENTITY, SCORE_COLUMNS
 
 # The three system labels.
@@ -32,7 +33,7 @@ def label_official_scores(
     joined = named.join(expected, [*GROUP, "basename"], "left")
     checked = F.when(
         F.col("file_id").isNull(),
-        F.raise_error(F.concat(F.lit("Score basename is absent from the manifest: "), "basename")),
+        F.raise_error(F.concat(F.lit("The manifest has no clip named "), "basename")),
     ).otherwise(F.col("file_id"))
     return score_rows(joined.withColumn("file_id", checked), F.col("anomaly_score"), model_id, experiment_id)
 
@@ -49,16 +50,28 @@ def score_rows(df: DataFrame, score: Column, model_id: str, experiment_id: str)
 def paired_indexes(
     near: DataFrame, residual: DataFrame, reference: DataFrame, candidate: DataFrame
 ) -> DataFrame:
-    """Two feature indexes and two score tables joined one to one on the test clips."""
+    """Two feature indexes and two score tables joined one to one on the test clips.
+
+    A clip that one of them lacks, or whose indexes hold unequal numbers of vectors, fails the job.
+    """
     test = F.col("dataset_split") == "dev_test"
     left = near.where(test).withColumnRenamed("vector_count", "near_vector_count")
     right = residual.where(test).select(*IDENTITY, F.col("vector_count").alias("residual_vector_count"))
     side = lambda df, name: df.select("file_id", F.col("anomaly_score").alias(name))
-    return (
-        left.join(right, IDENTITY)
-        .join(side(reference, "reference_anomaly_score"), "file_id")
-        .join(side(candidate, "candidate_anomaly_score"), "file_id")
+    joined = (
+        left.join(right, IDENTITY, "full_outer")
+        .join(side(reference, "reference_anomaly_score"), "file_id", "left")
+        .join(side(candidate, "candidate_anomaly_score"), "file_id", "left")
     )
+    near_count = required(F.col("near_vector_count"), "bigint", "No near features for", "file_id")
+    residual_count = required(F.col("residual_vector_count"), "bigint", "No residual features for", "file_id")
+    unequal = F.raise_error(F.concat_ws(" ", F.lit("Unequal vector counts for"), "file_id")).cast("bigint")
+    checked = {
+        "near_vector_count": near_count,
+        "residual_vector_count": F.when(near_count != residual_count, unequal).otherwise(residual_count),
+        **{f"{n}_anomaly_score": required(F.col(f"{n}_anomaly_score"), "double", f"No {n} score for", "file_id") for n in ("reference", "candidate")},
+    }
+    return joined.select(*[checked[c].alias(c) if c in checked else F.col(c) for c in joined.columns])
 
 
 def join_cardinalities(joined: DataFrame, *inputs: DataFrame) -> DataFrame:
@@ -73,27 +86,42 @@ def join_cardinalities(joined: DataFrame, *inputs: DataFrame) -> DataFrame:
 
 
 def gated_inputs(near: DataFrame, residual: DataFrame, reliability: DataFrame) -> DataFrame:
-    """Near and residual indexes joined on six identity columns, then the reliability per clip."""
+    """Near and residual indexes joined on six identity columns, then the reliability per clip.
+
+    A clip without one of the three, or with a reliability outside [0, 1], fails the job.
+    """
     keys = ["file_id", "dataset_split", *IDENTITY[1:]]
-    return (
+    joined = (
         near.withColumnRenamed("vector_count", "near_vector_count")
-        .join(residual.select(*keys, F.col("vector_count").alias("residual_vector_count")), keys)
-        .join(reliability.select("file_id", "reliability"), "file_id")
+        .join(residual.select(*keys, F.col("vector_count").alias("residual_vector_count")), keys, "full_outer")
+        .join(reliability.select("file_id", "reliability"), "file_id", "left")
     )
+    value = required(F.col("reliability"), "double", "No reliability for", "file_id")
+    outside = F.raise_error(F.concat_ws(" ", F.lit("Reliability outside [0, 1] for"), "file_id")).cast("double")
+    checked = {
+        "near_vector_count": required(F.col("near_vector_count"), "bigint", "No near features for", "file_id"),
+        "residual_vector_count": required(F.col("residual_vector_count"), "bigint", "No residual features for", "file_id"),
+        "reliability": F.when(value.between(0.0, 1.0), value).otherwise(outside),
+    }
+    return joined.select(*[checked[c].alias(c) if c in checked else F.col(c) for c in joined.columns])
 
 
 def paired_scores(reference: DataFrame, candidate: DataFrame) -> DataFrame:
-    """The two score tables side by side on the five identity columns."""
-    return reference.select(*IDENTITY, F.col("anomaly_score").alias("anomaly_score_reference")).join(
-        candidate.select(*IDENTITY, F.col("anomaly_score").alias("anomaly_score_candidate")), IDENTITY
+    """The two score tables side by side on the five identity columns; a file that one of them lacks fails the job."""
+    sides = ("reference", "candidate")
+    joined = reference.select(*IDENTITY, F.col("anomaly_score").alias("anomaly_score_reference")).join(
+        candidate.select(*IDENTITY, F.col("anomaly_score").alias("anomaly_score_candidate")), IDENTITY, "full_outer"
     )
+    score = lambda s: required(F.col(f"anomaly_score_{s}"), "double", f"No {s} score for", "file_id")
+    return joined.select(*IDENTITY, *[score(s).alias(f"anomaly_score_{s}") for s in sides])
 
 
 def system_scores(
     views: DataFrame, decisions: DataFrame, near: str = "near_score", refsub: str = "refsub_score"
 ) -> DataFrame:
-    """Fan each clip out to the three systems; safe_ref takes the view its group decided on."""
-    chosen = views.join(decisions.select(*GROUP, "decision"), GROUP)
+    """Fan each clip out to the three systems; safe_ref takes the view its group decided on (no decision: an error)."""
+    chosen = views.join(decisions.select(*GROUP, "decision"), GROUP, "left")
+    chosen = chosen.withColumn("decision", required(F.col("decision"), "string", "No decision for", *GROUP))
     picked = F.when(F.col("decision") == "refsub", F.col(refsub)).otherwise(F.col(near))
     fan = F.array(
         *[
@@ -108,8 +136,9 @@ def system_scores(
 def apply_thresholds(
     scores: DataFrame, thresholds: DataFrame, keys: Sequence[str] = GROUP
 ) -> DataFrame:
-    """Mean threshold over seeds per group; the alarm is strict: score > threshold."""
+    """Mean threshold over seeds per group (none: an error); the alarm is strict: score > threshold."""
     mean = thresholds.groupBy(*keys).agg(F.avg("threshold").alias("threshold"))
-    return scores.join(mean, list(keys)).withColumn(
+    joined = scores.join(mean, list(keys), "left")
+    return joined.withColumn("threshold", required(F.col("threshold"), "double", "No threshold for", *keys)).withColumn(
         "decision", (F.col("anomaly_score") > F.col("threshold")).cast("int")
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushline.functions.numeric import d
+from hushline.operators.guards import required
 from hushline.operators.ordered import hashed_positions
 
 RANK = 8
@@ -150,7 +151,8 @@ def reconstruction_scores(
         return _error(flat, mean, components, width)
 
     width = F.size("mean") if target is None else F.lit(target)
-    joined = packed.join(model.select(*keys, "mean", "components"), list(keys))
+    joined = packed.join(model.select(*keys, "mean", "components"), list(keys), "left")
+    joined = joined.withColumn("mean", required(F.col("mean"), "array<double>", "No linear model for", *keys))
     scored = joined.withColumn("_e", F.arrow_udf(error, ERROR)("flat", "mean", "components", width.cast("int")))
     return scored.groupBy(*clip_keys).agg((F.sum("_e.error") / F.sum("_e.cells")).alias("anomaly_score"))
 
@@ -205,6 +207,7 @@ def mahalanobis_scores(
             counts.append(len(centred))
         return pa.StructArray.from_arrays([pa.array(errors, pa.float64()), pa.array(counts, pa.int64())], names=["error", "cells"])
 
-    joined = packed.join(model, list(keys))
+    joined = packed.join(model, list(keys), "left")
+    joined = joined.withColumn("mean", required(F.col("mean"), "array<double>", "No covariance model for", *keys))
     scored = joined.withColumn("_e", F.arrow_udf(distance, ERROR)("flat", "mean", "precision"))
     return scored.groupBy(*clip_keys).agg((F.sum("_e.error") / F.sum("_e.cells")).alias("anomaly_score"))

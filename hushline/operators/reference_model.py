@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushline.functions.numeric import d
+from hushline.operators.guards import required
 
 SCALE_FLOOR = 1.0e-4
 VARIANCE_FLOOR = 1.0e-6
@@ -25,9 +26,13 @@ def fit_reference(train: DataFrame, keys: Sequence[str], values: Sequence[str])
 def reference_scores(
     rows: DataFrame, model: DataFrame, keys: Sequence[str], values: Sequence[str], clip_keys: Sequence[str]
 ) -> DataFrame:
-    """Mean squared standardised distance per (clip keys, view), then the mean over views."""
-    joined = rows.join(model, list(keys))
-    squares = sum((F.pow((F.col(v) - F.col(f"{v}_centre")) / F.col(f"{v}_scale"), 2) for v in values), d(0.0))
+    """Mean squared standardised distance per (clip keys, view), then the mean over views.
+
+    Rows whose key has no model fail the job.
+    """
+    joined = rows.join(model, list(keys), "left")
+    scale = lambda v: required(F.col(f"{v}_scale"), "double", "No reference model for", *keys)
+    squares = sum((F.pow((F.col(v) - F.col(f"{v}_centre")) / scale(v), 2) for v in values), d(0.0))
     per_view = joined.groupBy(*clip_keys, "view").agg(
         (F.sum(squares) / (F.count("*") * len(values))).alias("view_score")
     )
@@ -53,6 +58,7 @@ def normalise(rows: DataFrame, normaliser: DataFrame, keys: Sequence[str], chann
     wide = normaliser.groupBy(*keys).agg(
         *[pick("mean", n).alias(f"{n}_mean") for n in channels], *[pick("std", n).alias(f"{n}_std") for n in channels]
     )
-    joined = rows.join(wide, list(keys))
-    scaled = {n: (F.col(n) - F.col(f"{n}_mean")) / F.col(f"{n}_std") for n in channels}
+    joined = rows.join(wide, list(keys), "left") if keys else rows.crossJoin(wide)  # without keys: one row
+    std = lambda n: required(F.col(f"{n}_std"), "double", "No normaliser for", *keys)
+    scaled = {n: (F.col(n) - F.col(f"{n}_mean")) / std(n) for n in channels}
     return joined.select(*[scaled[n].alias(n) if n in scaled else F.col(n) for n in rows.columns])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushline.functions.numeric import FLOAT_EPS, d
+from hushline.operators.guards import required
 
 BLOCK = 512
 FRAME_KEYS = ["clip_no", "block", "frame"]
@@ -222,7 +223,10 @@ def attach_bins(
             blocks = blocks.join(clip_keys.select("clip_no", *keys), "clip_no")
         side = blocks.join(per_bin.groupBy(*keys).agg(*packing), keys)
     side = side.select("clip_no", "block", *[F.col(f"_a.{c}").alias(c) for c in values])
-    return packed.join(side, ["clip_no", "block"])
+    joined = packed.join(side, ["clip_no", "block"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in side.schema}
+    checked = [required(F.col(c), kinds[c], "No values per bin for clip", "clip_no").alias(c) for c in values]
+    return joined.select(*packed.columns, *checked)
 
 
 def pack_bins(long: DataFrame, values: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:

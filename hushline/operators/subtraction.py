@@ -13,6 +13,7 @@ from hushline.functions.complexes import cx
 from hushline.functions.numeric import EPS, clip, d, decibels, risk_score
 from hushline.operators import spectra
 from hushline.operators.frontends import far_bin, near_bin
+from hushline.operators.guards import required
 from hushline.operators.ordered import ACCURACY, quantiles, sized_quantiles
 from hushline.operators.spectra import BLOCK, PACKED, Stft
 from hushline.schemas import GROUP
@@ -117,7 +118,8 @@ def clip_diagnostics(
     long_means = spectra.explode_bins(lengthy, [*PACKED, *ENHANCED]).groupBy("clip_no", "bin").agg(*means)
     per_bin = short.unionByName(long_means.join(floors, ["clip_no", "bin"]))
     rows = per_bin.join(manifest.select("clip_no", *GROUP), "clip_no")
-    rows = rows.join(transfer, [*GROUP, "bin"])
+    rows = rows.join(transfer, [*GROUP, "bin"], "left")
+    rows = rows.withColumn("transfer_power", required(F.col("transfer_power"), "double", "No noise profile for", *GROUP))
     floor = lambda value: F.greatest(value, d(s.eps))
     coherence = clip(c.power(cx("x")) / floor(F.col("nn") * F.col("ff")), 0.0, 1.0)
     weight = F.greatest(F.col("nn") - F.col("near_floor"), d(0.0))

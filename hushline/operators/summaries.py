@@ -31,15 +31,17 @@ def category_summary(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return macro_summary(with_categories(metrics), [*keys, "category"])
 
 
-def seed_ensemble(scores: DataFrame, seeds: int, model_id: str, experiment_id: str) -> DataFrame:
-    """Mean score per file over matched seed tables stacked in ``scores``.
+def seed_ensemble(scores: DataFrame, seeds: int, model_id: str, experiment_id: str, seed: str = "model_id") -> DataFrame:
+    """Mean score per file over matched seed tables stacked in ``scores``; column ``seed`` tells the tables apart.
 
     A file that not every seed covers exactly once fails the job that reads the result.
     """
     if seeds < 2:
         raise ValueError("An ensemble requires at least two score tables")
-    mean = scores.groupBy(*IDENTITY).agg(F.avg("anomaly_score").alias("_mean"), F.count("*").alias("_n"))
-    covered = F.when(F.col("_n") == seeds, F.col("_mean")).otherwise(
+    mean = scores.groupBy(*IDENTITY).agg(
+        F.avg("anomaly_score").alias("_mean"), F.count("*").alias("_n"), F.count_distinct(seed).alias("_seeds")
+    )
+    covered = F.when((F.col("_n") == seeds) & (F.col("_seeds") == seeds), F.col("_mean")).otherwise(
         F.raise_error(F.concat(F.lit("Seed score tables do not cover "), "file_id")).cast("double")
     )
     return mean.select(

@@ -28,7 +28,7 @@ def build(
     convention: Stft,
     settings: SubtractionSettings = SubtractionSettings(),
     materialise: bool = False,
-    check_groups: bool = False,
+    check_groups: bool = True,
 ) -> SafeReference:
     """Two dependent passes over the clips.
 

@@ -82,8 +82,8 @@ def run_systems(
 
 def ensemble(scores: DataFrame, seeds: int, experiment_id: str) -> DataFrame:
     """Mean over seeds per system and clip; a clip some seed misses fails the job."""
-    mean = scores.groupBy("system", *IDENTITY).agg(F.avg("anomaly_score").alias("_m"), F.count("*").alias("_n"))
-    covered = F.when(F.col("_n") == seeds, F.col("_m")).otherwise(
+    mean = scores.groupBy("system", *IDENTITY).agg(F.avg("anomaly_score").alias("_m"), F.count("*").alias("_n"), F.count_distinct("seed").alias("_s"))
+    covered = F.when((F.col("_n") == seeds) & (F.col("_s") == seeds), F.col("_m")).otherwise(
         F.raise_error(F.lit("Seed scores do not cover the same clips")).cast("double")
     )
     model = F.concat(F.lit("linear_"), "system", F.lit(f"_{seeds}seed_ensemble"))

@@ -82,7 +82,9 @@ def test_draws_keep_stratum_sizes(spark):
 
 def test_ensemble_requires_full_coverage(spark):
     df = table(spark, [1.0, 2.0], [0, 1])
-    mean = summaries.seed_ensemble(df.unionByName(df.withColumn("anomaly_score", F.col("anomaly_score") * 3)), 2, "m", "e")
+    df = df.withColumn("model_id", F.lit("one"))
+    other = df.withColumn("anomaly_score", F.col("anomaly_score") * 3).withColumn("model_id", F.lit("other"))
+    mean = summaries.seed_ensemble(df.unionByName(other), 2, "m", "e")
     assert sorted(r["anomaly_score"] for r in mean.collect()) == [2.0, 4.0]
     with pytest.raises(Exception, match="do not cover"):
         summaries.seed_ensemble(df.unionByName(df.limit(1)), 2, "m", "e").collect()
