@@ -10,7 +10,7 @@ windows that repeat go on, and the join back is on the window key, which adaptiv
 
 Defined cases: a null text stays null and has no lines; texts of fewer than three lines have no windows and stay; rows that
 repeat a doc_id are told apart by a row key, the order of equal doc_ids being that of their texts' hashes; rows equal in
-both are kept as they are; other columns pass through.
+both are kept as they are; other columns pass through, but n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     marks = covered_lines(docs, min_chars).select(
         F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_starts"
     )
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    # The rows travel as one struct, so that no column of theirs meets a column of the work.
+    hashed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
     joined = hashed.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
     lines = F.split("text", "\n")
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + LINES - 1))))
@@ -80,7 +81,7 @@ def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     joined = joined.withColumn("_lines", lines).withColumn("_gone", F.when(F.col("_starts").isNotNull(), gone))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

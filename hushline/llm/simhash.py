@@ -262,5 +262,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (any one, if rows repeat it)."""
     kept = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    one = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    kept = kept.withColumnRenamed("doc_id", "_kept")
+    one = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id")).join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return one.dropDuplicates(["_id"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -12,6 +12,15 @@ SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, _text string"
 
 
+CLASHING = ["_hash", "_lines", "_gone", "_id", "_h", "_starts", "_row", "_kept", "_utf8", "n_lines", "ids", "fp", "label", "group", "kept", "_stratum", "size"]
+
+
+def clashing(spark, docs):
+    """The same rows with columns named like those of the operators' work."""
+    df = frame(spark, docs)
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+
+
 def rows_of(spark, name):
     return [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").orderBy(1).collect()]
 
