@@ -21,7 +21,7 @@ def floor_binned_filters(
     """Triangles between floored bin edges, un-normalised; every slope spans at least one bin."""
     top = sample_rate / 2.0 if fmax is None else min(fmax, sample_rate / 2.0)
     if top <= fmin:
-        raise ValueError("fmax must exceed fmin")
+        raise ValueError("The upper mel frequency has to lie above the lower one")
     to_mel = lambda hz: 2595.0 * np.log10(1.0 + hz / 700.0)
     hz = 700.0 * (10.0 ** (np.linspace(to_mel(fmin), to_mel(top), n_mels + 2) / 2595.0) - 1.0)
     edges = np.floor((n_fft + 1) * hz / sample_rate).astype(int)

@@ -87,5 +87,5 @@ def interval(deltas: DataFrame) -> DataFrame:
 
 def paired_bootstrap(paired: DataFrame, iterations: int = 2000, seed: int = 2026) -> DataFrame:
     if iterations < 100:
-        raise ValueError("iterations must be at least 100")
+        raise ValueError(f"{iterations} resamples are too few for an interval; take 100 or more")
     return interval(iteration_deltas(resampled_areas(paired, iterations, seed)))

@@ -89,7 +89,7 @@ def balanced_sample(df: DataFrame, limit: int) -> DataFrame:
 
 def head(df: DataFrame, limit: int, order: str = "file_id") -> DataFrame:
     if limit < 1:
-        raise ValueError("limit must be positive")
+        raise ValueError(f"A limit of {limit} selects nothing")
     return df.orderBy(order).limit(limit)
 
 

@@ -31,7 +31,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
     named = lines.where(F.col("name").rlike(SCORE_FILE) & (F.col("line") != ""))
     parsed = named.withColumn("_c", F.from_csv("line", "a string, b string, c string"))
     wrong = F.col("_c.b").isNull() | F.col("_c.c").isNotNull()
-    score = F.when(wrong, F.raise_error(F.concat(F.lit("Expected two columns in "), "name")).cast("double")).otherwise(
+    score = F.when(wrong, F.raise_error(F.concat(F.lit("A line without exactly a name and a score is in "), "name")).cast("double")).otherwise(
         F.col("_c.b").cast("double")
     )
     return parsed.select(
@@ -49,7 +49,7 @@ def file_digests(
     content = F.col("content")
     digests = {"sha256": F.sha2(content, 256), "md5": F.md5(content), "sha1": F.sha1(content)}
     if algorithm not in digests:
-        raise ValueError(f"Unsupported checksum algorithm: {algorithm}")
+        raise ValueError(f"No digest named {algorithm}; there are {sorted(digests)}")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     )
