@@ -1,8 +1,8 @@
 """Token ids in files of canonical, length-limited Huffman codes.
 
 Writing.  Texts are tokenised (ids stored once), ids are counted over all documents, the counts give code lengths by
-package-merge with at most ``LIMIT`` bits, and the lengths alone give the canonical codes.  Each document is coded on its own,
-the coded documents are range-partitioned and sorted by doc_id, and runs of documents are laid together into blocks.
+package-merge with at most ``LIMIT`` bits, and the lengths alone give the canonical codes.  The ids are
+range-partitioned and sorted by doc_id, each document is coded on its own, and runs of documents are laid into blocks.
 
 Files.  A folder ``codes`` (Parquet: id, length) and a folder ``blocks`` (Parquet), one row per block: the part and number
 that give its place in doc_id order, the ids of its part before it, its documents' ids and counts, the coded bytes, and
@@ -16,18 +16,23 @@ distinct run is encoded by the library once and its ids are reused.  A tokenizer
 given whole texts (``whole=True``).
 
 Defined cases: null and empty texts have the end id only; null doc_ids come first; rows that repeat a doc_id follow each
-other in the order of their codes; an empty table gives no codes and no blocks; a vocabulary with one id in use gets a
+other in the order of their ids' bytes; an empty table gives no codes and no blocks; a vocabulary with one id in use gets a
 one-bit code; other columns are left alone.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,41 +45,137 @@ from hushline.session import new_folder
 LIMIT = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 19
-RUNS = 500_000  # distinct runs whose ids a task remembers
+RUNS = 400_000  # distinct runs whose ids a task remembers
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return [chr(b if b not in set(others) else 256 + others.index(b)) for b in range(256)]
 
 
 class Tokens:
-    """Ids of texts by way of their runs between white space."""
+    """Ids of texts by way of their runs between white space.
+
+    A run of letters alone is one word for a pre-tokenizer that splits at letters, and plain punctuation after ASCII letters
+    is a word of its own.  Where the tokenizer is known to be of that kind (``letters``), such words go straight to the
+    library's merges, in normal form, lower case and byte letters, as its own steps would bring them there.
+    """
 
-    def __init__(self, tokenizer_json: str, whole: bool):
+    def __init__(self, tokenizer_json: str, end_id: int, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        bare = json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+        suffix = bare["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
         self.whole = whole
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the offsets of the texts."""
-        if len(self.known) > RUNS:
-            self.forget()
-        runs = [[t] if self.whole else t.split() for t in texts]
-        fresh = list({r for rs in runs for r in rs if r not in self.known})
-        if fresh:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in fresh], add_special_tokens=False)]
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.ids = np.concatenate([self.ids, np.array([i for ids in coded for i in ids], np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(ids) for ids in coded])])
+        self.byte_letters = _byte_letters()
+        self.letters = not whole and self._splits_at_letters()
+        # Runs met so far: number, and ids of run k at ids[at[k]:at[k + 1]].  Number 0 is the end of a text, 1 the empty run.
+        self.known: dict[bytes, int] = {b" ": 0, b"": 1}
+        self.at = np.array([0, 1, 1], np.int64)
+        self.ids = np.array([end_id], np.uint32)
+
+    def _splits_at_letters(self) -> bool:
+        """Whether words get the same ids both ways, on words that tell the known kinds of tokenizers apart."""
+        probe = ["Word", "straße", "ÉTÉ", "ñandú", "Größe", "слово", "漢字", "x", "thndonreor"]
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+        coded = [self._coded(w) for w in probe]
+        if None in coded or not self.ends_word.any():
+            return False
+        return [e.ids for e in self.merges.encode_batch_fast(coded, add_special_tokens=False)] == whole
+
+    def _coded(self, word: str) -> str | None:
+        """A word of letters in normal form, lower case and byte letters; None if it is not of that kind."""
+        if word.isascii():
+            return word.lower() if word.isalpha() else None
+        word = unicodedata.normalize("NFC", word)
+        low = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
+        if not (low.isalpha() and unicodedata.is_normalized("NFC", low)):
+            return None
+        return "".join(map(self.byte_letters.__getitem__, low.encode()))
+
+    def _merged(self, coded: list[str], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of coded words one after the other, and how many each has."""
+        groups = [" ".join(coded[k : k + at_once]) for k in range(0, len(coded), at_once)]
+        found = self.merges.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
+        counts = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        if len(counts) != len(coded):
+            raise ValueError("The merges left a word without its end")
+        return ids, counts
+
+    def learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs not met before one after the other, and how many each has.
+
+        A word is encoded once, whatever punctuation and case it comes with.
+        """
+        words: dict[str, int] = {}  # coded word to its number
+        others: dict[bytes, int] = {b"": 0}  # punctuation and all other runs, by the tokenizer itself
+        head = np.full(len(fresh), -1)
+        tail = np.zeros(len(fresh), np.int64)
+        for i, run in enumerate(fresh):
+            if self.letters:
+                front = run.rstrip(b".,!?;:")
+                if front and (len(front) == len(run) or front[-1:].isalpha()):  # bytes: ASCII letters only
+                    coded = self._coded(front.decode("utf-8", "replace"))
+                    if coded is not None:
+                        head[i] = words.setdefault(coded, len(words))
+                        tail[i] = others.setdefault(run[len(front) :], len(others))
+                        continue
+            tail[i] = others.setdefault(run, len(others))
+        ids, counts = self._merged(list(words))
+        rest = [r.decode("utf-8", "replace") for r in others]
+        found = [e.ids for k in range(0, len(rest), 2048) for e in self.tokenizer.encode_batch_fast(rest[k : k + 2048], add_special_tokens=False)]
+        ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
+        at = np.concatenate([[0], np.cumsum(np.concatenate([counts, [len(f) for f in found]]))]).astype(np.int64)
+        # Each run is a word (or the empty run) and what follows it.
+        parts = np.stack([np.where(head < 0, len(words), head), tail + len(words)], axis=1).ravel()
+        size = at[parts + 1] - at[parts]
+        flat = ids[np.repeat(at[parts] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        return flat, size.reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id, and the offsets of the texts."""
+        if self.whole:
+            runs = texts.cast(pa.large_binary()).dictionary_encode()
+            per_text = np.arange(len(texts) + 1)
+        else:
+            split = pc.ascii_split_whitespace(texts.cast(pa.string()))
+            per_text = split.offsets.to_numpy().astype(np.int64)
+            per_text = per_text - per_text[0]
+            runs = split.flatten().cast(pa.binary()).dictionary_encode()
+        words = runs.dictionary.to_pylist()
         known = self.known
-        codes = np.array([known[r] for rs in runs for r in rs], np.int64)
-        count = self.at[codes + 1] - self.at[codes]
-        flat = self.ids[np.repeat(self.at[codes] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        ends = np.concatenate([[0], np.cumsum([len(rs) for rs in runs])])
-        return flat, np.concatenate([[0], np.cumsum(count)])[ends]
+        number = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        fresh = np.flatnonzero(number < 0)
+        at, ids = self.at, self.ids
+        if len(fresh):
+            names = [words[i] for i in fresh.tolist()]
+            found, size = self.learn(names)
+            number[fresh] = len(at) - 1 + np.arange(len(fresh))
+            ids = np.concatenate([ids, found])
+            at = np.concatenate([at, at[-1] + np.cumsum(size)])
+            if len(at) <= RUNS:  # the frequent runs come early; later ones are looked up slice by slice
+                known.update(zip(names, number[fresh].tolist()))
+                self.at, self.ids = at, ids
+        codes = np.insert(number[runs.indices.to_numpy()], per_text[1:], 0)  # number 0 ends each text
+        first = at[codes]
+        count = at[codes + 1] - first
+        ends = np.cumsum(count)
+        flat = ids[np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat, np.concatenate([[0], ends[per_text[1:] + np.arange(len(texts))]])
+
+
+@functools.lru_cache(maxsize=1)
+def tokens_of(tokenizer_json: str, end_id: int, whole: bool) -> Tokens:
+    """One tokenizer, with the runs it knows, for all tasks of a worker."""
+    return Tokens(tokenizer_json, end_id, whole)
 
 
 def binaries(flat: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -89,11 +190,9 @@ def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int, vocabulary: int,
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer_json, whole)
-        for part in slices(batches, "_text"):
-            flat, at = tokens.encode(part.column("_text").to_pylist())
-            flat = np.insert(flat, at[1:], end_id)
-            at = at + np.arange(len(at))
+        tokens = tokens_of(tokenizer_json, end_id, whole)
+        for part in slices(batches, "_text", 2 << 20):
+            flat, at = tokens.encode(part.column("_text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), binaries(flat.astype(kind), at)], schema.names)
 
     return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("_text")).mapInArrow(run, schema)
@@ -105,7 +204,7 @@ def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches, "ids", 1 << 20):
             found = np.bincount(data(batch.column(0)).view(kind).astype(np.int64))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
@@ -205,12 +304,6 @@ def unpack(payload: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: t
     return out
 
 
-CODED = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()), T.StructField("n_ids", T.LongType()),
-        T.StructField("payload", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType(), False)),
-    ]
-)
 BLOCK = T.StructType(
     [
         T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("before", T.LongType()),
@@ -220,44 +313,29 @@ BLOCK = T.StructType(
 )
 
 
-def _encode(code: Code, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lengths = code.encoder()
-        for part in slices(batches, "ids"):
-            values = part.column("ids")
-            at = (offsets(values) - offsets(values)[0]) // np.dtype(kind).itemsize
-            ids = data(values).view(kind).astype(np.int64)
-            size = lengths[ids]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            bits = ends[at[1:]] - ends[at[:-1]]
-            n_bytes = (bits + 7) // 8
-            first_byte = np.cumsum(n_bytes) - n_bytes
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            inside = ends[:-1] - ends[at[:-1]][doc]  # bits before an id in its document
-            packed = pack(words[ids], size, 8 * first_byte[doc] + inside, int(n_bytes.sum()))
-            rank = np.arange(len(ids)) - at[:-1][doc]
-            marked = rank % STRIDE == 0
-            n_marks = np.concatenate([[0], np.cumsum(-(-np.diff(at) // STRIDE))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"), pa.array(np.diff(at)), binaries(packed, np.concatenate([first_byte, [len(packed)]])),
-                    pa.ListArray.from_arrays(pa.array(n_marks, pa.int32()), pa.array(inside[marked])),
-                ],
-                CODED.names,
-            )
-
-    return run
-
-
-def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted coded documents to blocks."""
-    part, block, before = TaskContext.get().partitionId(), 0, 0
-    docs: list[tuple] = []
-    size = 0
-
-    def made() -> pa.RecordBatch:
+def coded(part: pa.RecordBatch, kind: str, words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple]:
+    """doc_id, number of ids, bytes, and the bit offsets of every ``STRIDE``-th id of each document of a slice."""
+    values = part.column("ids")
+    at = (offsets(values) - offsets(values)[0]) // np.dtype(kind).itemsize
+    ids = data(values).view(kind).astype(np.int64)
+    size = lengths[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    n_bytes = (ends[at[1:]] - ends[at[:-1]] + 7) // 8
+    first_byte = np.concatenate([[0], np.cumsum(n_bytes)])
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    inside = ends[:-1] - ends[at[:-1]][doc]  # bits before an id in its document
+    packed = pack(words[ids], size, 8 * first_byte[doc] + inside, int(first_byte[-1])).tobytes()
+    marks = inside[(np.arange(len(ids)) - at[:-1][doc]) % STRIDE == 0]
+    mark_at = np.concatenate([[0], np.cumsum(-(-n // STRIDE))])
+    for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+        yield doc_id, int(n[i]), packed[first_byte[i] : first_byte[i + 1]], marks[mark_at[i] : mark_at[i + 1]]
+
+
+def _blocks(code: Code, kind: str):
+    def made(docs: list[tuple], part: int, block: int, before: int) -> pa.RecordBatch:
         starts = np.cumsum([0, *[len(d[2]) for d in docs]])
-        marks = [np.asarray(d[3], np.int64) + 8 * s for d, s in zip(docs, starts)]
+        marks = [d[3] + 8 * s for d, s in zip(docs, starts)]
         one = lambda v: pa.array([v], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
             [
@@ -267,15 +345,23 @@ def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             BLOCK.names,
         )
 
-    for batch in batches:
-        for doc in zip(*(batch.column(n).to_pylist() for n in CODED.names)):
-            docs.append(doc)
-            size += doc[1]
-            if size >= BLOCK_IDS:
-                yield made()
-                docs, block, before, size = [], block + 1, before + size, 0
-    if docs:
-        yield made()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted documents to blocks."""
+        words, lengths = code.encoder()
+        part, block, before = TaskContext.get().partitionId(), 0, 0
+        docs: list[tuple] = []
+        size = 0
+        for piece in slices(batches, "ids", 1 << 20):
+            for doc in coded(piece, kind, words, lengths):
+                docs.append(doc)
+                size += doc[1]
+                if size >= BLOCK_IDS:
+                    yield made(docs, part, block, before)
+                    docs, block, before, size = [], block + 1, before + size, 0
+        if docs:
+            yield made(docs, part, block, before)
+
+    return run
 
 
 def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, whole: bool = False) -> None:
@@ -293,9 +379,8 @@ def write(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, whole: b
     lengths = code_lengths(counts.column("n").to_numpy())
     codes = [(int(i), int(n)) for i, n in zip(ids, lengths)]
     spark.createDataFrame(codes, "id long, length int").coalesce(1).write.parquet(f"{path}/codes")
-    coded = tokens.mapInArrow(_encode(Code(ids, lengths), kind), CODED)
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "payload")
-    ordered.mapInArrow(_lay, BLOCK).write.parquet(f"{path}/blocks")
+    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered.mapInArrow(_blocks(Code(ids, lengths), kind), BLOCK).write.parquet(f"{path}/blocks")
 
 
 READ = T.StructType(
