@@ -36,7 +36,7 @@ from hushline.session import stored
 
 WINDOW = 13
 PART_BYTES = 32 << 20
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 GAP = 64  # free positions between documents; longer than any window or span in use
 
 #: Upper case to lower case, separators to spaces, everything else as it is.

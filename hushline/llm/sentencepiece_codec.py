@@ -13,7 +13,8 @@ out once per pair.  A unigram model relaxes to the highest sum of scores instead
 of its own and is written as its UTF-8 bytes (byte fallback).
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the mark itself in a text decodes to a space,
-as in the model's own library; rows that repeat are encoded on their own; other columns pass through.
+as in the model's own library; rows that repeat are encoded on their own; other columns pass through, but
+ids, n_ids and decoded are replaced (and the helper's name _utf8 is not kept).
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 from hushline.llm.common import slices, utf8
 
 MARK = "▁"
-UNITS = 400_000  # units whose ids a task remembers
-PAIRS = 1_000_000  # pairs whose stability a task remembers
+UNITS = 200_000  # units whose ids a task remembers
+PAIRS = 300_000  # pairs whose stability a task remembers
 
 
 @dataclass
@@ -296,15 +297,15 @@ def decoder(model: Model):
 def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame:
     """``docs`` with ``ids``, ``n_ids`` and ``decoded`` (the text that the ids give back)."""
     model = Model.load(model_path, unigram)
-    names = docs.columns
-    source = docs.withColumn("_utf8", utf8("text"))
+    names = [c for c in docs.columns if c not in ("ids", "n_ids", "decoded", "_utf8")]
+    source = docs.select(*names, utf8("text").alias("_utf8"))
     schema = T.StructType(
-        [*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_ids", T.LongType()), T.StructField("decoded", T.StringType())]
+        [*docs.select(*names).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_ids", T.LongType()), T.StructField("decoded", T.StringType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decode = Encoder(model), decoder(model)
-        for part in slices(batches, "_utf8"):
+        for part in slices(batches, "_utf8", 1 << 20):
             texts = [t.decode("utf-8", "replace") for t in part.column("_utf8").to_pylist()]
             flat, at = encoder.encode(texts)
             decoded = [decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
