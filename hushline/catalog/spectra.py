@@ -482,7 +482,7 @@ def a28(v: Views) -> DataFrame:
     SELECT clip_no, frame, mel, round((near - nm) / ns, 6) + 0e0 AS near, round((residual - rm) / rs, 6) + 0e0 AS residual FROM al JOIN tn USING (machine_type) WHERE dataset_split = 'dev_test'""",
 )
 def a28_apply(v: Views) -> DataFrame:
-    maps = small_maps(v).join(v.manifest.select("clip_no", "machine_type", "dataset_split", "condition"), "clip_no")
+    maps = small_maps(v).join(trained_manifest(v).select("clip_no", "machine_type", "dataset_split", "condition"), "clip_no")
     fit = fit_normaliser(guards.normal_train(maps), ["machine_type"], ("near", "residual"))
     scaled = normalise(guards.test_rows(maps), fit, ["machine_type"], ("near", "residual"))
     return rounded(scaled.select("clip_no", "frame", "mel", "near", "residual"))
