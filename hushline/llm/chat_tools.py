@@ -82,20 +82,24 @@ def ordered(linked: DataFrame) -> DataFrame:
     """``linked`` with ``late`` (largest turn among a node and all it comes after), ``depth`` and ``cyclic``."""
     state = stored(linked.select("*", F.col("turn").alias("late"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "order")
     total = max(2, state.count())
+    finished, active = state.where(F.col("up").isNull()), state.where(F.col("up").isNotNull())
     for _ in range(math.ceil(math.log2(total)) + 1):
-        if not state.where(F.col("up").isNotNull()).limit(1).count():
+        if not active.limit(1).count():
             break
-        to = state.select(
+        # Only messages that still point somewhere take part; where they point to may be finished.
+        to = finished.unionByName(active).select(
             F.col("_conv").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("late").alias("_late"), F.col("depth").alias("_depth")
         )
-        joined = state.join(to, (F.col("_conv") == F.col("_c")) & (F.col("up") == F.col("_n")), "left")
-        state = stored(
+        joined = active.join(to, (F.col("_conv") == F.col("_c")) & (F.col("up") == F.col("_n")), "left")
+        moved = stored(
             joined.select(
                 "_conv", "node", "turn", "_hash", F.col("_up").alias("up"), F.greatest("late", "_late").alias("late"),
                 (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
             ),
             "order",
         )
+        finished, active = finished.unionByName(moved.where(F.col("up").isNull())), moved.where(F.col("up").isNotNull())
+    state = finished.unionByName(active)
     loops = F.col("up").isNotNull()
     return state.select(
         "_conv", "node", "turn", "_hash", F.when(loops, F.col("turn")).otherwise(F.col("late")).alias("late"),
