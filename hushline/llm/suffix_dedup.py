@@ -425,6 +425,7 @@ def marks(texts: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFra
     found = stored(resolve(texts.select("doc", "_text").mapInArrow(_pieces(length), PIECE)), "pieces")
     needs = found.where("need").select("anchor", "doc", "at")
     crowded = needs.groupBy("anchor").agg(F.count("*").alias("_n")).where(F.col("_n") > large).select(F.col("anchor").alias("_crowded"))
+    crowded = stored(crowded, "crowded")  # few rows; the join then broadcasts them or splits hot anchors
     asked = needs.join(crowded, F.col("anchor") == F.col("_crowded"), "left").withColumn("large", F.col("_crowded").isNotNull())
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "large")).alias("wanted"))
     fetched = texts.select("doc", "_text").join(wanted.hint("shuffle_hash"), "doc").mapInArrow(_fetch(length), CUT)
