@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushline.session import stored
+
 LINES = 3
 MIN_CHARS = 30
 
@@ -55,6 +57,8 @@ def later_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     repeated = every.groupBy("_w1", "_w2").agg(
         F.min(F.struct("doc_id", "_hash", "line")).alias("_first"), F.count("*").alias("_times")
     ).where("_times > 1").drop("_times")
+    # Stored, so that both sides of the join are plain shuffles: adaptive execution then broadcasts or splits by measured size.
+    repeated = stored(repeated, "windows")
     return every.join(repeated, ["_w1", "_w2"]).where(
         F.struct("doc_id", "_hash", "line") != F.col("_first")
     ).select("doc_id", "_hash", "line")
@@ -71,17 +75,17 @@ def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_starts"
     )
     # The rows travel as one struct, so that no column of theirs meets a column of the work.
-    hashed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
+    hashed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"))
     joined = hashed.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    lines = F.split("text", "\n")
+    lines = F.split("_row.text", "\n")
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + LINES - 1))))
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)
     )
     joined = joined.withColumn("_lines", lines).withColumn("_gone", F.when(F.col("_starts").isNotNull(), gone))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("_row.text").isNull(), 0).otherwise(F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
