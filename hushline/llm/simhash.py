@@ -200,7 +200,8 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, hot_rows: int = HOT_R
     # A hot group becomes blocks of (population count, share of fingerprints); a block meets the blocks whose population
     # counts are within the radius, itself included.  The block number is numeric and starts with the population count.
     shares = lambda pop: F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_element_at("_pops", pop), F.lit(0)) / (hot_rows // 4))).cast("int")
-    joined = keyed.join(hot.drop("_n"), ["c", "key"], "left")
+    # Stored, so that adaptive execution broadcasts the few hot groups or splits their rows, by measured size.
+    joined = keyed.join(stored(hot.drop("_n"), "hot"), ["c", "key"], "left")
     cold = joined.where(F.col("_pops").isNull()).select(
         F.xxhash64("c", "key").alias("group"), "pop", "fp", F.lit(0).cast("long").alias("side")
     )
@@ -256,6 +257,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     edges = links(nodes.select("fp"), nodes.count(), radius)
     found = components(nodes, edges).withColumnRenamed("label", "_component")
     resolved = nodes.join(found, "fp", "left").select("fp", F.coalesce("_component", "label").alias("component_id"))
+    resolved = stored(resolved, "resolved")  # a hot fingerprint's rows can then be split in the join
     return prints.join(resolved, "fp").select("doc_id", "fp", "component_id")
 
 
