@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: table scans and bounded Arrow slices."""
+"""Helpers shared by the training-data operators: table scans, row keys and bounded Arrow slices."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hushline.session import stored
 
 SLICE_BYTES = 2 << 20
 
@@ -56,3 +59,20 @@ def totals(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     running = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=running[1:])
     return running[at[1:] - at[0]] - running[at[:-1] - at[0]]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one struct ``_row``, and ``_key``: a number that no two rows share, in the order of doc_id.
+
+    It is the doc_id itself where that tells the rows apart.  Otherwise (null or repeated ids) the rows are stored with
+    numbers of their own, those without a doc_id last, so that every use of the table sees the same numbers.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null").limit(1).count()
+        if not twice:
+            return rows.withColumn("_key", F.col("_row.doc_id").cast("long"))
+    order = F.col("_row.doc_id").asc_nulls_last(), F.xxhash64("_row.text")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(ranged.withColumn("_key", F.monotonically_increasing_id()), "keyed")
