@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushline.llm.common import slices, utf8
+from hushline.llm.common import keyed, slices, utf8
 from hushline.session import stored
 
 WINDOW = 13
@@ -350,6 +350,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the contaminated rows.  Rows that share a doc_id go together."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated rows.  Each row is judged on its own, whether or not it has a doc_id of its own."""
+    rows = keyed(docs)
+    found = contamination(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), benchmark, window)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_key"))
+    return rows.join(bad, "_key", "left_anti").select("_row.*")

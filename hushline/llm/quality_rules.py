@@ -206,10 +206,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: Column, risk: Risk)
     return counts.mapInPandas(choose, schema)
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
-    """doc_id, the five counts, ``base_failed``, the rule scores and ``kept``, one row per row of ``docs``."""
-    slim = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), "text")
-    measured = with_features(slim, "text", ("doc_id", "_stratum")).withColumn("base_failed", base_failed(risk))
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the five counts, ``base_failed``, the rule scores, ``kept`` and the columns ``carry``, one row per row of ``docs``."""
+    slim = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), "text", *carry)
+    measured = with_features(slim, "text", ("doc_id", "_stratum", *carry)).withColumn("base_failed", base_failed(risk))
     measured = stored(measured.select("*", *[s.alias(f"_s_{r}") for r, s in scores().items()]), "quality")
     chosen = cutoffs(measured, labels, F.col("_stratum"), risk)
     joined = measured.join(chosen, "_stratum", "left")
@@ -218,5 +218,5 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk
         rejected = rejected | F.coalesce(F.col(f"_s_{rule}") > F.col(f"_cut_{rule}"), F.lit(False))
     return joined.select(
         "doc_id", *FEATURES.names[:5], "base_failed", *[F.col(f"_s_{r}").alias(r) for r in CUTOFFS],
-        (~F.col("base_failed") & ~rejected).alias("kept"),
+        (~F.col("base_failed") & ~rejected).alias("kept"), *carry,
     )

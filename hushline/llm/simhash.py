@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushline.llm.common import slices, utf8
+from hushline.llm.common import keyed, slices, utf8
 from hushline.session import stored
 
 RADIUS = 3
@@ -262,8 +262,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (any one, if rows repeat it)."""
-    kept = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    one = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id")).join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["_id"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """``docs`` with one row of each component of rows: that of the smallest doc_id, null ids being last."""
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), radius)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return rows.join(kept, "_key", "left_semi").select("_row.*")
