@@ -15,7 +15,8 @@ Words are runs of ASCII letters, digits and all characters beyond ASCII, with A-
 consecutive words of an item; a shorter, not empty item is one window.
 
 Defined cases: null and empty texts have no words and are never contaminated; null item texts have no windows; items that
-repeat an item_id count once; rows that repeat a doc_id are searched and returned on their own; an empty benchmark or
+repeat an item_id count once; items without an item_id are searched like any other and count as one item together, a
+null at the end of ``items`` that digests of the ids leave out; rows that repeat a doc_id are searched and returned on their own; an empty benchmark or
 document table gives no matches; further columns are left alone.
 """
 
@@ -109,12 +110,12 @@ def _one(value: object, kind: pa.DataType) -> pa.Array:
 class Phrases:
     """Query phrases of one part of the benchmark, as term numbers; ``owner`` is the number of the phrase's item."""
 
-    items: list[str]
+    items: list[str | None]
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
-    def of(items: list[tuple[str, bytes]], window: int) -> Phrases:
+    def of(items: list[tuple[str | None, bytes]], window: int) -> Phrases:
         made = Phrases([name for name, _ in items])
         grouped: dict[int, dict[tuple, list[int]]] = {}
         for owner, text in enumerate(text for _, text in items):
@@ -261,7 +262,7 @@ def _search(part: Phrases, span: int | None):
                         spans[d].append((s, min(s + length, int(segment.lengths[d]))))
                         items[d].update(by_phrase[a:b, 1].tolist())
                 merged = [_merge(s) for s in spans]
-                named = [sorted({part.items[i] for i in found}) for found in items]
+                named = [sorted({part.items[i] for i in found}, key=lambda x: (x is None, x or "")) for found in items]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([value("segment").as_py()] * n_docs, pa.int64()),
@@ -287,11 +288,11 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def parts_of(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def parts_of(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark in parts of at most ``part_bytes`` of text (or one item), brought to the driver one by one."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.where(F.col("text").isNotNull())
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
-    part: list[tuple[str, bytes]] = []
+    part: list[tuple[str | None, bytes]] = []
     size = 0
     for row in items.toLocalIterator():
         if part and size + len(row["text"]) > part_bytes:
