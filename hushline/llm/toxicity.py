@@ -200,7 +200,8 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.binary())], schema.names)
 
     texts = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("_text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    words = texts.mapInArrow(run, schema)
+    # One row per chosen doc_id, any but always the same, however often rows repeat it.
+    words = texts.mapInArrow(run, schema).groupBy("doc_id").agg(F.min_by("words", F.xxhash64("words")).alias("words"))
     found = words.join(chosen, "doc_id").orderBy("doc_id", "words").toArrow()  # max_rows documents at most
     targets = np.column_stack([found.column(f"_y{i}").to_numpy() for i in range(len(categories))]) if found.num_rows else np.zeros((0, len(categories)))
     ids = found.column("doc_id").to_numpy().astype(np.uint64)
