@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import chat_tools, decontamination, line_dedup, oracles, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
+from hushline.llm import alignment, chat_tools, decontamination, line_dedup, oracles, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
 from hushline.llm.common import table
 from hushline.session import new_folder
 
@@ -108,6 +108,11 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("errors", F.array_join("errors", ";"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    both = alignment.Tokenizers.load(a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), both)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_codec": op2_token_codec,
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_tools": op10_chat_tools,
+    "op11_alignment": op11_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
