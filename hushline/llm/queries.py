@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import alignment, chat_tools, decontamination, line_dedup, oracles, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
+from hushline.llm import alignment, chat_tools, decontamination, hard_negatives, line_dedup, oracles, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
 from hushline.llm.common import table
 from hushline.session import new_folder
 
@@ -113,6 +113,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None,
     return alignment.align(table(spark, sf_dir, "documents"), both)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_codec": op2_token_codec,
@@ -125,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_tools": op10_chat_tools,
     "op11_alignment": op11_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -135,4 +141,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_sharding": oracles.SHARDING,
     "op9_line_dedup": oracles.LINE_DEDUP,
     "op10_chat_tools": oracles.CHAT_TOOLS,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
