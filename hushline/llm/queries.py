@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushline.llm import alignment, chat_tools, decontamination, hard_negatives, line_dedup, oracles, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
+from hushline.llm import alignment, chat_tools, decontamination, hard_negatives, line_dedup, ngram_join, oracles, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_codec, toxicity
 from hushline.llm.common import table
 from hushline.session import new_folder
 
@@ -118,6 +118,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), ngram_join.Rule(size=3, num=9, den=10))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_codec": op2_token_codec,
@@ -131,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op10_chat_tools": op10_chat_tools,
     "op11_alignment": op11_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_ngram_join": op13_ngram_join,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -142,4 +147,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": oracles.LINE_DEDUP,
     "op10_chat_tools": oracles.CHAT_TOOLS,
     "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_ngram_join": oracles.NGRAM_JOIN,
 }
