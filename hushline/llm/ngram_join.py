@@ -38,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,8 +172,8 @@ def rank_table(sets: DataFrame) -> np.ndarray:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles by their low bits, in a power of two of at least two places a shingle."""
-    width = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    """Parities of the shingles by their low bits, in a power of two of at least one place a shingle."""
+    width = 1 << max(6, (len(shingles) - 1).bit_length())
     places = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((places & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -446,12 +446,18 @@ def classes(texts: DataFrame, rule: Rule = Rule(), group: int = GROUP, empty_ali
 
     every = prefixes.select(F.posexplode("prefix").alias("pos", "h"), "key", "n")
     shared = stored(every.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1"), "shared")
-    posts = stored(every.join(shared, "h").select("h", "pos", "key", "n", "_n"), "posts")
-    posts = posts.withColumn("pos", F.col("pos").cast("long"))
+    # Length filter: the set of the next smaller or next larger size in its share must be near enough; hot shingles go on whole.
+    share = F.pmod(F.xxhash64("key", "h"), F.ceil(F.col("_n") / group).cast("int"))
+    by_size = Window.partitionBy("h", "_share").orderBy("n")
+    near = lambda small, large: F.coalesce(rule.den * small >= rule.num * large, F.lit(False))
+    neighbours = every.join(shared, "h").withColumn("_share", share).select(
+        "h", F.col("pos").cast("long").alias("pos"), "key", "n", "_n", F.lag("n").over(by_size).alias("_low"), F.lead("n").over(by_size).alias("_high")
+    )
+    posts = neighbours.where((F.col("_n") > group) | near(F.col("_low"), F.col("n")) | near(F.col("n"), F.col("_high")))
+    posts = stored(posts.drop("_low", "_high"), "posts")
     posted = stored(prefixes.join(posts.select("key").distinct(), "key", "left_semi"), "posted")
 
     # One proposal per set, verified on the whole sets.
-    share = F.pmod(F.xxhash64("key", "h"), F.ceil(F.col("_n") / group).cast("int"))
     dealt = _placed(posts.withColumn("label", F.col("key")), posted, F.xxhash64("h", share), F.lit(0))
     proposed = stored(dealt.select(*POSTED, "h").mapInArrow(_propose(rule), PROPOSED), "proposed")
     pairs = stored(proposed.groupBy("b").agg(F.min("a").alias("a")), "pairs")

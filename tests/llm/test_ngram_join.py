@@ -115,7 +115,12 @@ def test_bitmaps_never_exceed_the_distance():
     bits = ngram_join.Bitmaps([ngram_join.parity(s) for s in sets])
     x, y = (v.ravel() for v in np.meshgrid(np.arange(60), np.arange(60)))
     exact = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
-    assert (bits.distance(x, y) <= exact).all() and bits.distance(x, y).sum() > 0.4 * exact.sum()
+    far = bits.distance(x, y)
+    assert (far <= exact).all()
+    n = np.array([len(s) for s in sets])
+    alike = (x != y) & (10 * np.minimum(n[x], n[y]) >= 9 * np.maximum(n[x], n[y]))
+    rule = ngram_join.Rule()
+    assert alike.sum() > 50 and (far[alike] > rule.apart(n[x][alike], n[y][alike])).mean() > 0.95  # unrelated sets are refused
 
 
 def test_rank_table_counts_every_text(spark):
