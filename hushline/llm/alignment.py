@@ -8,6 +8,10 @@ Merging.  The documents of a slice advance together: one state vector holds a po
 ends of each document.  A step compares the two ends of all documents, writes a link and a cut where they are equal, and
 moves the pointer whose end is smaller (both, if equal); finished documents leave the state.
 
+Encoding.  Between two characters that are not white space, a single space begins a new word for both tokenizers (checked
+on their files when they are loaded; otherwise the whole text is one word).  So the libraries see each distinct word of a
+task once, and a text's tokens are put together from its words'.
+
 Scores.  The count of an id pair is the number of links of the whole corpus that hold it.  Tasks count their own pairs
 before anything is shuffled.  The ``HEAVY`` most frequent pairs (a bound on what is sent to tasks) are looked up in place;
 the links of all other pairs, none of which can be hot, meet their counts in a join.  Both ways are exact.
@@ -20,10 +24,12 @@ columns are left alone; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,7 @@ from hushline.session import stored
 HEAVY = 1 << 17
 PAIRS = 1 << 20  # distinct pairs that a task counts before it hands them on
 SLICE = 4 << 20
+WORDS = 500_000  # words whose tokens a task remembers
 MARK = "▁"
 
 
@@ -53,7 +60,10 @@ class Spelling:
     def __init__(self, spelled: list[bytes]):
         self.spelled = spelled
         self.sizes = np.array([len(s) for s in spelled], np.int64)
-        self.numbers = [f"{i}".encode() for i in range(len(spelled))]
+
+    def numbers(self, close: str) -> np.ndarray:
+        """At 2 i the number i and a comma, at 2 i + 1 the number and ``close``."""
+        return np.array([f"{i}{c}".encode() for i in range(len(self.spelled)) for c in (",", close)], object)
 
 
 @dataclass(frozen=True)
@@ -96,6 +106,19 @@ class Tokenizers:
         spell = lambda i, p: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
         return Spelling([spell(i, p) for i, p in enumerate(pieces)])
 
+    @cached_property
+    def notes(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.a_spelling.numbers("|"), self.b_spelling.numbers(";")
+
+    @cached_property
+    def cuts_words(self) -> bool:
+        """Whether a space between two characters that are not white space starts a word for both."""
+        settings = json.loads(self.a_json)
+        before = settings.get("pre_tokenizer") or {}
+        a = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not settings.get("normalizer")
+        pieces = (self.b.id_to_piece(i) for i in range(self.b.vocab_size()))
+        return bool(a) and not any(MARK in p.lstrip(MARK) for p in pieces)
+
     def __getstate__(self):
         return self.a_json, self.b_model  # the loaded tokenizers stay where they are
 
@@ -138,9 +161,63 @@ class Aligned:
         return np.diff(np.searchsorted(self.a_cut, self.a_at))
 
 
-def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    at = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-    return np.fromiter((i for one in ids for i in one), np.int64, int(at[-1])), at
+def words_of(text: str) -> list[str]:
+    """The words of a text: cut at single spaces between characters that are not white space."""
+    words = text.split(" ")
+    if all(map(str.strip, words)) and all(w == w.strip() for w in words):
+        return words
+    out = [words[0]]
+    for w in words[1:]:
+        if out[-1] and w and not out[-1][-1].isspace() and not w[0].isspace():
+            out.append(w)
+        else:
+            out[-1] = f"{out[-1]} {w}"
+    return out
+
+
+class Words(dict):
+    """The tokens of each word that a task has met: a number per word, and the words' ids one after the other."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        super().__init__()
+        self.tokenizers = tokenizers
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.at = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.good = np.zeros(0, bool)
+
+    def learn(self, words: list[str]) -> None:
+        t = self.tokenizers
+        found = [e.ids for e in t.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)], t.b.encode(words, num_threads=1)
+        wholes = [b" " + w.encode() for w in words]
+        good = np.ones(len(words), bool)
+        for ids, spelling in zip(found, (t.a_spelling, t.b_spelling)):
+            good &= self._same(ids, spelling.spelled.__getitem__, wholes)
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+        self.good = np.concatenate([self.good, good])
+        for side, ids in enumerate(found):
+            self.ids[side] = np.concatenate([self.ids[side], np.fromiter(chain.from_iterable(ids), np.int64)])
+            self.at[side] = np.concatenate([self.at[side], self.at[side][-1] + np.cumsum([len(i) for i in ids])])
+
+    @staticmethod
+    def _same(ids: list[list[int]], spelled, wholes: list[bytes]) -> np.ndarray:
+        """Whether the ids of each word spell it: in one comparison if all do, else word by word."""
+        lengths = [len(i) for i in ids]
+        flat = list(map(spelled, chain.from_iterable(ids)))
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in flat])])[np.cumsum(lengths)]
+        if b"".join(flat) == b"".join(wholes) and (ends == np.cumsum([len(w) for w in wholes])).all():
+            return np.ones(len(ids), bool)
+        return np.array([b"".join(map(spelled, i)) == w for i, w in zip(ids, wholes)])
+
+    def tokens(self, side: int, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, and the offsets of the texts, of which ``at`` holds the offsets in words."""
+        n = self.at[side][words + 1] - self.at[side][words]
+        until = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(self.at[side][words] - until[:-1], n) + np.arange(until[-1])
+        return self.ids[side][place], until[at]
 
 
 def ends(ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -149,19 +226,26 @@ def ends(ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return running[1:] - np.repeat(running[at[:-1]], np.diff(at))
 
 
-def align_texts(tokenizers: Tokenizers, texts: list[bytes]) -> Aligned:
-    decoded = [t.decode("utf-8", "replace") for t in texts]
-    some = [i for i, t in enumerate(decoded) if t]
-    a_ids: list[list[int]] = [[]] * len(texts)
-    b_ids: list[list[int]] = [[]] * len(texts)
-    a_found = tokenizers.a.encode_batch_fast([" " + decoded[i] for i in some], add_special_tokens=False)
-    b_found = tokenizers.b.encode([decoded[i] for i in some], num_threads=1)
-    a_bytes, b_bytes = tokenizers.a_spelling.spelled.__getitem__, tokenizers.b_spelling.spelled.__getitem__
-    for i, a, b in zip(some, a_found, b_found):
-        a, whole = a.ids, b" " + texts[i]
-        if b"".join(map(a_bytes, a)) == whole and b"".join(map(b_bytes, b)) == whole:
-            a_ids[i], b_ids[i] = a, b
-    (a, a_at), (b, b_at) = flat(a_ids), flat(b_ids)
+def align_texts(known: Words, texts: list[bytes]) -> Aligned:
+    tokenizers = known.tokenizers
+    if len(known) > WORDS:
+        known.forget()
+    words: list[list[str]] = []
+    for text in texts:
+        try:
+            whole = text.decode()
+        except UnicodeDecodeError:  # no tokenizer gives these bytes back
+            whole = ""
+        words.append((words_of(whole) if tokenizers.cuts_words else [whole]) if whole else [])
+    fresh = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in known]
+    if fresh:
+        known.learn(fresh)
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(at[-1]))
+    running = np.concatenate([[0], np.cumsum(~known.good[numbers])])
+    good = np.repeat(running[at[1:]] == running[at[:-1]], np.diff(at))  # words of texts that both give back
+    at, numbers = np.concatenate([[0], np.cumsum(good)])[at], numbers[good]
+    (a, a_at), (b, b_at) = (known.tokens(side, numbers, at) for side in (0, 1))
     link = lockstep(ends(a, a_at, tokenizers.a_spelling.sizes), a_at, ends(b, b_at, tokenizers.b_spelling.sizes), b_at)
     a_cut = np.flatnonzero(link >= 0)
     return Aligned(a, a_at, b, b_at, a_cut, link[a_cut])
@@ -177,16 +261,11 @@ def notation(tokenizers: Tokenizers, found: Aligned) -> list[bytes]:
     b_before = np.concatenate([[0], found.b_cut + 1])
     a_until = np.concatenate([found.a_cut + 1, [n_a]])
     text = np.empty(n_a + n_b, object)
-    last = np.zeros(n_b, bool)
-    last[found.b_at[1:][np.diff(found.b_at) > 0] - 1] = True
-    for ids, cut, group, spot, spelling, close in (
-        (found.a_ids, a_ends, a_group, np.arange(n_a) + b_before[a_group], tokenizers.a_spelling, b"|"),
-        (found.b_ids, b_ends, b_group, np.arange(n_b) + a_until[b_group], tokenizers.b_spelling, b";"),
-    ):
-        numbers = spelling.numbers
-        text[spot] = [numbers[i] + (close if c else b",") for i, c in zip(ids.tolist(), cut.tolist())]
+    a_notes, b_notes = tokenizers.notes
+    text[np.arange(n_a) + b_before[a_group]] = a_notes[2 * found.a_ids + a_ends]
+    text[np.arange(n_b) + a_until[b_group]] = b_notes[2 * found.b_ids + b_ends]
     at = found.a_at + found.b_at
-    return [b"".join(text[x:y])[:-1] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+    return [b"".join(text[x:y].tolist())[:-1] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _schema(docs: DataFrame) -> T.StructType:
@@ -200,8 +279,9 @@ def groups(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(tokenizers)
         for part in slices(batches, "_text", SLICE):
-            f = align_texts(tokenizers, part.column("_text").to_pylist())
+            f = align_texts(known, part.column("_text").to_pylist())
             cut_at = np.concatenate([[0], np.cumsum(f.n_links)])
             lists = [
                 (f.a_at, f.a_ids), (f.b_at, f.b_ids),
@@ -218,8 +298,9 @@ def linked(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     schema = _schema(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(tokenizers)
         for part in slices(batches, "_text", SLICE):
-            f = align_texts(tokenizers, part.column("_text").to_pylist())
+            f = align_texts(known, part.column("_text").to_pylist())
             n_links = f.n_links
             codes = f.a_ids[f.a_cut] * len(tokenizers.b_spelling.sizes) + f.b_ids[f.b_cut]
             raw = codes.astype("<u4" if len(tokenizers.a_spelling.sizes) * len(tokenizers.b_spelling.sizes) <= 1 << 32 else "<u8")
