@@ -207,14 +207,18 @@ def _limits(windows: list[dict] | None, rule: Rule) -> Iterator[tuple[int, float
 
 def threshold_join(anchors: DataFrame, points: DataFrame, dims: int, same_label: bool, wanted: int, rule: Rule, blocks: Blocks) -> DataFrame:
     """The best ``wanted`` rows of each window among those that reach the anchors' thresholds."""
-    group = F.col("label") if same_label else F.lit(0)
-    sizes = points.groupBy(group.alias("_g")).agg(F.ceil(F.count("*") / blocks.rows).cast("int").alias("_d"))
-    asked = anchors.groupBy(group.alias("_g")).agg(F.ceil(F.count("*") / blocks.anchors).cast("int").alias("_q"))
-    sizes = stored(sizes.join(asked, "_g"), "blocks")  # one row per label that has anchors, or one in all
+    if same_label:
+        sizes = points.groupBy(F.col("label").alias("_g")).agg(F.ceil(F.count("*") / blocks.rows).cast("int").alias("_d"))
+        asked = anchors.groupBy(F.col("label").alias("_g")).agg(F.ceil(F.count("*") / blocks.anchors).cast("int").alias("_q"))
+        sizes = stored(sizes.join(asked, "_g"), "blocks")  # one row per label that has anchors
+        anchors, points = (df.withColumn("_g", F.col("label")).join(sizes, "_g") for df in (anchors, points))
+    else:
+        counts = [F.lit(max(1, -(-df.count() // most))) for df, most in ((points, blocks.rows), (anchors, blocks.anchors))]
+        anchors, points = (df.select("*", F.lit(0).alias("_g"), counts[0].alias("_d"), counts[1].alias("_q")) for df in (anchors, points))
     mine = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = anchors.withColumn("_g", group).join(sizes, "_g").withColumn("_a", mine("row", "_q")).withColumn("_b", every("_d"))
-    right = points.withColumn("_g", group).join(sizes, "_g").withColumn("_b", mine("row", "_d")).withColumn("_a", every("_q"))
+    left = anchors.withColumn("_a", mine("row", "_q")).withColumn("_b", every("_d"))
+    right = points.withColumn("_b", mine("row", "_d")).withColumn("_a", every("_q"))
     left = left.select("_g", "_a", "_b", "row", "label", "v", "threshold", "windows")
     right = right.select("_g", "_a", "_b", "row", "vec_id", "label", "v")
     found = left.groupBy("_g", "_a", "_b").cogroup(right.groupBy("_g", "_a", "_b")).applyInArrow(_join(dims, same_label, wanted, rule), FOUND)
