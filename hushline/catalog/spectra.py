@@ -143,7 +143,7 @@ for _name in VIEW_SQL:
     f"WITH RECURSIVE {FRAMES_SQL}, {EMA_SQL} SELECT clip_no, frame, bin, round(greatest(0e0, least(1e0, (xr*xr + xi*xi) / (nn*ff + 1e-8))), 6) + 0e0 AS coherence FROM em",
 )
 def w05(v: Views) -> DataFrame:
-    long = frontends.causal_coherence(spectra.explode_bins(small_packed(v)), frontends.Settings())
+    long = frontends.prepared(small_packed(v), [], coherence=True)
     return rounded(long.select("clip_no", "frame", "bin", "coherence"))
 
 
@@ -165,7 +165,7 @@ def w06(v: Views) -> DataFrame:
 )
 def w05_small(v: Views) -> DataFrame:
     settings = frontends.Settings(coherence_alpha=0.04, block=4)
-    long = frontends.causal_coherence(spectra.explode_bins(small_packed(v, 4)), settings)
+    long = frontends.prepared(small_packed(v, 4), [], settings, coherence=True)
     return rounded(long.select("clip_no", "frame", "bin", "coherence"))
 
 
@@ -314,9 +314,8 @@ WIDE = acoustic_path.PathSettings(smoothing_bins=3)
     f"WITH {FRAMES_SQL}, w AS ({smooth_sql(4, 'clip_no, frame', 'sp', 'nr fi')}) SELECT clip_no, frame, bin, round(nr, 6) + 0e0 AS near_re, round(fi, 6) + 0e0 AS far_im FROM w",
 )
 def w08(v: Views) -> DataFrame:
-    long = spectra.explode_bins(small_packed(v))
-    smoothed = acoustic_path.smooth_bins(long, ["near_re", "far_im"], 4, ["clip_no", "block", "frame"])
-    return rounded(smoothed.select("clip_no", "frame", "bin", "near_re", "far_im"))
+    smoothed = acoustic_path.smooth_bins(small_packed(v), ["near_re", "far_im"], 4)
+    return rounded(spectra.explode_bins(smoothed).select("clip_no", "frame", "bin", "near_re", "far_im"))
 
 
 @query(
@@ -335,7 +334,7 @@ def t16(v: Views) -> DataFrame:
     f"WITH RECURSIVE {FRAMES_SQL}, {EMA_SQL}, w AS ({smooth_sql(3, 'clip_no, frame', 'em', 'xr xi nn ff')}) SELECT clip_no, frame, bin, {TRANSFER_OUT} FROM w",
 )
 def t17(v: Views) -> DataFrame:
-    rows = acoustic_path.with_transfer(small_packed(v), WIDE)
+    rows = spectra.explode_bins(acoustic_path.with_transfer(small_packed(v), WIDE), acoustic_path.TRANSFER)
     return rounded(rows.select("clip_no", "frame", "bin", "transfer_re", "transfer_im", "coherence"))
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hushline.functions import complexes as c
 from hushline.functions.complexes import Cx, cx
-from hushline.functions.numeric import EPS, clip, d, sigmoid
-from hushline.operators.frontends import coherence_of, ema, far_bin, near_bin
+from hushline.functions.numeric import EPS, clip, d
+from hushline.operators.frontends import bounded_coherence, ema, far_bin, near_bin, powers
+from hushline.operators.recurrence import Matrices, map_frames, scan
 from hushline.operators.selection import frequency_band
 from hushline.operators.spectra import BLOCK, PACKED, attach_bins, explode_bins
 
@@ -50,82 +52,89 @@ def log_ratio(near: Cx, far: Cx, eps: float) -> Column:
     return F.log((c.magnitude(near) + d(eps)) / (c.magnitude(far) + d(eps)))
 
 
-def gate_value(coherence: Column, snr: Column, s: PathSettings) -> Column:
-    logit = d(s.coherence_weight) * (d(2.0) * coherence - d(1.0)) + d(s.snr_weight) * snr + d(s.bias)
-    open_ = d(s.gate_min) + d(s.gate_max - s.gate_min) * sigmoid(logit)
-    return clip(open_, s.gate_min, s.gate_max)
+def gate_value(coherence: np.ndarray, snr: np.ndarray, s: PathSettings) -> np.ndarray:
+    logit = s.coherence_weight * (2.0 * coherence - 1.0) + s.snr_weight * snr + s.bias
+    return np.clip(s.gate_min + (s.gate_max - s.gate_min) / (1.0 + np.exp(-np.clip(logit, -40.0, 40.0))), s.gate_min, s.gate_max)
 
 
-def smooth_bins(df: DataFrame, values: Sequence[str], width: int, keys: Sequence[str]) -> DataFrame:
-    """Centred moving mean over bins with zero-padded edges (a group is one frame or one clip of bins)."""
-    if width == 1:
-        return df
-    along = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-(width // 2), width - width // 2 - 1)
-    smoothed = {v: F.sum(v).over(along) / d(width) for v in values}
-    return df.select(*[smoothed[n].alias(n) if n in smoothed else F.col(n) for n in df.columns])
+def moving_mean(values: np.ndarray, width: int) -> np.ndarray:
+    """Centred moving mean over the bins of each row with zero-padded edges."""
+    bins = values.shape[1]
+    padded = np.pad(values, ((0, 0), (width // 2, width - width // 2 - 1)))
+    return sum(padded[:, k : k + bins] for k in range(width)) / width
 
 
-_STATS = ("ema_re", "ema_im", "ema_near", "ema_far")
+def smooth_bins(packed: DataFrame, values: Sequence[str], width: int) -> DataFrame:
+    """Packed spectra with the named arrays smoothed over bins, frame by frame."""
+    smoothed = [f"_smooth_{v}" for v in values]
+    wide = map_frames(packed, values, smoothed, lambda m: {f"_smooth_{v}": moving_mean(m[v], width) for v in values})
+    return wide.select(*[F.col(f"_smooth_{n}").alias(n) if n in values else F.col(n) for n in packed.columns])
 
 
-def _transfer_columns(df: DataFrame, s: PathSettings) -> DataFrame:
-    near, far = F.col("ema_near"), F.col("ema_far")
-    inverse = d(1.0) / (far + d(s.reg_floor))
-    return df.select(
-        *[n for n in df.columns if n not in _STATS],
-        (F.col("ema_re") * inverse).alias("transfer_re"),
-        (F.col("ema_im") * inverse).alias("transfer_im"),
-        coherence_of(cx("ema"), near, far, s.eps).alias("coherence"),
-    )
+TRANSFER = ("transfer_re", "transfer_im", "coherence")
 
 
-def static_transfer(packed: DataFrame, s: PathSettings) -> DataFrame:
-    """One transfer row per (clip_no, bin) from the clip's mean cross and auto power."""
+def transfer_of(averages: Matrices, s: PathSettings) -> Matrices:
+    """Transfer and coherence from (clips or frames) x bins of averaged cross and auto powers."""
+    smooth = {n: moving_mean(v, s.smoothing_bins) for n, v in averages.items()}
+    inverse = 1.0 / (smooth["far"] + s.reg_floor)
+    return {"transfer_re": smooth["re"] * inverse, "transfer_im": smooth["im"] * inverse, "coherence": bounded_coherence(smooth, s.eps)}
+
+
+def static_arrays(packed: DataFrame, s: PathSettings) -> DataFrame:
+    """One row per clip: transfer and coherence arrays from the clip's mean cross and auto power, and its last block."""
     cross = c.cross(near_bin(), far_bin())
     means = explode_bins(packed.select("clip_no", "block", *PACKED)).groupBy("clip_no", "bin").agg(
-        F.max("block").alias("last_block"),
-        F.avg(cross.re).alias("ema_re"), F.avg(cross.im).alias("ema_im"),
-        F.avg(c.power(near_bin())).alias("ema_near"), F.avg(c.power(far_bin())).alias("ema_far"),
+        F.max("block").alias("_last"),
+        F.avg(cross.re).alias("re"), F.avg(cross.im).alias("im"),
+        F.avg(c.power(near_bin())).alias("near"), F.avg(c.power(far_bin())).alias("far"),
     )
-    return _transfer_columns(smooth_bins(means, _STATS, s.smoothing_bins, ["clip_no"]), s)
+    stats = ("re", "im", "near", "far")
+    rows = means.groupBy("clip_no").agg(F.max("_last").alias("last_block"), F.array_sort(F.collect_list(F.struct("bin", *stats))).alias("_a"))
+    arrays = rows.select("clip_no", "last_block", *[F.col(f"_a.{n}").alias(n) for n in stats])
+    return map_frames(arrays, stats, TRANSFER, lambda m: transfer_of(m, s)).select("clip_no", "last_block", *TRANSFER)
+
+
+def static_transfer(packed: DataFrame, s: PathSettings) -> DataFrame:
+    """One transfer row per (clip_no, bin)."""
+    return explode_bins(static_arrays(packed, s), TRANSFER)
 
 
 def with_transfer(packed: DataFrame, s: PathSettings) -> DataFrame:
-    """Long spectra with transfer and coherence, causal or static per clip."""
+    """Packed spectra with transfer and coherence arrays, causal or static per clip."""
     if s.mode == "static_per_clip":
-        added = ["transfer_re", "transfer_im", "coherence"]
-        wide = attach_bins(packed, static_transfer(packed, s), added)
-        return explode_bins(wide, [*PACKED, *added])
-    averaged = ema(explode_bins(packed), s.alpha, s.block)
-    smoothed = smooth_bins(averaged, _STATS, s.smoothing_bins, ["clip_no", "block", "frame"])
-    return _transfer_columns(smoothed, s)
+        return attach_bins(packed, static_transfer(packed, s), list(TRANSFER))
+    return scan(packed, [ema(s.alpha, TRANSFER, lambda averages: transfer_of(averages, s))], PACKED, s.block)
 
 
-def acoustic_path(packed: DataFrame, s: PathSettings = PathSettings()) -> DataFrame:
-    """Long spectra with residual, transfer, gate, snr_proxy, coherence, path_confidence and removed ratio.
+PATH = ("residual_re", "residual_im", "gate", "snr_proxy", "path_confidence", "removed_energy_ratio")
 
-    The energy bound is a sum over the bins of one frame: a window inside the (clip_no, block) placement.
-    """
-    rows = with_transfer(packed, s).withColumn("snr_proxy", snr_proxy(near_bin(), far_bin(), s.eps))
-    gate = d(0.0) if s.bypass else gate_value(F.col("coherence"), F.col("snr_proxy"), s)
-    rows = rows.withColumn("gate", gate)
-    removed = c.scaled(c.product(cx("transfer"), far_bin()), F.col("gate"))
-    rows = rows.withColumn("cancelled_re", removed.re).withColumn("cancelled_im", removed.im)
-    frame = Window.partitionBy("clip_no", "block", "frame")
-    rows = rows.withColumn("_removed", F.sum(c.power(cx("cancelled"))).over(frame))
-    rows = rows.withColumn("_energy", F.greatest(F.sum(c.power(near_bin())).over(frame), d(s.eps)))
-    ratio = F.col("_removed") / F.col("_energy")
-    scale = F.least(d(1.0), F.sqrt(d(s.max_removed_ratio) / F.greatest(ratio, d(s.eps))))
-    rows = rows.withColumn("_scale", scale)
-    rows = rows.withColumn("removed_energy_ratio", ratio * F.col("_scale") * F.col("_scale"))
-    used = clip(F.col("removed_energy_ratio") / d(s.max_removed_ratio), 0.0, 1.0)
-    residual = c.minus(near_bin(), c.scaled(cx("cancelled"), F.col("_scale")))
-    return rows.select(
-        *[n for n in rows.columns if not n.startswith(("_", "cancelled"))],
-        residual.re.alias("residual_re"),
-        residual.im.alias("residual_im"),
-        clip(F.col("coherence") * (d(1.0) - used), 0.0, 1.0).alias("path_confidence"),
-    )
+
+def cancelled(m: Matrices, s: PathSettings) -> Matrices:
+    """Residual, gate and confidence of frames x bins; the removed energy is bounded frame by frame."""
+    p = powers(m)
+    snr = np.clip(np.log((p["near"] + s.eps) / (p["far"] + s.eps)), -12.0, 12.0)
+    gate = np.zeros_like(snr) if s.bypass else gate_value(m["coherence"], snr, s)
+    re = gate * (m["transfer_re"] * m["far_re"] - m["transfer_im"] * m["far_im"])
+    im = gate * (m["transfer_re"] * m["far_im"] + m["transfer_im"] * m["far_re"])
+    ratio = (re**2 + im**2).sum(axis=1, keepdims=True) / np.maximum(p["near"].sum(axis=1, keepdims=True), s.eps)
+    scale = np.minimum(1.0, np.sqrt(s.max_removed_ratio / np.maximum(ratio, s.eps)))
+    removed = ratio * scale * scale
+    trust = m["coherence"] * (1.0 - np.clip(removed / s.max_removed_ratio, 0.0, 1.0))
+    return {
+        "residual_re": m["near_re"] - scale * re, "residual_im": m["near_im"] - scale * im, "gate": gate, "snr_proxy": snr,
+        "path_confidence": np.clip(trust, 0.0, 1.0), "removed_energy_ratio": np.broadcast_to(removed, snr.shape),
+    }
+
+
+def path_arrays(packed: DataFrame, s: PathSettings = PathSettings()) -> DataFrame:
+    """Packed spectra with the arrays of the acoustic path."""
+    return map_frames(with_transfer(packed, s), [*PACKED, *TRANSFER], PATH, lambda m: cancelled(m, s))
+
+
+def acoustic_path(packed: DataFrame, s: PathSettings = PathSettings()) -> DataFrame:
+    """Long spectra with residual, transfer, gate, snr_proxy, coherence, path_confidence and removed ratio."""
+    return explode_bins(path_arrays(packed, s), [*PACKED, *TRANSFER, *PATH])
 
 
 def multi_view(packed: DataFrame, s: PathSettings = PathSettings()) -> DataFrame:

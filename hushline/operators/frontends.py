@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushline.functions import complexes as c
 from hushline.functions.complexes import Cx, cx
 from hushline.functions.numeric import EPS, clip, d
-from hushline.operators.recurrence import recurrence
+from hushline.operators.recurrence import Matrices, Recurrence, scan
 from hushline.operators.spectra import BLOCK, PACKED, attach_bins, explode_bins
 
 
@@ -118,35 +119,51 @@ def static_coherence(packed: DataFrame, s: Settings) -> DataFrame:
     return means.select("clip_no", "bin", "last_block", value.alias("static_coherence"))
 
 
-def ema(spectra: DataFrame, alpha: float, block: int) -> DataFrame:
-    """Causal averages of cross power and both powers, seeded with the first frame."""
-    cross = c.cross(near_bin(), far_bin())
-    fresh = F.when(F.col("frame") == 0, d(1.0)).otherwise(d(1.0 - alpha))
-    values = {"ema_re": cross.re, "ema_im": cross.im, "ema_near": c.power(near_bin()), "ema_far": c.power(far_bin())}
+def powers(m: Matrices) -> Matrices:
+    """Cross power near * conj(far) and both powers of a block's matrices."""
+    return {
+        "re": m["near_re"] * m["far_re"] + m["near_im"] * m["far_im"], "im": m["near_im"] * m["far_re"] - m["near_re"] * m["far_im"],
+        "near": m["near_re"] ** 2 + m["near_im"] ** 2, "far": m["far_re"] ** 2 + m["far_im"] ** 2,
+    }
+
+
+def bounded_coherence(m: Matrices, eps: float) -> np.ndarray:
+    return np.clip((m["re"] ** 2 + m["im"] ** 2) / (m["near"] * m["far"] + eps), 0.0, 1.0)
+
+
+def ema(alpha: float, outputs: tuple[str, ...], finish) -> Recurrence:
+    """Causal averages of cross power and both powers, seeded with the first frame; ``finish(averages)`` gives the outputs."""
     if not 0.0 <= alpha < 1.0:
         raise ValueError("alpha must lie in [0, 1)")
-    return recurrence(spectra, d(alpha), {n: fresh * v for n, v in values.items()}, block)
 
+    def step(m: Matrices, frame: np.ndarray) -> tuple[np.ndarray, Matrices]:
+        fresh = np.where(frame == 0, 1.0, 1.0 - alpha)[:, None]
+        return np.full(m["near_re"].shape, alpha), {n: fresh * v for n, v in powers(m).items()}
 
-def causal_coherence(spectra: DataFrame, s: Settings) -> DataFrame:
-    """Long spectra plus ``coherence`` from the causal averages."""
-    averaged = ema(spectra, s.coherence_alpha, s.block)
-    value = coherence_of(cx("ema"), F.col("ema_near"), F.col("ema_far"), s.eps)
-    return averaged.withColumn("coherence", value).drop("ema_re", "ema_im", "ema_near", "ema_far")
+    return Recurrence(("re", "im", "near", "far"), step, outputs, lambda m, after, before: finish(after))
 
 
-def adaptive(spectra: DataFrame, s: Settings) -> DataFrame:
+def causal_coherence(s: Settings) -> Recurrence:
+    return ema(s.coherence_alpha, ("coherence",), lambda averages: {"coherence": bounded_coherence(averages, s.eps)})
+
+
+def adaptive(s: Settings) -> Recurrence:
     """Adaptive coefficient after (``after_*``) and before (``before_*``) each frame's update.
 
     The update is linear in the coefficient: w' = w (1 - step |far|^2 / norm) + step conj(far) near / norm.
     """
     if s.adaptive_step <= 0.0:
         raise ValueError("adaptive_step must be positive")
-    norm = c.power(far_bin()) + d(s.eps)
-    factor = d(1.0) - d(s.adaptive_step) * c.power(far_bin()) / norm
-    push = c.scaled(c.cross(near_bin(), far_bin()), d(s.adaptive_step) / norm)
-    before = {"after_re": "before_re", "after_im": "before_im"}
-    return recurrence(spectra, factor, {"after_re": push.re, "after_im": push.im}, s.block, before=before)
+
+    def step(m: Matrices, frame: np.ndarray) -> tuple[np.ndarray, Matrices]:
+        p = powers(m)
+        norm = p["far"] + s.eps
+        return 1.0 - s.adaptive_step * p["far"] / norm, {n: s.adaptive_step / norm * p[n] for n in ("re", "im")}
+
+    return Recurrence(
+        ("re", "im"), step, ("after_re", "after_im", "before_re", "before_im"),
+        lambda m, after, before: {f"{w}_{n}": v[n] for w, v in (("after", after), ("before", before)) for n in ("re", "im")},
+    )
 
 
 def prepared(packed: DataFrame, names, s: Settings = Settings(), coherence: bool = False) -> DataFrame:
@@ -156,12 +173,11 @@ def prepared(packed: DataFrame, names, s: Settings = Settings(), coherence: bool
     if "static_coherence" in needs:
         packed = attach_bins(packed, static_coherence(packed, s), ["static_coherence"])
         arrays.append("static_coherence")
-    long = explode_bins(packed, arrays)
-    if coherence:
-        long = causal_coherence(long, s)
-    if "adaptive" in needs:
-        long = adaptive(long, s)
-    return long
+    parts = ([causal_coherence(s)] if coherence else []) + ([adaptive(s)] if "adaptive" in needs else [])
+    if parts:
+        packed = scan(packed, parts, PACKED, s.block)
+        arrays += [n for part in parts for n in part.outputs]
+    return explode_bins(packed, arrays)
 
 
 def apply(packed: DataFrame, name: str, s: Settings = Settings()) -> DataFrame:

@@ -1,105 +1,155 @@
-"""First-order recurrences s_n = a_n * s_(n-1) + b_n along frames, block by block.
+"""First-order recurrences s_n = a_n * s_(n-1) + b_n along frames, over matrices of frames x bins.
 
-A step is an affine map of the state, and maps compose: (a2, b2) after (a1, b1) is (a2 * a1, a2 * b1 + b2).  Inside a block the
-composition of each frame with all frames before it takes log2(block) doubling rounds.  Nothing is divided, so every
-factor (zero, small, negative, above one) works at every length.  The composed map of a whole block is the only thing
-the next blocks need: one row per block is carried forward, and a long clip is computed in parallel.
+A step is an affine map of the state, and maps compose: (a2, b2) after (a1, b1) is (a2 * a1, a2 * b1 + b2).  One task
+holds a block of one clip as matrices and composes its maps for all bins at once.  Nothing is divided, so
+every factor (zero, small, negative, above one) works at every length.  The composed map of a whole block is the only
+thing the next blocks need: one row per block, with one array per state, is carried along each clip, and the blocks
+of a long clip are computed in parallel.  Clips of a single block carry nothing and are transformed once.
+
+Any number of recurrences run in the same scan, and only what they put out leaves the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from hushline.functions.numeric import d
+Matrices = dict[str, np.ndarray]
+KEYS = ["clip_no", "block"]
+
+
+@dataclass(frozen=True)
+class Recurrence:
+    """``step`` gives the factor and the input of each state from a block's matrices and its frame numbers;
+    ``finish`` gives the output matrices from the block's matrices, the states after and the states before each frame."""
+
+    states: tuple[str, ...]
+    step: Callable[[Matrices, np.ndarray], tuple[np.ndarray, Matrices]]
+    outputs: tuple[str, ...]
+    finish: Callable[[Matrices, Matrices, Matrices], Matrices]
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
 
+def lists(values: np.ndarray) -> pa.ListArray:
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).ravel()))
 
-def zero_start(
-    spectra: DataFrame, factor: Column, inputs: Mapping[str, Column], keys: Sequence[str], block: int
-) -> DataFrame:
-    """The composed map of each frame with its block's frames before it: ``_p`` and ``_l_<name>``."""
-    inside = Window.partitionBy(*keys, "block").orderBy("frame")
-    names = list(inputs)
-    kept = spectra.columns
-    rows = spectra.select("*", factor.alias("_p"), *[inputs[n].alias(f"_l_{n}") for n in names])
+
+def composed(factor: np.ndarray, inputs: Matrices) -> tuple[np.ndarray, Matrices]:
+    """The map of each frame after all frames of its block before it, by doubling the reach of every frame's map."""
+    product, local = np.array(factor, float), {n: np.array(v, float) for n, v in inputs.items()}
     step = 1
-    while step < block:
-        product = F.lag("_p", step, 1.0).over(inside)
-        earlier = {n: F.lag(f"_l_{n}", step, 0.0).over(inside) for n in names}
-        rows = rows.select(
-            *kept, (F.col("_p") * product).alias("_p"),
-            *[(F.col(f"_l_{n}") + F.col("_p") * earlier[n]).alias(f"_l_{n}") for n in names],
-        )
+    while step < len(product):
+        for n, values in local.items():
+            values = values.copy()
+            values[step:] += product[step:] * local[n][:-step]
+            local[n] = values
+        product[step:] = product[step:] * product[:-step]
         step *= 2
-    return rows
-
-
-def recurrence(
-    spectra: DataFrame,
-    factor: Column,
-    inputs: Mapping[str, Column],
-    block: int,
-    keys: Sequence[str] = ("clip_no", "bin"),
-    before: Mapping[str, str] | None = None,
-) -> DataFrame:
-    """Add one state column per input.  ``spectra`` has clip_no, block, frame, bin and frames (clip total).
-
-    ``before`` names columns for the state before the frame's own step.  The windows partition by (keys, block), which
-    the (clip_no, block) placement already satisfies.
-    """
-    keys = list(keys)
-    names = list(inputs)
-    local = zero_start(spectra, factor, inputs, keys, block)
-    packed = carry(local, names, keys).groupBy("clip_no", "block").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*[f"_c_{n}" for n in names])))).alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, "block").orderBy("frame")
-    wanted = before or {}
-    if wanted:
-        local = local.select(
-            "*", F.lag("_p", 1, 1.0).over(inside).alias("_q"), *[F.lag(f"_l_{n}", 1, 0.0).over(inside).alias(f"_m_{n}") for n in wanted]
-        )
-    joined = local.join(packed, ["clip_no", "block"], "left")
-    start = F.try_element_at("_carry", F.col("bin"))
-    carried = lambda n: F.coalesce(start[f"_c_{n}"], d(0.0))
-    return joined.select(
-        *spectra.columns,
-        *[(F.col(f"_l_{n}") + F.col("_p") * carried(n)).alias(n) for n in names],
-        *[(F.col(f"_m_{n}") + F.col("_q") * carried(n)).alias(alias) for n, alias in wanted.items()],
-    )
-
-
-def carry(local: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """State each block starts from: one row per (keys, block) for every block that follows another."""
-    ends = local.groupBy(*keys, "block").agg(
-        F.max_by(F.struct("_p", *[f"_l_{n}" for n in names]), F.col("frame")).alias("_e"),
-        F.max("frame").alias("_last"),
-        F.max("frames").alias("frames"),
-    )
-    # Only a block that is followed by another one hands a state on.
-    ends = ends.where(F.col("_last") + 1 < F.col("frames")).select(
-        *keys, "block", F.col("_e._p").alias("_p"), *[F.col(f"_e._l_{n}").alias(f"_l_{n}") for n in names]
-    )
-    key_fields = [ends.schema[k] for k in [*keys, "block"]]
-    schema = T.StructType([*key_fields, *[T.StructField(f"_c_{n}", T.DoubleType()) for n in names]])
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        product = rows["_p"].to_numpy()
-        out = rows[[*keys]].copy()
-        out["block"] = rows["block"].to_numpy() + 1
-        for n in names:
-            local_end = rows[f"_l_{n}"].to_numpy()
-            states, state = [], 0.0
-            for p, end in zip(product, local_end):
-                state = p * state + end
-                states.append(state)
-            out[f"_c_{n}"] = states
-        return out
-
-    return ends.groupBy(*keys).applyInPandas(follow, schema)
+    return product, local
+
+
+def _block(table: pa.Table, arrays: Sequence[str]) -> tuple[pa.Table, np.ndarray, Matrices]:
+    table = table.take(pa.array(np.argsort(table.column("frame").to_numpy(), kind="stable")))
+    return table, table.column("frame").to_numpy(), {c: matrix(table.column(c)) for c in arrays}
+
+
+def block_maps(packed: DataFrame, parts: Sequence[Recurrence], arrays: Sequence[str], block: int) -> DataFrame:
+    """The composed maps of every block that is followed by another one: clip_no, block, and one array per factor and state."""
+    schema = T.StructType([packed.schema["clip_no"], T.StructField("block", T.LongType()), T.StructField("_maps", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def run(table: pa.Table) -> pa.Table:
+        table, frame, values = _block(table, arrays)
+        rows: list[np.ndarray] = []
+        for part in parts:
+            product, local = composed(*part.step(values, frame))
+            rows += [product[-1], *[local[n][-1] for n in part.states]]
+        maps = pa.array([[r.tolist() for r in rows]], pa.list_(pa.list_(pa.float64())))
+        return pa.table([table.column("clip_no").slice(0, 1), pa.array([int(table.column("block")[0].as_py())], pa.int64()), maps], names=schema.names)
+
+    followed = packed.where((F.col("block") + 1) * block < F.col("frames"))
+    return followed.select(*KEYS, "frame", *arrays).groupBy(*KEYS).applyInArrow(run, schema)
+
+
+def carried(maps: DataFrame, parts: Sequence[Recurrence]) -> DataFrame:
+    """The states that each block starts from: ``_start``, one array per state; a clip's blocks pass one after the other."""
+    schema = T.StructType([*maps.select(*KEYS).schema.fields, T.StructField("_start", maps.schema["_maps"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, states = None, []
+        for batch in batches:
+            out = []
+            for at, own in enumerate(batch.column("clip_no").to_pylist()):
+                row = batch.column("_maps")[at].values
+                values = row.flatten().to_numpy().reshape(len(row), -1)
+                if own != clip:
+                    clip, states = own, [np.zeros(values.shape[1])] * (len(values) - len(parts))
+                fresh, k = [], 0
+                for part in parts:
+                    factor = values[k + len(fresh)]
+                    k += 1
+                    fresh += [factor * states[len(fresh) + i] + values[k + len(fresh) + i] for i in range(len(part.states))]
+                states = fresh
+                out.append([s.tolist() for s in states])
+            following = pa.array(batch.column("block").to_numpy() + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("clip_no"), following, pa.array(out, pa.list_(pa.list_(pa.float64())))], schema.names)
+
+    return maps.repartition("clip_no").sortWithinPartitions(*KEYS).mapInArrow(run, schema)
+
+
+def scan(packed: DataFrame, parts: Sequence[Recurrence], arrays: Sequence[str], block: int) -> DataFrame:
+    """Packed spectra (clip_no, block, frame, frames and ``arrays`` of bins) with an array column per output."""
+    names = [n for part in parts for n in part.outputs]
+    schema = T.StructType([*packed.schema.fields, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]])
+    starts = carried(block_maps(packed, parts, arrays, block), parts)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # cannot happen: a block hands its states to one that exists
+            return schema_table(left, names)
+        table, frame, values = _block(left, arrays)
+        start = right.column("_start")[0].values if right.num_rows else None
+        given = start.flatten().to_numpy().reshape(len(start), -1) if start is not None else None
+        at = 0
+        for part in parts:
+            product, local = composed(*part.step(values, frame))
+            after, before = {}, {}
+            for n in part.states:
+                first = given[at] if given is not None else np.zeros(product.shape[1])
+                after[n] = local[n] + product * first
+                before[n] = np.vstack([first, after[n][:-1]])
+                at += 1
+            out = part.finish(values, after, before)
+            for n in part.outputs:
+                table = table.append_column(n, lists(out[n]))
+        return table
+
+    return packed.groupBy(*KEYS).cogroup(starts.groupBy(*KEYS)).applyInArrow(run, schema)
+
+
+def schema_table(left: pa.Table, names: Sequence[str]) -> pa.Table:
+    for n in names:
+        left = left.append_column(n, pa.array([], pa.list_(pa.float64())))
+    return left
+
+
+def map_frames(packed: DataFrame, arrays: Sequence[str], outputs: Sequence[str], made: Callable[[Matrices], Matrices]) -> DataFrame:
+    """Packed spectra with further arrays that depend on a frame's own arrays only; the rows stay where they are."""
+    schema = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in outputs])
+
+    def run(rows: pa.Array) -> pa.Array:
+        out = made({c: matrix(rows.field(c)) for c in arrays})
+        return pa.StructArray.from_arrays([lists(out[n]) for n in outputs], names=list(outputs))
+
+    added = packed.withColumn("_made", F.arrow_udf(run, schema)(F.struct(*arrays)))
+    return added.select(*packed.columns, *[F.col(f"_made.{n}").alias(n) for n in outputs])

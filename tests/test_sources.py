@@ -64,7 +64,7 @@ def test_score_files_parse_skip_and_reject(spark, tmp_path):
     rows = sorted(tuple(r) for r in score_files.read_score_files(spark, str(tmp_path)).collect())
     assert rows == [("ToyCar", "section_00", "a.wav", 0.5), ("ToyCar", "section_00", "b.wav", 1.5)]
     (tmp_path / "anomaly_score_Fan_section_01_test.csv").write_text("a.wav,0.5,9\n")
-    with pytest.raises(Exception, match="two columns"):
+    with pytest.raises(Exception, match="exactly a name and a score"):
         score_files.read_score_files(spark, str(tmp_path)).collect()
 
 
