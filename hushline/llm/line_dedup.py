@@ -2,15 +2,16 @@
 
 A text is split at ``\\n``.  Three consecutive lines form a window, known by 128 hash bits of its lines.  The first
 occurrence of a window (smallest doc_id, then smallest line) stays; every line covered by a later occurrence is removed,
-overlapping occurrences being merged.  Windows that hold fewer than ``min_chars`` characters apart from white space (blank
-runs, brackets, rules) are not compared.  What repeats is judged on the input, not on what is left.
+overlapping occurrences being merged.  Every window is compared that has a character other than white space; wholly
+blank ones are left alone.  What repeats is judged on the input, not on what is left.
 
 Counting is a plain aggregation (partial per task, so a window that a third of all documents share is a few rows), only
 windows that repeat go on, and the join back is on the window key, which adaptive execution splits where it is hot.
 
-Defined cases: a null text stays null and has no lines; texts of fewer than three lines have no windows and stay; rows that
-repeat a doc_id are told apart by a row key, the order of equal doc_ids being that of their texts' hashes; rows equal in
-both are kept as they are; other columns pass through, but n_lines and n_removed are replaced.
+Defined cases: a null text stays null and has no lines; texts of fewer than three lines have no windows and stay; rows are
+told apart by a row key, so rows that repeat a doc_id, null ids and wholly equal rows count as documents of their own,
+in the order of doc_id (null last), then of their texts' hashes; other columns pass through, but n_lines and n_removed
+are replaced.
 """
 
 from __future__ import annotations
@@ -18,71 +19,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushline.llm.common import keyed
 from hushline.session import stored
 
 LINES = 3
-MIN_CHARS = 30
 
 
-def windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, ``_hash`` (of the text), ``line`` and the window key ``_w1, _w2`` of each window."""
-    parts = docs.where(F.col("text").contains("\n")).select(
-        "doc_id", F.xxhash64("text").alias("_hash"), F.split("text", "\n").alias("_lines")
-    )
+def windows(rows: DataFrame) -> DataFrame:
+    """``_key``, ``line`` and the window key ``_w1, _w2`` of each window of ``rows`` (``_key``, ``_row.text``) that is not blank."""
+    parts = rows.where(F.col("_row.text").contains("\n")).select("_key", F.split("_row.text", "\n").alias("_lines"))
     hashed = parts.where(F.size("_lines") >= LINES).select(
-        "doc_id",
-        "_hash",
+        "_key",
         F.transform("_lines", lambda x: F.struct(
             F.xxhash64(F.lit(1), x).alias("a"),
             F.xxhash64(F.lit(2), x).alias("b"),
-            F.length(F.regexp_replace(x, r"\s+", "")).alias("n"),
+            x.rlike(r"\S").alias("inked"),
         )).alias("_l"),
     )
     at = F.sequence(F.lit(0), F.size("_l") - LINES)
     line = lambda i, k, name: F.get("_l", i + k)[name]
-    found = hashed.select("doc_id", "_hash", F.explode(F.transform(at, lambda i: F.struct(
+    found = hashed.select("_key", F.explode(F.transform(at, lambda i: F.struct(
         i.alias("line"),
         F.xxhash64(*[line(i, k, "a") for k in range(LINES)]).alias("w1"),
         F.xxhash64(*[line(i, k, "b") for k in range(LINES)]).alias("w2"),
-        sum((line(i, k, "n") for k in range(1, LINES)), line(i, 0, "n")).alias("n"),
+        (line(i, 0, "inked") | line(i, 1, "inked") | line(i, 2, "inked")).alias("inked"),
     ))).alias("_w"))
-    return found.where(F.col("_w.n") >= min_chars).select(
-        "doc_id", "_hash", F.col("_w.line").alias("line"), F.col("_w.w1").alias("_w1"), F.col("_w.w2").alias("_w2")
-    )
+    return found.where("_w.inked").select("_key", F.col("_w.line").alias("line"), F.col("_w.w1").alias("_w1"), F.col("_w.w2").alias("_w2"))
 
 
-def later_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The occurrences of windows after the first one: doc_id, ``_hash``, ``line``."""
-    every = windows(docs, min_chars)
-    repeated = every.groupBy("_w1", "_w2").agg(
-        F.min(F.struct("doc_id", "_hash", "line")).alias("_first"), F.count("*").alias("_times")
-    ).where("_times > 1").drop("_times")
+def later_windows(rows: DataFrame) -> DataFrame:
+    """The occurrences of windows after the first one: ``_key``, ``line``."""
+    every = windows(rows)
+    repeated = every.groupBy("_w1", "_w2").agg(F.min(F.struct("_key", "line")).alias("_first"), F.count("*").alias("_times"))
     # Stored, so that both sides of the join are plain shuffles: adaptive execution then broadcasts or splits by measured size.
-    repeated = stored(repeated, "windows")
-    return every.join(repeated, ["_w1", "_w2"]).where(
-        F.struct("doc_id", "_hash", "line") != F.col("_first")
-    ).select("doc_id", "_hash", "line")
+    repeated = stored(repeated.where("_times > 1").drop("_times"), "windows")
+    return every.join(repeated, ["_w1", "_w2"]).where(F.struct("_key", "line") != F.col("_first")).select("_key", "line")
 
 
-def covered_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Per document: the sorted first lines of its later windows."""
-    return later_windows(docs, min_chars).groupBy("doc_id", "_hash").agg(F.sort_array(F.collect_set("line")).alias("_starts"))
+def covered_lines(rows: DataFrame) -> DataFrame:
+    """Per row: the sorted first lines of its later windows."""
+    return later_windows(rows).groupBy("_key").agg(F.sort_array(F.collect_set("line")).alias("_starts"))
 
 
-def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with covered lines taken out of ``text``, plus n_lines and n_removed."""
-    marks = covered_lines(docs, min_chars).select(
-        F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_starts"
-    )
     # The rows travel as one struct, so that no column of theirs meets a column of the work.
-    hashed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"))
-    joined = hashed.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    lines = F.split("_row.text", "\n")
+    rows = keyed(docs)
+    joined = rows.join(covered_lines(rows).withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left")
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + LINES - 1))))
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)
     )
-    joined = joined.withColumn("_lines", lines).withColumn("_gone", F.when(F.col("_starts").isNotNull(), gone))
+    joined = joined.withColumn("_lines", F.split("_row.text", "\n")).withColumn("_gone", F.when(F.col("_starts").isNotNull(), gone))
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],

@@ -74,7 +74,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, r
 
 LINE_DEDUP = r"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, i, array_to_string(lines[i:i + 2], chr(10)) AS s FROM l, unnest(range(1, len(lines) - 1)) u(i)),
-k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w WHERE length(regexp_replace(s, '[ \t\n\x0B\f\r]+', '', 'g')) >= 30),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w WHERE regexp_matches(s, '[^ \t\n\x0B\f\r]')),
 g AS (SELECT doc_id, list(DISTINCT i + d) AS gone FROM k, unnest([0, 1, 2]) x(d) WHERE r > 1 GROUP BY doc_id)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END AS text

@@ -102,7 +102,7 @@ def suffix_dedup(docs, length=100):
     return out
 
 
-def line_dedup(docs, min_chars=30):
+def line_dedup(docs):
     """docs in order of doc_id; the kept text of each."""
     seen, out = set(), []
     for doc, text in docs:
@@ -113,7 +113,7 @@ def line_dedup(docs, min_chars=30):
         gone = set()
         for i in range(len(lines) - 2):
             w = tuple(lines[i : i + 3])
-            if sum(len(re.sub(r"[ \t\n\x0b\f\r]", "", x)) for x in w) < min_chars:
+            if not any(re.search(r"[^ \t\n\x0b\f\r]", x) for x in w):
                 continue
             if w in seen:
                 gone |= {i, i + 1, i + 2}

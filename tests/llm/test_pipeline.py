@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import public_tokenizers
 import sentencepiece
+import test_near_copies
 from test_contracts import SF, frame, hostile
 
 import __spark_entry__ as entry
@@ -13,7 +14,7 @@ from hushline.session import stored
 def plain(docs, items):
     kept = [(d, t) for d, t in docs if not brute.quality(t)["base_failed"]]
     kept = [(d, t) for d, _, _, t in brute.line_dedup(kept)]
-    kept = [r for r, s in zip(kept, brute.simhash(kept)) if s[0] == s[2]]
+    kept = [kept[i] for i in test_near_copies.kept(kept)]
     kept = [r for r, c in zip(kept, brute.contamination(kept, items)) if not c[5]]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     return [(d, t, library.encode(t)) for d, t in kept]
