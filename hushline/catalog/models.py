@@ -79,17 +79,17 @@ SEEDS = (13711, 42, 2026)
 
 @query("m06_development_gate")
 def m06(v: Views) -> DataFrame:
-    return rounded(systems.development_run(clip_vectors(v), decided(v), SEEDS, iterations=100).gate)
+    return rounded(systems.development_run(clip_vectors(v), decided(v), SEEDS, iterations=5000).gate)
 
 
 @query("m06_system_summary")
 def m06_summary(v: Views) -> DataFrame:
-    return rounded(systems.development_run(clip_vectors(v), decided(v), SEEDS, iterations=100).summary)
+    return rounded(systems.development_run(clip_vectors(v), decided(v), SEEDS, iterations=5000).summary)
 
 
 @query("m06_system_bootstrap")
 def m06_bootstrap(v: Views) -> DataFrame:
-    return rounded(systems.development_run(clip_vectors(v), decided(v), SEEDS, iterations=100).bootstrap)
+    return rounded(systems.development_run(clip_vectors(v), decided(v), SEEDS, iterations=5000).bootstrap)
 
 
 @query("m07_label_blind_scores")

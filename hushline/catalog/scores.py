@@ -363,7 +363,7 @@ def a33(v: Views) -> DataFrame:
     return rounded(summaries.latency_summary(v.table("events"), ["event_type"], "value"))
 
 
-BOOTSTRAP_ITERATIONS = 100
+BOOTSTRAP_ITERATIONS = 2000
 
 
 @query(

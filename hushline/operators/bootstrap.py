@@ -1,38 +1,248 @@
-"""Paired stratified bootstrap of AUC and pAUC deltas, reproducible in any engine."""
+"""Paired stratified bootstrap of AUC and pAUC deltas, reproducible in any engine.
+
+A row carries an array: how often each resample draws it.  Every position of a stratum makes one draw per resample (the
+first 32 bits of the md5 of a counter text); tasks hand on their draws as pairs of two-byte numbers, packed by blocks of
+``TARGETS`` drawn positions, and a block's draws are counted at once.  The arrays then meet the rows in one join of N rows.
+
+Areas.  Rows are dealt by side, group and value range and pass in the order of their scores; counts, running sums and
+the segments of all curves are operations on arrays with one place per resample.  Between the ranges only their totals
+travel.  Nothing grows with rows x resamples but the draws themselves, at four bytes each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushline.operators.ordered import hashed_positions, with_range_bucket
-from hushline.operators.roc import area_table, bucketed_points
+from hushline.operators.roc import MAX_FPR, standardised
 from hushline.schemas import GROUP
 from hushline.session import stored
 
 STRATUM = [*GROUP, "condition"]
+TARGETS = 1024
+ROWS = 256  # rows whose arrays are worked on together
+DRAWS_PER_TASK = 4_000_000
+SEGMENT = ["side", *GROUP, "bucket"]
 
 
-def counter_draw(text: Column) -> Column:
-    """Non-negative integer from the first eight hex digits of md5(text)."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def _fields(names: list[str]) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
 
 
-def draw_counts(rows: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """How often each row position is drawn per iteration.
+def _draws(iterations: int, seed: int, targets: int):
+    prefixes = [f"{seed}|{i}|".encode() for i in range(1, iterations + 1)]
+    each = np.arange(iterations, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                strata = list(zip(*(part.column(c).to_pylist() for c in STRATUM)))
+                n = part.column("pos_count").to_numpy()
+                drawn = np.empty((len(strata), iterations), np.int64)
+                for r, (stratum, pos) in enumerate(zip(strata, part.column("pos").to_pylist())):
+                    text = "|".join([*(v for v in stratum if v is not None), str(pos)]).encode()
+                    digests = b"".join([hashlib.md5(p + text).digest() for p in prefixes])
+                    drawn[r] = np.frombuffer(digests, ">u4")[::4] % n[r]
+                yield _packed(strata, drawn, each, targets)
+
+    return run
+
+
+DRAWN = T.StructType([*_fields(STRATUM), T.StructField("target", T.LongType()), T.StructField("draws", T.BinaryType())])
+
+
+def _packed(strata: list[tuple], drawn: np.ndarray, each: np.ndarray, targets: int) -> pa.RecordBatch:
+    """One row per stratum and block of drawn positions: (place in the block, resample) pairs."""
+    rows: list[tuple] = []
+    for stratum in dict.fromkeys(strata):
+        mine = drawn[[i for i, s in enumerate(strata) if s == stratum]]
+        target = mine.ravel()
+        block = target // targets
+        order = np.argsort(block, kind="stable")
+        pairs = np.stack([target % targets, np.tile(each, len(mine))], axis=1).astype("<u2")[order]
+        found, first = np.unique(block[order], return_index=True)
+        for b, x, y in zip(found.tolist(), first, [*first[1:], len(pairs)]):
+            rows.append((*stratum, b, pairs[x:y].tobytes()))
+    kinds = [pa.string()] * len(STRATUM) + [pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], DRAWN.names)
+
+
+WEIGHTED = T.StructType([*_fields(STRATUM), T.StructField("pos", T.LongType()), T.StructField("weights", T.BinaryType())])
+
+
+def _counted(iterations: int, targets: int):
+    def run(table: pa.Table) -> pa.Table:
+        pairs = np.frombuffer(b"".join(table.column("draws").to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
+        counts = np.bincount(pairs[:, 0] * iterations + pairs[:, 1], minlength=targets * iterations).reshape(targets, iterations)
+        if counts.max() > 255:
+            raise ValueError("A row was drawn more than 255 times in one resample")
+        places = np.flatnonzero(counts.any(axis=1))
+        arrays = [pa.array([table.column(c)[0].as_py()] * len(places), pa.string()) for c in STRATUM]
+        pos = places + targets * table.column("target")[0].as_py()
+        weights = pa.array([row.tobytes() for row in counts[places].astype(np.uint8)], pa.binary())
+        return pa.table([*arrays, pa.array(pos), weights], names=WEIGHTED.names)
+
+    return run
+
+
+def weights(rows: DataFrame, iterations: int, seed: int, targets: int = TARGETS) -> DataFrame:
+    """``weights`` of each drawn position: one byte per resample.  ``rows`` has the stratum, pos and pos_count."""
+    if not 1 <= iterations <= 1 << 16 or targets > 1 << 16:
+        raise ValueError("Between 1 and 65536 resamples are possible")
+    rows = rows.select(*[F.col(c).cast("string").alias(c) for c in STRATUM], "pos", "pos_count")
+    # Every row makes one draw per resample, so tasks are cut by draws: a hot stratum is spread like its rows.
+    tasks = -(-rows.count() * iterations // DRAWS_PER_TASK)
+    dealt = rows.repartition(max(1, tasks), *STRATUM, "pos")
+    return dealt.mapInArrow(_draws(iterations, seed, targets), DRAWN).groupBy(*STRATUM, "target").applyInArrow(_counted(iterations, targets), WEIGHTED)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], names: list[str], size: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of at most ``size`` rows of one segment each, in the order of arrival."""
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in SEGMENT)))
+        at = 0
+        while at < len(keys):
+            stop = at + 1
+            while stop < len(keys) and stop - at < size and keys[stop] == keys[at]:
+                stop += 1
+            yield keys[at], batch.select(names).slice(at, stop - at)
+            at = stop
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.int64)
+
+
+TOTALS = T.StructType([*_fields(["side", *GROUP]), T.StructField("bucket", T.IntegerType()), T.StructField("sums", T.BinaryType())])
+
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {T.StringType(): pa.string(), T.IntegerType(): pa.int32(), T.BinaryType(): pa.binary()}
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.names]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[f.dataType]) for c, f in zip(columns, schema.fields)], schema.names)
 
-    Every row makes one draw per iteration, so the draws of a hot stratum are spread like its rows.
-    """
-    per_draw = rows.select(
-        *STRATUM, "pos", "pos_count", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")
-    )
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), *STRATUM,
-                       F.col("pos").cast("string"))
-    drawn = per_draw.select("iteration", *STRATUM, (counter_draw(text) % F.col("pos_count")).alias("pos"))
-    return drawn.groupBy("iteration", *STRATUM, "pos").agg(F.count("*").alias("weight"))
 
+def _totals(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anomalies and normals of each segment per resample."""
+        at, sums = None, None
+        for key, part in _segments(batches, ["anomaly", "weights"], size):
+            if key != at:
+                if at is not None:
+                    yield _batch([(*at, sums.tobytes())], TOTALS)
+                at, sums = key, None
+            values, anomaly = _matrix(part.column("weights")), part.column("anomaly").to_numpy(zero_copy_only=False)
+            fresh = np.stack([values[anomaly].sum(axis=0), values[~anomaly].sum(axis=0)])
+            sums = fresh if sums is None else sums + fresh
+        if at is not None:
+            yield _batch([(*at, sums.tobytes())], TOTALS)
 
-def resampled_areas(paired: DataFrame, iterations: int, seed: int) -> DataFrame:
+    return run
+
+
+def _offsets(iterations: int):
+    def run(table: pa.Table) -> pa.Table:
+        """What lies above each value range of one side and group, and the whole; at most one row per range."""
+        table = table.sort_by([("bucket", "descending")])
+        sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.int64).reshape(-1, 2, iterations)
+        above = np.cumsum(sums, axis=0) - sums
+        whole = sums.sum(axis=0)
+        heads = pa.array([np.concatenate([a, whole]).tobytes() for a in above], pa.binary())
+        return table.set_column(table.schema.get_field_index("sums"), "sums", heads)
+
+    return run
+
+
+AREAS = T.StructType([*_fields(["side", *GROUP]), T.StructField("parts", T.BinaryType())])
+
+
+class Curve:
+    """The curves of all resamples within one segment: areas of whole steps, from the counts above the segment on."""
+
+    def __init__(self, head: bytes, iterations: int, max_fpr: float):
+        self.pos, self.neg, self.all_pos, self.all_neg = np.frombuffer(head, np.int64).reshape(4, iterations).astype(float)
+        self.areas = np.zeros((2, iterations))
+        self.max_fpr = max_fpr
+        self.score, self.step = None, None  # the step that may go on
+
+    def add(self, score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Rows in descending order of score."""
+        first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        steps = np.stack([np.add.reduceat(pos, first, axis=0), np.add.reduceat(neg, first, axis=0)], axis=1).astype(float)
+        if self.score is not None and self.score == score[0]:
+            steps[0] += self.step
+        elif self.score is not None:
+            steps = np.concatenate([self.step[None], steps])
+        self._close(steps[:-1])
+        self.score, self.step = score[-1], steps[-1]
+
+    def done(self) -> np.ndarray:
+        if self.step is not None:
+            self._close(self.step[None])
+        return self.areas
+
+    def _close(self, steps: np.ndarray) -> None:
+        if not len(steps):
+            return
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pos, neg = self.pos + np.cumsum(steps[:, 0], axis=0), self.neg + np.cumsum(steps[:, 1], axis=0)
+            y, x = pos / self.all_pos, neg / self.all_neg
+            y0, x0 = (pos - steps[:, 0]) / self.all_pos, (neg - steps[:, 1]) / self.all_neg
+            self.areas[0] += ((x - x0) * (y0 + y) / 2.0).sum(axis=0)
+            limit = self.max_fpr
+            low, high = np.minimum(x0, limit), np.minimum(x, limit)
+            crossing = (x > limit) & (x0 <= limit)
+            top = np.where(crossing, y0 + (y - y0) / (x - x0) * (limit - x0), y)
+            self.areas[1] += np.where(high > low, (high - low) * (y0 + top) / 2.0, np.where(np.isnan(x + y), np.nan, 0.0)).sum(axis=0)
+        self.pos, self.neg = pos[-1], neg[-1]
+
+
+def _areas(iterations: int, max_fpr: float, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A segment's first row holds what lies above it; its rows follow in descending order of score."""
+        at, curve = None, None
+        for key, part in _segments(batches, ["head", "score", "anomaly", "weights"], size):
+            if key != at:
+                if curve is not None:
+                    yield _batch([(*at[:-1], curve.done().tobytes())], AREAS)
+                at, curve = key, Curve(part.column("weights")[0].as_py(), iterations, max_fpr)
+                part = part.slice(1)
+            if part.num_rows:
+                values, anomaly = _matrix(part.column("weights")), part.column("anomaly").to_numpy(zero_copy_only=False)[:, None]
+                curve.add(part.column("score").to_numpy(zero_copy_only=False), values * anomaly, values * ~anomaly)
+        if curve is not None:
+            yield _batch([(*at[:-1], curve.done().tobytes())], AREAS)
+
+    return run
+
+
+RESULT = T.StructType(
+    [T.StructField("iteration", T.IntegerType()), *_fields(["side", *GROUP]), T.StructField("auc", T.DoubleType()), T.StructField("pauc", T.DoubleType())]
+)
+
+
+def _added(iterations: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The areas of one side and group, from at most one row per value range."""
+        parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), float).reshape(-1, 2, iterations).sum(axis=0)
+        names = [pa.array([table.column(c)[0].as_py()] * iterations, pa.string()) for c in ("side", *GROUP)]
+        areas = [pa.array(p, pa.float64(), mask=np.isnan(p)) for p in parts]
+        return pa.table([pa.array(np.arange(1, iterations + 1, dtype=np.int32)), *names, *areas], names=RESULT.names)
+
+    return run
+
+
+def resampled_areas(
+    paired: DataFrame, iterations: int, seed: int, max_fpr: float = MAX_FPR, targets: int = TARGETS, size: int = ROWS
+) -> DataFrame:
     """AUC and pAUC per iteration, side and group of the resampled rows."""
     placed = hashed_positions(paired, STRATUM, F.col("file_id"))
     sides = F.array(
@@ -41,27 +251,21 @@ def resampled_areas(paired: DataFrame, iterations: int, seed: int) -> DataFrame:
             for s in ("reference", "candidate")
         ]
     )
-    # The order of the scores is the same in every iteration, so the value ranges are found once per row and
-    # travel with it; only counts change per iteration.
+    # The order of the scores is the same in every iteration: the value ranges are found once.
     rows = with_range_bucket(placed.select(*STRATUM, "pos", "pos_count", F.inline(sides)), "score")
-    rows = rows.groupBy(*STRATUM, "pos", "pos_count").agg(
-        F.collect_list(F.struct("side", "score", "bucket")).alias("sides")
-    )
-    # One row per input row; the draws (iterations x rows) and the lookups both read this table.
+    rows = rows.groupBy(*STRATUM, "pos", "pos_count").agg(F.collect_list(F.struct("side", "score", "bucket")).alias("sides"))
+    # One row per input row; the draws and the one join both read this table.
     rows = stored(rows, "bootstrap")
-    # Each row grows into one draw per iteration, so even a small table is spread over all cores first.
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *STRATUM, "pos")
-    weights = draw_counts(rows, iterations, seed)
-    sampled = weights.join(rows.drop("pos_count"), [*STRATUM, "pos"]).select(
-        "iteration", *STRATUM, "weight", F.inline("sides")
-    )
-    keys = ["iteration", "side", *GROUP]
-    anomaly = F.col("condition") == "anomaly"
-    cells = sampled.groupBy(*keys, "bucket", "score").agg(
-        F.sum(F.when(anomaly, F.col("weight")).otherwise(0)).alias("pos"),
-        F.sum(F.when(anomaly, 0).otherwise(F.col("weight"))).alias("neg"),
-    )
-    return area_table(bucketed_points(cells, keys), keys)
+    drawn = weights(rows, iterations, seed, targets).join(rows.drop("pos_count"), [*STRATUM, "pos"])
+    curves = stored(drawn.select(*GROUP, (F.col("condition") == "anomaly").alias("anomaly"), "weights", F.inline("sides")), "weights")
+    curves = curves.select(*SEGMENT, F.lit(1).alias("head"), F.col("score").cast("double").alias("score"), "anomaly", "weights")
+    totals = curves.repartition(*SEGMENT).sortWithinPartitions(*SEGMENT).select(*SEGMENT, "anomaly", "weights").mapInArrow(_totals(size), TOTALS)
+    heads = totals.groupBy("side", *GROUP).applyInArrow(_offsets(iterations), TOTALS)
+    heads = heads.select(*SEGMENT, F.lit(0).alias("head"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("anomaly"), F.col("sums").alias("weights"))
+    both = heads.unionByName(curves).repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "head", F.col("score").desc())
+    parts = both.mapInArrow(_areas(iterations, max_fpr, size), AREAS)
+    areas = parts.groupBy("side", *GROUP).applyInArrow(_added(iterations), RESULT)
+    return areas.withColumn("pauc", standardised(F.col("pauc"), max_fpr))
 
 
 def iteration_deltas(areas: DataFrame) -> DataFrame:

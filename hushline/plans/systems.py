@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import cached_property, reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -23,13 +24,19 @@ class SystemRun(NamedTuple):
     thresholds: DataFrame
 
 
-class DevelopmentRun(NamedTuple):
+@dataclass(frozen=True)
+class DevelopmentRun:
     ensemble: DataFrame
     thresholds: DataFrame
     metrics: DataFrame
     summary: DataFrame
     gate: DataFrame
-    bootstrap: DataFrame
+    compared: Callable[[], DataFrame]
+
+    @cached_property
+    def bootstrap(self) -> DataFrame:
+        """Intervals of both comparisons; resampled only when asked for."""
+        return self.compared()
 
 
 def view_scores(
@@ -105,15 +112,12 @@ def development_run(
     if materialise:
         metrics = stored(metrics)
     side = lambda s: scores.where(F.col("system") == s).select(*SCORE_COLUMNS)
-    compared = [
-        bootstrap.paired_bootstrap(joins.paired_scores(side("near"), side(s)), iterations, bootstrap_seed).withColumn(
-            "comparison", F.lit(f"{s}_vs_near")
-        )
-        for s in ("unconditional_refsub", "safe_ref")
-    ]
+    compare = lambda s: bootstrap.paired_bootstrap(
+        joins.paired_scores(side("near"), side(s)), iterations, bootstrap_seed
+    ).withColumn("comparison", F.lit(f"{s}_vs_near"))
     return DevelopmentRun(
         scores, run.thresholds, metrics, summaries.development_summary(metrics),
-        summaries.development_gate(metrics, decisions), compared[0].unionByName(compared[1]),
+        summaries.development_gate(metrics, decisions), lambda: compare("unconditional_refsub").unionByName(compare("safe_ref")),
     )
 
 

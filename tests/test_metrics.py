@@ -76,8 +76,34 @@ def test_draws_keep_stratum_sizes(spark):
     from hushline.operators.ordered import hashed_positions
 
     placed = hashed_positions(df, bootstrap.STRATUM, F.col("file_id"))
-    counts = bootstrap.draw_counts(placed, 5, 1).groupBy("iteration", "condition").agg(F.sum("weight").alias("w")).collect()
-    assert {(r["condition"], r["w"]) for r in counts} == {("anomaly", 17), ("normal", 33)}
+    counts = {}
+    for row in bootstrap.weights(placed, 5, 1).collect():
+        counts[row["condition"]] = counts.get(row["condition"], 0) + np.frombuffer(row["weights"], np.uint8).astype(int)
+    assert {c: n.tolist() for c, n in counts.items()} == {"anomaly": [17] * 5, "normal": [33] * 5}
+
+
+@pytest.mark.parametrize("targets,rows", [(1024, 256), (8, 3)])
+def test_resampled_areas_match_weighted_curves(spark, targets, rows):
+    """Blocks and slices of any size, ties across slices, and a group without anomalies."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 90)
+    sides = [table(spark, np.round(rng.normal(size=90) + shift * y, 1), y) for shift in (0.0, 1.0)]
+    lone = [s.where("condition = 'normal'").withColumn("machine_type", F.lit("lone")).withColumn("file_id", F.concat(F.lit("l"), "file_id")) for s in sides]
+    paired = joins.paired_scores(*[s.unionByName(x) for s, x in zip(sides, lone)]).cache()
+    got = {(r["iteration"], r["side"], r["machine_type"]): (r["auc"], r["pauc"]) for r in bootstrap.resampled_areas(paired, 7, 3, targets=targets, size=rows).collect()}
+    from hushline.operators.ordered import hashed_positions
+
+    placed = hashed_positions(paired, bootstrap.STRATUM, F.col("file_id"))
+    drawn = bootstrap.weights(placed, 7, 3).join(placed, [*bootstrap.STRATUM, "pos"]).collect()
+    assert len(got) == 7 * 2 * 2
+    for (i, side, machine), areas in got.items():
+        mine = [r for r in drawn if r["machine_type"] == machine]
+        w = [np.frombuffer(r["weights"], np.uint8)[i - 1] for r in mine]
+        s, label = ([r[c] for r in mine] for c in (f"anomaly_score_{side}", "condition"))
+        if machine == "lone":
+            assert areas == (None, None)
+        else:
+            assert areas == pytest.approx(brute(np.repeat(s, w), np.repeat([c == "anomaly" for c in label], w)))
 
 
 def test_ensemble_requires_full_coverage(spark):
