@@ -8,8 +8,8 @@ become edges from start to end, and the edges, sorted by end, are relaxed for al
 
 Relaxing.  A BPE model's encoding of a prefix ends in exactly one piece: the one whose start is itself the end of an encoded
 prefix and whose neighbour there is stable, meaning that the merges of the two pieces' characters give the same two pieces
-back.  So an edge is relaxed if the last piece at its start and its own piece are a stable pair; stability is worked
-out once per pair.  A unigram model relaxes to the highest sum of scores instead.  A character without a piece is an edge
+back.  So an edge is relaxed if the last piece at its start and its own piece are a stable pair; stability is read
+off tables of the model's merges, for all edges of a step at once.  A unigram model relaxes to the highest sum of scores instead.  A character without a piece is an edge
 of its own and is written as its UTF-8 bytes (byte fallback).
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the mark itself in a text decodes to a space,
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from hushline.llm.common import slices, utf8
 
 MARK = "▁"
 UNITS = 200_000  # units whose ids a task remembers
+NONE = float("-inf")  # the score of neighbours that do not merge
 PAIRS = 300_000  # pairs whose stability a task remembers
 
 
@@ -102,7 +104,14 @@ class Pieces:
     def ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and behind-last place of each piece's occurrences in the suffix array."""
         words = np.concatenate([packed(text), np.zeros(8 * self.low.shape[1], np.uint64)])
-        return self._bound(words, order, self.low, False), self._bound(words, order, self.high, True)
+        # A piece of eight bytes or more is searched only if its first eight bytes occur at all.
+        ranked = words[order]
+        at = np.minimum(np.searchsorted(ranked, self.low[:, 0]), len(ranked) - 1)
+        some = np.flatnonzero((self.lengths < 8) | (ranked[at] == self.low[:, 0]))
+        low, high = np.zeros((2, len(self.low)), np.int64)
+        low[some] = self._bound(words, order, self.low[some], False)
+        high[some] = self._bound(words, order, self.high[some], True)
+        return low, high
 
     def _bound(self, words: np.ndarray, order: np.ndarray, wanted: np.ndarray, equal: bool) -> np.ndarray:
         """Number of suffixes below each wanted key (``equal``: or equal to it)."""
@@ -124,15 +133,101 @@ class Pieces:
             high[open_[~below]] = mid[~below]
 
 
+def merge(text: str, scores: dict[str, float], last: list | None = None) -> list[str]:
+    """The merges of a short text: the best-scored neighbours first, the leftmost of equals; ``last`` takes the last pair."""
+    parts, score = list(text), scores.get
+    joined = [score(a + b, NONE) for a, b in zip(parts, parts[1:])]
+    while joined:
+        best = max(joined)
+        if best == NONE:
+            break
+        at = joined.index(best)
+        if last is not None:
+            last[:] = parts[at : at + 2]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del joined[at]
+        if at:
+            joined[at - 1] = score(parts[at - 1] + parts[at], NONE)
+        if at < len(joined):
+            joined[at] = score(parts[at] + parts[at + 1], NONE)
+    return parts
+
+
+class Merges:
+    """Tables of a BPE model's merges: the last merge of each piece, and the score of each pair that is a piece.
+
+    ``whole``: the merges of the piece's characters give the piece.  Where every piece scores below its two parts, merges
+    happen in the order of their scores, and whether two neighbours stay apart can be told from the parts that lie at
+    their border at each time.  ``odd`` are the pieces (runs of marks, say) with tied scores or parts out of order.
+    """
+
+    def __init__(self, model: Model):
+        n = len(model.pieces)
+        self.score = {model.pieces[i]: model.scores[i] for i in model.normal}
+        number = {model.pieces[i]: i for i in model.normal}
+        self.whole = np.zeros(n + 1, bool)
+        self.made = np.full(n + 1, np.inf)  # score of the merge that made the piece; characters are there from the start
+        self.left, self.right = np.arange(n + 1), np.arange(n + 1)
+        pairs: dict[int, float] = {}
+        for i in model.normal:
+            text, last = model.pieces[i], []
+            self.whole[i] = merge(text, self.score, last) == [text]
+            if self.whole[i] and last:
+                self.made[i], self.left[i], self.right[i] = model.scores[i], number.get(last[0], i), number.get(last[1], i)
+            for k in range(1, len(text)):
+                a, b = number.get(text[:k]), number.get(text[k:])
+                if a is not None and b is not None:
+                    pairs[a * (n + 1) + b] = model.scores[i]
+        self.size = n + 1
+        self.codes = np.array(sorted(pairs), np.int64)
+        self.scores = np.array([pairs[c] for c in self.codes.tolist()])
+        made = self.made
+        split = np.flatnonzero(np.isfinite(made))
+        values, times = np.unique(made[split], return_counts=True)
+        tied = np.isin(made, values[times > 1])
+        self.odd = (tied | (made >= made[self.left]) | (made >= made[self.right])) & np.isfinite(made)
+        while True:
+            spread = self.odd | (np.isfinite(made) & (self.odd[self.left] | self.odd[self.right]))
+            if (spread == self.odd).all():
+                break
+            self.odd = spread
+
+    def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether whole pieces a and b, side by side, stay as they are.
+
+        Going back in time, the parts at the border are undone, the one that was made last first.  A merge across the
+        border happens if it scores above the merges that used its two parts up (of equals, the leftmost comes first).
+        """
+        out = np.ones(len(a), bool)
+        open_ = np.arange(len(a))
+        x, y = a.astype(np.int64), b.astype(np.int64)
+        x_used, y_used = np.full(len(a), NONE), np.full(len(a), NONE)
+        while len(open_):
+            code = x * self.size + y
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            score = np.where(self.codes[at] == code, self.scores[at], NONE) if len(self.codes) else np.full(len(code), NONE)
+            across = (score > x_used) & (score >= y_used) & (score > NONE)  # of equal scores the left one is merged first
+            out[open_[across]] = False
+            go = ~across & (np.isfinite(self.made[x]) | np.isfinite(self.made[y]))
+            open_, x, y, x_used, y_used = open_[go], x[go], y[go], x_used[go], y_used[go]
+            back = self.made[x] < self.made[y]
+            x_used, y_used = np.where(back, self.made[x], x_used), np.where(back, y_used, self.made[y])
+            x, y = np.where(back, self.right[x], x), np.where(back, y, self.left[y])
+        return out
+
+
 @dataclass
 class Encoder:
     model: Model
-    known: dict[bytes, int] = field(default_factory=dict)
-    stable: dict[int, bool] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
+    stable: dict[tuple[int, int], bool] = field(default_factory=dict)
+    merges: Merges | None = None
 
     def __post_init__(self) -> None:
         self.pieces = Pieces(self.model)
         self.score = {self.model.pieces[i]: self.model.scores[i] for i in self.model.normal}
+        if self.merges is None and not self.model.unigram:
+            self.merges = Merges(self.model)
         self.scores = np.array([*self.model.scores, min(self.model.scores[i] for i in self.model.normal) - 10.0])
         self.unknown = len(self.model.pieces)  # stands for a character without a piece
         self.singles = {self.model.pieces[i] for i in self.model.normal if len(self.model.pieces[i]) == 1}
@@ -145,38 +240,25 @@ class Encoder:
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def merge(self, text: str) -> list[str]:
-        """The merges of a short text: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
     def is_stable(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each pair stays as it is; ``before`` -2 stands for the start of a unit."""
-        pairs = (before + 2) * (self.unknown + 1) + piece
-        distinct, where = np.unique(pairs, return_inverse=True)
-        out = np.empty(len(distinct), bool)
+        merges = self.merges
+        alone = (piece == self.unknown) | merges.whole[piece]
+        paired = np.flatnonzero((before >= 0) & (before != self.unknown) & (piece != self.unknown) & alone)
+        odd = merges.odd[before[paired]] | merges.odd[piece[paired]]
+        plain, odd = paired[~odd], paired[odd]
+        alone[plain] = merges.stay_apart(before[plain], piece[plain])
+        alone[odd] = [self._pair_stays(a, b) for a, b in zip(before[odd].tolist(), piece[odd].tolist())]
+        return alone
+
+    def _pair_stays(self, a: int, b: int) -> bool:
+        """By merging the pair's characters, once per pair."""
         if len(self.stable) > PAIRS:
             self.stable.clear()
-        for i, pair in enumerate(distinct.tolist()):
-            ok = self.stable.get(pair)
-            if ok is None:
-                a, b = pair // (self.unknown + 1) - 2, pair % (self.unknown + 1)
-                if b == self.unknown or a == self.unknown:
-                    ok = b == self.unknown or self.merge(self.model.pieces[b]) == [self.model.pieces[b]]
-                else:
-                    want = [self.model.pieces[x] for x in (a, b) if x >= 0]
-                    ok = self.merge("".join(want)) == want
-                self.stable[pair] = ok
-            out[i] = ok
-        return out[where]
+        if (a, b) not in self.stable:
+            want = [self.model.pieces[a], self.model.pieces[b]]
+            self.stable[a, b] = merge("".join(want), self.merges.score) == want
+        return self.stable[a, b]
 
     def edges(self, text: np.ndarray, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and piece of every occurrence of a piece and of every character without one."""
@@ -229,9 +311,9 @@ class Encoder:
                 ok = self.is_stable(last[s], p)
                 s, e, p = s[ok], e[ok], p[ok]
             last[e], came[e] = p, s
-        self._append(coded, text, first, first + size, last, came)
+        self._append(units, text, first, first + size, last, came)
 
-    def _append(self, coded, text, first, at, last, came) -> None:
+    def _append(self, units, text, first, at, last, came) -> None:
         """Walk back from the end of each unit and store its ids in reading order."""
         if (last[at] == -1).any():
             raise ValueError("A unit has no path; the vocabulary does not cover its characters")
@@ -259,9 +341,9 @@ class Encoder:
             table = np.array([self.model.byte_ids[b] for b in range(256)])
             fallback = ids[of] == self.unknown
             ids, lane = np.where(fallback, table[text[np.where(fallback, byte, 0)]], ids[of]), lane[of]
-        count = np.bincount(lane, minlength=len(coded))
+        count = np.bincount(lane, minlength=len(units))
         base = len(self.known)
-        self.known.update(zip(coded, range(base, base + len(coded))))
+        self.known.update(zip(units, range(base, base + len(units))))
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
 
@@ -270,13 +352,13 @@ class Encoder:
         if len(self.known) > UNITS:
             self.forget()
         found = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = [u for u in dict.fromkeys(u for us in found for u in us) if u.encode() not in self.known]
+        fresh = [u for u in dict.fromkeys(chain.from_iterable(found)) if u not in self.known]
         if fresh:
             self.learn(fresh)
-        codes = np.array([self.known[u.encode()] for us in found for u in us], np.int64)
+        units = np.concatenate([[0], np.cumsum([len(us) for us in found])]).astype(np.int64)
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(units[-1]))
         count = self.at[codes + 1] - self.at[codes]
         flat = self.ids[np.repeat(self.at[codes], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        units = np.concatenate([[0], np.cumsum([len(us) for us in found])])
         return flat, np.concatenate([[0], np.cumsum(count)])[units]
 
 
@@ -297,6 +379,7 @@ def decoder(model: Model):
 def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame:
     """``docs`` with ``ids``, ``n_ids`` and ``decoded`` (the text that the ids give back)."""
     model = Model.load(model_path, unigram)
+    merges = None if unigram else Merges(model)  # a few MB, whatever the input
     names = [c for c in docs.columns if c not in ("ids", "n_ids", "decoded", "_utf8")]
     source = docs.select(*names, utf8("text").alias("_utf8"))
     schema = T.StructType(
@@ -304,7 +387,7 @@ def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decode = Encoder(model), decoder(model)
+        encoder, decode = Encoder(model, merges=merges), decoder(model)
         for part in slices(batches, "_utf8", 1 << 20):
             texts = [t.decode("utf-8", "replace") for t in part.column("_utf8").to_pylist()]
             flat, at = encoder.encode(texts)
