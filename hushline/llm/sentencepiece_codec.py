@@ -286,7 +286,7 @@ class Encoder:
         size = np.array([len(c) for c in coded], np.int64)
         first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         start, end, piece = self.edges(text, units)
-        own = np.searchsorted(first, start, side="right") - 1
+        own = np.repeat(np.arange(len(units)), size + 1)[start]
         depth = end - first[own]
         by_end = np.argsort(depth, kind="stable")
         start, end, piece, depth = start[by_end], end[by_end], piece[by_end], depth[by_end]
