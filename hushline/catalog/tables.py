@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +14,7 @@ from hushline.catalog.views import Views
 from hushline.functions import numeric as num
 from hushline.functions import paths
 from hushline.functions.numeric import d
-from hushline.operators import guards, joins, selection
+from hushline.operators import guards, joins, one_to_one, selection
 from hushline.schemas import GROUP, SCORE_COLUMNS, require_columns
 from hushline.session import new_folder, stored
 from hushline.sources import score_files, sinks
@@ -438,7 +438,8 @@ INDEXES = """lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS file_id, count(*) A
 def j02(v: Views) -> DataFrame:
     near, residual = indexes(v)
     reference, candidate = v.score_table(), v.score_table("candidate")
-    joined = joins.paired_indexes(near, residual, reference, candidate)
+    # A report over sides that differ: clips without lines have scores, but no features.
+    joined = one_to_one.matched(joins.index_sides(near, residual, reference, candidate), ["file_id"])
     test = F.col("dataset_split") == "dev_test"
     return joins.join_cardinalities(joined, near.where(test), residual.where(test), reference, candidate)
 
@@ -455,7 +456,7 @@ def j03(v: Views) -> DataFrame:
     reliability = v.scores_pair.select(
         "file_id", ((F.col("file_id").cast("bigint") % 11) / d(10.0)).alias("reliability")
     )
-    joined = joins.gated_inputs(near, residual, reliability)
+    joined = one_to_one.matched(joins.gated_sides(near, residual, reliability), ["file_id"])
     aligned = F.col("near_vector_count") == F.col("residual_vector_count")
     return rounded(joined.select("file_id", "dataset_split", "near_vector_count", "residual_vector_count",
                                  "reliability", aligned.alias("aligned")))
@@ -471,6 +472,84 @@ def j04(v: Views) -> DataFrame:
     return rounded(joins.paired_scores(v.score_table(), v.score_table("candidate")))
 
 
+# One planted fault of each kind per side, on whole tables: a side lacks, repeats or adds the keys that a rule picks.
+def planted(df: DataFrame, key: Column, lacks: int, repeats: int) -> DataFrame:
+    kept = df.where(key % 29 != lacks)
+    return kept.unionByName(kept.where(key % 29 == repeats))
+
+
+def fault_sql(sides: list[tuple[str, str, int, int]], keys: str, number: str) -> str:
+    """SQL of :func:`one_to_one.faults` over (side, relation, lacks, repeats)."""
+    counts = ", ".join(f"count(*) FILTER (side = '{side}') AS n{i}" for i, (side, *_) in enumerate(sides))
+    rows = " UNION ALL ".join(
+        f"SELECT {keys}, '{side}' AS side FROM {relation} WHERE {number} % 29 <> {lacks} "
+        f"UNION ALL SELECT {keys}, '{side}' FROM {relation} WHERE {number} % 29 = {repeats}" for side, relation, lacks, repeats in sides
+    )
+    each = " UNION ALL ".join(f"SELECT {keys}, '{side}' AS side, n{i} AS rows FROM g" for i, (side, *_) in enumerate(sides))
+    return f"""t AS ({rows}), g AS (SELECT {keys}, {counts} FROM t GROUP BY {keys})
+    SELECT {keys}, side, CASE WHEN rows = 0 THEN 'missing' ELSE 'repeated' END AS fault, rows FROM ({each}) WHERE rows <> 1"""
+
+
+@query(
+    "j01_faults",
+    "manifest",
+    "WITH m AS (SELECT *, string_split(file_id, '/')[-1] AS basename FROM manifest WHERE dataset_split = 'dev_test'), "
+    + fault_sql([("manifest clip", "m", 3, 4), ("official score", "m", 5, 6)], "machine_type, section, basename", "CAST(regexp_extract(basename, '([0-9]+).wav$', 1) AS BIGINT)"),
+)
+def j01_faults(v: Views) -> DataFrame:
+    manifest = pathed(v)
+    number = F.col("clip_no")
+    official = planted(manifest.where(F.col("dataset_split") == "dev_test"), number, 5, 6).select(
+        F.concat(F.lit(paths.DATASET_PREFIX), "machine_type").alias("machine_type"), "section",
+        paths.basename(F.col("file_id")).alias("basename"), F.lit(1.0).alias("anomaly_score"),
+    )
+    return one_to_one.faults(joins.official_sides(official, planted(manifest, number, 3, 4)), [*GROUP, "basename"])
+
+
+@query(
+    "j02_faults",
+    "scores_pair",
+    "WITH j AS (SELECT file_id FROM scores_pair WHERE dataset_split = 'dev_test'), l AS (SELECT file_id FROM j WHERE CAST(file_id AS BIGINT) IN (SELECT l_orderkey FROM lineitem)), "
+    + fault_sql([("near features", "l", 3, 4), ("residual features", "l", 5, 6), ("reference score", "j", 7, 8), ("candidate score", "j", 9, 10)], "file_id", "CAST(file_id AS BIGINT)"),
+)
+def j02_faults(v: Views) -> DataFrame:
+    number = F.col("file_id").cast("bigint")
+    near, residual = indexes(v)
+    return one_to_one.faults(
+        joins.index_sides(
+            planted(near, number, 3, 4), planted(residual, number, 5, 6),
+            planted(v.score_table(), number, 7, 8), planted(v.score_table("candidate"), number, 9, 10),
+        ),
+        ["file_id"],
+    )
+
+
+@query(
+    "j03_faults",
+    "scores_pair",
+    "WITH l AS (SELECT file_id FROM scores_pair WHERE CAST(file_id AS BIGINT) IN (SELECT l_orderkey FROM lineitem)), "
+    + fault_sql([("near features", "l", 3, 4), ("residual features", "l", 5, 6), ("reliability", "scores_pair", 7, 8)], "file_id", "CAST(file_id AS BIGINT)"),
+)
+def j03_faults(v: Views) -> DataFrame:
+    number = F.col("file_id").cast("bigint")
+    near, residual = indexes(v)
+    reliability = v.scores_pair.select("file_id", F.lit(0.5).alias("reliability"))
+    sides = joins.gated_sides(planted(near, number, 3, 4), planted(residual, number, 5, 6), planted(reliability, number, 7, 8))
+    return one_to_one.faults(sides, ["file_id"])
+
+
+@query(
+    "j04_faults",
+    "scores_pair",
+    "WITH j AS (SELECT file_id FROM scores_pair WHERE dataset_split = 'dev_test'), "
+    + fault_sql([("reference score", "j", 3, 4), ("candidate score", "j", 5, 6)], "file_id", "CAST(file_id AS BIGINT)"),
+)
+def j04_faults(v: Views) -> DataFrame:
+    number = F.col("file_id").cast("bigint")
+    sides = joins.score_sides(planted(v.score_table(), number, 3, 4), planted(v.score_table("candidate"), number, 5, 6))
+    return one_to_one.faults(sides, ["file_id"])
+
+
 @query(
     "j07_threshold_decisions",
     "scores_pair",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hushline.functions import paths
 from hushline.operators.guards import required
+from hushline.operators.one_to_one import checked, gathered, one_to_one, same
 from hushline.schemas import GROUP, IDENTITY, SCORE_COLUMNS
 
 # The three system labels.
@@ -24,18 +25,21 @@ def label_official_scores(
 ) -> DataFrame:
     """Score-table rows for (machine_type, section, basename, anomaly_score).
 
-    A basename unknown to the manifest fails the job that reads it.
+    A basename unknown to the manifest, a test clip without a score, and one that either side repeats fail the job.
     """
+    named = official_sides(official, manifest)
+    joined = gathered(named, [*GROUP, "basename"])
+    unknown = F.concat(F.lit("The manifest has no clip named "), "basename")
+    known = F.when(F.col("_rows").getField("manifest clip") == 0, F.raise_error(unknown).cast("boolean")).otherwise(F.lit(True))
+    return score_rows(checked(joined.where(known), named, [*GROUP, "basename"]), F.col("anomaly_score"), model_id, experiment_id)
+
+
+def official_sides(official: DataFrame, manifest: DataFrame) -> dict[str, DataFrame]:
     expected = manifest.where(F.col("dataset_split") == "dev_test").select(
         *IDENTITY, paths.basename(F.col("relative_path")).alias("basename")
     )
     named = official.withColumn("machine_type", paths.strip_dataset_prefix(F.col("machine_type")))
-    joined = named.join(expected, [*GROUP, "basename"], "left")
-    checked = F.when(
-        F.col("file_id").isNull(),
-        F.raise_error(F.concat(F.lit("The manifest has no clip named "), "basename")),
-    ).otherwise(F.col("file_id"))
-    return score_rows(joined.withColumn("file_id", checked), F.col("anomaly_score"), model_id, experiment_id)
+    return {"manifest clip": expected, "official score": named.select(*GROUP, "basename", "anomaly_score")}
 
 
 def score_rows(df: DataFrame, score: Column, model_id: str, experiment_id: str) -> DataFrame:
@@ -50,28 +54,32 @@ def score_rows(df: DataFrame, score: Column, model_id: str, experiment_id: str)
 def paired_indexes(
     near: DataFrame, residual: DataFrame, reference: DataFrame, candidate: DataFrame
 ) -> DataFrame:
-    """Two feature indexes and two score tables joined one to one on the test clips.
+    """Two feature indexes and two score tables joined one to one on the test clips, in one grouping.
 
-    A clip that one of them lacks, or whose indexes hold unequal numbers of vectors, fails the job.
+    A clip that one of them lacks or repeats, or whose indexes hold unequal numbers of vectors, fails the job.
     """
+    joined = one_to_one(index_sides(near, residual, reference, candidate), ["file_id"])
+    same_clip = same(F.struct(*IDENTITY[1:]), F.col("_residual_identity"), "Near and residual features name different clips as", "file_id")
+    equal = same(F.col("near_vector_count"), F.col("residual_vector_count"), "Unequal vector counts for", "file_id")
+    scored = {f"{n}_anomaly_score": required(F.col(f"{n}_anomaly_score"), "double", f"No {n} score for", "file_id") for n in ("reference", "candidate")}
+    return joined.where(same_clip).where(equal).drop("_residual_identity").withColumns(scored)
+
+
+def index_sides(near: DataFrame, residual: DataFrame, reference: DataFrame, candidate: DataFrame) -> dict[str, DataFrame]:
     test = F.col("dataset_split") == "dev_test"
-    left = near.where(test).withColumnRenamed("vector_count", "near_vector_count")
-    right = residual.where(test).select(*IDENTITY, F.col("vector_count").alias("residual_vector_count"))
     side = lambda df, name: df.select("file_id", F.col("anomaly_score").alias(name))
-    joined = (
-        left.join(right, IDENTITY, "full_outer")
-        .join(side(reference, "reference_anomaly_score"), "file_id", "left")
-        .join(side(candidate, "candidate_anomaly_score"), "file_id", "left")
-    )
-    near_count = required(F.col("near_vector_count"), "bigint", "No near features for", "file_id")
-    residual_count = required(F.col("residual_vector_count"), "bigint", "No residual features for", "file_id")
-    unequal = F.raise_error(F.concat_ws(" ", F.lit("Unequal vector counts for"), "file_id")).cast("bigint")
-    checked = {
-        "near_vector_count": near_count,
-        "residual_vector_count": F.when(near_count != residual_count, unequal).otherwise(residual_count),
-        **{f"{n}_anomaly_score": required(F.col(f"{n}_anomaly_score"), "double", f"No {n} score for", "file_id") for n in ("reference", "candidate")},
+    return {
+        "near features": near.where(test).withColumnRenamed("vector_count", "near_vector_count"),
+        "residual features": _residual(residual.where(test), IDENTITY[1:]),
+        "reference score": side(reference, "reference_anomaly_score"),
+        "candidate score": side(candidate, "candidate_anomaly_score"),
     }
-    return joined.select(*[checked[c].alias(c) if c in checked else F.col(c) for c in joined.columns])
+
+
+def _residual(residual: DataFrame, identity: Sequence[str]) -> DataFrame:
+    return residual.select(
+        "file_id", F.struct(*identity).alias("_residual_identity"), F.col("vector_count").alias("residual_vector_count")
+    )
 
 
 def join_cardinalities(joined: DataFrame, *inputs: DataFrame) -> DataFrame:
@@ -86,34 +94,51 @@ def join_cardinalities(joined: DataFrame, *inputs: DataFrame) -> DataFrame:
 
 
 def gated_inputs(near: DataFrame, residual: DataFrame, reliability: DataFrame) -> DataFrame:
-    """Near and residual indexes joined on six identity columns, then the reliability per clip.
+    """Near and residual indexes and the reliability, joined one to one per clip.
 
-    A clip without one of the three, or with a reliability outside [0, 1], fails the job.
+    A clip that one of the three lacks or repeats, that the indexes describe differently (six identity columns) or hold with
+    unequal numbers of vectors, or with a reliability outside [0, 1], fails the job.
     """
-    keys = ["file_id", "dataset_split", *IDENTITY[1:]]
-    joined = (
-        near.withColumnRenamed("vector_count", "near_vector_count")
-        .join(residual.select(*keys, F.col("vector_count").alias("residual_vector_count")), keys, "full_outer")
-        .join(reliability.select("file_id", "reliability"), "file_id", "left")
-    )
+    joined = one_to_one(gated_sides(near, residual, reliability), ["file_id"])
+    same_clip = same(F.struct(*GATED), F.col("_residual_identity"), "Near and residual features name different clips as", "file_id")
     value = required(F.col("reliability"), "double", "No reliability for", "file_id")
     outside = F.raise_error(F.concat_ws(" ", F.lit("Reliability outside [0, 1] for"), "file_id")).cast("double")
-    checked = {
-        "near_vector_count": required(F.col("near_vector_count"), "bigint", "No near features for", "file_id"),
-        "residual_vector_count": required(F.col("residual_vector_count"), "bigint", "No residual features for", "file_id"),
-        "reliability": F.when(value.between(0.0, 1.0), value).otherwise(outside),
+    inside = F.when(value.between(0.0, 1.0), value).otherwise(outside)
+    equal = same(F.col("near_vector_count"), F.col("residual_vector_count"), "Unequal vector counts for", "file_id")
+    return joined.where(same_clip).where(equal).drop("_residual_identity").withColumn("reliability", inside)
+
+
+#: What near and residual features must agree on, besides the file_id.
+GATED = ["dataset_split", *IDENTITY[1:]]
+
+
+def gated_sides(near: DataFrame, residual: DataFrame, reliability: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "near features": near.withColumnRenamed("vector_count", "near_vector_count"),
+        "residual features": _residual(residual, GATED),
+        "reliability": reliability.select("file_id", "reliability"),
     }
-    return joined.select(*[checked[c].alias(c) if c in checked else F.col(c) for c in joined.columns])
 
 
-def paired_scores(reference: DataFrame, candidate: DataFrame) -> DataFrame:
-    """The two score tables side by side on the five identity columns; a file that one of them lacks fails the job."""
-    sides = ("reference", "candidate")
-    joined = reference.select(*IDENTITY, F.col("anomaly_score").alias("anomaly_score_reference")).join(
-        candidate.select(*IDENTITY, F.col("anomaly_score").alias("anomaly_score_candidate")), IDENTITY, "full_outer"
-    )
+def paired_scores(reference: DataFrame, candidate: DataFrame, **more: DataFrame) -> DataFrame:
+    """The two score tables side by side, and the columns of ``more`` tables keyed by file_id.
+
+    A file that one of the tables lacks or repeats, or that the score tables describe differently, fails the job.
+    """
+    joined = one_to_one({**score_sides(reference, candidate), **more}, ["file_id"])
+    same_clip = same(F.struct(*IDENTITY[1:]), F.col("_candidate_identity"), "The score tables describe differently", "file_id")
     score = lambda s: required(F.col(f"anomaly_score_{s}"), "double", f"No {s} score for", "file_id")
-    return joined.select(*IDENTITY, *[score(s).alias(f"anomaly_score_{s}") for s in sides])
+    values = {f"anomaly_score_{s}": score(s) for s in ("reference", "candidate")}
+    return joined.where(same_clip).drop("_candidate_identity").withColumns(values)
+
+
+def score_sides(reference: DataFrame, candidate: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "reference score": reference.select(*IDENTITY, F.col("anomaly_score").alias("anomaly_score_reference")),
+        "candidate score": candidate.select(
+            "file_id", F.struct(*IDENTITY[1:]).alias("_candidate_identity"), F.col("anomaly_score").alias("anomaly_score_candidate")
+        ),
+    }
 
 
 def system_scores(

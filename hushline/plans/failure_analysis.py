@@ -19,9 +19,12 @@ class FailureAnalysis(NamedTuple):
 
 
 def analyse(vectors: DataFrame, reference: DataFrame, candidate: DataFrame) -> FailureAnalysis:
-    """``vectors``: file_id with aligned near and residual arrays; scores: the two score tables."""
+    """``vectors``: file_id with aligned near and residual arrays; scores: the two score tables.
+
+    A file that one of the three lacks fails the job, as does one that a score table repeats.
+    """
     moved = correlation.displacement(vectors, ["file_id"])
-    joined = paired_scores(reference, candidate).join(moved, "file_id")
+    joined = paired_scores(reference, candidate, vectors=moved)
     per_clip = correlation.with_score_delta(
         joined, F.col("anomaly_score_reference"), F.col("anomaly_score_candidate")
     )

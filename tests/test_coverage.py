@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hushline.operators import calibration, joins, linear_model, reference_model, summaries
+from hushline.operators import calibration, joins, linear_model, one_to_one, reference_model, summaries
+from hushline.plans import failure_analysis
 from hushline.schemas import IDENTITY
 
 
@@ -20,6 +21,41 @@ def test_paired_scores(spark):
             joins.paired_scores(scores(spark, left), scores(spark, right)).collect()
 
 
+def test_repeated_keys_and_other_identities(spark):
+    two = scores(spark, "ab")
+    with pytest.raises(Exception, match="Repeated candidate score for b"):
+        joins.paired_scores(two, two.unionByName(two.where("file_id = 'b'"))).count()
+    with pytest.raises(Exception, match="describe differently b"):
+        joins.paired_scores(two, two.withColumn("domain", F.when(F.col("file_id") == "b", "target").otherwise("source"))).count()
+    i = index(spark, "ab")
+    for sides in ((i, i.unionByName(i), two, two), (i, i, two.unionByName(two), two)):
+        with pytest.raises(Exception, match="Repeated r"):
+            joins.paired_indexes(*sides).count()
+    with pytest.raises(Exception, match="No near features for c"):  # a score that no index knows
+        joins.paired_indexes(i, i, two, scores(spark, "abc")).count()
+    half = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("b", 0.5)], "file_id string, reliability double")
+    with pytest.raises(Exception, match="Repeated reliability for b"):
+        joins.gated_inputs(i, i, half).count()
+    with pytest.raises(Exception, match="No near features for c"):
+        joins.gated_inputs(i, i, half.dropDuplicates().unionByName(spark.createDataFrame([("c", 0.1)], half.schema))).count()
+
+
+def test_faults_name_every_side(spark):
+    left, right = scores(spark, "abc").select("file_id"), scores(spark, "bccd").select("file_id")
+    null = spark.createDataFrame([(None,)], "file_id string")
+    got = {tuple(r) for r in one_to_one.faults({"left": left.unionByName(null), "right": right}, ["file_id"]).collect()}
+    assert got == {("a", "right", "missing", 0), ("c", "right", "repeated", 2), ("d", "left", "missing", 0), (None, "right", "missing", 0)}
+    with pytest.raises(ValueError, match="share value columns"):
+        one_to_one.gathered({"left": scores(spark, "a"), "right": scores(spark, "a")}, ["file_id"])
+
+
+def test_failure_analysis_needs_vectors(spark):
+    two = scores(spark, "ab")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0], [1.0, 3.0])], "file_id string, near array<double>, residual array<double>")
+    with pytest.raises(Exception, match="No vectors for b"):
+        failure_analysis.analyse(vectors, two, two).per_clip.collect()
+
+
 def test_decisions_and_thresholds(spark):
     views = scores(spark, "a").withColumn("near_score", F.lit(1.0)).withColumn("refsub_score", F.lit(2.0)).drop("anomaly_score")
     other = spark.createDataFrame([("M1", "section_00", "near", 0.5)], "machine_type string, section string, decision string, threshold double")

@@ -73,9 +73,14 @@ def test_unknown_basename_fails(spark):
                                      ["file_id", "relative_path", "machine_type", "section", "domain", "condition", "dataset_split"])
     good = spark.createDataFrame([("DCASE2026T2ToyCar", "section_00", "a.wav", 1.0)], ["machine_type", "section", "basename", "anomaly_score"])
     assert joins.label_official_scores(good, manifest, "m", "e").first()["file_id"] == "x/a.wav"
-    bad = good.withColumn("basename", F.lit("zzz.wav"))
+    bad = good.unionByName(good.withColumn("basename", F.lit("zzz.wav")))
     with pytest.raises(Exception, match="no clip named zzz.wav"):
         joins.label_official_scores(bad, manifest, "m", "e").collect()
+    for official, message in ((good.limit(0), "No official score for"), (good.unionByName(good), "Repeated official score for")):
+        with pytest.raises(Exception, match=f"{message} ToyCar section_00 a.wav"):
+            joins.label_official_scores(official, manifest, "m", "e").count()
+    with pytest.raises(Exception, match="Repeated manifest clip for"):
+        joins.label_official_scores(good, manifest.unionByName(manifest), "m", "e").count()
 
 
 def test_sinks_never_overwrite(spark, tmp_path):
