@@ -4,9 +4,9 @@ Within each source the rows get a seeded random order; a row's fractional rank i
 source)``.  Sorted by fractional rank, every stretch of the order holds each source in its share, so cutting the order into
 equal stretches gives shards that match the mixture; their counts differ by one at most (law ``rows``).
 
-No source and no stretch is handled by one task: both orders are cut into ranges of an evenly spread key (the shuffle
-digest, then the fractional rank), rows are numbered inside a range, and the small table of range counts supplies what
-comes before.
+No source and no stretch is handled by one task: both orders are range-partitioned on their full key, which ends in a number
+of the row itself, so sources of one row each, rows without a doc_id and rows that repeat split like any others.  A row's
+place in its partition is written down with it, and a small table of counts supplies what comes before the partition.
 
 Defined cases: null sources are a source of their own; null texts have size 1 and the checksum of no bytes; rows that
 repeat are ordered by their size and checksum and are otherwise interchangeable; fewer rows than shards leave shards
@@ -15,66 +15,80 @@ empty; further columns stay where they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hushline.llm.common import keyed
 from hushline.session import stored
 
-#: Rows that one numbering task should hold.
+#: Rows that one range of an order should hold.
 RANGE_ROWS = 200_000
 
 
-def numbered(rows: DataFrame, keys: list[str], coarse: Column, order: list[Column], name: str) -> DataFrame:
-    """1-based rank ``name`` and group size ``<name>_of`` in the order, whose leading part is ``coarse``."""
-    cut = rows.withColumn("_range", coarse)
-    counts = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_in"))
+def laid_out(rows: DataFrame, ranges: int, order: list[str], purpose: str) -> DataFrame:
+    """``rows`` in the order, stored, with ``_range`` and ``_at``, the 0-based place in the range.
+
+    The order must tell all rows apart; storing fixes the ranges, whose bounds Spark samples.
+    """
+    cut = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return stored(
+        cut.withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))),
+        purpose,
+    )
+
+
+def numbered(placed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """1-based rank ``name`` and group size ``<name>_of`` of rows laid out in an order that starts with ``keys``."""
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_in"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_k_range"),
-        F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"),
+        *keys, "_range", "_first", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"),
         F.sum("_in").over(Window.partitionBy(*keys)).alias(f"{name}_of"),
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
-    placed = cut.withColumn("_at", F.row_number().over(inside))
-    same = F.col("_range") == F.col("_k_range")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_k_{k}"))
-    joined = placed.join(counts, same)
-    return joined.select(*rows.columns, (F.col("_before") + F.col("_at")).alias(name), f"{name}_of")
+    rank = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return placed.join(counts, [*keys, "_range"]).withColumn(name, rank).drop("_range", "_at", "_first", "_before", "_in")
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, source: str = "source") -> DataFrame:
     """doc_id, source, size, text_crc32, shard and slot of every row; no text is shuffled."""
+    return _interleaved(docs.withColumn("_key", F.monotonically_increasing_id()), shards, seed, source).drop("_key")
+
+
+def _interleaved(docs: DataFrame, shards: int, seed: int, source: str) -> DataFrame:
     rows = docs.select(
         "doc_id",
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_digest"),
+        "_key",
     )
     rows = stored(rows, "shard-rows")
-    total = rows.count()
-    digits = 1
-    while 16**digits * RANGE_ROWS < total:
-        digits += 1
-    ties = [F.col(c) for c in ("_digest", "doc_id", "size", "text_crc32")]
-    ranked = numbered(rows, ["source"], F.substring("_digest", 1, digits), ties, "rank")
-    part = (2 * F.col("rank") - 1) / (2.0 * F.col("rank_of"))
-    ranges = max(16, -(-total // RANGE_ROWS))
-    ranked = ranked.withColumn("_part", part).withColumn("_all", F.lit(0))
-    order = [F.col("_part"), F.col("source"), *ties]
-    placed = numbered(ranked, ["_all"], F.floor(F.col("_part") * ranges), order, "place")
+    ranges = max(16, -(-rows.count() // RANGE_ROWS))
+    ties = ["_digest", "doc_id", "size", "text_crc32", "_key"]
+    ranked = numbered(laid_out(rows, ranges, ["source", *ties], "shard-ranks"), ["source"], "rank")
+    ranked = ranked.withColumn("_part", (2 * F.col("rank") - 1) / (2.0 * F.col("rank_of")))
+    ordered = laid_out(ranked.withColumn("_all", F.lit(0)), ranges, ["_part", "source", *ties], "shard-places")
+    placed = numbered(ordered, ["_all"], "place")
     shard = F.expr(f"cast((place - 1) * {shards} div place_of as int)")
     placed = placed.withColumn("shard", shard)
     first = F.expr(f"(shard * place_of + {shards - 1}) div {shards}")  # places before the shard's first row
     return placed.select(
-        "doc_id", "source", "size", "text_crc32", "shard", (F.col("place") - 1 - first).cast("long").alias("slot")
+        "doc_id", "source", "size", "text_crc32", "shard", (F.col("place") - 1 - first).cast("long").alias("slot"), "_key"
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 42) -> None:
-    """Write whole rows of ``docs`` (unique doc_ids) as Parquet, one folder per shard, rows in slot order."""
-    where = interleave(docs, shards, seed).select("doc_id", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    placed = docs.join(where, "doc_id").repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    placed.withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 42, source: str = "source") -> None:
+    """Write whole rows of ``docs`` as Parquet, one folder per shard, rows in slot order.
+
+    Rows without a doc_id and rows that share one are written like any others.
+    """
+    rows = keyed(docs)
+    parts = rows.select("_row.doc_id", F.col(f"_row.{source}").alias("source"), "_row.text", "_key")
+    where = _interleaved(parts, shards, seed, "source").select("_key", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    placed = rows.join(where, "_key").repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    # The folder's and the order's columns replace columns of these names that the rows may have.
+    mine = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    placed.select(*mine, F.col("_shard").alias("shard"), F.col("_slot").alias("slot")).write.partitionBy("shard").parquet(path)
