@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tables", "scores", "policy", "spectra", "safe_reference", "models", "stream")
+MODULES = ("tables", "scores", "policy", "spectra", "safe_reference", "models", "stream", "audio")
 
 
 def load_all() -> None:

@@ -1,10 +1,17 @@
-"""WAV directories as Spark tables: a manifest from file headers, and decoded stereo clips."""
+"""WAV directories as Spark tables: a manifest from file headers, whole stereo clips, and chunks read by byte range.
+
+Headers and chunks are read by range: a manifest touches some hundred bytes of a file, and a long recording is decoded by
+as many tasks as it has chunks.  Understood are RIFF and RF64 files with integer or float samples, plain or extensible,
+whatever other chunks stand before the samples.
+"""
 
 from __future__ import annotations
 
 import io
-import wave
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import BinaryIO, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,12 +21,29 @@ from pyspark.sql import functions as F
 from hushline.functions import paths
 from hushline.schemas import MANIFEST, ContractError
 
-# Sample width in bytes -> subtype name and full-scale divisor.
-SUBTYPES = {1: "PCM_U8", 2: "PCM_16", 3: "PCM_24", 4: "PCM_32"}
+# Fixed values: (format tag, bytes a sample) -> subtype name; full-scale divisors of integer samples.
+SUBTYPES = {
+    (1, 1): "PCM_U8", (1, 2): "PCM_16", (1, 3): "PCM_24", (1, 4): "PCM_32",
+    (3, 4): "FLOAT", (3, 8): "DOUBLE",
+}
 FULL_SCALE = {1: 128.0, 2: 32768.0, 3: 8388608.0, 4: 2147483648.0}
+# Fixed values of the format: the tag whose real tag stands in the extension, and the size that RF64 keeps elsewhere.
+EXTENSIBLE = 0xFFFE
+ELSEWHERE = 0xFFFFFFFF
 
-_HEADER = "path string, sample_rate int, frames bigint, duration_seconds double, channels int, subtype string"
+_LAYOUT = "sample_rate int, frames bigint, duration_seconds double, channels int, subtype string"
+_HEADER = f"path string, {_LAYOUT}, offset bigint, tag int, width int"
 _CLIP = "path string, sample_rate int, near array<double>, far array<double>"
+_CHUNK = "path string, chunk bigint, start bigint, frames bigint, sample_rate int, near array<double>, far array<double>"
+
+
+class Header(NamedTuple):
+    rate: int
+    channels: int
+    tag: int
+    width: int
+    offset: int
+    frames: int
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -31,23 +55,82 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def located(path: str) -> tuple[str, str]:
+    """(root of the file system, path below it) of a path as Spark lists it: unescaped, with any Hadoop scheme."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return "", path
+    if scheme == "file":
+        return "", "/" + rest.lstrip("/")
+    authority, _, inner = rest.lstrip("/").partition("/")
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority}", inner
+
+
+@lru_cache(maxsize=16)
+def _system(root: str):
+    from pyarrow import fs
+
+    if not root:
+        return fs.LocalFileSystem(), ""
+    system, base = fs.FileSystem.from_uri(f"{root}/")
+    return system, base.rstrip("/") + "/"
+
+
 def _open(path: str):
     """Random-access handle through the file system the path names (local, HDFS, object store)."""
-    from pyarrow import fs
+    root, inner = located(path)
+    system, base = _system(root)
+    return system.open_input_file(base + inner)
 
-    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
-    system, inner = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(inner)
+
+def read_header(handle: BinaryIO, label: str) -> Header:
+    """Layout of a WAV file, by walking its chunks; sample data is not read.
+
+    A data size beyond the end of the file (a recording cut off, or a size never filled in) counts what is there.
+    """
+    handle.seek(0, 2)
+    end = handle.tell()
+    handle.seek(0)
+    head = handle.read(12)
+    if len(head) < 12 or head[:4] not in (b"RIFF", b"RF64") or head[8:] != b"WAVE":
+        raise ContractError(f"Not a WAV file: {label}")
+    at, form, long_size = 12, None, None
+    while at + 8 <= end:
+        handle.seek(at)
+        name, size = struct.unpack("<4sI", handle.read(8))
+        at += 8
+        if name == b"ds64":
+            long_size = struct.unpack("<QQ", handle.read(16))[1]
+        elif name == b"fmt ":
+            raw = handle.read(min(size, 40))
+            if len(raw) < 16:
+                raise ContractError(f"Cut-off format in {label}")
+            tag, channels, rate, _, align, bits = struct.unpack("<HHIIHH", raw[:16])
+            if tag == EXTENSIBLE and len(raw) >= 26:
+                tag = struct.unpack("<H", raw[24:26])[0]
+            if (tag, bits // 8) not in SUBTYPES or not channels or align != channels * (bits // 8):
+                raise ContractError(f"Samples of an unknown kind in {label}: format {tag}, {bits} bits, {channels} channels")
+            form = (rate, channels, tag, bits // 8)
+        elif name == b"data":
+            if form is None:
+                raise ContractError(f"Samples before their format in {label}")
+            if size == ELSEWHERE and long_size is not None:
+                size = long_size
+            return Header(*form, at, min(size, end - at) // (form[1] * form[3]))
+        at += size + size % 2
+    raise ContractError(f"No samples in {label}")
 
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [column.split()[0] for column in _HEADER.split(", ")]
     for batch in batches:
         rows = []
         for path in batch["path"]:
-            with _open(path) as handle, wave.open(handle) as clip:
-                rate, count = clip.getframerate(), clip.getnframes()
-                rows.append((path, rate, count, count / rate, clip.getnchannels(), SUBTYPES[clip.getsampwidth()]))
-        yield pd.DataFrame(rows, columns=["path", "sample_rate", "frames", "duration_seconds", "channels", "subtype"])
+            with _open(path) as handle:
+                h = read_header(handle, path)
+            kind = SUBTYPES[h.tag, h.width]
+            rows.append((path, h.rate, h.frames, h.frames / h.rate, h.channels, kind, h.offset, h.tag, h.width))
+        yield pd.DataFrame(rows, columns=names)
 
 
 def wav_manifest(spark: SparkSession, root: str, release: str = "dev") -> DataFrame:
@@ -72,24 +155,37 @@ def with_relative_path(df: DataFrame, root: str) -> DataFrame:
     return df.withColumn("relative_path", F.substring_index(F.col("path"), f"{inside}/", -1))
 
 
-def decode(content: bytes, exact_stereo: bool, label: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(near, far, sample rate) in [-1, 1) from PCM WAV bytes."""
-    with wave.open(io.BytesIO(content)) as clip:
-        width, channels, rate = clip.getsampwidth(), clip.getnchannels(), clip.getframerate()
-        raw = clip.readframes(clip.getnframes())
-    if channels < 2 or (exact_stereo and channels != 2):
-        raise ContractError(f"Expected stereo audio in {label}, found {channels} channel(s)")
-    if width == 3:
+def samples_of(raw: bytes, header: Header, label: str) -> np.ndarray:
+    """frames x channels doubles, integers scaled to [-1, 1); values that are not finite are refused."""
+    if header.tag == 3:
+        values = np.frombuffer(raw, f"<f{header.width}").astype(np.float64)
+        if not np.isfinite(values).all():
+            raise ContractError(f"Samples that are not finite in {label}")
+        return values.reshape(-1, header.channels)
+    if header.width == 3:
         parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         values = (parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16) << 8 >> 8
-    elif width == 1:
+    elif header.width == 1:
         values = np.frombuffer(raw, np.uint8).astype(np.int32) - 128
     else:
-        values = np.frombuffer(raw, f"<i{width}")
-    samples = values.reshape(-1, channels) / FULL_SCALE[width]
-    if not len(samples):
+        values = np.frombuffer(raw, f"<i{header.width}")
+    return values.reshape(-1, header.channels) / FULL_SCALE[header.width]
+
+
+def _require_stereo(channels: int, frames: int, exact: bool, label: str) -> None:
+    if channels < 2 or (exact and channels != 2):
+        raise ContractError(f"Expected stereo audio in {label}, found {channels} channel(s)")
+    if not frames:
         raise ContractError(f"Empty audio in {label}")
-    return samples[:, 0], samples[:, 1], rate
+
+
+def decode(content: bytes, exact_stereo: bool, label: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(near, far, sample rate) from the bytes of a WAV file."""
+    header = read_header(io.BytesIO(content), label)
+    _require_stereo(header.channels, header.frames, exact_stereo, label)
+    size = header.frames * header.channels * header.width
+    samples = samples_of(content[header.offset : header.offset + size], header, label)
+    return samples[:, 0], samples[:, 1], header.rate
 
 
 def stereo_clips(spark: SparkSession, root: str, exact_stereo: bool = True) -> DataFrame:
@@ -108,10 +204,47 @@ def stereo_clips(spark: SparkSession, root: str, exact_stereo: bool = True) -> D
     return with_relative_path(decoded, root).drop("path")
 
 
+def stereo_chunks(
+    spark: SparkSession, root: str, chunk: int = 1 << 16, halo: int = 0, exact_stereo: bool = True, tasks: int | None = None
+) -> DataFrame:
+    """(relative_path, chunk, start, frames, sample_rate, near, far): one row per ``chunk`` frames of a file.
+
+    A row also holds the ``halo`` frames after its own, so frames that begin in a chunk can be cut without its neighbour.
+    ``frames`` is the length of the whole file.  Only headers and the rows' byte ranges are read, each by whichever task
+    the range falls to: a recording of any length is one row per chunk, never one row.
+    """
+    plan = _files(spark, root).select("path").mapInPandas(_read_headers, _HEADER)
+    last = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("frames") - 1) / chunk))
+    plan = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    plan = plan.repartition(tasks or spark.sparkContext.defaultParallelism * 4, "path", "chunk")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                _require_stereo(row.channels, row.frames, exact_stereo, row.path)
+                header = Header(row.sample_rate, row.channels, row.tag, row.width, row.offset, row.frames)
+                start, step = row.chunk * chunk, row.channels * row.width
+                count = min(chunk + halo, row.frames - start)
+                with _open(row.path) as handle:
+                    handle.seek(row.offset + start * step)
+                    raw = handle.read(count * step)
+                if len(raw) != count * step:
+                    raise ContractError(f"{row.path} became shorter while it was read")
+                both = samples_of(raw, header, row.path)
+                yield pd.DataFrame(
+                    {"path": [row.path], "chunk": [row.chunk], "start": [start], "frames": [row.frames],
+                     "sample_rate": [row.sample_rate], "near": [both[:, 0]], "far": [both[:, 1]]}
+                )
+
+    return with_relative_path(plan.mapInPandas(read, _CHUNK), root).drop("path")
+
+
 def sample_rows(clips: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Long samples (clip_no, t, samples, near, far) of decoded clips, keyed by the manifest's clip_no."""
-    keyed = clips.join(manifest.select("relative_path", "clip_no"), "relative_path")
-    rows = keyed.select(
-        "clip_no", F.size("near").cast("bigint").alias("samples"), F.posexplode(F.arrays_zip("near", "far")).alias("t", "_z")
+    """Long samples (clip_no, t, samples, near, far) of whole clips or of chunks without halo, keyed by the manifest's clip_no."""
+    chunks = "start" in clips.columns
+    start, length = (F.col("start"), F.col("frames")) if chunks else (F.lit(0).cast("bigint"), F.size("near").cast("bigint"))
+    keyed = clips.select("relative_path", start.alias("_start"), length.alias("samples"), "near", "far").join(
+        manifest.select("relative_path", "clip_no"), "relative_path"
     )
-    return rows.select("clip_no", F.col("t").cast("bigint").alias("t"), "samples", "_z.near", "_z.far")
+    rows = keyed.select("clip_no", "_start", "samples", F.posexplode(F.arrays_zip("near", "far")).alias("t", "_z"))
+    return rows.select("clip_no", (F.col("_start") + F.col("t")).alias("t"), "samples", "_z.near", "_z.far")

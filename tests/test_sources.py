@@ -1,4 +1,6 @@
+import io
 import os
+import struct
 import wave
 
 import numpy as np
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hushline.operators import guards, joins
 from hushline.schemas import ContractError
-from hushline.sources import audio, score_files, sinks, tables
+from hushline.sources import audio, score_files, sinks, tables, wav_files
 
 
 def write_wav(path, values, width=2, rate=16000):
@@ -58,6 +60,49 @@ def test_mono_and_empty_directories_are_rejected(spark, tmp_path):
         audio.wav_manifest(spark, str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize("tag,width,extensible", [(1, 1, False), (1, 2, True), (1, 3, True), (1, 4, False), (3, 4, True), (3, 8, False)])
+def test_chunks_equal_whole_files(spark, tmp_path, tag, width, extensible):
+    root = tmp_path / "with space, 100%25 é"
+    values = np.stack([np.arange(-60, 65), np.arange(65, -60, -1)], 1) / 128.0
+    (root / "Fan" / "train").mkdir(parents=True)
+    content = wav_files.wav_bytes(values, 8000, tag, width, extensible)
+    for name in ("a b.wav", "c#1?.wav"):
+        (root / "Fan" / "train" / name).write_bytes(content)
+    rows = {r["relative_path"]: r for r in audio.wav_manifest(spark, str(root)).collect()}
+    assert set(rows) == {"Fan/train/a b.wav", "Fan/train/c#1?.wav"}
+    assert {(r["frames"], r["channels"], r["subtype"]) for r in rows.values()} == {(125, 2, audio.SUBTYPES[tag, width])}
+    near, far, rate = audio.decode(content, True, "x")
+    np.testing.assert_array_equal(np.stack([near, far], 1), values)
+    chunks = [r for r in audio.stereo_chunks(spark, str(root), 40, 9).collect() if r["relative_path"] == "Fan/train/a b.wav"]
+    assert sorted((r["chunk"], r["start"], len(r["near"])) for r in chunks) == [(0, 0, 49), (1, 40, 49), (2, 80, 45), (3, 120, 5)]
+    for r in chunks:
+        np.testing.assert_array_equal(r["far"], values[r["start"] : r["start"] + 49, 1])
+    manifest = spark.createDataFrame([("Fan/train/a b.wav", 7)], "relative_path string, clip_no long")
+    long = audio.sample_rows(audio.stereo_chunks(spark, str(root), 40), manifest).orderBy("t").collect()
+    assert [(r["t"], r["samples"], r["near"]) for r in long] == [(t, 125, v) for t, v in enumerate(values[:, 0])]
+
+
+def test_broken_files_are_refused():
+    good = wav_files.wav_bytes(np.zeros((4, 2)), 8000)
+    read = lambda raw: audio.read_header(io.BytesIO(raw), "f.wav")
+    assert read(good[:-4]).frames == 3 and read(good[:40] + b"\xff\xff\xff\xff" + good[44:]).frames == 4
+    long = b"RF64" + b"\xff" * 4 + b"WAVE" + struct.pack("<4sIQQQI", b"ds64", 28, 0, 16, 4, 0) + good[12:40] + b"\xff" * 4 + good[44:] + b"rest"
+    assert read(long).frames == 4
+    for raw, message in ((b"", "Not a WAV"), (b"OggS" + good[4:], "Not a WAV"), (good[:36], "No samples"), (good[:12] + good[36:], "before their format"),
+                         (good[:20] + b"\x07" + good[21:], "unknown kind")):
+        with pytest.raises(ContractError, match=message):
+            read(raw)
+    loud = wav_files.wav_bytes(np.full((2, 2), np.inf), 8000, 3, 4)
+    with pytest.raises(ContractError, match="not finite"):
+        audio.decode(loud, True, "f.wav")
+
+
+def test_paths_of_file_systems():
+    assert audio.located("file:/a b/c%.wav") == ("", "/a b/c%.wav") and audio.located("/a:b/c.wav") == ("", "/a:b/c.wav")
+    assert audio.located("s3a://bucket/x y/z.wav") == ("s3://bucket", "x y/z.wav")
+    assert audio.located("hdfs://host:8020/x/z.wav") == ("hdfs://host:8020", "x/z.wav")
+
+
 def test_score_files_parse_skip_and_reject(spark, tmp_path):
     (tmp_path / "anomaly_score_DCASE2026T2ToyCar_section_00_test_seed13711.csv").write_text("a.wav,0.5\n\nb.wav,1.5\n")
     (tmp_path / "anomaly_score_other.csv").write_text("skip,1,2\n")
