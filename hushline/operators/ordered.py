@@ -153,8 +153,10 @@ def quantiles(
     """Exact linear-interpolated quantiles per group, in bounded memory per task.
 
     A mergeable sketch brackets each wanted rank.  Values outside the bracket are only counted (they
-    collapse to one cell per group before the shuffle); the few inside keep their value and are ranked.
-    Groups no larger than the sketch's exact size are ranked whole.
+    collapse to one cell per group before the shuffle, with their greatest value below and least value above); the
+    few inside keep their value and are ranked.  Interpolation needs two neighbouring ranks, one of which may lie just
+    outside; the outer values supply it, so groups of every size go one way.  A rank that still lies elsewhere, beyond
+    the sketch's error, fails the job.
     """
     names = list(probabilities)
     keys = list(keys)
@@ -169,13 +171,12 @@ def quantiles(
     sketch = rows.groupBy(*join_keys).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", grid, accuracy).alias("_b")
     )
-    whole = F.col("_n") <= accuracy
     wanted = F.array(
         *[
             F.struct(
                 F.lit(i).alias("which"),
-                F.when(~whole, F.element_at("_b", i + 1)).alias("lo"),
-                F.when(~whole, F.element_at("_b", len(names) + i + 1)).alias("hi"),
+                F.element_at("_b", i + 1).alias("lo"),
+                F.element_at("_b", len(names) + i + 1).alias("hi"),
                 (F.lit(float(probabilities[n])) * (F.col("_n") - 1)).alias("rank"),
             )
             for i, n in enumerate(names)
@@ -187,10 +188,9 @@ def quantiles(
     cells = (
         rows.join(brackets, join_keys)
         .select(*join_keys, F.col("_w.which").alias("_q"), F.col("_w.rank").alias("_r"),
-                side.alias("_s"), "_v")
-        .withColumn("_v", F.when(F.col("_s") == 0, F.col("_v")))
+                side.alias("_s"), F.when(side == 0, F.col("_v")).alias("_v"), F.col("_v").alias("_x"))
         .groupBy(*join_keys, "_q", "_r", "_s", "_v")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
     )
     ranked = cells.withColumn(
         "_end",
@@ -203,14 +203,20 @@ def quantiles(
     low = F.floor("_r")
     high = F.ceil("_r")
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
+    def value_at(rank: Column) -> Column:
+        start = F.col("_end") - F.col("_c")
+        inside = (F.col("_s") == 0) & (start <= rank) & (rank < F.col("_end"))
+        return (
+            F.when(inside, F.col("_v"))
+            .when((F.col("_s") == -1) & (rank == F.col("_end") - 1), F.col("_most"))
+            .when((F.col("_s") == 1) & (rank == start), F.col("_least"))
+        )
 
     picked = ranked.groupBy(*join_keys, "_q").agg(
-        F.max(F.when(holds(low), F.col("_v"))).alias("_lo"),
-        F.max(F.when(holds(high), F.col("_v"))).alias("_hi"),
-        F.max(F.col("_r") - low).alias("_f"),
+        F.max(value_at(low)).alias("_lo"), F.max(value_at(high)).alias("_hi"), F.max(F.col("_r") - low).alias("_f")
     )
+    missed = F.raise_error(F.lit("A quantile's rank lies outside its sketch's bracket")).cast("double")
+    picked = picked.withColumns({c: F.coalesce(F.col(c), missed) for c in ("_lo", "_hi")})
     result = picked.groupBy(*join_keys).agg(
         *[
             F.max(

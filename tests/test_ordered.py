@@ -26,6 +26,27 @@ def test_quantiles_match_numpy_on_both_paths(skewed, accuracy):
             assert got[key][name] == pytest.approx(np.quantile(part["v"], q), abs=1e-12), (key, name)
 
 
+def test_quantiles_of_every_size(spark):
+    """Sizes around the sketch's exact one and below it go one way, ties included."""
+    rng = np.random.default_rng(8)
+    groups = {n: np.round(rng.normal(size=n), 1 if n % 2 else 6) for n in [*range(1, 30), 99, 100, 101, 399, 2500]}
+    frame = pd.concat([pd.DataFrame({"k": n, "v": v}) for n, v in groups.items()])
+    wanted = {f"q{i}": p for i, p in enumerate((0.0, 0.05, 0.25, 1 / 3, 0.5, 0.75, 0.95, 0.99, 1.0))}
+    df = spark.createDataFrame(frame).cache()
+    for accuracy in (100, 10_000):
+        got = {r["k"]: r for r in ordered.quantiles(df, ["k"], "v", wanted, accuracy).collect()}
+        for n, values in groups.items():
+            for name, q in wanted.items():
+                assert got[n][name] == pytest.approx(np.quantile(values, q), abs=1e-12), (n, name, accuracy)
+
+
+def test_a_missed_rank_fails(skewed, monkeypatch):
+    _, df = skewed
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda v, grid, accuracy: F.array(*[F.max(v) for _ in grid]))
+    with pytest.raises(Exception, match="outside its sketch's bracket"):
+        ordered.quantiles(df, ["k"], "v", {"m": 0.5}).collect()
+
+
 def test_sized_quantiles_split_by_size(skewed):
     frame, df = skewed
     sizes = df.groupBy("k").agg(F.count("*").alias("size"))
