@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from hushline.catalog.registry import query
 from hushline.catalog.scores import rounded
+from hushline.catalog.spectra import FRAMES_SQL, SMALL
 from hushline.catalog.views import Views
 from hushline.functions.numeric import d
+from hushline.operators import spectra
 from hushline.session import new_folder
 from hushline.sources import audio, wav_files
 
@@ -73,3 +75,21 @@ def src3(v: Views) -> DataFrame:
         return F.aggregate(terms, F.lit(0).cast("bigint"), lambda s, x: s + x).alias(f"{name}_sum")
 
     return chunks.select("relative_path", "chunk", "frames", F.size("near").cast("bigint").alias("held"), weighted("near"), weighted("far"))
+
+
+WAVS = f"""{PARTS}, wavs AS (SELECT clip_no * 1000000 + part AS clip_no, t, count(*) OVER (PARTITION BY clip_no, part) AS samples, near / 32768e0 AS near, far / 32768e0 AS far FROM parts)"""
+
+
+@query(
+    "t01_wav_stft",
+    "manifest clips",
+    f"""WITH {WAVS}, {FRAMES_SQL.replace('clips', 'wavs')} SELECT clip_no, frame, bin, round(nr, 6) + 0e0 AS near_re, round(ni, 6) + 0e0 AS near_im, round(fr, 6) + 0e0 AS far_re, round(fi, 6) + 0e0 AS far_im FROM sp""",
+)
+def t01_wav(v: Views) -> DataFrame:
+    """Spectra straight from WAV files: byte ranges with a halo, framed and transformed where they are read."""
+    root = written(v)
+    named = audio.wav_manifest(v.spark, root).select("file_id")
+    number = lambda at: F.regexp_extract("file_id", r"_(\d+) (\d+)\.wav$", at).cast("bigint")
+    clips = named.select(F.col("file_id").alias("relative_path"), (number(1) * 1000000 + number(2)).alias("clip_no"))
+    packed = spectra.stft(audio.stereo_blocks(v.spark, root, clips, SMALL, 4), SMALL, 4, placed=False)
+    return rounded(spectra.explode_bins(packed).drop("block", "samples", "frames"))

@@ -10,7 +10,7 @@ from hushline.catalog.scores import roc_sql, round_all, rounded, spearman_sql
 from hushline.catalog.spectra import MELS, OVERLAP_SQL, SMALL, log_mel_sql, path_sql, small_maps
 from hushline.catalog.views import Views
 from hushline.functions.numeric import d
-from hushline.operators import acoustic_path, calibration, guards, log_mel, roc, spectra, summaries
+from hushline.operators import acoustic_path, calibration, chunks, guards, log_mel, roc, spectra, summaries
 from hushline.operators import linear_model as lm
 from hushline.plans import failure_analysis, multi_view, systems
 from hushline.schemas import GROUP, IDENTITY
@@ -178,7 +178,7 @@ def t21(v: Views) -> DataFrame:
 def t23(v: Views) -> DataFrame:
     rows = acoustic_path.acoustic_path(spectra.stft(v.clips, SMALL))
     packed = spectra.pack_bins(rows, ["residual_re", "residual_im"], ["samples"])
-    wave = spectra.reconstruct(packed, SMALL, "residual_re", "residual_im", v.clips)
+    wave = chunks.inverse(packed, SMALL, spectra.BLOCK, "residual_re", "residual_im", fallback=v.clips)
     vectors = log_mel.log_mel_vectors(wave, "value", 16000, 8, spectra.Stft.log_mel(64, 32))
     return rounded(
         vectors.select("clip_no", "vec_idx", F.size("values").alias("width"), F.aggregate(F.col("values").cast("array<double>"), d(0.0), lambda a, x: a + x).alias("total")),

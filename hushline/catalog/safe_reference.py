@@ -9,7 +9,7 @@ from hushline.catalog.registry import query
 from hushline.catalog.scores import round_all, rounded
 from hushline.catalog.views import Views
 from hushline.functions.numeric import d
-from hushline.operators import guards, policy, spectra
+from hushline.operators import chunks, guards, policy, spectra
 from hushline.operators import subtraction as sub
 from hushline.operators.spectra import Stft
 from hushline.operators.subtraction import SubtractionSettings
@@ -96,7 +96,7 @@ def transfers(v: Views, rows: DataFrame) -> DataFrame:
     f"WITH {SPECTRA_SQL} SELECT clip_no, frame, bin, round(nr, 6) + 0e0 AS near_re, round(ni, 6) + 0e0 AS near_im, round(fr, 6) + 0e0 AS far_re, round(fi, 6) + 0e0 AS far_im FROM sp",
 )
 def t02(v: Views) -> DataFrame:
-    return rounded(spectra.explode_bins(packed(v)).drop("block", "samples", "frames"))
+    return rounded(spectra.explode_bins(spectra.stft(v.clips, SMALL, placed=False)).drop("block", "samples", "frames"))
 
 
 @query(
@@ -155,7 +155,8 @@ def t22(v: Views) -> DataFrame:
     f"WITH {SPECTRA_SQL}, {FLOORS_SQL}, {ENHANCED_SQL}, {WAVE_SQL} SELECT clip_no, t, round(value, 6) + 0e0 AS value FROM wv",
 )
 def t22_wave(v: Views) -> DataFrame:
-    return rounded(safe_reference.build(trained_clips(v), trained_manifest(v), SMALL, S).waveform.select("clip_no", "t", "value"))
+    wave = safe_reference.build(trained_clips(v), trained_manifest(v), SMALL, S).waveform
+    return rounded(chunks.samples_of(wave, ["value"]).select("clip_no", "t", "value"))
 
 
 CHAIN = f"WITH {SPECTRA_SQL}, {FLOORS_SQL}, {ENHANCED_SQL}, {WAVE_SQL}, {DIAGNOSTICS_SQL}"

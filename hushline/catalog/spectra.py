@@ -49,14 +49,8 @@ def trained_manifest(v: Views) -> DataFrame:
 def w04(v: Views) -> DataFrame:
     framed = spectra.frames(v.clips, SMALL)
     window = F.array(*[F.lit(float(w)) for w in SMALL.window()])
-    total = lambda c: F.aggregate(
-        F.zip_with("k", c, lambda k, x: x * F.element_at(window, k + 1)), F.lit(0.0), lambda a, x: a + x
-    )
-    return rounded(
-        framed.select(
-            "clip_no", "frame", F.size("k").cast("bigint").alias("width"), total("near").alias("near_sum"), total("far").alias("far_sum")
-        )
-    )
+    total = lambda c: F.aggregate(F.zip_with(c, window, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    return rounded(framed.select("clip_no", "frame", "width", total("near").alias("near_sum"), total("far").alias("far_sum")))
 
 
 @query(
@@ -65,7 +59,7 @@ def w04(v: Views) -> DataFrame:
     f"WITH {FRAMES_SQL} SELECT clip_no, frame, bin, round(nr, 6) + 0e0 AS near_re, round(ni, 6) + 0e0 AS near_im, round(fr, 6) + 0e0 AS far_re, round(fi, 6) + 0e0 AS far_im FROM sp",
 )
 def t01(v: Views) -> DataFrame:
-    return rounded(spectra.explode_bins(small_packed(v)).drop("block", "samples", "frames"))
+    return rounded(spectra.explode_bins(spectra.stft(v.clips, SMALL, placed=False)).drop("block", "samples", "frames"))
 
 
 # Static coherence, adaptive filter and causal averages restated over the trig-sum spectra.

@@ -19,11 +19,7 @@ MELS = 128
 
 def log_mel_frames(samples: DataFrame, channel: str, sample_rate: int, convention: Stft, n_mels: int, block: int = BLOCK):
     """One row per frame with its mel powers in dB as an array: (clip_no, block, frame, frames, values)."""
-    framed = spectra.frames(samples, convention, block, channels=(channel,))
-    spectrum = spectra.transform_udf(convention, 1)(F.col("k"), F.col(channel))
-    packed = framed.withColumn("_f", spectrum).select(
-        *spectra.FRAME_KEYS, "frames", F.col("_f.c0_re").alias("x_re"), F.col("_f.c0_im").alias("x_im")
-    ).repartition("clip_no", "block")
+    packed = spectra.stft(samples, convention, block, [channel], ["x"])
     long = spectra.explode_bins(packed, ["x_re", "x_im"])
     filters = weight_table(samples.sparkSession, area_normalised_filters(convention.n_fft, sample_rate, n_mels))
     # Mel bands too narrow to hold a bin have no weight row; their power is zero.

@@ -12,12 +12,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hushline.functions.numeric import FLOAT_EPS, d
+from hushline.operators import chunks
 from hushline.operators.guards import required
 
 BLOCK = 512
@@ -70,10 +68,6 @@ class Stft:
         return cls(n_fft, n_fft, hop, centred=True)
 
 
-def _double_array() -> T.ArrayType:
-    return T.ArrayType(T.DoubleType())
-
-
 def with_samples(clips: DataFrame) -> DataFrame:
     """Add the clip length where the table does not carry it."""
     if "samples" in clips.columns:
@@ -81,113 +75,31 @@ def with_samples(clips: DataFrame) -> DataFrame:
     return clips.join(clips.groupBy("clip_no").agg(F.count("*").alias("samples")), "clip_no")
 
 
-def _starts(convention: Stft) -> tuple[Column, Column, Column]:
-    """(frame indexes holding sample t, start of a frame, number of frames), as expressions on t/samples.
+def _blocks(clips: DataFrame, convention: Stft, block: int, channels: Sequence[str]) -> DataFrame:
+    """Block rows: as they are, or gathered from long samples or chunk rows."""
+    return clips if "at" in clips.columns else chunks.gather(with_samples(clips), convention, block, channels)
+
+
+def frames(clips: DataFrame, convention: Stft, block: int = BLOCK, channels: Sequence[str] = ("near", "far")):
+    """Windows as arrays (one row per frame), from long samples (clip_no, t, samples, channels), chunk rows or block rows.
 
-    For the centred convention ``t`` counts from the start of the zero extension.
+    Samples move at most once, into blocks of frames with a halo; short clips are padded with zeros on the right.
+    ``width`` counts the samples of the clip in a window.
     """
-    win, hop = convention.win, convention.hop
-    n, t = F.col("samples").cast("bigint"), F.col("t").cast("bigint")
-    first = F.greatest(F.lit(0), F.ceil((t - F.lit(win - 1)) / d(hop)))
-    if convention.centred:
-        if convention.padded:
-            regular = F.ceil((F.greatest(n, F.lit(win)) + 2 * (win // 2) - win) / d(hop))
-        else:
-            regular = F.floor((n + 2 * (win // 2) - win) / d(hop))
-        last = F.least(regular, F.floor(t / d(hop)))
-        # The last sample of a clip shorter than a window also opens the all-zero frames after it.
-        last = F.when(t == n - 1 + win // 2, regular).otherwise(last)
-        held = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        return held, F.col("frame") * hop, regular + 1
-    regular = F.when(n > win, F.floor((n - win) / d(hop))).otherwise(F.lit(0).cast("bigint"))
-    tail = (n > win) & (regular * hop != n - win)
-    last = F.least(regular, F.floor(t / d(hop)))
-    held = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    extra = F.when(tail & (t >= n - win), F.array(regular + 1)).otherwise(F.array().cast("array<bigint>"))
-    start = F.when(F.col("frame") > regular, n - win).otherwise(F.col("frame") * hop)
-    return F.concat(held, extra), start, regular + 1 + tail.cast("bigint")
+    return chunks.frames(_blocks(clips, convention, block, channels), convention, block, channels)
 
 
-def frames(clips: DataFrame, convention: Stft, block: int = BLOCK, channels: Sequence[str] = ("near", "far")):
-    """Windows of a long sample table (clip_no, t, samples, channels).
+def stft(
+    clips: DataFrame, convention: Stft, block: int = BLOCK, channels: Sequence[str] = ("near", "far"),
+    names: Sequence[str] | None = None, placed: bool = True,
+) -> DataFrame:
+    """Spectra as arrays per frame row, from long samples, chunk rows or block rows.
 
-    Each sample is sent to the (at most win/hop + 1) frames that hold it; a frame group never exceeds one
-    window, whatever the length of its clip.  Short clips are padded with zeros on the right.
+    Framing and transform are one step on a block's arrays.  ``placed`` puts the spectra by (clip_no, block), for steps that
+    run along frames; without it nothing moves after the samples met in their blocks.
     """
-    rows = with_samples(clips)
-    if convention.centred:
-        # Real samples sit after the leading extension; missing samples are zeros by construction.
-        rows = rows.withColumn("t", F.col("t") + convention.win // 2)
-    held, start, count = _starts(convention)
-    spread = (
-        rows.withColumn("frame", F.explode(held))
-        .withColumn("k", (F.col("t") - start).cast("int"))
-        .withColumn("block", F.floor(F.col("frame") / d(block)))
-        .withColumn("frames", count)
-    )
-    samples = F.collect_list(F.struct("k", *channels))
-    packed = spread.groupBy(*FRAME_KEYS).agg(
-        F.max("samples").alias("samples"), F.max("frames").alias("frames"), samples.alias("_s")
-    )
-    return packed.select(
-        *FRAME_KEYS, "samples", "frames",
-        F.col("_s.k").alias("k"), *[F.col(f"_s.{c}").alias(c) for c in channels],
-    )
-
-
-def _dense(k: pa.ListArray, values: pa.ListArray, width: int) -> np.ndarray:
-    """(rows, width) matrix from the sample positions and values of each frame; absent samples are 0."""
-    lengths = np.diff(k.offsets.to_numpy())
-    row = np.repeat(np.arange(len(k)), lengths)
-    at = k.flatten().to_numpy()
-    real = at >= 0
-    out = np.zeros((len(k), width))
-    out[row[real], at[real]] = values.flatten().to_numpy()[real]
-    return out
-
-
-def _lists(matrix: np.ndarray) -> pa.ListArray:
-    rows, width = matrix.shape
-    offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * width)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
-
-
-def transform_udf(convention: Stft, channels: int):
-    """Arrow UDF: frame samples of each channel -> re/im arrays of each channel, batch-wise."""
-    window, n_fft, width, scale = convention.window(), convention.n_fft, convention.win, convention.scale()
-    names = [f"c{i}_{part}" for i in range(channels) for part in ("re", "im")]
-    schema = T.StructType([T.StructField(n, _double_array()) for n in names])
-
-    def run(k: pa.Array, *values: pa.Array) -> pa.Array:
-        parts = []
-        for channel in values:
-            spectrum = np.fft.rfft(_dense(k, channel, width) * window, n=n_fft, axis=1) * scale
-            parts += [_lists(spectrum.real), _lists(spectrum.imag)]
-        return pa.StructArray.from_arrays(parts, names=names)
-
-    # arrow_udf takes a fixed signature; one wrapper per channel count.
-    if channels == 1:
-        def one(k: pa.Array, a: pa.Array) -> pa.Array:
-            return run(k, a)
-        return F.arrow_udf(one, schema)
-
-    def two(k: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        return run(k, a, b)
-    return F.arrow_udf(two, schema)
-
-
-def packed_spectra(framed: DataFrame, convention: Stft) -> DataFrame:
-    """Spectra as four arrays per frame row, placed by (clip_no, block)."""
-    spectrum = transform_udf(convention, 2)(F.col("k"), F.col("near"), F.col("far"))
-    parts = ("c0_re", "c0_im", "c1_re", "c1_im")
-    out = framed.withColumn("_f", spectrum).select(
-        *FRAME_KEYS, "samples", "frames", *[F.col(f"_f.{p}").alias(n) for p, n in zip(parts, PACKED)]
-    )
-    return out.repartition("clip_no", "block")
-
-
-def stft(clips: DataFrame, convention: Stft, block: int = BLOCK) -> DataFrame:
-    return packed_spectra(frames(clips, convention, block), convention)
+    out = chunks.transform(_blocks(clips, convention, block, channels), convention, block, channels, names or channels)
+    return out.repartition("clip_no", "block") if placed else out
 
 
 def explode_bins(packed: DataFrame, arrays: Sequence[str] = PACKED) -> DataFrame:
@@ -237,51 +149,17 @@ def pack_bins(long: DataFrame, values: Sequence[str], extra: Sequence[str] = ())
     return packed.select(*FRAME_KEYS, *extra, *[F.col(f"_a.{c}").alias(c) for c in values])
 
 
-def inverse_udf(convention: Stft):
-    """Arrow UDF: re/im arrays of a frame -> windowed time samples ready for overlap-add."""
-    window, n_fft, width, scale = convention.window(), convention.n_fft, convention.win, convention.scale()
-
-    def run(re: pa.Array, im: pa.Array) -> pa.Array:
-        rows = len(re)
-        spectrum = re.flatten().to_numpy().reshape(rows, -1) + 1j * im.flatten().to_numpy().reshape(rows, -1)
-        return _lists(np.fft.irfft(spectrum / scale, n=n_fft, axis=1)[:, :width] * window)
-
-    return F.arrow_udf(run, _double_array())
-
-
-def window_square(convention: Stft) -> Column:
-    """Squared analysis window as an array literal (fixed length: one window)."""
-    return F.array(*[d(float(w * w)) for w in convention.window()])
+def overlap_add(packed: DataFrame, convention: Stft, re: str, im: str, samples: str = "samples", block: int = BLOCK) -> DataFrame:
+    """Samples (clip_no, t, samples, value, support) of the inverse transform, divided by the summed squared window.
 
+    ``block`` is the block length the spectra were made with.
+    """
+    return chunks.samples_of(chunks.inverse(packed, convention, block, re, im, samples), ["value", "support"])
 
-def overlap_add(packed: DataFrame, convention: Stft, re: str, im: str, samples: str = "samples") -> DataFrame:
-    """Samples (clip_no, t, value, support) of the inverse transform, divided by the summed squared window.
 
-    Each frame emits its own samples; the sum per (clip_no, t) is a map-side combined aggregate over at most
-    win/hop + 1 rows.
-    """
-    win, hop = convention.win, convention.hop
-    n = F.col(samples).cast("bigint")
-    if convention.centred:
-        start = F.col("frame") * hop - win // 2
-    else:
-        start = F.when(F.col("frame") * hop > F.greatest(n - win, F.lit(0)), n - win).otherwise(F.col("frame") * hop)
-    timed = packed.select(
-        "clip_no", n.alias("samples"), start.alias("_start"), inverse_udf(convention)(F.col(re), F.col(im)).alias("_x")
-    )
-    exploded = timed.select(
-        "clip_no", "samples", "_start", F.posexplode(F.arrays_zip("_x", window_square(convention).alias("_w"))).alias("k", "_z")
-    ).select("clip_no", "samples", (F.col("_start") + F.col("k")).alias("t"), F.col("_z._x").alias("x"), F.col("_z._w").alias("w"))
-    inside = exploded.where((F.col("t") >= 0) & (F.col("t") < F.col("samples")))
-    summed = inside.groupBy("clip_no", "t").agg(
-        F.sum("x").alias("_x"), F.sum("w").alias("support"), F.first("samples").alias("samples")
-    )
-    value = F.when(F.col("support") > d(FLOAT_EPS), F.col("_x") / F.col("support"))
-    return summed.select("clip_no", "t", "samples", value.alias("value"), "support")
-
-
-def reconstruct(packed: DataFrame, convention: Stft, re: str, im: str, fallback: DataFrame, channel: str = "near"):
+def reconstruct(
+    packed: DataFrame, convention: Stft, re: str, im: str, fallback: DataFrame, channel: str = "near", block: int = BLOCK
+) -> DataFrame:
     """Overlap-add inverse; samples no window supports fall back to the given channel."""
-    inverse = overlap_add(packed, convention, re, im).select("clip_no", "t", "value")
-    joined = fallback.join(inverse, ["clip_no", "t"], "left")
-    return joined.select("clip_no", "t", F.coalesce("value", F.col(channel)).alias("value"))
+    whole = chunks.inverse(packed, convention, block, re, im, fallback=with_samples(fallback), channel=channel)
+    return chunks.samples_of(whole, ["value"]).select("clip_no", "t", "value")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hushline.functions import complexes as c
 from hushline.functions.complexes import cx
 from hushline.functions.numeric import EPS, clip, d, decibels, risk_score
-from hushline.operators import spectra
+from hushline.operators import chunks, spectra
 from hushline.operators.frontends import far_bin, near_bin
 from hushline.operators.guards import required
 from hushline.operators.ordered import ACCURACY, quantiles, sized_quantiles
@@ -76,19 +76,16 @@ def subtract(packed: DataFrame, s: SubtractionSettings) -> DataFrame:
 
 
 def enhanced_waveform(packed: DataFrame, convention: Stft, s: SubtractionSettings) -> DataFrame:
-    """Samples (clip_no, t, samples, value) of the subtracted near channel."""
+    """Chunk rows (clip_no, block, samples, start, value) of the subtracted near channel; zero where no window reaches."""
     rows = spectra.pack_bins(subtract(packed, s), ENHANCED, ["samples"])
-    wave = spectra.overlap_add(rows, convention, *ENHANCED)
-    return wave.select("clip_no", "t", "samples", F.coalesce("value", d(0.0)).alias("value"))
+    wave = chunks.inverse(rows, convention, s.block, *ENHANCED)
+    known = F.transform("value", lambda x: F.coalesce(x, d(0.0)))
+    return wave.select("clip_no", "block", "samples", "start", known.alias("value"))
 
 
 def enhanced_spectra(waveform: DataFrame, convention: Stft, block: int) -> DataFrame:
     """Packed spectra of the inverted waveform (the diagnostics read these, not the subtracted ones)."""
-    framed = spectra.frames(waveform, convention, block, channels=("value",))
-    spectrum = spectra.transform_udf(convention, 1)(F.col("k"), F.col("value"))
-    return framed.withColumn("_f", spectrum).select(
-        *spectra.FRAME_KEYS, "frames", F.col("_f.c0_re").alias("enh_re"), F.col("_f.c0_im").alias("enh_im")
-    )
+    return spectra.stft(waveform, convention, block, ["value"], ["enh"], placed=False).drop("samples")
 
 
 def clip_diagnostics(

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushline.functions import paths
+from hushline.operators import chunks
+from hushline.operators.spectra import BLOCK, Stft
 from hushline.schemas import MANIFEST, ContractError
 
 # Fixed values: (format tag, bytes a sample) -> subtype name; full-scale divisors of integer samples.
@@ -204,27 +206,22 @@ def stereo_clips(spark: SparkSession, root: str, exact_stereo: bool = True) -> D
     return with_relative_path(decoded, root).drop("path")
 
 
-def stereo_chunks(
-    spark: SparkSession, root: str, chunk: int = 1 << 16, halo: int = 0, exact_stereo: bool = True, tasks: int | None = None
-) -> DataFrame:
-    """(relative_path, chunk, start, frames, sample_rate, near, far): one row per ``chunk`` frames of a file.
+def _ranges(plan: DataFrame, size: int, lead: int, halo: int, exact_stereo: bool, tasks: int | None) -> DataFrame:
+    """The samples of every planned (path, chunk), read by byte range by whichever task the range falls to.
 
-    A row also holds the ``halo`` frames after its own, so frames that begin in a chunk can be cut without its neighbour.
-    ``frames`` is the length of the whole file.  Only headers and the rows' byte ranges are read, each by whichever task
-    the range falls to: a recording of any length is one row per chunk, never one row.
+    ``own`` to ``own + size`` are the chunk's own frames; ``lead`` frames before and ``halo`` after them are read as well,
+    as far as the file has them.
     """
-    plan = _files(spark, root).select("path").mapInPandas(_read_headers, _HEADER)
-    last = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("frames") - 1) / chunk))
-    plan = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    plan = plan.repartition(tasks or spark.sparkContext.defaultParallelism * 4, "path", "chunk")
+    plan = plan.repartition(tasks or plan.sparkSession.sparkContext.defaultParallelism * 4, "path", "chunk")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 _require_stereo(row.channels, row.frames, exact_stereo, row.path)
                 header = Header(row.sample_rate, row.channels, row.tag, row.width, row.offset, row.frames)
-                start, step = row.chunk * chunk, row.channels * row.width
-                count = min(chunk + halo, row.frames - start)
+                step = row.channels * row.width
+                start = min(max(0, row.own - lead), row.frames)
+                count = max(min(row.own + size + halo, row.frames) - start, 0)
                 with _open(row.path) as handle:
                     handle.seek(row.offset + start * step)
                     raw = handle.read(count * step)
@@ -236,13 +233,50 @@ def stereo_chunks(
                      "sample_rate": [row.sample_rate], "near": [both[:, 0]], "far": [both[:, 1]]}
                 )
 
-    return with_relative_path(plan.mapInPandas(read, _CHUNK), root).drop("path")
+    return plan.mapInPandas(read, _CHUNK)
+
+
+def stereo_chunks(
+    spark: SparkSession, root: str, chunk: int = 1 << 16, halo: int = 0, exact_stereo: bool = True, tasks: int | None = None
+) -> DataFrame:
+    """(relative_path, chunk, start, frames, sample_rate, near, far): one row per ``chunk`` frames of a file.
+
+    A row also holds the ``halo`` frames after its own, so frames that begin in a chunk can be cut without its neighbour.
+    ``frames`` is the length of the whole file.  Only headers and the rows' byte ranges are read, each by whichever task
+    the range falls to: a recording of any length is one row per chunk, never one row.
+    """
+    plan = _files(spark, root).select("path").mapInPandas(_read_headers, _HEADER)
+    last = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("frames") - 1) / chunk))
+    plan = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    plan = plan.withColumn("own", F.col("chunk") * chunk)
+    return with_relative_path(_ranges(plan, chunk, 0, halo, exact_stereo, tasks), root).drop("path")
+
+
+def stereo_blocks(
+    spark: SparkSession, root: str, clips: DataFrame, convention: Stft, block: int = BLOCK, exact_stereo: bool = True, tasks: int | None = None
+) -> DataFrame:
+    """Block rows (clip_no, block, samples, at, near, far) of the files, ready for ``spectra.stft`` without moving a sample.
+
+    ``clips`` maps relative_path to clip_no.  Each row is read by byte range together with the samples before and after
+    that its frames need; files without a clip number, and numbers without a file, are left to the caller's join checks.
+    """
+    lead, reach = chunks.extent(convention, block)
+    step = block * convention.hop
+    plan = _files(spark, root).select("path").mapInPandas(_read_headers, _HEADER)
+    final = F.floor((chunks.frame_count(F.col("frames"), convention) - 1) / block)
+    plan = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), final))).withColumn("own", F.col("chunk") * step)
+    read = with_relative_path(_ranges(plan, step, lead, reach - step, exact_stereo, tasks), root)
+    rows = read.join(clips.select("relative_path", "clip_no"), "relative_path")
+    return rows.select(
+        "clip_no", F.col("chunk").alias("block"), F.col("frames").alias("samples"), F.array("start").alias("at"),
+        F.array("near").alias("near"), F.array("far").alias("far"),
+    )
 
 
 def sample_rows(clips: DataFrame, manifest: DataFrame) -> DataFrame:
     """Long samples (clip_no, t, samples, near, far) of whole clips or of chunks without halo, keyed by the manifest's clip_no."""
-    chunks = "start" in clips.columns
-    start, length = (F.col("start"), F.col("frames")) if chunks else (F.lit(0).cast("bigint"), F.size("near").cast("bigint"))
+    in_chunks = "start" in clips.columns
+    start, length = (F.col("start"), F.col("frames")) if in_chunks else (F.lit(0).cast("bigint"), F.size("near").cast("bigint"))
     keyed = clips.select("relative_path", start.alias("_start"), length.alias("samples"), "near", "far").join(
         manifest.select("relative_path", "clip_no"), "relative_path"
     )

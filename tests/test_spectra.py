@@ -62,7 +62,7 @@ def test_inverse_round_trip_and_fallback(spark, conv):
     data = signals((100, 61, 40))
     table = clips(spark, data)
     packed = spectra.stft(table, conv, block=4)
-    out = spectra.reconstruct(packed, conv, "near_re", "near_im", table).toPandas()
+    out = spectra.reconstruct(packed, conv, "near_re", "near_im", table, block=4).toPandas()
     for i, (near, _) in data.items():
         got = out[out["clip_no"] == i].sort_values("t")["value"].to_numpy()
         np.testing.assert_allclose(got, near, atol=1e-9)
