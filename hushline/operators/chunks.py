@@ -147,22 +147,36 @@ def _per_frame(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str],
     fields = [T.StructField("clip_no", key), *[T.StructField(x, T.LongType()) for x in ("block", "frame", "samples", "frames", "width")]]
     schema = T.StructType(fields + [T.StructField(name, T.ArrayType(T.DoubleType())) for name in outputs])
 
+    names = [f.name for f in schema]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Short clips share an output batch; none holds more than two blocks of frames.
+        held: list[list] = []
+        waiting = 0
+
+        def flushed() -> pa.RecordBatch:
+            flat = [np.concatenate(column) for column in zip(*held)]
+            columns = [pa.array(flat[0].tolist(), key_type), *map(pa.array, flat[1:6]), *map(lists, flat[6:])]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            numbers, counts = batch["block"].to_pylist(), batch["samples"].to_pylist()
-            for i, (number, n) in enumerate(zip(numbers, counts)):
+            key_type = batch["clip_no"].type
+            keys, numbers, counts = (batch[name].to_pylist() for name in ("clip_no", "block", "samples"))
+            for i, (key_value, number, n) in enumerate(zip(keys, numbers, counts)):
                 frames, starts, total = _frames_of(number, n, c, block)
                 if not len(frames):
                     continue
                 at = batch["at"][i].values.to_numpy(zero_copy_only=False)
                 matrices = [m for ch in channels for m in work(_windows(at, batch[ch][i].values, number, starts, c, block))]
                 width = np.clip(np.minimum(starts + c.win, n) - np.maximum(starts, 0), 0, None)
-                same = lambda value, kind=None: pa.array([value] * len(frames), kind)
-                yield pa.RecordBatch.from_arrays(
-                    [same(batch["clip_no"][i].as_py(), batch["clip_no"].type), same(number), pa.array(frames), same(n), same(total),
-                     pa.array(width), *map(lists, matrices)],
-                    names=[f.name for f in schema],
-                )
+                same = lambda value: np.full(len(frames), value, dtype=object if isinstance(value, str) else np.int64)
+                held.append([same(key_value), same(number), frames, same(n), same(total), width, *matrices])
+                waiting += len(frames)
+                if waiting >= block:
+                    yield flushed()
+                    held, waiting = [], 0
+        if held:
+            yield flushed()
 
     return blocks.select("clip_no", "block", "samples", "at", *channels).mapInArrow(run, schema)
 
