@@ -65,6 +65,32 @@ def src6(v: Views) -> DataFrame:
     return index.withColumnRenamed("width", "near_width")
 
 
+FAULTY = """fv AS (SELECT vec_id, CASE WHEN vec_id % 83 = 0 THEN 'Near' ELSE 'near' END AS vw, domain, CASE WHEN vec_id % 89 = 0 THEN 63 ELSE len(near) END AS width FROM vectors
+    UNION ALL SELECT vec_id, 'refsub', CASE WHEN vec_id % 79 = 0 THEN 'other' ELSE domain END, len(neighbour) FROM vectors WHERE vec_id % 97 <> 0)"""
+
+
+@query(
+    "src6_feature_faults",
+    "vectors",
+    f"""WITH {FAULTY}, n AS (SELECT CAST(vec_id AS VARCHAR) AS file_id, count(*) FILTER (width <> 64) AS wrong_width, CAST(0 AS BIGINT) AS not_finite,
+      count(*) FILTER (vw NOT IN ('near', 'refsub')) AS unknown_view, count(*) FILTER (vw = 'near') AS a, count(*) FILTER (vw = 'refsub') AS b, count(DISTINCT domain) AS told FROM fv GROUP BY vec_id),
+    f AS (SELECT file_id, wrong_width, not_finite, unknown_view, CAST(a = 0 AS BIGINT) + CAST(b = 0 AS BIGINT) AS missing_views, abs(a - b) AS uneven_views, CAST(told > 1 AS BIGINT) AS described_twice FROM n)
+    SELECT * FROM f WHERE wrong_width + unknown_view + missing_views + uneven_views + described_twice > 0""",
+)
+def src6_faults(v: Views) -> DataFrame:
+    """Faults planted in a feature table of two views: a misnamed view, a short vector, a missing view, a second description."""
+    clip = F.col("vec_id").cast("string").alias("file_id")
+    planted = lambda n: F.col("vec_id") % n == 0
+    near = v.vectors.select(
+        clip, F.when(planted(83), "Near").otherwise("near").alias("view"), "domain",
+        F.when(planted(89), F.slice("near", 1, 63)).otherwise(F.col("near")).alias("values"),
+    )
+    refsub = v.vectors.where(~planted(97)).select(
+        clip, F.lit("refsub").alias("view"), F.when(planted(79), "other").otherwise(F.col("domain")).alias("domain"), F.col("neighbour").alias("values")
+    )
+    return scans.feature_faults(near.unionByName(refsub), 64, ("near", "refsub"))
+
+
 @query(
     "src7_channel_load",
     "dims",

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushline.functions.numeric import FLOAT_EPS, d
+from hushline.schemas import ContractError
 
 if TYPE_CHECKING:
     from hushline.operators.spectra import Stft
@@ -130,12 +131,17 @@ def _flat(positions: np.ndarray, values: pa.Array) -> tuple[np.ndarray, np.ndarr
     return at, values.flatten().to_numpy(zero_copy_only=False)
 
 
-def _windows(at: np.ndarray, values: pa.Array, number: int, starts: np.ndarray, c: Stft, block: int) -> np.ndarray:
-    """(frames, window) matrix of one channel of a block; what lies outside the clip is zero."""
+def _windows(at: np.ndarray, values: pa.Array, number: int, starts: np.ndarray, c: Stft, block: int, label: str) -> np.ndarray:
+    """(frames, window) matrix of one channel of a block; what lies outside the clip is zero.
+
+    A null or a value that is not finite fails the job, naming the clip.
+    """
     lead, reach = extent(c, block)
     low = number * block * c.hop - lead
     line = np.zeros(lead + reach)
     places, amounts = _flat(at, values)
+    if not np.isfinite(amounts).all():
+        raise ContractError(f"Samples that are missing or not finite in {label}")
     real = (places >= low) & (places < low + len(line))
     line[places[real] - low] = amounts[real]
     return np.lib.stride_tricks.sliding_window_view(line, c.win)[starts - low]
@@ -167,7 +173,8 @@ def _per_frame(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str],
                 if not len(frames):
                     continue
                 at = batch["at"][i].values.to_numpy(zero_copy_only=False)
-                matrices = [m for ch in channels for m in work(_windows(at, batch[ch][i].values, number, starts, c, block))]
+                cut = [_windows(at, batch[ch][i].values, number, starts, c, block, f"{ch} of clip {key_value}") for ch in channels]
+                matrices = [m for window in cut for m in work(window)]
                 width = np.clip(np.minimum(starts + c.win, n) - np.maximum(starts, 0), 0, None)
                 same = lambda value: np.full(len(frames), value, dtype=object if isinstance(value, str) else np.int64)
                 held.append([same(key_value), same(number), frames, same(n), same(total), width, *matrices])

@@ -53,10 +53,44 @@ def feature_index(stored: DataFrame, side: str, width: int) -> DataFrame:
     return index.withColumnsRenamed({"vector_count": f"{side}_vector_count"})
 
 
-def require_feature_contract(index: DataFrame) -> DataFrame:
-    if index.where(~F.col("width_ok")).limit(1).count():
-        raise ContractError("Feature table violates its vector width contract")
-    return guards.require_unique(index, ["file_id"], "feature index")
+def feature_faults(stored: DataFrame, width: int, views: Sequence[str], key: str = "file_id") -> DataFrame:
+    """Clips whose feature vectors break the contract, with a count of each fault; one grouping.
+
+    Expected are rows of (key, view, values, what describes the clip): ``width`` finite numbers in every vector, the same
+    number of vectors in each of ``views`` and no other view, and one description per clip.  A null key is a clip of its own.
+    """
+    described = [c for c in stored.columns if c not in (key, "view", "values")]
+    size = F.coalesce(F.size("values"), F.lit(-1))
+    of_view = [F.count_if(F.col("view") == v) for v in views]
+    known = F.coalesce(F.col("view").isin(*views), F.lit(False))
+    told = F.struct(*described) if described else F.lit(0)
+    counted = stored.groupBy(key).agg(
+        F.count_if(size != width).alias("wrong_width"),
+        F.count_if(~F.coalesce(guards.all_finite(F.col("values")), F.lit(False))).alias("not_finite"),
+        F.count_if(~known).alias("unknown_view"),
+        sum((n == 0).cast("bigint") for n in of_view).alias("missing_views"),
+        (F.greatest(*of_view) - F.least(*of_view) if len(views) > 1 else F.lit(0).cast("bigint")).alias("uneven_views"),
+        (~F.min(told).eqNullSafe(F.max(told))).cast("bigint").alias("described_twice"),
+    )
+    faults = ["wrong_width", "not_finite", "unknown_view", "missing_views", "uneven_views", "described_twice"]
+    broken = F.lit(False)
+    for fault in faults:
+        broken = broken | (F.col(fault) > 0)
+    return counted.where(broken)
+
+
+def require_feature_contract(stored: DataFrame, width: int, views: Sequence[str], label: str = "Feature table") -> DataFrame:
+    worst = feature_faults(stored, width, views).orderBy("file_id").first()
+    if worst is not None:
+        found = ", ".join(f"{name} {n}" for name, n in worst.asDict().items() if name != "file_id" and n)
+        raise ContractError(f"{label} breaks its contract at {worst['file_id']}: {found}")
+    return stored
+
+
+def read_feature_index(spark: SparkSession, path: str, side: str, width: int, views: Sequence[str]) -> DataFrame:
+    """Index of a stored feature table that meets its contract, one row per clip and view, counts renamed per side."""
+    stored = read_table(spark, path, ("file_id", "view", "values"))
+    return feature_index(require_feature_contract(stored, width, views, path), side, width)
 
 
 def load_channels(

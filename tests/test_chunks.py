@@ -114,3 +114,15 @@ def test_spectra_straight_from_wav_files(spark, tmp_path):
             expected = centred if conv.centred else plain
             np.testing.assert_allclose(matrices(long, "near_re", "near_im", i), expected(near, conv), atol=1e-10)
             np.testing.assert_allclose(matrices(long, "far_re", "far_im", i), expected(far, conv), atol=1e-10)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+@pytest.mark.parametrize("long", [True, False])
+def test_samples_that_are_not_finite_fail_the_transform(spark, bad, long):
+    rows = [(0, t, 40, bad if t == 33 else 0.5, 0.25) for t in range(40)]
+    table = spark.createDataFrame(rows, "clip_no long, t long, samples long, near double, far double")
+    if not long:
+        whole = table.groupBy("clip_no").agg(F.sort_array(F.collect_list(F.struct("t", "near", "far"))).alias("s"))
+        table = whole.select("clip_no", F.lit(40).alias("samples"), F.lit(0).alias("start"), F.col("s.near").alias("near"), F.col("s.far").alias("far"))
+    with pytest.raises(Exception, match="not finite in near of clip 0"):
+        spectra.stft(table, CONV, 4).collect()

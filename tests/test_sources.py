@@ -170,3 +170,25 @@ def test_guards_raise(spark):
         guards.require_coverage(df, spark.createDataFrame([("a",), ("c",)], ["file_id"]))
     with pytest.raises(ContractError, match="duplicate"):
         guards.require_unique(df.unionByName(df), ["file_id"])
+
+
+def test_feature_tables_are_read_only_when_they_meet_their_contract(spark, tmp_path):
+    schema = "file_id string, view string, domain string, values array<double>"
+    good = [(f, view, "source", [1.0, 2.0]) for f in ("a", "b") for view in ("near", "refsub")]
+    plants = {
+        "wrong_width 1": ("b", "near", "source", [1.0]),
+        "not_finite 1": ("b", "near", "source", [1.0, float("nan")]),
+        "unknown_view 1": ("b", "Near", "source", [1.0, 2.0]),
+        "missing_views 1": ("c", "near", "source", [1.0, 2.0]),
+        "uneven_views 1": ("b", "near", "source", [1.0, 2.0]),
+        "described_twice 1": ("b", "refsub", "target", [1.0, 2.0]),
+    }
+    spark.createDataFrame(good, schema).write.parquet(str(tmp_path / "good"))
+    index = tables.read_feature_index(spark, str(tmp_path / "good"), "near", 2, ("near", "refsub"))
+    assert index.count() == 4 and "near_vector_count" in index.columns
+    for i, (fault, row) in enumerate(plants.items()):
+        spark.createDataFrame([*good, row], schema).write.parquet(str(tmp_path / str(i)))
+        with pytest.raises(ContractError, match=fault):
+            tables.read_feature_index(spark, str(tmp_path / str(i)), "near", 2, ("near", "refsub"))
+    empty = spark.createDataFrame([], schema)
+    assert tables.feature_faults(empty, 2, ("near", "refsub")).count() == 0
