@@ -15,7 +15,8 @@ Arguments are checked against a table of schemas (name, arg, type, required); ty
 boolean, array and object.  The output is canonical JSON: sorted keys, no spaces.
 
 Hot conversations and identifiers are not gathered: the joins are on (conversation, identifier), which adaptive execution
-splits, the first of equals is an aggregate, and positions are numbered by ranges of turns.
+splits, the first of equals is an aggregate, and positions are numbered by ranges of the whole order, which may cut a
+conversation anywhere, also among messages without a turn.
 
 Defined cases: rows equal in conv_id, turn, role and text are one message; null roles are plain messages with no role; null
 turns come first; null conv_ids are a conversation of their own; texts that are no JSON objects are plain; a call without a
@@ -29,11 +30,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushline.llm.sharding import numbered
+from hushline.llm.sharding import RANGE_ROWS, laid_out, numbered
 from hushline.session import stored
 
-TURNS = 4096  # turns of one numbering range
-
 
 def parsed(messages: DataFrame) -> DataFrame:
     """Distinct messages with kind, identifier, tool name, arguments, predecessor and content."""
@@ -135,6 +134,7 @@ def argument_errors(arguments: Column, spec: Column) -> Column:
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per message: conv_id, position (from 0), turn, kind, id, status, errors and the canonical ``json``."""
     rows = parsed(messages)
+    ranges = max(16, -(-rows.count() // RANGE_ROWS))
     order = stored(ordered(nodes(rows)), "linked")
     mine = order.select(
         F.col("_conv").alias("_c1"), F.col("node").alias("_n1"), F.col("turn").alias("_t1"), F.col("_hash").alias("_h1"), "late", "depth", "cyclic"
@@ -165,6 +165,5 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         .otherwise(F.to_json(F.struct(field("content", "text"), field("role"))))
     )
     slim = rows.select("conv_id", "_conv", "turn", "kind", "id", "status", "errors", json.alias("json"), "late", "depth", "_hash")
-    keys = [F.col(c) for c in ("late", "depth", "turn", "kind", "id", "json")]
-    placed = numbered(slim, ["_conv"], F.floor(F.coalesce("late", F.lit(-1)) / TURNS), keys, "place")
+    placed = numbered(laid_out(slim, ranges, ["_conv", "late", "depth", "turn", "kind", "id", "json", "_hash"], "places"), ["_conv"], "place")
     return placed.select("conv_id", (F.col("place") - 1).cast("long").alias("position"), "turn", "kind", "id", "status", "errors", "json")
