@@ -1,17 +1,20 @@
 """Paired stratified bootstrap of AUC and pAUC deltas, reproducible in any engine.
 
 A row carries an array: how often each resample draws it.  Every position of a stratum makes one draw per resample (the
-first 32 bits of the md5 of a counter text); tasks hand on their draws as pairs of two-byte numbers, packed by blocks of
-``TARGETS`` drawn positions, and a block's draws are counted at once.  The arrays then meet the rows in one join of N rows.
+first 32 bits of the md5 of a counter text).  The draws need no row, only the stratum's name and size: tasks take some
+resamples of some positions, count how often each position is drawn, and hand on these counts, deflated, by blocks of
+``TARGETS`` drawn positions.  There they meet the rows and become one deflated array per row.
 
 Areas.  Rows are dealt by side, group and value range and pass in the order of their scores; counts, running sums and
 the segments of all curves are operations on arrays with one place per resample.  Between the ranges only their totals
-travel.  Nothing grows with rows x resamples but the draws themselves, at four bytes each.
+travel.  Nothing grows with rows x resamples but the counts, at about two bits each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,9 @@ from hushline.session import stored
 STRATUM = [*GROUP, "condition"]
 TARGETS = 1024
 ROWS = 256  # rows whose arrays are worked on together
-DRAWS_PER_TASK = 4_000_000
+DRAWS = 16_000_000  # of one unit of work
+POSITIONS = 4 << 20  # that one unit draws for, and whose counts it holds at a time
+FEW = 512  # positions that are hashed one by one
 SEGMENT = ["side", *GROUP, "bucket"]
 
 
@@ -36,72 +41,142 @@ def _fields(names: list[str]) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
-def _draws(iterations: int, seed: int, targets: int):
-    prefixes = [f"{seed}|{i}|".encode() for i in range(1, iterations + 1)]
-    each = np.arange(iterations, dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                strata = list(zip(*(part.column(c).to_pylist() for c in STRATUM)))
-                n = part.column("pos_count").to_numpy()
-                drawn = np.empty((len(strata), iterations), np.int64)
-                for r, (stratum, pos) in enumerate(zip(strata, part.column("pos").to_pylist())):
-                    text = "|".join([*(v for v in stratum if v is not None), str(pos)]).encode()
-                    digests = b"".join([hashlib.md5(p + text).digest() for p in prefixes])
-                    drawn[r] = np.frombuffer(digests, ">u4")[::4] % n[r]
-                yield _packed(strata, drawn, each, targets)
+def deflated(data: bytes) -> bytes:
+    """Entropy-coded alone: counts of draws have few values and no repeats."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(data) + coder.flush()
+
+
+def inflated(data: bytes) -> bytes:
+    return zlib.decompress(data, -15)
+
+
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+
+
+def _md5_heads(prefix: bytes, first: int, stop: int, digits: int) -> np.ndarray:
+    """The first 32 bits of md5(prefix + number) for numbers of as many digits; the text fits md5's one block."""
+    size = len(prefix) + digits
+    block = bytearray(64)
+    block[: len(prefix)], block[size], block[56:] = prefix, 0x80, (8 * size).to_bytes(8, "little")
+    words = list(np.frombuffer(bytes(block), "<u4"))
+    rest = np.arange(first, stop, dtype=np.uint64)
+    for at in range(size - 1, len(prefix) - 1, -1):
+        rest, digit = np.divmod(rest, np.uint64(10))
+        words[at // 4] = words[at // 4] + ((digit.astype(np.uint32) + np.uint32(48)) << np.uint32(8 * (at % 4)))
+    a, b, c, d = (np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    with np.errstate(over="ignore"):
+        for i in range(61):  # the last three rounds do not reach these bits
+            if i < 16:
+                f, g = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), (7 * i) % 16
+            f = f + a + (words[g] + np.uint32(_SINES[i]))
+            a, d, c, b = d, c, b, b + ((f << np.uint32(_TURNS[i])) | (f >> np.uint32(32 - _TURNS[i])))
+        return (b + np.uint32(0x67452301)).byteswap()
+
+
+def md5_heads(prefix: bytes, first: int, stop: int) -> np.ndarray:
+    """The first 32 bits of md5(prefix + number) for each number from ``first`` to before ``stop``."""
+    if stop - first < FEW or len(prefix) + len(str(stop)) > 55:
+        digests = b"".join([hashlib.md5(prefix + str(n).encode()).digest() for n in range(first, stop)])
+        return np.frombuffer(digests, ">u4")[::4].astype(np.uint32)
+    parts = []
+    while first < stop:
+        digits = len(str(first))
+        end = min(stop, 10**digits, first + 16_384)
+        parts.append(_md5_heads(prefix, first, end, digits))
+        first = end
+    return np.concatenate(parts)
+
+
+DRAWN = T.StructType(
+    [*_fields(STRATUM), T.StructField("target", T.LongType()), T.StructField("resample", T.IntegerType()), T.StructField("resamples", T.IntegerType()), T.StructField("counts", T.BinaryType())]
+)
 
-    return run
 
+def _checked(counts: np.ndarray) -> np.ndarray:
+    if counts.max(initial=0) > 255:
+        raise ValueError("A row was drawn more than 255 times in one resample")
+    return counts.astype(np.uint8)
 
-DRAWN = T.StructType([*_fields(STRATUM), T.StructField("target", T.LongType()), T.StructField("draws", T.BinaryType())])
 
+def _draws(seed: int, targets: int, wide: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in batch.to_pylist():
+                stratum, n = [unit[c] for c in STRATUM], unit["pos_count"]
+                name = "|".join(v for v in stratum if v is not None)
+                drawn = []
+                for at in range(unit["resample"] + 1, unit["resample"] + unit["resamples"] + 1):
+                    heads = md5_heads(f"{seed}|{at}|{name}|".encode(), unit["first"], unit["stop"])
+                    drawn.append(heads % n if n < 1 << 32 else heads)
+                for low in range(0, n, wide):
+                    size = min(wide, n - low)
+                    mine = drawn if size == n else [d[(d >= low) & (d < low + size)] - low for d in drawn]
+                    counts = np.stack([_checked(np.bincount(d, minlength=size)) for d in mine])
+                    blocks = range(0, size, targets)
+                    found = [deflated(np.ascontiguousarray(counts[:, at : at + targets]).tobytes()) for at in blocks]
+                    alike = lambda v, kind: pa.array([v] * len(found), kind)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[alike(v, pa.string()) for v in stratum], pa.array([(low + at) // targets for at in blocks], pa.int64()),
+                            alike(unit["resample"], pa.int32()), alike(unit["resamples"], pa.int32()), pa.array(found, pa.binary()),
+                        ],
+                        DRAWN.names,
+                    )
 
-def _packed(strata: list[tuple], drawn: np.ndarray, each: np.ndarray, targets: int) -> pa.RecordBatch:
-    """One row per stratum and block of drawn positions: (place in the block, resample) pairs."""
-    rows: list[tuple] = []
-    for stratum in dict.fromkeys(strata):
-        mine = drawn[[i for i, s in enumerate(strata) if s == stratum]]
-        target = mine.ravel()
-        block = target // targets
-        order = np.argsort(block, kind="stable")
-        pairs = np.stack([target % targets, np.tile(each, len(mine))], axis=1).astype("<u2")[order]
-        found, first = np.unique(block[order], return_index=True)
-        for b, x, y in zip(found.tolist(), first, [*first[1:], len(pairs)]):
-            rows.append((*stratum, b, pairs[x:y].tobytes()))
-    kinds = [pa.string()] * len(STRATUM) + [pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], DRAWN.names)
+    return run
 
 
-WEIGHTED = T.StructType([*_fields(STRATUM), T.StructField("pos", T.LongType()), T.StructField("weights", T.BinaryType())])
+def _weighted(iterations: int, targets: int, schema: T.StructType, packed: bool):
+    def run(drawn: pa.Table, rows: pa.Table) -> pa.Table:
+        """The rows of one block with how often each resample draws them; rows that none draws are left out."""
+        counts = None
+        for at, size, data in zip(*(drawn.column(c).to_pylist() for c in ("resample", "resamples", "counts"))):
+            part = np.frombuffer(inflated(data), np.uint8).reshape(size, -1)
+            counts = np.zeros((iterations, part.shape[1]), np.int32) if counts is None else counts
+            counts[at : at + size] += part
+        if counts is None:
+            counts = np.zeros((iterations, targets), np.int32)
+        mine = _checked(counts).T[rows.column("pos").to_numpy() % targets]
+        some = mine.any(axis=1)
+        arrays = [v.tobytes() for v in mine[some]]
+        column = pa.array([deflated(v) for v in arrays] if packed else arrays, pa.binary())
+        return rows.filter(pa.array(some)).select(schema.names[:-1]).append_column("weights", column)
 
+    return run
 
-def _counted(iterations: int, targets: int):
-    def run(table: pa.Table) -> pa.Table:
-        pairs = np.frombuffer(b"".join(table.column("draws").to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
-        counts = np.bincount(pairs[:, 0] * iterations + pairs[:, 1], minlength=targets * iterations).reshape(targets, iterations)
-        if counts.max() > 255:
-            raise ValueError("A row was drawn more than 255 times in one resample")
-        places = np.flatnonzero(counts.any(axis=1))
-        arrays = [pa.array([table.column(c)[0].as_py()] * len(places), pa.string()) for c in STRATUM]
-        pos = places + targets * table.column("target")[0].as_py()
-        weights = pa.array([row.tobytes() for row in counts[places].astype(np.uint8)], pa.binary())
-        return pa.table([*arrays, pa.array(pos), weights], names=WEIGHTED.names)
 
-    return run
+def weighted(rows: DataFrame, iterations: int, seed: int, targets: int = TARGETS, packed: bool = True, positions: int = POSITIONS) -> DataFrame:
+    """``rows`` with ``weights``: one byte per resample, deflated if ``packed``.  They have the stratum, pos and pos_count."""
+    if not 1 <= iterations <= 1 << 16 or targets > 1 << 16:
+        raise ValueError("Between 1 and 65536 resamples are possible")
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in STRATUM})
+    # A unit of work is some resamples of some positions of one stratum: a hot stratum becomes more of them.
+    sizes = rows.groupBy(*STRATUM).agg(F.max("pos_count").alias("pos_count"))
+    parts = sizes.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pos_count") - 1, F.lit(positions).cast("long"))))
+    parts = parts.withColumn("stop", F.least(F.col("first") + positions, "pos_count"))
+    step = F.greatest(F.lit(1), F.least(F.lit(iterations), F.floor(F.lit(DRAWS) / (F.col("stop") - F.col("first"))))).cast("int")
+    units = parts.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), step)))
+    units = stored(units.withColumn("resamples", F.least(step, F.lit(iterations) - F.col("resample"))), "units")
+    tasks = units.agg(F.coalesce(F.sum(F.col("resamples") * (F.col("stop") - F.col("first"))), F.lit(0)).alias("n")).first()["n"] // DRAWS
+    dealt = units.repartition(max(1, 2 * tasks), *STRATUM, "first", "resample")
+    drawn = dealt.mapInArrow(_draws(seed, targets, max(1, positions // targets) * targets), DRAWN)
+    schema = T.StructType([*rows.drop("pos_count").schema.fields, T.StructField("weights", T.BinaryType())])
+    blocks = rows.withColumn("target", F.floor(F.col("pos") / targets).cast("long"))
+    both = drawn.groupBy(*STRATUM, "target").cogroup(blocks.groupBy(*STRATUM, "target"))
+    return both.applyInArrow(_weighted(iterations, targets, schema, packed), schema)
 
 
 def weights(rows: DataFrame, iterations: int, seed: int, targets: int = TARGETS) -> DataFrame:
     """``weights`` of each drawn position: one byte per resample.  ``rows`` has the stratum, pos and pos_count."""
-    if not 1 <= iterations <= 1 << 16 or targets > 1 << 16:
-        raise ValueError("Between 1 and 65536 resamples are possible")
-    rows = rows.select(*[F.col(c).cast("string").alias(c) for c in STRATUM], "pos", "pos_count")
-    # Every row makes one draw per resample, so tasks are cut by draws: a hot stratum is spread like its rows.
-    tasks = -(-rows.count() * iterations // DRAWS_PER_TASK)
-    dealt = rows.repartition(max(1, tasks), *STRATUM, "pos")
-    return dealt.mapInArrow(_draws(iterations, seed, targets), DRAWN).groupBy(*STRATUM, "target").applyInArrow(_counted(iterations, targets), WEIGHTED)
+    return weighted(rows.select(*STRATUM, "pos", "pos_count"), iterations, seed, targets, packed=False)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], names: list[str], size: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -118,7 +193,7 @@ def _segments(batches: Iterator[pa.RecordBatch], names: list[str], size: int) ->
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.int64)
+    return np.frombuffer(b"".join([inflated(v) for v in column.to_pylist()]), np.uint8).reshape(len(column), -1).astype(np.int64)
 
 
 TOTALS = T.StructType([*_fields(["side", *GROUP]), T.StructField("bucket", T.IntegerType()), T.StructField("sums", T.BinaryType())])
@@ -254,10 +329,11 @@ def resampled_areas(
     # The order of the scores is the same in every iteration: the value ranges are found once.
     rows = with_range_bucket(placed.select(*STRATUM, "pos", "pos_count", F.inline(sides)), "score")
     rows = rows.groupBy(*STRATUM, "pos", "pos_count").agg(F.collect_list(F.struct("side", "score", "bucket")).alias("sides"))
-    # One row per input row; the draws and the one join both read this table.
+    # One row per input row, also with its weights: both sides read the same array.
     rows = stored(rows, "bootstrap")
-    drawn = weights(rows, iterations, seed, targets).join(rows.drop("pos_count"), [*STRATUM, "pos"])
-    curves = stored(drawn.select(*GROUP, (F.col("condition") == "anomaly").alias("anomaly"), "weights", F.inline("sides")), "weights")
+    drawn = weighted(rows, iterations, seed, targets)
+    drawn = stored(drawn.select(*GROUP, (F.col("condition") == "anomaly").alias("anomaly"), "weights", "sides"), "weights")
+    curves = drawn.select(*GROUP, "anomaly", "weights", F.inline("sides"))
     curves = curves.select(*SEGMENT, F.lit(1).alias("head"), F.col("score").cast("double").alias("score"), "anomaly", "weights")
     totals = curves.repartition(*SEGMENT).sortWithinPartitions(*SEGMENT).select(*SEGMENT, "anomaly", "weights").mapInArrow(_totals(size), TOTALS)
     heads = totals.groupBy("side", *GROUP).applyInArrow(_offsets(iterations), TOTALS)

@@ -157,3 +157,25 @@ def test_latency_uses_the_ceiling_rank(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 12)], ["ms"])
     row = summaries.latency_summary(df, [], "ms").first()
     assert (row["p50"], row["p95"], row["p99"], row["ordered"]) == (6.0, 11.0, 11.0, True)
+
+
+def test_bootstrap_weights_equal_single_draws_and_stay_small(spark):
+    """Counts against the md5 of every counter text, hot strata cut by positions, at under three bits a count."""
+    import hashlib
+
+    from hushline.operators.ordered import hashed_positions
+
+    df = table(spark, range(1300), [i < 3 for i in range(1300)])
+    placed = hashed_positions(df, bootstrap.STRATUM, F.col("file_id")).select(*bootstrap.STRATUM, "pos", "pos_count").cache()
+    want = {}
+    for condition, n in (("anomaly", 3), ("normal", 1297)):
+        for i in range(40):
+            for pos in range(n):
+                digest = hashlib.md5(f"5|{i + 1}|M|section_00|{condition}|{pos}".encode()).digest()
+                key = condition, int.from_bytes(digest[:4], "big") % n
+                want.setdefault(key, [0] * 40)[i] += 1
+    for positions in (bootstrap.POSITIONS, 600):
+        got = bootstrap.weighted(placed, 40, 5, targets=128, positions=positions).collect()
+        assert {(r["condition"], r["pos"]): list(bootstrap.inflated(r["weights"])) for r in got} == want
+    long = bootstrap.weighted(placed, 2000, 5).collect()
+    assert sum(len(r["weights"]) for r in long) < 1300 * 2000 * 3 / 8
