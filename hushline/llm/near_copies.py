@@ -1,16 +1,20 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, found by prefix filtering.
+"""Near copies by SimHash over five-word shingles, held against the exact Jaccard similarity of the shingle sets.
 
 Shingles.  Words are those of ``simhash`` (A-Z lower-cased, runs of bytes that are not ASCII white space); a text is the set
 of its five-word shingles, each known by its XXH64 (a shorter text is one shingle).  Two texts are linked if the Jaccard
 similarity of their sets is 0.8 or more, compared in whole numbers.
 
-Candidates.  Equal sets are one node before anything is compared.  The shingles of a set are ordered by hash; sets with a
+Fingerprints.  Equal sets are one node before anything is compared.  A node's fingerprint is that of ``simhash`` over its set;
+the tiled comparison there links fingerprints within ``NEAR_BITS`` bits.  Its links (and those of equal fingerprints) are
+confirmed on the whole sets.  Sets at a similarity of 0.8 are about ten bits apart, so not every link is found like this.
+
+The rest.  What the fingerprints miss is found by prefix filtering, among sets they left apart.  The shingles of a set are ordered by hash; sets with a
 similarity of 0.8 or more share one of the first ``n - ceil(0.8 n) + 1`` of them (n being the size of the set), so comparing
 the sets that share a shingle there loses no link.  Inside a task a pair is left out only if bitmaps of the sets prove
 that they differ too much.  A group of more than ``HOT_ROWS`` sets is cut into blocks whose pairs become tasks of their own.
 
-Links.  First each comparison hands on links that would connect its sets (a forest, at most one row per set and group), which
-are confirmed on the whole sets.  Then the groups that still lie in several components hand on every pair between
+Links.  First each comparison hands on links that would connect its sets (a forest, at most one row per set and group, none
+between sets that are connected already), which are confirmed on the whole sets.  Then the groups that still lie in several components hand on every pair between
 these, to be confirmed as well.  So large groups of near copies make no quadratic number of rows, and no link is lost.
 
 Defined cases: null and empty texts have the empty set and are copies of each other; rows are told apart by a row key, not
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushline.llm.common import keyed, slices, utf8
-from hushline.llm.simhash import LINK, components, shingle_hashes
+from hushline.llm.simhash import LINK, components, links as near_fingerprints, majorities, shingle_hashes
 from hushline.session import stored
 
 SHINGLE = 5
+NEAR_BITS = 6
 HOT_ROWS = 4_096
 
 SET = T.StructType(
@@ -41,6 +46,7 @@ SET = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("s1", T.LongType()),
         T.StructField("s2", T.LongType()),
+        T.StructField("fp", T.LongType()),
         T.StructField("prefix", T.ArrayType(T.LongType(), False)),
         T.StructField("bits", T.BinaryType()),
     ]
@@ -77,6 +83,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([len(s) for s in found], pa.int64()),
                 pa.array(np.array([xxhash.xxh64_intdigest(r, 1) for r in raw], np.uint64).view(np.int64)),
                 pa.array(np.array([xxhash.xxh64_intdigest(r, 2) for r in raw], np.uint64).view(np.int64)),
+                pa.array(majorities(found).view(np.int64)),
                 pa.array(prefix, pa.list_(pa.int64())),
                 pa.array([bitmap(s) for s in found], pa.binary()),
             ],
@@ -117,7 +124,7 @@ class Member:
 
 
 def forest(members: list[Member]) -> list[tuple[int, int]]:
-    """Pairs that may be linked and connect all members that such pairs connect; members ascend by size."""
+    """Pairs of different labels that may be linked and, with the labels, connect all members that such pairs connect; members ascend by size."""
     out: list[tuple[int, int]] = []
     trees: list[list[Member]] = []
     for member in members:
@@ -125,11 +132,12 @@ def forest(members: list[Member]) -> list[tuple[int, int]]:
         for tree in trees:
             if 5 * tree[-1].n < 4 * member.n:
                 continue  # the tree's largest set is too small for this member and all that follow
-            near = next((m for m in reversed(tree) if m.may_link(member)), None)
+            near = next((m for m in reversed(tree) if m.label == member.label or m.may_link(member)), None)
             if near is None:
                 apart.append(tree)
                 continue
-            out.append((near.key, member.key))
+            if near.label != member.label:
+                out.append((near.key, member.key))
             met = [*tree, member] if len(met) == 1 else sorted([*met, *tree], key=lambda m: (m.n, m.key))
         trees = [*apart, met]
     return out
@@ -208,24 +216,36 @@ def _linked(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(components(nodes.select(F.col("key").alias("fp"), F.col("key").alias("label")), links), "components")
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints are equal or connected within ``NEAR_BITS`` bits; ``prints`` has key and fp."""
+    heads = stored(prints.groupBy("fp").agg(F.min("key").alias("head")), "prints")
+    near = near_fingerprints(heads.select("fp"), heads.count(), NEAR_BITS)
+    head = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    pairs = near.toDF("_a", "_b").join(head("_a", "x"), "_a").join(head("_b", "y"), "_b")
+    equal = prints.join(heads, "fp").where("key <> head").select(F.col("head").alias("x"), F.col("key").alias("y"))
+    return pairs.select("x", "y").union(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _split(posts: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``posts`` of the groups that lie in several components of ``links``, with their component as ``label``."""
+    labels = _linked(links, nodes).select(F.col("fp").alias("_k"), F.col("label").alias("_l"))
+    posts = posts.join(labels, F.col("key") == F.col("_k"), "left").withColumn("label", F.coalesce("_l", "key")).drop("_k", "_l")
+    split = posts.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
+    split = stored(split.select(F.col("h").alias("_h")), "split")
+    return stored(posts.join(split, F.col("h") == F.col("_h"), "left_semi"), "posts")
+
+
 def copies(texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``key`` of each row of ``texts`` (key, ``_text``) that an equal or linked row of a smaller key makes superfluous."""
     sets = stored(texts.select("key", "_text").mapInArrow(_sets, SET), "shingles")
     nodes = stored(sets.groupBy("s1", "s2", "n").agg(F.min("key").alias("key")), "nodes")
     equal = sets.select("key").join(nodes.select("key"), "key", "left_anti")
     first = sets.join(nodes.select("key"), "key", "left_semi")
-    posts = first.select(F.explode("prefix").alias("h"), "key", "n")
-    shared = stored(posts.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("h").alias("_h")), "shared")
-    posts = stored(posts.join(shared, F.col("h") == F.col("_h"), "left_semi"), "posts")
+    links = confirmed(fingerprint_links(first.select("key", "fp")), texts)
+    posts = _split(first.select(F.explode("prefix").alias("h"), "key", "n"), links, nodes)
     bits = stored(first.join(posts.select("key").distinct(), "key", "left_semi").select("key", "bits"), "bits")
-    posts = posts.withColumn("label", F.col("key"))
-    links = confirmed(_candidates(posts.join(bits, "key"), forest, hot_rows), texts)
-    labels = _linked(links, nodes).select(F.col("fp").alias("_k"), F.col("label").alias("_l"))
-    posts = posts.join(labels, F.col("key") == F.col("_k"), "left").withColumn("label", F.coalesce("_l", "label")).drop("_k", "_l")
-    posts = stored(posts, "posts")
-    split = posts.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
-    split = stored(split.select(F.col("h").alias("_h")), "split")
-    posts = posts.join(split, F.col("h") == F.col("_h"), "left_semi")
+    links = links.union(confirmed(_candidates(posts.join(bits, "key"), forest, hot_rows), texts))
+    posts = _split(posts.drop("label"), links, nodes)
     more = confirmed(_candidates(posts.join(bits, "key"), across, hot_rows), texts)
     found = _linked(links.union(more), nodes)
     return equal.union(found.where("fp <> label").select("fp"))

@@ -62,13 +62,17 @@ def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[i
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    hashes = [shingle_hashes(t) for t in texts]
+    return majorities([shingle_hashes(t) for t in texts])
+
+
+def majorities(hashes: list) -> np.ndarray:
+    """A fingerprint of each list of hashes: the bits set in more than half of them."""
     counts = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
-    flat = np.array([x for h in hashes for x in h], np.uint64)
+    flat = np.concatenate([np.asarray(hashes[i], np.uint64) for i in full])
     bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])[full]
     ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)

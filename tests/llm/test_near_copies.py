@@ -69,3 +69,27 @@ def test_stage_links_edited_copies(spark):
     docs = frame(spark, [(1, " ".join(words)), (2, " ".join(edit)), (3, " ".join(reversed(words)))])
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
+def test_fingerprints_link_close_copies(spark):
+    """The stage's links come from fingerprints first: equal ones and those a few bits apart."""
+    import numpy as np
+
+    from hushline.llm import simhash
+
+    texts = [" ".join(f"w{i}" if i != at else "other" for i in range(300)) for at in (-1, 1, 298)] + [" ".join(f"z{i}" for i in range(300))]
+    prints = simhash.majorities([near_copies.shingle_set(t.encode()) for t in texts])
+    assert max(int(np.bitwise_count(prints[0] ^ p)) for p in prints[1:3]) <= near_copies.NEAR_BITS
+    rows = [(i, p) for i, p in enumerate(prints.view(np.int64).tolist())] + [(4, int(prints.view(np.int64)[3]))]
+    pairs = near_copies.fingerprint_links(spark.createDataFrame(rows, "key long, fp long")).collect()
+    found = {(r["a"], r["b"]) for r in pairs}
+    close = {p for p in found if max(p) < 3}
+    assert len(close) >= 2 and len({k for p in close for k in p}) == 3 and found - close == {(3, 4)}
+
+
+def test_stage_goes_through_fingerprints(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_copies, "near_fingerprints", lambda *a, f=near_copies.near_fingerprints: asked.append(a[2]) or f(*a))
+    docs = frame(spark, edited(copies=3))
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert asked == [near_copies.NEAR_BITS] and got.count() == len(kept(edited(copies=3)))
