@@ -1,21 +1,15 @@
 """Near copies by SimHash over five-word shingles, held against the exact Jaccard similarity of the shingle sets.
 
 Shingles.  Words are those of ``simhash`` (A-Z lower-cased, runs of bytes that are not ASCII white space); a text is the set
-of its five-word shingles, each known by its XXH64 (a shorter text is one shingle).  Two texts are linked if the Jaccard
+of its five-word shingles, each known by a 64-bit hash (a shorter text is one shingle).  Two texts are linked if the Jaccard
 similarity of their sets is 0.8 or more, compared in whole numbers.
 
-Fingerprints.  Equal sets are one node before anything is compared.  A node's fingerprint is that of ``simhash`` over its set;
-the tiled comparison there links fingerprints within ``NEAR_BITS`` bits.  Its links (and those of equal fingerprints) are
-confirmed on the whole sets.  Sets at a similarity of 0.8 are about ten bits apart, so not every link is found like this.
+Fingerprints.  Equal sets are one node before anything is compared.  A node's fingerprint is the SimHash of its set;
+the tiled comparison of ``simhash`` links fingerprints within ``NEAR_BITS`` bits.  Its links (and those of equal fingerprints) are
+verified on the whole sets.  Sets at a similarity of 0.8 are about ten bits apart, so not every link is found like this.
 
-The rest.  What the fingerprints miss is found by prefix filtering, among sets they left apart.  The shingles of a set are ordered by hash; sets with a
-similarity of 0.8 or more share one of the first ``n - ceil(0.8 n) + 1`` of them (n being the size of the set), so comparing
-the sets that share a shingle there loses no link.  Inside a task a pair is left out only if bitmaps of the sets prove
-that they differ too much.  A group of more than ``HOT_ROWS`` sets is cut into blocks whose pairs become tasks of their own.
-
-Links.  First each comparison hands on links that would connect its sets (a forest, at most one row per set and group, none
-between sets that are connected already), which are confirmed on the whole sets.  Then the groups that still lie in several components hand on every pair between
-these, to be confirmed as well.  So large groups of near copies make no quadratic number of rows, and no link is lost.
+The rest.  What the fingerprints miss is found by the prefix filter of ``ngram_join``, among sets they left apart: shingles are
+ordered rare first, so few sets share a prefix shingle, and only verified links that connect something leave a task.
 
 Defined cases: null and empty texts have the empty set and are copies of each other; rows are told apart by a row key, not
 by doc_id, so null and repeated doc_ids lose no row; empty tables give empty results; further columns are left alone.
@@ -23,197 +17,23 @@ by doc_id, so null and repeated doc_ids lose no row; empty tables give empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hushline.llm.common import keyed, slices, utf8
-from hushline.llm.simhash import LINK, components, links as near_fingerprints, majorities, shingle_hashes
+from hushline.llm.common import keyed, utf8
+from hushline.llm.ngram_join import GROUP, Rule, Shingler, classes
+from hushline.llm.simhash import links as near_fingerprints
 from hushline.session import stored
 
-SHINGLE = 5
 NEAR_BITS = 6
-HOT_ROWS = 4_096
-
-SET = T.StructType(
-    [
-        T.StructField("key", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("s1", T.LongType()),
-        T.StructField("s2", T.LongType()),
-        T.StructField("fp", T.LongType()),
-        T.StructField("prefix", T.ArrayType(T.LongType(), False)),
-        T.StructField("bits", T.BinaryType()),
-    ]
-)
-WHOLE = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType())])
+HOT_ROWS = GROUP
+RULE = Rule(size=5, num=4, den=5)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
     """The sorted hashes of the distinct shingles."""
-    return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
-
-
-def similar(both: int, n: int, m: int) -> bool:
-    """Whether sets of n and m with ``both`` in common have a Jaccard similarity of 0.8 or more."""
-    return 5 * both >= 4 * (n + m - both)
-
-
-def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle, by its low bits, in a power of two of at least four places per shingle."""
-    width = 1 << max(3, (4 * len(shingles) - 1).bit_length())
-    flags = np.zeros(width, np.uint8)
-    flags[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "_text", 2 << 20):
-        found = [shingle_set(t) for t in part.column("_text").to_pylist()]
-        raw = [s.tobytes() for s in found]
-        prefix = [s[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64) for s in found]
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column("key"),
-                pa.array([len(s) for s in found], pa.int64()),
-                pa.array(np.array([xxhash.xxh64_intdigest(r, 1) for r in raw], np.uint64).view(np.int64)),
-                pa.array(np.array([xxhash.xxh64_intdigest(r, 2) for r in raw], np.uint64).view(np.int64)),
-                pa.array(majorities(found).view(np.int64)),
-                pa.array(prefix, pa.list_(pa.int64())),
-                pa.array([bitmap(s) for s in found], pa.binary()),
-            ],
-            SET.names,
-        )
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "_text", 2 << 20):
-        found = [shingle_set(t).tobytes() for t in part.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.binary())], WHOLE.names)
-
-
-class Member:
-    """A set as its group sees it."""
-
-    __slots__ = ("key", "n", "side", "label", "width", "bits")
-
-    def __init__(self, key: int, n: int, side: int, label: int, bits: bytes):
-        self.key, self.n, self.side, self.label = key, n, side, label
-        self.width, self.bits = 8 * len(bits), int.from_bytes(bits, "little")
-
-    def folded(self, width: int) -> int:
-        bits, at = self.bits, self.width
-        while at > width:
-            at //= 2
-            bits = (bits >> at) | (bits & ((1 << at) - 1))
-        return bits
-
-    def may_link(self, other: Member) -> bool:
-        """False only if the sets cannot be similar: each place that one bitmap alone has is a shingle that one set alone has."""
-        if self.side and self.side == other.side or 5 * min(self.n, other.n) < 4 * max(self.n, other.n):
-            return False
-        width = min(self.width, other.width)
-        a, b = self.folded(width), other.folded(width)
-        both = min(self.n - (a & ~b).bit_count(), other.n - (b & ~a).bit_count())
-        return similar(both, self.n, other.n)
-
-
-def forest(members: list[Member]) -> list[tuple[int, int]]:
-    """Pairs of different labels that may be linked and, with the labels, connect all members that such pairs connect; members ascend by size."""
-    out: list[tuple[int, int]] = []
-    trees: list[list[Member]] = []
-    for member in members:
-        met, apart = [member], []
-        for tree in trees:
-            if 5 * tree[-1].n < 4 * member.n:
-                continue  # the tree's largest set is too small for this member and all that follow
-            near = next((m for m in reversed(tree) if m.label == member.label or m.may_link(member)), None)
-            if near is None:
-                apart.append(tree)
-                continue
-            if near.label != member.label:
-                out.append((near.key, member.key))
-            met = [*tree, member] if len(met) == 1 else sorted([*met, *tree], key=lambda m: (m.n, m.key))
-        trees = [*apart, met]
-    return out
-
-
-def across(members: list[Member]) -> list[tuple[int, int]]:
-    """Every pair of different labels that may be linked; members ascend by size."""
-    out: list[tuple[int, int]] = []
-    low = 0
-    for at, member in enumerate(members):
-        while 5 * members[low].n < 4 * member.n:
-            low += 1
-        out.extend((m.key, member.key) for m in members[low:at] if m.label != member.label and m.may_link(member))
-    return out
-
-
-def _compare(pairs_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by group and size; a group is compared as soon as the next one begins."""
-        group, members = None, []
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "key", "n", "side", "label", "bits"))):
-                if g != group:
-                    seen.update(pairs_of(members))
-                    group, members = g, []
-                members.append(Member(*row))
-            if len(seen) > 65_536:
-                yield _pairs(seen)
-                seen = set()
-        seen.update(pairs_of(members))
-        yield _pairs(seen)
-
-    return run
-
-
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    rows = np.array([(min(p), max(p)) for p in found], np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-            ok.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose whole sets have a Jaccard similarity of 0.8 or more."""
-    pairs = stored(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = stored(texts.join(asked, "key", "left_semi").select("key", "_text").mapInArrow(_whole, WHOLE), "sets")
-    x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, LINK), "confirmed")
-
-
-def _candidates(posts: DataFrame, pairs_of, hot_rows: int) -> DataFrame:
-    """Pairs of each group of ``posts`` (h, key, n, bits, label); large groups are cut into blocks that meet pairwise."""
-    counts = posts.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    hot = stored(counts.select(F.col("h").alias("_h"), F.ceil(F.col("_n") / (hot_rows // 2)).cast("int").alias("_blocks")), "hot")
-    joined = posts.join(hot, F.col("h") == F.col("_h"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    joined = joined.withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
-    # Blocks meet each other and, as side 0, themselves.
-    placed = joined.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        F.xxhash64("h", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("group"), "key", "n",
-        F.when(F.col("_block") == F.col("_other"), 0).when(F.col("_block") < F.col("_other"), 1).otherwise(2).alias("side"), "label", "bits",
-    )
-    return placed.repartition("group").sortWithinPartitions("group", "n", "key").mapInArrow(_compare(pairs_of), LINK)
-
-
-def _linked(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    return stored(components(nodes.select(F.col("key").alias("fp"), F.col("key").alias("label")), links), "components")
+    return Shingler(RULE.size)(text)
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
@@ -226,29 +46,9 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return pairs.select("x", "y").union(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _split(posts: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``posts`` of the groups that lie in several components of ``links``, with their component as ``label``."""
-    labels = _linked(links, nodes).select(F.col("fp").alias("_k"), F.col("label").alias("_l"))
-    posts = posts.join(labels, F.col("key") == F.col("_k"), "left").withColumn("label", F.coalesce("_l", "key")).drop("_k", "_l")
-    split = posts.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
-    split = stored(split.select(F.col("h").alias("_h")), "split")
-    return stored(posts.join(split, F.col("h") == F.col("_h"), "left_semi"), "posts")
-
-
 def copies(texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``key`` of each row of ``texts`` (key, ``_text``) that an equal or linked row of a smaller key makes superfluous."""
-    sets = stored(texts.select("key", "_text").mapInArrow(_sets, SET), "shingles")
-    nodes = stored(sets.groupBy("s1", "s2", "n").agg(F.min("key").alias("key")), "nodes")
-    equal = sets.select("key").join(nodes.select("key"), "key", "left_anti")
-    first = sets.join(nodes.select("key"), "key", "left_semi")
-    links = confirmed(fingerprint_links(first.select("key", "fp")), texts)
-    posts = _split(first.select(F.explode("prefix").alias("h"), "key", "n"), links, nodes)
-    bits = stored(first.join(posts.select("key").distinct(), "key", "left_semi").select("key", "bits"), "bits")
-    links = links.union(confirmed(_candidates(posts.join(bits, "key"), forest, hot_rows), texts))
-    posts = _split(posts.drop("label"), links, nodes)
-    more = confirmed(_candidates(posts.join(bits, "key"), across, hot_rows), texts)
-    found = _linked(links.union(more), nodes)
-    return equal.union(found.where("fp <> label").select("fp"))
+    return classes(texts, RULE, hot_rows, empty_alike=True, near=fingerprint_links).where("key <> label").select("key")
 
 
 def drop_near_copies(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

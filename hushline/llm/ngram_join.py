@@ -15,6 +15,9 @@ similarity).  Prefix shingles are joined; of the sets that share one, a pair is
 similarity (length), if enough shingles are left behind the shared one (positions), and if parity bitmaps of the sets do
 not prove that they differ too much (suffix: a place where the parities differ is a shingle that one set alone has).
 
+Known links.  Pairs that the caller names beforehand (by SimHash, for instance) are verified first.  Shingles whose sets these links
+connect already are left out of all that follows, and the others compare sets of different components only.
+
 Links.  No task hands on all pairs of a group.  First, inside each shared shingle, the sets are compared with the group's
 smallest key, then the rest with the smallest of the rest and so on; a set proposes at most one partner, which is
 verified on the whole sets.  Groups whose sets still lie in several components after that bring the whole sets of those
@@ -32,7 +35,7 @@ component_id; empty tables give empty results; further columns are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushline.llm.common import keyed, slices, utf8
-from hushline.llm.simhash import LINK, components
+from hushline.llm.simhash import LINK, components, majorities
 from hushline.session import stored
 
 CELL_BITS = 22
@@ -115,12 +118,12 @@ def cells_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-SET = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "n", "s1", "s2", "chunk")] + [T.StructField("cells", T.BinaryType())])
+SET = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "n", "s1", "s2", "fp", "chunk")] + [T.StructField("cells", T.BinaryType())])
 
 
-def _sets(rule: Rule):
+def _sets(rule: Rule, prints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per text (key, size, signature) and, at the end, the task's counts in chunks of cells."""
+        """One row per text (key, size, signature, SimHash if wanted) and, at the end, the task's counts in chunks of cells."""
         shingler, counts = Shingler(rule.size), np.zeros(1 << CELL_BITS, np.uint32)
         for part in slices(batches, "_text"):
             found = [shingler(t) for t in part.column("_text").to_pylist()]
@@ -129,10 +132,11 @@ def _sets(rule: Rule):
             raw = [s.tobytes() for s in found]
             sign = lambda seed: pa.array(np.array([xxhash.xxh64_intdigest(r, seed) for r in raw], np.uint64).view(np.int64))
             blank = [pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in found], pa.int64()), sign(1), sign(2), *blank], SET.names)
+            fp = pa.array(majorities(found).view(np.int64)) if prints else pa.nulls(len(raw), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in found], pa.int64()), sign(1), sign(2), fp, *blank], SET.names)
         for chunk in np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1)).tolist():
             cells = counts[chunk * CHUNK : (chunk + 1) * CHUNK].astype("<u4").tobytes()
-            none = [pa.nulls(1, pa.int64())] * 4
+            none = [pa.nulls(1, pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([*none, pa.array([chunk], pa.int64()), pa.array([cells], pa.binary())], SET.names)
 
     return run
@@ -297,14 +301,14 @@ def members(table: pa.Table) -> Members:
 
 
 def proposals(rows: Members, rule: Rule) -> np.ndarray:
-    """For each set a candidate of its group with a smaller key, or -1."""
+    """For each set a candidate of its group and of another component with a smaller key, or -1."""
     partner = np.full(len(rows.key), -1, np.int64)
     _, code = np.unique(rows.group, return_inverse=True)
     left = np.lexsort((rows.key, code))
     while len(left):
         first = np.concatenate([[True], code[left][1:] != code[left][:-1]])
         hub = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-        near = rows.may_link(rule, hub, left) & ~first
+        near = rows.may_link(rule, hub, left) & (rows.label[hub] != rows.label[left])
         partner[left[near]] = hub[near]
         left = left[~near & ~first]
     return partner
@@ -434,12 +438,41 @@ def components_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(components(nodes.select(F.col("key").alias("fp"), F.col("key").alias("label")), links), "components")
 
 
-def classes(texts: DataFrame, rule: Rule = Rule(), group: int = GROUP, empty_alike: bool = False) -> DataFrame:
-    """For each row of ``texts`` (key, ``_text``): n, the size of its set, and ``label``, the smallest key that links reach."""
-    sets = stored(texts.select("key", "_text").mapInArrow(_sets(rule), SET), "sets")
-    rows = sets.where("chunk is null").select("key", "n", "s1", "s2")
+def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked."""
+    wanted = whole_sets(texts, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), rule)
+    x = wanted.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+    y = wanted.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirm(rule), LINK), "links")
+
+
+def labelled(posts: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``posts`` with the component of their set as ``label``."""
+    labels = components_of(links, nodes).select(F.col("fp").alias("_k"), F.col("label").alias("_l"))
+    found = posts.join(labels, F.col("key") == F.col("_k"), "left")
+    return found.withColumn("label", F.coalesce("_l", "key")).drop("_k", "_l")
+
+
+def split_groups(posts: DataFrame) -> DataFrame:
+    """``posts`` (stored, with labels) of the shingles whose sets lie in several components."""
+    split = posts.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("h")
+    return posts.join(stored(split, "split"), "h", "left_semi")
+
+
+def classes(
+    texts: DataFrame, rule: Rule = Rule(), group: int = GROUP, empty_alike: bool = False, near: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """For each row of ``texts`` (key, ``_text``): n, the size of its set, and ``label``, the smallest key that links reach.
+
+    ``near`` may name pairs (a, b) worth verifying first, given the different sets' keys and SimHashes (key, fp).
+    """
+    sets = stored(texts.select("key", "_text").mapInArrow(_sets(rule, near is not None), SET), "sets")
+    rows = sets.where("chunk is null").select("key", "n", "s1", "s2", "fp")
     grouped = rows if empty_alike else rows.where("n > 0")
-    nodes = stored(grouped.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"), F.count("*").alias("_copies")), "nodes")
+    nodes = grouped.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"), F.count("*").alias("_copies"), F.min("fp").alias("fp"))
+    nodes = stored(nodes, "nodes")
+    known = verified(stored(near(nodes.select("key", "fp")).distinct(), "pairs"), texts, rule) if near else None
+    nodes = nodes.drop("fp")
     doubles = stored(grouped.join(nodes.select("key"), "key", "left_anti").select("key"), "doubles")
     prefixes = stored(texts.select("key", "_text").mapInArrow(_prefixes(rule, rank_table(sets)), PREFIX), "prefixes")
     prefixes = prefixes.where("n > 0").join(sized(doubles), "key", "left_anti")
@@ -449,30 +482,28 @@ def classes(texts: DataFrame, rule: Rule = Rule(), group: int = GROUP, empty_ali
     # Length filter: the set of the next smaller or next larger size in its share must be near enough; hot shingles go on whole.
     share = F.pmod(F.xxhash64("key", "h"), F.ceil(F.col("_n") / group).cast("int"))
     by_size = Window.partitionBy("h", "_share").orderBy("n")
-    near = lambda small, large: F.coalesce(rule.den * small >= rule.num * large, F.lit(False))
+    close = lambda small, large: F.coalesce(rule.den * small >= rule.num * large, F.lit(False))
     neighbours = every.join(shared, "h").withColumn("_share", share).select(
         "h", F.col("pos").cast("long").alias("pos"), "key", "n", "_n", F.lag("n").over(by_size).alias("_low"), F.lead("n").over(by_size).alias("_high")
     )
-    posts = neighbours.where((F.col("_n") > group) | near(F.col("_low"), F.col("n")) | near(F.col("n"), F.col("_high")))
-    posts = stored(posts.drop("_low", "_high"), "posts")
+    posts = neighbours.where((F.col("_n") > group) | close(F.col("_low"), F.col("n")) | close(F.col("n"), F.col("_high")))
+    posts = posts.drop("_low", "_high")
+    posts = stored(labelled(posts, known, nodes) if near else posts.withColumn("label", F.col("key")), "posts")
+    if near:
+        posts = stored(split_groups(posts), "posts")
     posted = stored(prefixes.join(posts.select("key").distinct(), "key", "left_semi"), "posted")
 
     # One proposal per set, verified on the whole sets.
-    dealt = _placed(posts.withColumn("label", F.col("key")), posted, F.xxhash64("h", share), F.lit(0))
+    dealt = _placed(posts, posted, F.xxhash64("h", share), F.lit(0))
     proposed = stored(dealt.select(*POSTED, "h").mapInArrow(_propose(rule), PROPOSED), "proposed")
     pairs = stored(proposed.groupBy("b").agg(F.min("a").alias("a")), "pairs")
-    wanted = whole_sets(texts, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), rule)
-    x = wanted.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    y = wanted.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    links = stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirm(rule), LINK), "links")
-    labels = components_of(links, nodes).select(F.col("fp").alias("_k"), F.col("label").alias("_l"))
+    links = verified(pairs, texts, rule)
+    links = links.union(known) if near else links
 
     # What is left: shingles with a candidate, or with unmet shares, whose sets lie in several components.
     alive = proposed.select("h").union(shared.where(F.col("_n") > group).select("h")).distinct()
-    left = posts.join(stored(alive, "alive"), "h", "left_semi").join(labels, F.col("key") == F.col("_k"), "left")
-    left = stored(left.withColumn("label", F.coalesce("_l", "key")).drop("_k", "_l"), "left")
-    split = left.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("h")
-    left = left.join(stored(split, "split"), "h", "left_semi")
+    left = posts.drop("label").join(stored(alive, "alive"), "h", "left_semi")
+    left = split_groups(stored(labelled(left, links, nodes), "left"))
     blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("_n") / group).cast("int"))
     blocks = F.when(F.col("_n") <= group, 1).otherwise(blocks)
     met = left.withColumn("_mine", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))

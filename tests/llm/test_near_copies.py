@@ -93,3 +93,33 @@ def test_stage_goes_through_fingerprints(spark, monkeypatch):
     docs = frame(spark, edited(copies=3))
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert asked == [near_copies.NEAR_BITS] and got.count() == len(kept(edited(copies=3)))
+
+
+def test_hand_overs_stay_linear(spark, monkeypatch):
+    """A family just under the threshold hands on no quadratic number of pairs; a shared passage posts nothing."""
+    from hushline.llm import ngram_join
+
+    rows = {}
+
+    def counted(df, purpose="stage", f=near_copies.stored):
+        out = f(df, purpose)
+        rows.setdefault(purpose, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    family = []
+    for _ in range(60):
+        near = list(base)
+        for at in rnd.sample(range(80), 10):  # changes 5 words apart: two of them differ in about a fifth of the shingles
+            near[5 * at] = f"x{rnd.randint(0, 10**9)}"
+        family.append(" ".join(near))
+    docs = list(enumerate(family))
+    got = near_copies.drop_near_copies(frame(spark, docs))
+    assert got.count() == len(kept(docs)) and max(rows["pairs"]) <= 2 * len(docs)
+    rows.clear()
+    passage = " ".join(f"p{i}" for i in range(60))
+    apart = [(d, passage + " " + " ".join(f"u{rnd.randint(0, 10**9)}" for _ in range(200))) for d in range(60)]
+    assert near_copies.drop_near_copies(frame(spark, apart)).count() == 60 and max(rows["posts"]) == 0
