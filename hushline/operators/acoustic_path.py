@@ -104,7 +104,7 @@ def with_transfer(packed: DataFrame, s: PathSettings) -> DataFrame:
     """Packed spectra with transfer and coherence arrays, causal or static per clip."""
     if s.mode == "static_per_clip":
         return attach_bins(packed, static_transfer(packed, s), list(TRANSFER))
-    return scan(packed, [ema(s.alpha, TRANSFER, lambda averages: transfer_of(averages, s))], PACKED, s.block)
+    return scan(packed, [ema(s.alpha, TRANSFER, lambda m, averages: transfer_of(averages, s))], PACKED, s.block)
 
 
 PATH = ("residual_re", "residual_im", "gate", "snr_proxy", "path_confidence", "removed_energy_ratio")
@@ -128,7 +128,14 @@ def cancelled(m: Matrices, s: PathSettings) -> Matrices:
 
 
 def path_arrays(packed: DataFrame, s: PathSettings = PathSettings()) -> DataFrame:
-    """Packed spectra with the arrays of the acoustic path."""
+    """Packed spectra with the arrays of the acoustic path; the causal one leaves the task that carries its averages once."""
+    if s.mode == "causal_ema":
+
+        def finish(m: Matrices, averages: Matrices) -> Matrices:
+            transfer = transfer_of(averages, s)
+            return transfer | cancelled(m | transfer, s)
+
+        return scan(packed, [ema(s.alpha, (*TRANSFER, *PATH), finish)], PACKED, s.block)
     return map_frames(with_transfer(packed, s), [*PACKED, *TRANSFER], PATH, lambda m: cancelled(m, s))
 
 

@@ -24,15 +24,18 @@ from pyspark.sql import types as T
 from hushline.functions.numeric import FLOAT_EPS, d
 from hushline.schemas import ContractError
 
+# Cells of the windows that a task transforms at a time, unless one block has more.
+CELLS = 1 << 17
+
 if TYPE_CHECKING:
     from hushline.operators.spectra import Stft
 
 
-def regular_frames(n: int, c: Stft) -> int:
-    """Frames that start at a multiple of the hop, for a clip of ``n`` samples."""
+def regular_frames(n: np.ndarray, c: Stft) -> np.ndarray:
+    """Frames that start at a multiple of the hop, for clips of ``n`` samples."""
     if not c.centred:
-        return max(n - c.win, 0) // c.hop + 1
-    length = (max(n, c.win) if c.padded else n) + 2 * (c.win // 2) - c.win
+        return np.maximum(n - c.win, 0) // c.hop + 1
+    length = (np.maximum(n, c.win) if c.padded else n) + 2 * (c.win // 2) - c.win
     return (-(-length // c.hop) if c.padded else length // c.hop) + 1
 
 
@@ -63,16 +66,22 @@ def extent(c: Stft, block: int) -> tuple[int, int]:
     return lead, reach
 
 
-def _frames_of(number: int, n: int, c: Stft, block: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(frame numbers, first samples, frames of the clip) of one block."""
+def _frame_ends(numbers: np.ndarray, n: np.ndarray, c: Stft, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frames in the block, frames of the clip, whether its last one is moved back) of block rows."""
     regular = regular_frames(n, c)
-    extra = not c.centred and n > c.win and (regular - 1) * c.hop != n - c.win
+    extra = (not c.centred) & (n > c.win) & ((regular - 1) * c.hop != n - c.win)
     total = regular + extra
-    frames = np.arange(number * block, min((number + 1) * block, total), dtype=np.int64)
+    return np.clip(total - numbers * block, 0, block), total, extra
+
+
+def _frames_of(numbers: np.ndarray, n: np.ndarray, c: Stft, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frame numbers, first samples) of the frames of block rows, one row after the other, and the frames of each row's clip."""
+    numbers, n = np.atleast_1d(numbers), np.atleast_1d(n)
+    count, total, extra = _frame_ends(numbers, n, c, block)
+    spread = lambda x: np.repeat(x, count)
+    frames = np.arange(count.sum()) + spread(numbers * block - np.cumsum(count) + count)
     starts = frames * c.hop - (c.win // 2 if c.centred else 0)
-    if extra:
-        starts = np.minimum(starts, n - c.win)
-    return frames, starts, total
+    return frames, np.where(spread(extra), np.minimum(starts, spread(n) - c.win), starts), total
 
 
 def _dealt(clips: DataFrame, step: int, lead: int, reach: int, channels: Sequence[str], final: Column | None = None) -> DataFrame:
@@ -131,59 +140,65 @@ def _flat(positions: np.ndarray, values: pa.Array) -> tuple[np.ndarray, np.ndarr
     return at, values.flatten().to_numpy(zero_copy_only=False)
 
 
-def _windows(at: np.ndarray, values: pa.Array, number: int, starts: np.ndarray, c: Stft, block: int, label: str) -> np.ndarray:
-    """(frames, window) matrix of one channel of a block; what lies outside the clip is zero.
-
-    A null or a value that is not finite fails the job, naming the clip.
-    """
-    lead, reach = extent(c, block)
-    low = number * block * c.hop - lead
-    line = np.zeros(lead + reach)
-    places, amounts = _flat(at, values)
-    if not np.isfinite(amounts).all():
-        raise ContractError(f"Samples that are missing or not finite in {label}")
-    real = (places >= low) & (places < low + len(line))
-    line[places[real] - low] = amounts[real]
-    return np.lib.stride_tricks.sliding_window_view(line, c.win)[starts - low]
+def _samples(at: pa.ListArray, values: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block row, position, value) of every sample of block rows."""
+    owner = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+    positions, held = at.flatten().to_numpy(), values.flatten()
+    if isinstance(held, pa.ListArray):
+        owner = np.repeat(owner, held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return owner, *_flat(positions, held)
 
 
 def _per_frame(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str], outputs: Sequence[str], work) -> DataFrame:
-    """One row per frame; ``work`` turns a channel's (frames, window) matrix into its output matrices."""
+    """One row per frame; ``work`` turns a channel's (frames, window) matrix into its output matrices.
+
+    What lies outside the clip is zero.  A sample that is null or not finite fails the job, naming the clip.
+    """
     key = blocks.schema["clip_no"].dataType
     fields = [T.StructField("clip_no", key), *[T.StructField(x, T.LongType()) for x in ("block", "frame", "samples", "frames", "width")]]
     schema = T.StructType(fields + [T.StructField(name, T.ArrayType(T.DoubleType())) for name in outputs])
 
     names = [f.name for f in schema]
+    lead, _ = extent(c, block)
+
+    def framed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The frames of a few block rows, whose samples lie one block after the other on one line."""
+        number, n = batch["block"].to_numpy(), batch["samples"].to_numpy()
+        count = _frame_ends(number, n, c, block)[0]
+        owner = np.repeat(np.arange(len(count)), count)
+        frame, start, total = _frames_of(number, n, c, block)
+        low = number * block * c.hop - lead
+        size = lead + (count - 1) * c.hop + c.win
+        begin = np.cumsum(size) - size
+        matrices = []
+        for ch in channels:
+            row, place, amount = _samples(batch["at"], batch[ch])
+            bad = np.flatnonzero(~np.isfinite(amount))
+            if len(bad):
+                raise ContractError(f"Samples that are missing or not finite in {ch} of clip {batch['clip_no'][int(row[bad[0]])].as_py()}")
+            place = place - low[row]
+            real = (place >= 0) & (place < size[row])
+            line = np.zeros(size.sum())
+            line[begin[row[real]] + place[real]] = amount[real]
+            matrices += work(np.lib.stride_tricks.sliding_window_view(line, c.win)[begin[owner] + start - low[owner]])
+        width = np.clip(np.minimum(start + c.win, n[owner]) - np.maximum(start, 0), 0, None)
+        numbers = (number[owner], frame, n[owner], total[owner], width)
+        columns = [batch["clip_no"].take(pa.array(owner)), *[pa.array(x, pa.int64()) for x in numbers], *map(lists, matrices)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Short clips share an output batch; none holds more than two blocks of frames.
-        held: list[list] = []
-        waiting = 0
-
-        def flushed() -> pa.RecordBatch:
-            flat = [np.concatenate(column) for column in zip(*held)]
-            columns = [pa.array(flat[0].tolist(), key_type), *map(pa.array, flat[1:6]), *map(lists, flat[6:])]
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
+        # Short blocks share an output batch; none holds more than ``CELLS`` cells of windows, unless one block does.
         for batch in batches:
-            key_type = batch["clip_no"].type
-            keys, numbers, counts = (batch[name].to_pylist() for name in ("clip_no", "block", "samples"))
-            for i, (key_value, number, n) in enumerate(zip(keys, numbers, counts)):
-                frames, starts, total = _frames_of(number, n, c, block)
-                if not len(frames):
-                    continue
-                at = batch["at"][i].values.to_numpy(zero_copy_only=False)
-                cut = [_windows(at, batch[ch][i].values, number, starts, c, block, f"{ch} of clip {key_value}") for ch in channels]
-                matrices = [m for window in cut for m in work(window)]
-                width = np.clip(np.minimum(starts + c.win, n) - np.maximum(starts, 0), 0, None)
-                same = lambda value: np.full(len(frames), value, dtype=object if isinstance(value, str) else np.int64)
-                held.append([same(key_value), same(number), frames, same(n), same(total), width, *matrices])
-                waiting += len(frames)
-                if waiting >= block:
-                    yield flushed()
-                    held, waiting = [], 0
-        if held:
-            yield flushed()
+            if any(batch[name].null_count for name in ("clip_no", "block", "samples", "at", *channels)):
+                raise ContractError("Blocks of samples need their clip, number, length, positions and channels")
+            count = _frame_ends(batch["block"].to_numpy(), batch["samples"].to_numpy(), c, block)[0]
+            batch = batch.take(pa.array(np.flatnonzero(count))) if not count.all() else batch
+            ends = np.cumsum(count[count > 0]) * c.win
+            at = 0
+            while at < len(ends):
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+                yield framed(batch.slice(at, until - at))
+                at = until
 
     return blocks.select("clip_no", "block", "samples", "at", *channels).mapInArrow(run, schema)
 

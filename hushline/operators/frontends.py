@@ -132,7 +132,7 @@ def bounded_coherence(m: Matrices, eps: float) -> np.ndarray:
 
 
 def ema(alpha: float, outputs: tuple[str, ...], finish) -> Recurrence:
-    """Causal averages of cross power and both powers, seeded with the first frame; ``finish(averages)`` gives the outputs."""
+    """Causal averages of cross power and both powers, seeded with the first frame; ``finish(matrices, averages)`` gives the outputs."""
     if not 0.0 <= alpha < 1.0:
         raise ValueError("alpha must lie in [0, 1)")
 
@@ -140,11 +140,11 @@ def ema(alpha: float, outputs: tuple[str, ...], finish) -> Recurrence:
         fresh = np.where(frame == 0, 1.0, 1.0 - alpha)[:, None]
         return np.full(m["near_re"].shape, alpha), {n: fresh * v for n, v in powers(m).items()}
 
-    return Recurrence(("re", "im", "near", "far"), step, outputs, lambda m, after, before: finish(after))
+    return Recurrence(("re", "im", "near", "far"), step, outputs, lambda m, after, before: finish(m, after))
 
 
 def causal_coherence(s: Settings) -> Recurrence:
-    return ema(s.coherence_alpha, ("coherence",), lambda averages: {"coherence": bounded_coherence(averages, s.eps)})
+    return ema(s.coherence_alpha, ("coherence",), lambda m, averages: {"coherence": bounded_coherence(averages, s.eps)})
 
 
 def adaptive(s: Settings) -> Recurrence:

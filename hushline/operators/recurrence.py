@@ -1,7 +1,7 @@
 """First-order recurrences s_n = a_n * s_(n-1) + b_n along frames, over matrices of frames x bins.
 
-A step is an affine map of the state, and maps compose: (a2, b2) after (a1, b1) is (a2 * a1, a2 * b1 + b2).  One task
-holds a block of one clip as matrices and composes its maps for all bins at once.  Nothing is divided, so
+A step is an affine map of the state, and maps compose: (a2, b2) after (a1, b1) is (a2 * a1, a2 * b1 + b2).  A task
+holds a few blocks as matrices and composes their maps for all bins at once, each block for itself.  Nothing is divided, so
 every factor (zero, small, negative, above one) works at every length.  The composed map of a whole block is the only
 thing the next blocks need: one row per block, with one array per state, is carried along each clip, and the blocks
 of a long clip are computed in parallel.  Clips of a single block carry nothing and are transformed once.
@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 Matrices = dict[str, np.ndarray]
 KEYS = ["clip_no", "block"]
+# Cells of a matrix that a task holds at a time, unless one block has more.
+CELLS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -46,40 +49,80 @@ def lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).ravel()))
 
 
-def composed(factor: np.ndarray, inputs: Matrices) -> tuple[np.ndarray, Matrices]:
-    """The map of each frame after all frames of its block before it, by doubling the reach of every frame's map."""
+def composed(factor: np.ndarray, inputs: Matrices, place: np.ndarray | None = None) -> tuple[np.ndarray, Matrices]:
+    """The map of each frame after all frames of its block before it, by doubling the reach of every frame's map.
+
+    ``place`` counts the frames before each row in its block, where the rows hold several blocks.
+    """
     product, local = np.array(factor, float), {n: np.array(v, float) for n, v in inputs.items()}
-    step = 1
-    while step < len(product):
-        for n, values in local.items():
-            values = values.copy()
-            values[step:] += product[step:] * local[n][:-step]
-            local[n] = values
-        product[step:] = product[step:] * product[:-step]
+    place = np.arange(len(product)) if place is None else place
+    step, longest = 1, int(place.max(initial=-1)) + 1
+    while step < longest:
+        late = np.flatnonzero(place >= step)
+        for values in local.values():
+            values[late] += product[late] * values[late - step]
+        product[late] *= product[late - step]
         step *= 2
     return product, local
 
 
-def _block(table: pa.Table, arrays: Sequence[str]) -> tuple[pa.Table, np.ndarray, Matrices]:
-    table = table.take(pa.array(np.argsort(table.column("frame").to_numpy(), kind="stable")))
-    return table, table.column("frame").to_numpy(), {c: matrix(table.column(c)) for c in arrays}
+def in_blocks(packed: DataFrame) -> DataFrame:
+    """The rows of each block together in the order of their frames; ``_place`` counts the frames before each."""
+    order = Window.partitionBy(*KEYS).orderBy("frame")
+    return packed.withColumn("_place", F.row_number().over(order).cast("bigint") - 1)
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch], arrays: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, Matrices]]:
+    """(rows, first row of each block, place of each row, matrices) of as many whole blocks as ``CELLS`` allows, one at least.
+
+    The last block of a batch waits for the batch that may continue it.
+    """
+
+    def pieces(table: pa.Table, firsts: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, Matrices]]:
+        width = max(1, len(table.column(arrays[0])[0]))
+        ends = np.append(firsts[1:], table.num_rows)
+        at = 0
+        while at < len(firsts):
+            until = max(at + 1, int(np.searchsorted(ends, firsts[at] + CELLS // width, side="right")))
+            part = table.slice(firsts[at], ends[until - 1] - firsts[at])
+            yield part, firsts[at:until] - firsts[at], part.column("_place").to_numpy(), {c: matrix(part.column(c)) for c in arrays}
+            at = until
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        firsts = np.flatnonzero(batch.column("_place").to_numpy() == 0)
+        if not len(firsts):
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch.slice(0, firsts[-1])], batch.schema).combine_chunks()
+        held = [batch.slice(firsts[-1])]
+        if table.num_rows:
+            yield from pieces(table, np.flatnonzero(table.column("_place").to_numpy() == 0))
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if table.num_rows:
+            yield from pieces(table, np.array([0]))
 
 
 def block_maps(packed: DataFrame, parts: Sequence[Recurrence], arrays: Sequence[str], block: int) -> DataFrame:
     """The composed maps of every block that is followed by another one: clip_no, block, and one array per factor and state."""
     schema = T.StructType([packed.schema["clip_no"], T.StructField("block", T.LongType()), T.StructField("_maps", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    def run(table: pa.Table) -> pa.Table:
-        table, frame, values = _block(table, arrays)
-        rows: list[np.ndarray] = []
-        for part in parts:
-            product, local = composed(*part.step(values, frame))
-            rows += [product[-1], *[local[n][-1] for n in part.states]]
-        maps = pa.array([[r.tolist() for r in rows]], pa.list_(pa.list_(pa.float64())))
-        return pa.table([table.column("clip_no").slice(0, 1), pa.array([int(table.column("block")[0].as_py())], pa.int64()), maps], names=schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, firsts, place, values in whole_blocks(batches, arrays):
+            lasts = np.append(firsts[1:], len(place)) - 1
+            rows: list[np.ndarray] = []
+            for part in parts:
+                product, local = composed(*part.step(values, table.column("frame").to_numpy()), place)
+                rows += [product[lasts], *[local[n][lasts] for n in part.states]]
+            stacked = np.stack(rows, axis=1)
+            outer = pa.array(np.arange(len(lasts) + 1, dtype=np.int32) * len(rows))
+            maps = pa.ListArray.from_arrays(outer, lists(stacked.reshape(len(lasts) * len(rows), -1)))
+            keys = table.select(KEYS).take(pa.array(lasts)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1).cast(pa.int64()), maps], names=schema.names)
 
     followed = packed.where((F.col("block") + 1) * block < F.col("frames"))
-    return followed.select(*KEYS, "frame", *arrays).groupBy(*KEYS).applyInArrow(run, schema)
+    return in_blocks(followed.select(*KEYS, "frame", *arrays)).mapInArrow(run, schema)
 
 
 def carried(maps: DataFrame, parts: Sequence[Recurrence]) -> DataFrame:
@@ -114,33 +157,35 @@ def scan(packed: DataFrame, parts: Sequence[Recurrence], arrays: Sequence[str],
     schema = T.StructType([*packed.schema.fields, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]])
     starts = carried(block_maps(packed, parts, arrays, block), parts)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:  # cannot happen: a block hands its states to one that exists
-            return schema_table(left, names)
-        table, frame, values = _block(left, arrays)
-        start = right.column("_start")[0].values if right.num_rows else None
-        given = start.flatten().to_numpy().reshape(len(start), -1) if start is not None else None
-        at = 0
-        for part in parts:
-            product, local = composed(*part.step(values, frame))
-            after, before = {}, {}
-            for n in part.states:
-                first = given[at] if given is not None else np.zeros(product.shape[1])
-                after[n] = local[n] + product * first
-                before[n] = np.vstack([first, after[n][:-1]])
-                at += 1
-            out = part.finish(values, after, before)
-            for n in part.outputs:
-                table = table.append_column(n, lists(out[n]))
-        return table
-
-    return packed.groupBy(*KEYS).cogroup(starts.groupBy(*KEYS)).applyInArrow(run, schema)
-
-
-def schema_table(left: pa.Table, names: Sequence[str]) -> pa.Table:
-    for n in names:
-        left = left.append_column(n, pa.array([], pa.list_(pa.float64())))
-    return left
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, firsts, place, values in whole_blocks(batches, arrays):
+            # A block's first row carries the states it starts from; clips start from zero.
+            owner = np.cumsum(place == 0) - 1
+            given = table.column("_start").take(pa.array(firsts)).combine_chunks()
+            known = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+            width = values[arrays[0]].shape[1]
+            first = np.zeros((len(firsts), sum(len(part.states) for part in parts), width))
+            if len(known):
+                first[known] = given.flatten().flatten().to_numpy().reshape(len(known), -1, width)
+            at = 0
+            made: Matrices = {}
+            for part in parts:
+                product, local = composed(*part.step(values, table.column("frame").to_numpy()), place)
+                after, before = {}, {}
+                for n in part.states:
+                    after[n] = local[n] + product * first[owner, at]
+                    before[n] = np.empty_like(after[n])
+                    before[n][1:] = after[n][:-1]
+                    before[n][firsts] = first[:, at]
+                    at += 1
+                made |= part.finish(values, after, before)
+            for n in names:
+                table = table.append_column(n, lists(made[n]))
+            yield from table.select(schema.names).combine_chunks().to_batches()
+
+    joined = in_blocks(packed.join(starts, KEYS, "left"))
+    own = joined.withColumn("_start", F.when(F.col("_place") == 0, F.col("_start")))
+    return own.select(*packed.columns, "_place", "_start").mapInArrow(run, schema)
 
 
 def map_frames(packed: DataFrame, arrays: Sequence[str], outputs: Sequence[str], made: Callable[[Matrices], Matrices]) -> DataFrame:
