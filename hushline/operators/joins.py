@@ -20,6 +20,20 @@ from hushline.schemas import GROUP, IDENTITY, SCORE_COLUMNS
 VIEW_SYSTEMS = ("near", "unconditional_refsub", "safe_ref")
 
 
+SLICES = 32
+
+
+def with_group_rows(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of many rows with one row per group, a group's rows dealt over ``SLICES`` slices.
+
+    A few groups (machines, say) would otherwise send all rows to as many tasks; each group's row is repeated once per slice.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(*rest), F.lit(SLICES)).cast("int"))
+    repeated = groups.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return dealt.join(repeated, [*keys, "_slice"], "left").drop("_slice")
+
+
 def label_official_scores(
     official: DataFrame, manifest: DataFrame, model_id: str, experiment_id: str
 ) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from hushline.functions.numeric import d
 from hushline.operators.guards import required
+from hushline.operators.joins import with_group_rows
 from hushline.operators.ordered import hashed_positions
 
 RANK = 8
@@ -144,14 +145,14 @@ def reconstruction_scores(
 ) -> DataFrame:
     """Squared reconstruction error per cell, micro-averaged per clip, over the first ``target`` dimensions.
 
-    The model side is one row per group; AQE broadcasts it when it measures small and splits hot groups otherwise.
+    The model side is one row per group, repeated so that a group's vectors go to many tasks.
     """
 
     def error(flat: pa.Array, mean: pa.Array, components: pa.Array, width: pa.Array) -> pa.Array:
         return _error(flat, mean, components, width)
 
     width = F.size("mean") if target is None else F.lit(target)
-    joined = packed.join(model.select(*keys, "mean", "components"), list(keys), "left")
+    joined = with_group_rows(packed, model.select(*keys, "mean", "components"), keys)
     joined = joined.withColumn("mean", required(F.col("mean"), "array<double>", "No linear model for", *keys))
     scored = joined.withColumn("_e", F.arrow_udf(error, ERROR)("flat", "mean", "components", width.cast("int")))
     return scored.groupBy(*clip_keys).agg((F.sum("_e.error") / F.sum("_e.cells")).alias("anomaly_score"))

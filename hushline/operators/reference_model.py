@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hushline.functions.numeric import d
 from hushline.operators.guards import required
+from hushline.operators.joins import with_group_rows
 
 SCALE_FLOOR = 1.0e-4
 VARIANCE_FLOOR = 1.0e-6
@@ -58,7 +59,7 @@ def normalise(rows: DataFrame, normaliser: DataFrame, keys: Sequence[str], chann
     wide = normaliser.groupBy(*keys).agg(
         *[pick("mean", n).alias(f"{n}_mean") for n in channels], *[pick("std", n).alias(f"{n}_std") for n in channels]
     )
-    joined = rows.join(wide, list(keys), "left") if keys else rows.crossJoin(wide)  # without keys: one row
+    joined = with_group_rows(rows, wide, keys) if keys else rows.crossJoin(wide)  # without keys: one row
     std = lambda n: required(F.col(f"{n}_std"), "double", "No normaliser for", *keys)
     scaled = {n: (F.col(n) - F.col(f"{n}_mean")) / std(n) for n in channels}
     return joined.select(*[scaled[n].alias(n) if n in scaled else F.col(n) for n in rows.columns])

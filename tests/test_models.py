@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hushline.operators import calibration, guards, policy
 from hushline.operators import linear_model as lm
+from hushline.operators.reference_model import fit_normaliser, normalise
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,27 @@ def test_subspace_scores_match_numpy(vectors):
             assert got[clip] == pytest.approx(np.mean(missed**2), rel=1e-8)
 
 
+def test_one_group_is_spread_over_tasks(spark):
+    """With one machine, neither the normaliser nor the scorer may read all its rows in one task."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(400).select(F.lit("m").alias("g"), F.col("id").alias("clip"), (F.col("id") % 7).cast("double").alias("near"))
+        fit = fit_normaliser(rows, ["g"], ["near"])
+        scaled = normalise(rows, fit, ["g"], ["near"])
+        assert scaled.select(F.spark_partition_id()).distinct().count() > 1
+        assert scaled.agg(F.count("*"), F.round(F.avg("near"), 9)).first()[:] == (400, 0.0)
+        pairs = rows.select("g", "clip", F.array("near", F.lit(1.0)).alias("flat"))
+        model = spark.createDataFrame([("m", [0.0, 0.0], [1.0, 0.0])], "g string, mean array<double>, components array<double>")
+        plan = lm.reconstruction_scores(pairs, model, ["g"], ["clip"])
+        assert {r["anomaly_score"] for r in plan.collect()} == {0.5} and plan.count() == 400
+        assert "_slice" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
 def test_anomaly_rows_never_reach_a_fit(vectors, spark):
     frame, df = vectors
     tagged = df.withColumn("dataset_split", F.lit("dev_train"))

@@ -101,6 +101,24 @@ def test_recurrences_do_not_depend_on_the_block(spark, block):
         np.testing.assert_allclose(part["gain"].to_numpy().reshape(gain.shape), gain, atol=1e-9)
 
 
+def test_blocks_share_a_call_and_may_be_cut_by_a_batch(spark):
+    """The scan is one pass over sorted rows, not a call per block; Arrow batches end where they like."""
+    packed = spectra.stft(clips(spark, signals((200, 61, 9, 16))), CONV, 4)
+    path = acoustic_path.path_arrays(packed, acoustic_path.PathSettings(block=4))
+    plan = path._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMap" not in plan and "ArrowEvalPython" not in plan
+    rows = lambda: {(r["clip_no"], r["frame"]): [*r["transfer_re"], *r["residual_im"]] for r in path.collect()}
+    whole = rows()
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        path = path.select("*")
+        cut = rows()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(whole) == len(cut) == 24 + 7 + 1 + 1 and whole == cut
+
+
 @pytest.mark.parametrize("alpha,step", [(0.0, 1.0), (0.05, 0.9), (0.2, 1.5)])
 def test_recurrences_take_every_factor_at_every_length(spark, alpha, step):
     data = signals((4500,))
