@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from hushline.functions import complexes as c
 from hushline.functions.complexes import Cx, cx
 from hushline.functions.numeric import EPS, clip, d
+from hushline.operators.ordered import quantiles
 from hushline.operators.recurrence import Matrices, Recurrence, scan
 from hushline.operators.spectra import BLOCK, PACKED, attach_bins, explode_bins
 
 
+# Cells of a clip up to which its median is taken in one buffer.
+AUDITED = 1_000_000
+
+
 def near_bin() -> Cx:
     return cx("near")
 
@@ -227,16 +232,29 @@ def spectral_summaries(packed: DataFrame, names, s: Settings = Settings()) -> Da
 
 def energy_audit(packed: DataFrame, names, bins: int, s: Settings = Settings()) -> DataFrame:
     """Per (clip_no, frontend): median primary-view energy ratio and the fraction of cells below 0.2."""
-    from hushline.operators.ordered import sized_quantiles
-
-    long = prepared(packed, names, s)
+    cells = F.col("frames") * bins
     near = F.greatest(c.power(near_bin()), d(s.eps))
-    ratios = F.array(
-        *[F.struct(F.lit(n).alias("frontend"), (c.power(frontend(n).primary(s)) / near).alias("ratio")) for n in names]
-    )
-    cells = F.col("frames") * F.col("bins")
-    rows = long.withColumn("bins", F.lit(bins)).select("clip_no", cells.alias("cells"), F.inline(ratios))
+    # Front-ends with the same primary view share one ratio.
+    views = {n: next(iter(frontend(n).views)) for n in names}
+    ratios = {v: (f"r{i}", c.power(frontend(n).primary(s)) / near) for i, (v, n) in enumerate({v: n for n, v in views.items()}.items())}
+
+    # Usual clips: every ratio side by side, one aggregation over one pass (its buffers hold at most AUDITED cells).
+    wide = prepared(packed.where(cells <= AUDITED), names, s).select("clip_no", *[x.alias(r) for r, x in ratios.values()])
+    low = lambda r: F.avg((F.col(r) < d(0.2)).cast("double"))
+    both = [x for r, _ in ratios.values() for x in (low(r).alias(f"{r}_b"), F.percentile(r, F.lit(0.5)).alias(f"{r}_m"))]
+    rows = F.array(*[
+        F.struct(
+            F.lit(n).alias("frontend"), F.col(f"{ratios[v][0]}_b").alias("fraction_below_0_2"), F.col(f"{ratios[v][0]}_m").alias("median_energy_ratio")
+        )
+        for n, v in views.items()
+    ])
+    short = wide.groupBy("clip_no").agg(*both).select("clip_no", F.inline(rows))
+
+    # Very long clips: the same numbers with bracketed medians.
+    each = F.array(*[F.struct(F.lit(n).alias("frontend"), ratios[v][1].alias("ratio")) for n, v in views.items()])
+    long = prepared(packed.where(cells > AUDITED), names, s).select("clip_no", F.inline(each))
     keys = ["clip_no", "frontend"]
-    below = rows.groupBy(*keys).agg(F.avg((F.col("ratio") < d(0.2)).cast("double")).alias("fraction_below_0_2"))
-    median = sized_quantiles(rows, keys, "ratio", {"median_energy_ratio": 0.5}, F.col("cells"), 1_000_000)
-    return below.join(median, keys)
+    lengthy = long.groupBy(*keys).agg(low("ratio").alias("fraction_below_0_2")).join(
+        quantiles(long, keys, "ratio", {"median_energy_ratio": 0.5}), keys
+    )
+    return short.unionByName(lengthy)

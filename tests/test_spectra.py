@@ -134,6 +134,21 @@ def test_recurrences_take_every_factor_at_every_length(spark, alpha, step):
     np.testing.assert_allclose(matrices(rows, "re", "im", i), error, atol=1e-7)
 
 
+def test_energy_audit_sums_up_cells_not_front_ends(spark, monkeypatch):
+    """A cell enters the aggregation once for all front-ends, and long clips get the same numbers another way."""
+    names = ["near", "far", "wiener", "adaptive_filter", "late_score_fusion"]
+    packed = spectra.stft(clips(spark, signals((200, 61))), CONV)
+    audit = frontends.energy_audit(packed, names, CONV.bins)
+    assert "keys=[clip_no" in (plan := audit._jdf.queryExecution().executedPlan().toString()) and "percentile(r0" in plan
+    rows = lambda df: {(r["clip_no"], r["frontend"]): (r["fraction_below_0_2"], r["median_energy_ratio"]) for r in df.collect()}
+    short = rows(audit)
+    monkeypatch.setattr(frontends, "AUDITED", 0)
+    long = rows(frontends.energy_audit(packed, names, CONV.bins))
+    assert short.keys() == long.keys() and len(short) == 10
+    for key, values in short.items():
+        np.testing.assert_allclose(values, long[key], rtol=1e-12)
+
+
 @pytest.mark.parametrize("name", ["spectral_subtraction", "wiener", "coherence_mask", "adaptive_filter", "difference"])
 def test_silent_far_channel_leaves_near_unchanged(spark, name):
     data = {0: (np.random.default_rng(1).normal(size=80), np.zeros(80))}
