@@ -80,8 +80,9 @@ def packed(v: Views) -> DataFrame:
 
 
 def built(v: Views) -> safe_reference.SafeReference:
-    # The bridge view derives sample positions with windows; the build reads the samples several times.
-    return safe_reference.build(stored(trained_clips(v), "samples"), trained_manifest(v), SMALL, S, materialise=True)
+    # The bridge view derives sample positions with windows; the build reads the samples several times, always in these blocks.
+    blocks = spectra.blocks(trained_clips(v), SMALL, S.block)
+    return safe_reference.build(stored(blocks, "blocks"), trained_manifest(v), SMALL, S, materialise=True)
 
 
 def transfers(v: Views, rows: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A *block* row (clip_no, block, samples, at, channels) holds every sample that the frames ``block * n .. block * n + n - 1``
 of its clip read, n being the frames of a block; neighbouring blocks therefore share some samples.  ``at`` lists
-positions and each channel the values there; both may be nested one level, as the starts and arrays of pieces.
+positions and each channel the values there; both may be nested one level, as the starts and arrays of pieces.  A channel
+whose positions differ has them in ``<channel>_at``.
 A *chunk* row (clip_no, block, samples, start, channels) holds ``n * hop`` consecutive samples of which no other row has one.
 
 Framing and transforms work on one block at a time, so no sample is moved for them.  Samples move once at most:
@@ -160,6 +161,8 @@ def _per_frame(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str],
 
     names = [f.name for f in schema]
     lead, _ = extent(c, block)
+    at_of = {ch: f"{ch}_at" if f"{ch}_at" in blocks.columns else "at" for ch in channels}
+    held = ["clip_no", "block", "samples", *dict.fromkeys(at_of.values()), *channels]
 
     def framed(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The frames of a few block rows, whose samples lie one block after the other on one line."""
@@ -172,7 +175,7 @@ def _per_frame(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str],
         begin = np.cumsum(size) - size
         matrices = []
         for ch in channels:
-            row, place, amount = _samples(batch["at"], batch[ch])
+            row, place, amount = _samples(batch[at_of[ch]], batch[ch])
             bad = np.flatnonzero(~np.isfinite(amount))
             if len(bad):
                 raise ContractError(f"Samples that are missing or not finite in {ch} of clip {batch['clip_no'][int(row[bad[0]])].as_py()}")
@@ -189,7 +192,7 @@ def _per_frame(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Short blocks share an output batch; none holds more than ``CELLS`` cells of windows, unless one block does.
         for batch in batches:
-            if any(batch[name].null_count for name in ("clip_no", "block", "samples", "at", *channels)):
+            if any(batch[name].null_count for name in held):
                 raise ContractError("Blocks of samples need their clip, number, length, positions and channels")
             count = _frame_ends(batch["block"].to_numpy(), batch["samples"].to_numpy(), c, block)[0]
             batch = batch.take(pa.array(np.flatnonzero(count))) if not count.all() else batch
@@ -200,7 +203,7 @@ def _per_frame(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str],
                 yield framed(batch.slice(at, until - at))
                 at = until
 
-    return blocks.select("clip_no", "block", "samples", "at", *channels).mapInArrow(run, schema)
+    return blocks.select(*held).mapInArrow(run, schema)
 
 
 def frames(blocks: DataFrame, c: Stft, block: int, channels: Sequence[str]) -> DataFrame:

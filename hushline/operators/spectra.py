@@ -75,8 +75,8 @@ def with_samples(clips: DataFrame) -> DataFrame:
     return clips.join(clips.groupBy("clip_no").agg(F.count("*").alias("samples")), "clip_no")
 
 
-def _blocks(clips: DataFrame, convention: Stft, block: int, channels: Sequence[str]) -> DataFrame:
-    """Block rows: as they are, or gathered from long samples or chunk rows."""
+def blocks(clips: DataFrame, convention: Stft, block: int = BLOCK, channels: Sequence[str] = ("near", "far")) -> DataFrame:
+    """Block rows: as they are, or gathered from long samples or chunk rows.  Steps that transform clips several times store them."""
     return clips if "at" in clips.columns else chunks.gather(with_samples(clips), convention, block, channels)
 
 
@@ -86,7 +86,7 @@ def frames(clips: DataFrame, convention: Stft, block: int = BLOCK, channels: Seq
     Samples move at most once, into blocks of frames with a halo; short clips are padded with zeros on the right.
     ``width`` counts the samples of the clip in a window.
     """
-    return chunks.frames(_blocks(clips, convention, block, channels), convention, block, channels)
+    return chunks.frames(blocks(clips, convention, block, channels), convention, block, channels)
 
 
 def stft(
@@ -98,7 +98,7 @@ def stft(
     Framing and transform are one step on a block's arrays.  ``placed`` puts the spectra by (clip_no, block), for steps that
     run along frames; without it nothing moves after the samples met in their blocks.
     """
-    out = chunks.transform(_blocks(clips, convention, block, channels), convention, block, channels, names or channels)
+    out = chunks.transform(blocks(clips, convention, block, channels), convention, block, channels, names or channels)
     return out.repartition("clip_no", "block") if placed else out
 
 

@@ -83,18 +83,18 @@ def enhanced_waveform(packed: DataFrame, convention: Stft, s: SubtractionSetting
     return wave.select("clip_no", "block", "samples", "start", known.alias("value"))
 
 
-def enhanced_spectra(waveform: DataFrame, convention: Stft, block: int) -> DataFrame:
-    """Packed spectra of the inverted waveform (the diagnostics read these, not the subtracted ones)."""
-    return spectra.stft(waveform, convention, block, ["value"], ["enh"], placed=False).drop("samples")
+def compared_spectra(clips: DataFrame, waveform: DataFrame, convention: Stft, block: int) -> DataFrame:
+    """Packed spectra of both channels and of the inverted waveform (the diagnostics read these, not the subtracted ones).
 
+    Samples meet in their blocks and are transformed there side by side; spectra, several times as large, do not move.
+    """
+    enhanced = spectra.blocks(waveform, convention, block, ["value"]).withColumnRenamed("at", "value_at").drop("samples")
+    joined = spectra.blocks(clips, convention, block).join(enhanced, ["clip_no", "block"])
+    return spectra.stft(joined, convention, block, ["near", "far", "value"], ["near", "far", "enh"], placed=False).drop("samples")
 
-def clip_diagnostics(
-    packed: DataFrame, enhanced: DataFrame, transfer: DataFrame, manifest: DataFrame, s: SubtractionSettings
-) -> DataFrame:
-    """Leakage, instability, drift, noise reduction and risk per clip."""
-    both = packed.select(*spectra.FRAME_KEYS, "frames", *PACKED).join(
-        enhanced.drop("frames"), spectra.FRAME_KEYS
-    )
+
+def clip_diagnostics(both: DataFrame, transfer: DataFrame, manifest: DataFrame, s: SubtractionSettings) -> DataFrame:
+    """Leakage, instability, drift, noise reduction and risk per clip, from packed spectra of near, far and enhanced channel."""
     long = spectra.explode_bins(both, [*PACKED, *ENHANCED])
     cross = c.cross(near_bin(), far_bin())
     powers = {"near": c.power(near_bin()), "far": c.power(far_bin()), "enh": c.power(cx("enh"))}

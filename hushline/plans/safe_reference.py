@@ -30,7 +30,7 @@ def build(
     materialise: bool = False,
     check_groups: bool = True,
 ) -> SafeReference:
-    """Two dependent passes over the clips.
+    """Two dependent passes over the clips (long samples, chunk rows or block rows; the last move least).
 
     Pass one reduces training clips to floors and one transfer row per (machine, section, bin); pass two
     subtracts, inverts and diagnoses every clip.  With ``materialise`` the hand-over tables (transfer, the enhanced
@@ -39,17 +39,20 @@ def build(
     train = guards.normal_train(manifest)
     if check_groups and guards.untrained_groups(guards.test_rows(manifest), train).limit(1).count():
         raise ContractError("Test groups lack normal training profiles")
+    clips = spectra.blocks(clips, convention, settings.block)
     packed = spectra.stft(clips, convention, settings.block)
-    training = packed.join(train.select("clip_no"), "clip_no", "left_semi")
-    transfer = sub.noise_transfer(sub.power_floors(training, ("near", "far"), settings), train, settings)
+    # Floors are taken per clip and bin: training spectra need no placement, and other clips are left out before they have any.
+    training = clips.join(train.select("clip_no"), "clip_no", "left_semi").select(*clips.columns)
+    trained = spectra.stft(training, convention, settings.block, placed=False)
+    transfer = sub.noise_transfer(sub.power_floors(trained, ("near", "far"), settings), train, settings)
     if materialise:
         transfer = stored(transfer)
     shaped = sub.with_group_transfer(packed, transfer, manifest)
     waveform = sub.enhanced_waveform(shaped, convention, settings)
     if materialise:
         waveform = stored(waveform)
-    enhanced = sub.enhanced_spectra(waveform, convention, settings.block)
-    diagnostics = sub.clip_diagnostics(packed, enhanced, transfer, manifest, settings)
+    both = sub.compared_spectra(clips, waveform, convention, settings.block)
+    diagnostics = sub.clip_diagnostics(both, transfer, manifest, settings)
     diagnostics = diagnostics.join(manifest.select("clip_no", "file_id", *GROUP, "dataset_split", "condition"), "clip_no")
     if materialise:
         diagnostics = stored(diagnostics)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_spectra import CONV, centred, clips, matrices, plain, signals
 
-from hushline.operators import chunks, spectra
+from hushline.operators import chunks, spectra, subtraction
 from hushline.operators.spectra import Stft
 from hushline.sources import audio, wav_files
 
@@ -126,3 +126,17 @@ def test_samples_that_are_not_finite_fail_the_transform(spark, bad, long):
         table = whole.select("clip_no", F.lit(40).alias("samples"), F.lit(0).alias("start"), F.col("s.near").alias("near"), F.col("s.far").alias("far"))
     with pytest.raises(Exception, match="not finite in near of clip 0"):
         spectra.stft(table, CONV, 4).collect()
+
+
+def test_enhanced_and_plain_spectra_meet_in_their_blocks(spark):
+    """The diagnostics' three spectra come from one transform; no spectrum is shuffled for them."""
+    data = {0: signals((70,))[0], 1: signals((300,))[0]}
+    conv = Stft.reference(16, 8)
+    table = in_chunks(spark, data, 20)
+    wave = table.select("clip_no", "samples", "start", (F.transform("near", lambda x: x * 0.5)).alias("value"))
+    both = subtraction.compared_spectra(table, wave, conv, 4)
+    assert "Exchange" not in plan_of(both).split("MapInArrow")[0]
+    long = spectra.explode_bins(both, ["near_re", "near_im", "far_re", "far_im", "enh_re", "enh_im"]).toPandas()
+    for i, (near, far) in data.items():
+        for name, x in (("near", near), ("far", far), ("enh", 0.5 * near)):
+            np.testing.assert_allclose(matrices(long, f"{name}_re", f"{name}_im", i), centred(x, conv), atol=1e-10)
