@@ -9,6 +9,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches to and from Python workers end at this size; 10,000 rows of sample arrays or texts can be far more.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "hushline") -> SparkSession:
     """Local session with settings that also make sense on a cluster (AQE and its skew handling on)."""
@@ -23,6 +27,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "hushline
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(BATCH, str(BATCH_BYTES))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -54,11 +59,18 @@ def stored(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at a time, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give Python workers this package, once per application, whatever folder the job was started from."""
+    """Give Python workers this package, once per application, whatever folder the job was started from, in bounded batches."""
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
