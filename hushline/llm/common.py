@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = stop
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives what it freed back to the system: idle workers stay alive and would keep it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return task
+
+
 def offsets(values: pa.Array) -> np.ndarray:
     """Offsets of a binary array's values into its data buffer."""
     wide = pa.types.is_large_binary(values.type) or pa.types.is_large_string(values.type)

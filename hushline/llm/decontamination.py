@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushline.llm.common import keyed, slices, utf8
+from hushline.llm.common import keyed, slices, tidy, utf8
 from hushline.session import stored
 
 WINDOW = 13
@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
             yield pa.RecordBatch.from_arrays([_one(made[f.name], f.type) for f in ARROW_SEGMENT], schema=ARROW_SEGMENT)
 
     source = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("_text"))
-    return stored(source.mapInArrow(run, SEGMENT), "index")
+    return stored(source.mapInArrow(tidy(run), SEGMENT), "index")
 
 
 def _one(value: object, kind: pa.DataType) -> pa.Array:
@@ -312,7 +312,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: i
         raise ValueError(f"Windows and spans may have {GAP} words at most")
     results = []
     for items in parts_of(benchmark, part_bytes):
-        results.append(index.mapInArrow(_search(Phrases.of(items, window), span), MATCH))
+        results.append(index.mapInArrow(tidy(_search(Phrases.of(items, window), span)), MATCH))
     if len(results) == 1:
         return results[0].drop("segment", "place")
     found = results[0]

@@ -45,13 +45,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushline.llm.common import keyed, slices, utf8
+from hushline.llm.common import keyed, slices, tidy, utf8
 from hushline.llm.simhash import LINK, components, majorities
 from hushline.session import stored
 
 CELL_BITS = 22
 CHUNK = 1 << 14  # cells that are added up together
-WORDS = 400_000  # words whose hashes a task remembers
+WORDS = 100_000  # words whose hashes a task remembers
+TEXT_BYTES = 1 << 19  # bytes of text that a task turns into shingles at a time, unless one text has more
 GROUP = 1_024
 SMALL = 500_000  # keys that may be broadcast
 
@@ -125,7 +126,7 @@ def _sets(rule: Rule, prints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per text (key, size, signature, SimHash if wanted) and, at the end, the task's counts in chunks of cells."""
         shingler, counts = Shingler(rule.size), np.zeros(1 << CELL_BITS, np.uint32)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", TEXT_BYTES):
             found = [shingler(t) for t in part.column("_text").to_pylist()]
             cells, times = np.unique(cells_of(np.concatenate(found)), return_counts=True)
             counts[cells] += times.astype(np.uint32)
@@ -168,7 +169,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rank_table(sets: DataFrame) -> np.ndarray:
     """The rank of each cell's frequency: 2**22 numbers of two bytes."""
     counted = sets.where("chunk is not null").select("chunk", "cells").repartition("chunk").sortWithinPartitions("chunk")
-    found = counted.mapInArrow(_added, TOTAL).toArrow()  # at most 2**22 / 2**14 rows of 32 KB
+    found = counted.mapInArrow(tidy(_added), TOTAL).toArrow()  # at most 2**22 / 2**14 rows of 32 KB
     ranks = np.zeros(1 << CELL_BITS, np.uint16)
     for chunk, values in zip(found.column("chunk").to_pylist(), found.column("ranks").to_pylist()):
         ranks[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(values, "<u2")
@@ -191,7 +192,7 @@ WHOLE = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingle
 def _prefixes(rule: Rule, ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule.size)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", TEXT_BYTES):
             found = [shingler(t) for t in part.column("_text").to_pylist()]
             first = [s[np.lexsort((s, ranks[cells_of(s)]))[: rule.prefix(len(s))]].view(np.int64) for s in found]
             yield pa.RecordBatch.from_arrays(
@@ -208,7 +209,7 @@ def _prefixes(rule: Rule, ranks: np.ndarray):
 def _whole(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", TEXT_BYTES):
             found = [shingler(t).tobytes() for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.binary())], WHOLE.names)
 
@@ -424,7 +425,7 @@ def sized(keys: DataFrame) -> DataFrame:
 
 def whole_sets(texts: DataFrame, keys: DataFrame, rule: Rule) -> DataFrame:
     wanted = texts.join(sized(stored(keys.distinct(), "asked")), "key", "left_semi")
-    return stored(wanted.select("key", "_text").mapInArrow(_whole(rule.size), WHOLE), "sets")
+    return stored(wanted.select("key", "_text").mapInArrow(tidy(_whole(rule.size)), WHOLE), "sets")
 
 
 def _placed(posts: DataFrame, prefixes: DataFrame, group: Column, side: Column) -> DataFrame:
@@ -443,7 +444,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     wanted = whole_sets(texts, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), rule)
     x = wanted.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     y = wanted.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirm(rule), LINK), "links")
+    return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(tidy(_confirm(rule)), LINK), "links")
 
 
 def labelled(posts: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -466,7 +467,7 @@ def classes(
 
     ``near`` may name pairs (a, b) worth verifying first, given the different sets' keys and SimHashes (key, fp).
     """
-    sets = stored(texts.select("key", "_text").mapInArrow(_sets(rule, near is not None), SET), "sets")
+    sets = stored(texts.select("key", "_text").mapInArrow(tidy(_sets(rule, near is not None)), SET), "sets")
     rows = sets.where("chunk is null").select("key", "n", "s1", "s2", "fp")
     grouped = rows if empty_alike else rows.where("n > 0")
     nodes = grouped.groupBy("s1", "s2", "n").agg(F.min("key").alias("key"), F.count("*").alias("_copies"), F.min("fp").alias("fp"))
@@ -474,7 +475,7 @@ def classes(
     known = verified(stored(near(nodes.select("key", "fp")).distinct(), "pairs"), texts, rule) if near else None
     nodes = nodes.drop("fp")
     doubles = stored(grouped.join(nodes.select("key"), "key", "left_anti").select("key"), "doubles")
-    prefixes = stored(texts.select("key", "_text").mapInArrow(_prefixes(rule, rank_table(sets)), PREFIX), "prefixes")
+    prefixes = stored(texts.select("key", "_text").mapInArrow(tidy(_prefixes(rule, rank_table(sets))), PREFIX), "prefixes")
     prefixes = prefixes.where("n > 0").join(sized(doubles), "key", "left_anti")
 
     every = prefixes.select(F.posexplode("prefix").alias("pos", "h"), "key", "n")
@@ -495,7 +496,7 @@ def classes(
 
     # One proposal per set, verified on the whole sets.
     dealt = _placed(posts, posted, F.xxhash64("h", share), F.lit(0))
-    proposed = stored(dealt.select(*POSTED, "h").mapInArrow(_propose(rule), PROPOSED), "proposed")
+    proposed = stored(dealt.select(*POSTED, "h").mapInArrow(tidy(_propose(rule)), PROPOSED), "proposed")
     pairs = stored(proposed.groupBy("b").agg(F.min("a").alias("a")), "pairs")
     links = verified(pairs, texts, rule)
     links = links.union(known) if near else links
@@ -509,12 +510,12 @@ def classes(
     met = left.withColumn("_mine", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2)
     met = _placed(met, posted, F.xxhash64("h", F.least("_mine", "_other"), F.greatest("_mine", "_other")), side)
-    asked = stored(met.select(*POSTED).mapInArrow(_ask(rule), ASKED), "asked")
+    asked = stored(met.select(*POSTED).mapInArrow(tidy(_ask(rule)), ASKED), "asked")
     more = whole_sets(texts, asked.select("key"), rule)
     tested = pairs.select(F.col("b").alias("key"), F.col("a").alias("tested"))
     full = asked.join(more, "key").join(posted.select("key", "prefix"), "key").join(tested, "key", "left")
     full = full.withColumn("tested", F.coalesce("tested", F.lit(-1))).repartition("group").sortWithinPartitions("group", "key")
-    further = full.select("group", "key", "n", "pos", "side", "label", "tested", "prefix", "shingles").mapInArrow(_verify(rule), LINK)
+    further = full.select("group", "key", "n", "pos", "side", "label", "tested", "prefix", "shingles").mapInArrow(tidy(_verify(rule)), LINK)
     found = components_of(links.union(stored(further, "further")), nodes)
 
     of_class = nodes.join(found, F.col("key") == F.col("fp"), "left").select("s1", "s2", "n", F.coalesce("label", "key").alias("label"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushline.llm.common import data, offsets, slices, totals, utf8
+from hushline.llm.common import data, offsets, slices, tidy, totals, utf8
 from hushline.session import stored
 
 SYMBOLS = b"#*$%&|<>"
@@ -130,7 +130,7 @@ def with_features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | N
             columns = [part.column(n) for n in names] + [pa.array(found[f.name], pa.int64()) for f in FEATURES.fields]
             yield pa.RecordBatch.from_arrays(columns, [*names, *FEATURES.names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def base_failed(risk: Risk) -> Column:

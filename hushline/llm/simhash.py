@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushline.llm.common import keyed, slices, utf8
+from hushline.llm.common import keyed, slices, tidy, utf8
 from hushline.session import stored
 
 RADIUS = 3
@@ -90,7 +90,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             found = fingerprints(part.column("_text").to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", utf8("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select("doc_id", utf8("text").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def choices(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -221,7 +221,7 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, hot_rows: int = HOT_R
         F.when(F.col("_block") == F.col("_other"), 0).when(F.col("_block") < F.col("_other"), 1).otherwise(2).cast("long").alias("side"),
     )
     placed = cold.unionByName(blocks).repartition("group").sortWithinPartitions("group", "pop")
-    return placed.select("group", "fp", "side").mapInArrow(_compare(radius), LINK)
+    return placed.select("group", "fp", "side").mapInArrow(tidy(_compare(radius)), LINK)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_contracts import SF, frame, hostile
 
-from hushline.llm import near_copies
+from hushline.llm import common, near_copies, ngram_join
 
 
 def shingles(text):
@@ -123,3 +125,14 @@ def test_hand_overs_stay_linear(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(60))
     apart = [(d, passage + " " + " ".join(f"u{rnd.randint(0, 10**9)}" for _ in range(200))) for d in range(60)]
     assert near_copies.drop_near_copies(frame(spark, apart)).count() == 60 and max(rows["posts"]) == 0
+
+
+def test_texts_become_shingles_in_small_slices():
+    """A task holds the shingles of half a megabyte of text at a time, and hands on what it freed when it ends."""
+    texts = [f"w{i} " * 500 for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["key", "_text"])
+    for step in (ngram_join._sets(near_copies.RULE, True), ngram_join._prefixes(near_copies.RULE, np.zeros(1 << 22, np.uint16))):
+        out = list(common.tidy(step)(iter([batch])))
+        keys = [[k for k in b.column("key").to_pylist() if k is not None] for b in out]
+        assert sum(keys, []) == list(range(1500))
+        assert max(sum(len(texts[k]) for k in ks) for ks in keys) <= 1 << 19
