@@ -20,6 +20,7 @@ ids, n_ids and decoded are replaced (and the helper's name _utf8 is not kept).
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushline.llm.common import slices, utf8
+from hushline.llm.common import slices, tidy, utf8
 
 MARK = "▁"
-UNITS = 200_000  # units whose ids a task remembers
+UNITS = 200_000  # units whose ids a worker remembers
 NONE = float("-inf")  # the score of neighbours that do not merge
 PAIRS = 300_000  # pairs whose stability a task remembers
 
@@ -65,7 +66,7 @@ class Model:
 def suffix_array(text: np.ndarray, reach: int) -> np.ndarray:
     """Positions of ``text`` sorted by their first ``reach`` bytes or more."""
     words = packed(text)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)  # which of equal prefixes comes first does not matter
     length = 8
     while True:
         ranked = words[order]
@@ -76,7 +77,7 @@ def suffix_array(text: np.ndarray, reach: int) -> np.ndarray:
         after = np.zeros(len(text), np.int64)
         after[: max(0, len(text) - length)] = rank[length:] + 1
         words = rank * (len(text) + 1) + after
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words)
         length *= 2
 
 
@@ -288,7 +289,8 @@ class Encoder:
         start, end, piece = self.edges(text, units)
         own = np.repeat(np.arange(len(units)), size + 1)[start]
         depth = end - first[own]
-        by_end = np.argsort(depth, kind="stable")
+        # Numbers of two bytes are sorted by radix.
+        by_end = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
         start, end, piece, depth = start[by_end], end[by_end], piece[by_end], depth[by_end]
         last = np.full(len(text) + 1, -1, np.int64)  # piece that ends here
         came = np.zeros(len(text) + 1, np.int64)  # and where it starts
@@ -349,19 +351,37 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of the texts."""
-        if len(self.known) > UNITS:
-            self.forget()
         found = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = [u for u in dict.fromkeys(chain.from_iterable(found)) if u not in self.known]
+        distinct = dict.fromkeys(chain.from_iterable(found))
+        fresh = [u for u in distinct if u not in self.known]
+        if self.known and len(self.known) + len(fresh) > UNITS and 4 * len(fresh) > 3 * len(distinct):
+            self.forget()  # texts of another kind
+            fresh = list(distinct)
+        kept = len(self.known)
         if fresh:
             self.learn(fresh)
         units = np.concatenate([[0], np.cumsum([len(us) for us in found])]).astype(np.int64)
         codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(units[-1]))
         count = self.at[codes + 1] - self.at[codes]
         flat = self.ids[np.repeat(self.at[codes], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        if len(self.known) > UNITS and kept:  # the frequent units come early; later ones are looked up slice by slice
+            for unit in fresh:
+                del self.known[unit]
+            self.at, self.ids = self.at[: kept + 1], self.ids[: self.at[kept]]
         return flat, np.concatenate([[0], np.cumsum(count)])[units]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(call: str, model: Model, merges: Merges | None) -> Encoder:
+    """One encoder, with the units it knows, for all tasks of a worker that belong to one call of :func:`encode`."""
+    if call not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[call] = Encoder(model, merges=merges)
+    return _ENCODERS[call]
+
+
 def decoder(model: Model):
     """Ids to text: pieces joined, marks back to spaces, the leading one dropped; bytes are put together."""
     table = [p.encode() for p in model.pieces]
@@ -380,6 +400,7 @@ def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame
     """``docs`` with ``ids``, ``n_ids`` and ``decoded`` (the text that the ids give back)."""
     model = Model.load(model_path, unigram)
     merges = None if unigram else Merges(model)  # a few MB, whatever the input
+    call = uuid.uuid4().hex
     names = [c for c in docs.columns if c not in ("ids", "n_ids", "decoded", "_utf8")]
     source = docs.select(*names, utf8("text").alias("_utf8"))
     schema = T.StructType(
@@ -387,7 +408,7 @@ def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decode = Encoder(model, merges=merges), decoder(model)
+        encoder, decode = encoder_of(call, model, merges), decoder(model)
         for part in slices(batches, "_utf8", 1 << 20):
             texts = [t.decode("utf-8", "replace") for t in part.column("_utf8").to_pylist()]
             flat, at = encoder.encode(texts)
@@ -398,4 +419,4 @@ def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame
                 [*names, "ids", "n_ids", "decoded"],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

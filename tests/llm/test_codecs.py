@@ -110,3 +110,23 @@ def test_unigram_relaxing_is_best():
     for end in range(1, len(text) + 1):
         best[end] = max((best[a] + score[text[a:end]] for a in range(max(0, end - 48), end) if text[a:end] in score), default=float("-inf"))
     assert total == pytest.approx(best[-1])
+
+
+def test_units_met_early_stay_known(monkeypatch):
+    """A full table keeps its first units and looks later ones up; texts of another kind start a new one."""
+    monkeypatch.setattr(sentencepiece_codec, "UNITS", 60)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoder = sentencepiece_codec.Encoder(sentencepiece_codec.Model.load(path))
+    rnd = random.Random(7)
+    common = [f"word{i}" for i in range(50)]
+    for part in range(6):
+        texts = [" ".join(rnd.choices(common, k=40) + [f"rare{part}x{i}y{k}" for k in range(3)]) for i in range(8)]
+        ids, at = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(t) for t in texts]
+        assert {"\u2581" + w for t in texts for w in t.split() if w in common} <= set(encoder.known) and len(encoder.known) <= 100
+    texts = [f"other{i} thing{i}" for i in range(80)]
+    ids, at = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(t) for t in texts]
+    assert "\u2581word1" not in encoder.known
+    assert sentencepiece_codec.encoder_of("x", encoder.model, encoder.merges) is sentencepiece_codec.encoder_of("x", encoder.model, encoder.merges)
