@@ -122,7 +122,7 @@ def cells_of(shingles: np.ndarray) -> np.ndarray:
 SET = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "n", "s1", "s2", "fp", "chunk")] + [T.StructField("cells", T.BinaryType())])
 
 
-def _sets(rule: Rule, prints: bool):
+def _sets(rule: Rule, prints: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per text (key, size, signature, SimHash if wanted) and, at the end, the task's counts in chunks of cells."""
         shingler, counts = Shingler(rule.size), np.zeros(1 << CELL_BITS, np.uint32)
