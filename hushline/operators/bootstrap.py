@@ -1,11 +1,16 @@
 """Paired stratified bootstrap of AUC and pAUC deltas, reproducible in any engine.
 
 A row carries an array: how often each resample draws it.  Every position of a stratum makes one draw per resample (the
-first 32 bits of the md5 of a counter text).  The draws need no row, only the stratum's name and size: tasks take some
+first 32 bits of the md5 of a counter text).  The draws need no row, only the stratum's name and size.
+
+Groups of up to ``GROUP_ROWS`` rows.  A task takes some resamples of one group, and the group's scores as arrays: it draws
+one resample after the other and counts the draws by steps of the curve.  Only the scores travel, ``COPIES`` times at
+most; nothing as long as rows x resamples is shuffled or stored.
+
+Larger groups.  Tasks take some
 resamples of some positions, count how often each position is drawn, and hand on these counts, deflated, by blocks of
 ``TARGETS`` drawn positions.  There they meet the rows and become one deflated array per row.
-
-Areas.  Rows are dealt by side, group and value range and pass in the order of their scores; counts, running sums and
+Rows are dealt by side, group and value range and pass in the order of their scores; counts, running sums and
 the segments of all curves are operations on arrays with one place per resample.  Between the ranges only their totals
 travel.  Nothing grows with rows x resamples but the counts, at about two bits each.
 """
@@ -35,6 +40,11 @@ DRAWS = 16_000_000  # of one unit of work
 POSITIONS = 4 << 20  # that one unit draws for, and whose counts it holds at a time
 FEW = 512  # positions that are hashed one by one
 SEGMENT = ["side", *GROUP, "bucket"]
+SIDES = ["reference", "candidate"]
+GROUP_ROWS = 6 << 20  # of a group that is resampled inside tasks, at some 50 bytes a row
+COPIES = 8  # of a group's scores, for as many tasks
+UNIT = DRAWS // 4  # draws of one task's turn, unless that takes more copies
+HEADS = 1 << 20  # draws that are counted together
 
 
 def _fields(names: list[str]) -> list[T.StructField]:
@@ -315,17 +325,145 @@ def _added(iterations: int):
     return run
 
 
+PIECE = T.StructType([*_fields(STRATUM), T.StructField("n", T.LongType()), T.StructField("pos", T.BinaryType()), *[T.StructField(s, T.BinaryType()) for s in SIDES]])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per stratum of a batch: places (as differences, which mostly are 1) and scores as arrays."""
+    for batch in batches:
+        batch = batch.sort_by([(c, "ascending") for c in STRATUM]) if batch.num_rows else batch
+        keys = list(zip(*(batch.column(c).to_pylist() for c in STRATUM)))
+        starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        pos, *scores = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", *SIDES)]
+        rows = [
+            (*keys[a], b - a, np.diff(pos[a:b], prepend=0).astype(np.int32).tobytes(), *[v[a:b].astype(float).tobytes() for v in scores])
+            for a, b in zip(starts, [*starts[1:], len(keys)])
+        ]
+        yield pa.RecordBatch.from_pylist([dict(zip(PIECE.names, r)) for r in rows], _PIECES)
+
+
+_PIECES = pa.schema([*[(c, pa.string()) for c in STRATUM], ("n", pa.int64()), *[(c, pa.binary()) for c in ("pos", *SIDES)]])
+
+
+def step_areas(pos: np.ndarray, neg: np.ndarray, max_fpr: float) -> tuple[float, float]:
+    """AUC and the area up to ``max_fpr`` from the counts of each step, in descending order of score."""
+    all_pos, all_neg = int(pos.sum()), int(neg.sum())
+    if not all_pos or not all_neg:
+        return math.nan, math.nan
+    above = np.cumsum(pos, dtype=np.int64) - pos
+    strips = neg * (2 * above + pos)  # twice the area, in draws
+    x = np.cumsum(neg, dtype=np.int64)
+    at = int(np.searchsorted(x / all_neg > max_fpr, True))  # the step that crosses the limit
+    part = int(strips[:at].sum()) / (2 * all_pos * all_neg)
+    if at < len(x):
+        x0, x1, y0, y1 = (x[at] - neg[at]) / all_neg, x[at] / all_neg, above[at] / all_pos, (above[at] + pos[at]) / all_pos
+        if max_fpr > x0:
+            top = y0 + (y1 - y0) / (x1 - x0) * (max_fpr - x0)
+            part += (max_fpr - x0) * (y0 + top) / 2.0
+    return int(strips.sum()) / (2 * all_pos * all_neg), part
+
+
+def _descending_ranks(score: np.ndarray) -> tuple[np.ndarray, int]:
+    """The step of each score, equal scores sharing one, and the number of steps.  NaN is the greatest score, as in Spark."""
+    order = np.argsort(score)[::-1]
+    score = score[order]
+    new = (score[1:] != score[:-1]) & ~(np.isnan(score[1:]) & np.isnan(score[:-1]))
+    rank = np.empty(len(score), np.int32)
+    rank[order] = np.concatenate([[0], np.cumsum(new)])
+    return rank, int(rank[order[-1]]) + 1
+
+
+def _unit_areas(strata: dict[tuple, list[dict]], first: int, stop: int, seed: int, max_fpr: float, heads: int) -> dict[str, np.ndarray]:
+    """Areas of the resamples ``first`` + 1 to ``stop`` of one group, per side."""
+    names = sorted(strata)
+    sizes = [sum(p["n"] for p in strata[name]) for name in names]
+    starts = np.cumsum([0, *sizes])
+    scores = {side: np.empty(starts[-1]) for side in SIDES}
+    for name, start in zip(names, starts):
+        for piece in strata.pop(name):
+            place = start + np.cumsum(np.frombuffer(piece["pos"], np.int32))
+            for side in SIDES:
+                scores[side][place] = np.frombuffer(piece[side], float)
+    steps, number = {}, {}
+    for side in SIDES:
+        rank, number[side] = _descending_ranks(scores.pop(side))
+        steps[side] = np.split(rank, starts[1:-1])
+    areas = {side: np.empty((2, stop - first)) for side in SIDES}
+    for at in range(first, stop):
+        counts = {side: np.zeros((2, number[side]), np.int32) for side in SIDES}
+        for k, (name, n) in enumerate(zip(names, sizes)):
+            prefix = f"{seed}|{at + 1}|{'|'.join(name)}|".encode()
+            for low in range(0, n, heads):
+                place = md5_heads(prefix, low, min(low + heads, n)) % n
+                for side in SIDES:
+                    counts[side][int(name[-1] != "anomaly")] += np.bincount(steps[side][k][place], minlength=number[side]).astype(np.int32)
+        for side in SIDES:
+            areas[side][:, at - first] = step_areas(*counts[side], max_fpr)
+    return areas
+
+
+def _resampled(seed: int, max_fpr: float, heads: int = HEADS):
+    """Task body: pieces sorted by group and first resample; areas of these resamples."""
+
+    def areas_of(key: tuple, strata: dict, stop: int) -> Iterator[pa.RecordBatch]:
+        *group, first = key
+        for side, parts in _unit_areas(strata, first, stop, seed, max_fpr, heads).items():
+            names = [pa.array([c] * (stop - first), pa.string()) for c in (side, *group)]
+            values = [pa.array(p, pa.float64(), mask=np.isnan(p)) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + 1, stop + 1, dtype=np.int32)), *names, *values], names=RESULT.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, strata, stop = None, {}, 0
+        for batch in batches:
+            for piece in batch.to_pylist():
+                key = (*[piece[c] for c in GROUP], piece["resample"])
+                if key != at:
+                    if at is not None:
+                        yield from areas_of(at, strata, stop)
+                    at, strata = key, {}
+                stop = piece["stop"]
+                strata.setdefault(tuple(piece[c] for c in STRATUM), []).append({c: piece[c] for c in ("n", "pos", *SIDES)})
+        if at is not None:
+            yield from areas_of(at, strata, stop)
+
+    return run
+
+
+def _areas_in_tasks(rows: DataFrame, sizes: DataFrame, iterations: int, seed: int, max_fpr: float) -> DataFrame:
+    """Areas of groups that fit a task; ``sizes`` has their rows."""
+    least = -(-iterations // COPIES)
+    step = F.least(F.lit(iterations), F.greatest(F.lit(least), F.floor(F.lit(UNIT) / F.col("rows")))).cast("int")
+    units = sizes.withColumn("step", step).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.col("step"))))
+    units = units.withColumn("stop", F.least(F.col("resample") + F.col("step"), F.lit(iterations))).drop("step")
+    work = units.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("rows") * (F.col("stop") - F.col("resample"))), F.lit(0)).alias("draws")).first()
+    tasks = max(1, min(2 * work["n"], 2 * (work["draws"] // DRAWS)))
+    pieces = rows.mapInArrow(_pieces, PIECE).join(units.drop("rows"), GROUP)
+    dealt = pieces.repartition(tasks, *GROUP, "resample").sortWithinPartitions(*GROUP, "resample")
+    return dealt.mapInArrow(_resampled(seed, max_fpr), RESULT)
+
+
 def resampled_areas(
-    paired: DataFrame, iterations: int, seed: int, max_fpr: float = MAX_FPR, targets: int = TARGETS, size: int = ROWS
+    paired: DataFrame, iterations: int, seed: int, max_fpr: float = MAX_FPR, targets: int = TARGETS, size: int = ROWS, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """AUC and pAUC per iteration, side and group of the resampled rows."""
-    placed = hashed_positions(paired, STRATUM, F.col("file_id"))
-    sides = F.array(
-        *[
-            F.struct(F.lit(s).alias("side"), F.col(f"anomaly_score_{s}").alias("score"))
-            for s in ("reference", "candidate")
-        ]
-    )
+    if not 1 <= iterations <= 1 << 16:
+        raise ValueError("Between 1 and 65536 resamples are possible")
+    paired = paired.withColumns({c: F.col(c).cast("string") for c in STRATUM})
+    scores = [F.col(f"anomaly_score_{s}").cast("double").alias(s) for s in SIDES]
+    placed = hashed_positions(paired.select("file_id", *STRATUM, *scores), STRATUM, F.col("file_id"))
+    rows = stored(placed.select(*STRATUM, "pos", "pos_count", *SIDES), "bootstrap")
+    sizes = stored(rows.groupBy(*GROUP).agg(F.count("*").alias("rows")), "sizes")
+    large = sizes.where(F.col("rows") > group_rows).select(*GROUP)
+    areas = _areas_in_tasks(rows, sizes.where(F.col("rows") <= group_rows), iterations, seed, max_fpr)
+    if large.limit(1).count():
+        more = _areas_in_ranges(rows.join(large, GROUP, "left_semi"), iterations, seed, max_fpr, targets, size)
+        areas = areas.unionByName(more)
+    return areas.withColumn("pauc", standardised(F.col("pauc"), max_fpr))
+
+
+def _areas_in_ranges(placed: DataFrame, iterations: int, seed: int, max_fpr: float, targets: int, size: int) -> DataFrame:
+    """Areas of groups of every size, cut into value ranges."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("score")) for s in SIDES])
     # The order of the scores is the same in every iteration: the value ranges are found once.
     rows = with_range_bucket(placed.select(*STRATUM, "pos", "pos_count", F.inline(sides)), "score")
     rows = rows.groupBy(*STRATUM, "pos", "pos_count").agg(F.collect_list(F.struct("side", "score", "bucket")).alias("sides"))
@@ -340,8 +478,7 @@ def resampled_areas(
     heads = heads.select(*SEGMENT, F.lit(0).alias("head"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("anomaly"), F.col("sums").alias("weights"))
     both = heads.unionByName(curves).repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "head", F.col("score").desc())
     parts = both.mapInArrow(_areas(iterations, max_fpr, size), AREAS)
-    areas = parts.groupBy("side", *GROUP).applyInArrow(_added(iterations), RESULT)
-    return areas.withColumn("pauc", standardised(F.col("pauc"), max_fpr))
+    return parts.groupBy("side", *GROUP).applyInArrow(_added(iterations), RESULT)
 
 
 def iteration_deltas(areas: DataFrame) -> DataFrame:
