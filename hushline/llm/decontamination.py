@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushline.llm.common import keyed, slices, tidy, utf8
-from hushline.session import stored
+from hushline.session import LARGE_ROWS, stored
 
 WINDOW = 13
 PART_BYTES = 32 << 20
@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
             yield pa.RecordBatch.from_arrays([_one(made[f.name], f.type) for f in ARROW_SEGMENT], schema=ARROW_SEGMENT)
 
     source = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("_text"))
-    return stored(source.mapInArrow(tidy(run), SEGMENT), "index")
+    return stored(source.mapInArrow(tidy(run), SEGMENT), "index", LARGE_ROWS)
 
 
 def _one(value: object, kind: pa.DataType) -> pa.Array:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
+#: For tables with rows of megabytes.  Parquet looks at its sizes every 100 rows only: without these, pages and row groups
+#: of such rows hold hundreds of megabytes, in writers, readers and the codecs' buffers beside the heap.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
 
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "hushline") -> SparkSession:
     """Local session with settings that also make sense on a cluster (AQE and its skew handling on)."""
@@ -48,14 +53,14 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str = "stage") -> DataFrame:
+def stored(df: DataFrame, purpose: str = "stage", options: Mapping[str, object] | None = None) -> DataFrame:
     """Write a hand-over table once and read it back.
 
     Cuts lineage in storage that outlives any executor, and unlike a row checkpoint keeps columns prunable and
     sizes known to the optimizer.  Steps that read a table several times store it first.
     """
     path = f"{new_folder(df.sparkSession, purpose)}/data"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
